@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .sqltext import sql_text
 from ..rules.fixed import CONTEXT_LINES, FILE_CHAR_LIMIT, FILE_CUT_MARK, NOT_ANALYSED, REDACTED
 
 # Marks match starts inside a text.  A private-use character is neither a word
@@ -32,18 +33,19 @@ def line_of_offset(text: Column, offset: Column) -> Column:
     return F.size(split_lines(F.left(text, offset)))
 
 
-def match_lines(text: Column, java_regex: str) -> Column:
-    """1-based line of the start of every non-overlapping match, in match order."""
-    safe = F.when(text.contains(MARK), F.translate(text, MARK, _MARK_STAND_IN)).otherwise(text)
-    marked = F.regexp_replace(safe, F.lit(java_regex), F.lit(MARK + "$0"))
-    numbered = F.transform(split_lines(marked), lambda line, i: F.struct((i + 1).alias("n"), line.alias("line")))
-    with_mark = F.filter(numbered, lambda x: x["line"].contains(MARK))
-    return F.flatten(
-        F.transform(
-            with_mark,
-            lambda x: F.array_repeat(x["n"], F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(MARK), F.lit("")))),
-        )
-    )
+def match_lines(text: str, java_regex: str) -> str:
+    """SQL: 1-based line of the start of every non-overlapping match, in match order.
+
+    Every match start gets a mark, the marked text is split into lines, and a
+    line number is repeated once per mark in its line.
+    """
+    mark = sql_text(MARK)
+    safe = f"CASE WHEN contains({text}, {mark}) THEN translate({text}, {mark}, {sql_text(_MARK_STAND_IN)}) ELSE {text} END"
+    marked = f"regexp_replace({safe}, {sql_text(java_regex)}, {sql_text(MARK + '$0')})"
+    return f"""
+        flatten(transform(
+            filter(transform(split({marked}, '\\n'), (l, i) -> named_struct('n', i + 1, 'line', l)), x -> contains(x.line, {mark})),
+            x -> array_repeat(x.n, length(x.line) - length(replace(x.line, {mark}, '')))))"""
 
 
 def context_lines(lines: Column, n: Column, around: int = CONTEXT_LINES) -> Column:

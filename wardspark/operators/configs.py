@@ -1,167 +1,162 @@
-"""Tool-server configuration rules: JSON configs parsed once, looked at by three rules."""
+"""Tool-server configuration rules: JSON configs parsed once, looked at by three rules.
 
-from __future__ import annotations
-
-from functools import reduce
-from operator import or_
+Written as SQL text, like all hit arrays (see ``hits``).
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from ..functions.paths import posix
-from ..functions.text import key_line
+from ..functions.sqltext import sql_text
 from ..rules.fixed import (
     AUTH_ENV_WORDS, AUTH_FLAGS, AUTH_HEADERS, CONFIG_NAMES, REDACTED, SECRET_VALUE, SERVER_SNIPPET_CHARS,
     SHELL_COMMANDS, SNIPPET_CUT_MARK, WRITABLE_PATHS,
 )
-from .hits import hit, no_hits
+from .hits import NO_HITS, hit
 
 _CONFIG = "array<struct<mcpServers:map<string,string>,mcp:struct<servers:map<string,string>>>>"
 _SERVER = "struct<command:variant,args:variant,env:map<string,variant>,headers:map<string,variant>>"
-_DASHU = "(?dU)"
+_NO_TEXTS = "CAST(array() AS array<string>)"
+
+
+def _any_contains(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, {sql_text(w)})" for w in words) + ")"
+
+
+def _forward_slashes(text: str) -> str:
+    return f"replace({text}, {sql_text(chr(92))}, '/')"
 
 
-def is_tool_config(path: Column, content: Column) -> Column:
+def is_tool_config(path: str = "path", content: str = "content") -> str:
     """A known file name, or the keys of a tool-server config anywhere in the text."""
-    name = F.lower(posix(path))
-    by_name = reduce(or_, [name.contains(n) for n in CONFIG_NAMES])
-    return by_name | content.contains('"mcpServers"') | (content.contains('"mcp"') & content.contains('"servers"'))
-
-
-def _last_wins(entries: Column) -> Column:
-    """Map entries with one entry per key: first position, last value, as a JSON reader with dicts gives."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.transform(
-        keys,
-        lambda k: F.struct(
-            k.alias("key"),
-            F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value"),
-        ),
+    by_name = _any_contains(f"lower({_forward_slashes(path)})", CONFIG_NAMES)
+    return (
+        f"""({by_name} OR contains({content}, '"mcpServers"') """
+        f"""OR (contains({content}, '"mcp"') AND contains({content}, '"servers"')))"""
+    )
+
+
+def _last_wins(entries: str) -> str:
+    """Map entries with one entry per key: first position, last value, as a reader with dicts gives."""
+    return (
+        f"transform(array_distinct(transform({entries}, e -> e.key)), "
+        f"k -> named_struct('key', k, 'value', element_at(filter({entries}, e -> e.key = k), -1).value))"
     )
 
 
-def tool_servers(content: Column) -> Column:
-    """``array<struct<name, text, def>>`` of the object-valued servers; null if there are none.
+def tool_servers(content: str = "content") -> str:
+    """``array<struct<name, text, def>>`` of the object-valued servers; null where there is no config.
 
-    The text must be exactly one JSON value (the brackets make any rest an
+    The text must be exactly one JSON value (inside brackets any rest is an
     error).  ``text`` is the server definition as compact JSON.
     """
-    config = F.from_json(F.concat(F.lit("["), content, F.lit("]")), _CONFIG)
-    one = F.when(F.size(config) == 1, config[0])
-    entries = F.map_entries(F.coalesce(one["mcpServers"], one["mcp"]["servers"]))
-    objects = F.filter(_last_wins(entries), lambda e: e["value"].startswith("{"))
-    return F.transform(
-        objects,
-        lambda e: F.struct(
-            e["key"].alias("name"), e["value"].alias("text"), F.from_json(e["value"], _SERVER).alias("def")
-        ),
+    parsed = f"from_json(concat('[', {content}, ']'), '{_CONFIG}')"
+    entries = (
+        f"transform(array({parsed}), "
+        "c -> CASE WHEN size(c) = 1 THEN map_entries(coalesce(c[0].mcpServers, c[0].mcp.servers)) END)"
     )
+    return f"""
+        flatten(transform({entries}, entries ->
+            transform(filter({_last_wins('entries')}, e -> startswith(e.value, '{{')),
+                      e -> named_struct('name', e.key, 'text', e.value, 'def', from_json(e.value, '{_SERVER}')))))"""
 
 
-def _text_or_blank(value: Column) -> Column:
+def _text_or_blank(value: str) -> str:
     """The string a variant holds; blank for any other type."""
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.lit(""))
-
+    return f"coalesce(CASE WHEN schema_of_variant({value}) = 'STRING' THEN try_variant_get({value}, '$', 'string') END, '')"
 
-def _any_contains(text: Column, words) -> Column:
-    return reduce(or_, [text.contains(w) for w in words])
 
+def command_text(server: str) -> str:
+    return _text_or_blank(f"{server}.command")
 
-def command_text(server: Column) -> Column:
-    return F.coalesce(_text_or_blank(server["command"]), F.lit(""))
 
-
-def has_auth(server: Column) -> Column:
+def has_auth(server: str) -> str:
     """Auth in a header name, in an environment name, or as a command-line flag."""
-    headers = F.coalesce(F.map_keys(server["headers"]), F.array().cast("array<string>"))
-    env = F.coalesce(F.map_keys(server["env"]), F.array().cast("array<string>"))
-    args = F.coalesce(F.try_variant_get(server["args"], "$", "array<variant>"), F.array().cast("array<variant>"))
-    words = F.array_join(F.transform(args, _text_or_blank), " ")
-    line = F.lower(F.concat_ws(" ", command_text(server), words))
+    headers = f"transform(coalesce(map_keys({server}.headers), {_NO_TEXTS}), h -> lower(h))"
+    env = f"coalesce(map_keys({server}.env), {_NO_TEXTS})"
+    args = f"coalesce(try_variant_get({server}.args, '$', 'array<variant>'), CAST(array() AS array<variant>))"
+    line = f"lower(concat_ws(' ', {command_text(server)}, array_join(transform({args}, a -> {_text_or_blank('a')}), ' ')))"
+    names = ", ".join(sql_text(h) for h in AUTH_HEADERS)
     return (
-        F.arrays_overlap(F.transform(headers, F.lower), F.array(*[F.lit(h) for h in AUTH_HEADERS]))
-        | F.exists(env, lambda k: _any_contains(F.lower(k), AUTH_ENV_WORDS))
-        | _any_contains(line, AUTH_FLAGS)
+        f"(arrays_overlap({headers}, array({names})) OR exists({env}, k -> {_any_contains('lower(k)', AUTH_ENV_WORDS)}) "
+        f"OR {_any_contains(line, AUTH_FLAGS)})"
     )
 
 
-def literal_secrets(server: Column) -> Column:
+def literal_secrets(server: str) -> str:
     """Names of environment entries whose value is a literal secret."""
-    entries = F.coalesce(_last_wins(F.map_entries(server["env"])), F.array().cast("array<struct<key:string,value:variant>>"))
-    secret = F.filter(
-        entries,
-        lambda e: (F.schema_of_variant(e["value"]) == "STRING")
-        & ~F.try_variant_get(e["value"], "$", "string").startswith("$")
-        & F.try_variant_get(e["value"], "$", "string").rlike(_DASHU + SECRET_VALUE),
+    text = "try_variant_get(e.value, '$', 'string')"
+    entries = _last_wins(f"map_entries({server}.env)")
+    return (
+        f"coalesce(transform(filter({entries}, e -> schema_of_variant(e.value) = 'STRING' AND NOT startswith({text}, '$') "
+        f"AND rlike({text}, {sql_text('(?dU)' + SECRET_VALUE)})), e -> e.key), {_NO_TEXTS})"
     )
-    return F.transform(secret, lambda e: e["key"])
 
 
-def command_problem(command: Column) -> Column:
+def command_problem(command: str) -> str:
     """Why a command is suspicious, or null.  Paths are tried in their listed order; a bare shell wins."""
-    lowered = F.lower(posix(command))
-    reason = F.lit(None).cast("string")
-    for part in reversed(WRITABLE_PATHS):
-        reason = F.when(lowered.contains(part.lower()), F.lit(f"references {part}, which others may be able to write")).otherwise(reason)
-    return F.when(
-        command.isin(*SHELL_COMMANDS), F.concat(F.lit("is the shell interpreter '"), command, F.lit("', so arguments run as code"))
-    ).otherwise(reason)
-
-
-def pretty_server(name: Column, text: Column) -> Column:
-    """``{name: definition}`` as indented JSON (keys sorted), or as it stands if a key repeats."""
-    return F.coalesce(
-        F.to_json(F.create_map(name, F.try_parse_json(text)), {"pretty": "true"}),
-        F.concat(F.lit("{"), F.to_json(F.array(name)), F.lit(":"), text, F.lit("}")),
+    lowered = f"lower({_forward_slashes(command)})"
+    shells = ", ".join(sql_text(c) for c in SHELL_COMMANDS)
+    tests = [f"WHEN {command} IN ({shells}) THEN concat('is the shell interpreter ', {command}, ', so arguments run as code')"]
+    tests += [
+        f"WHEN contains({lowered}, {sql_text(p.lower())}) THEN {sql_text(f'references {p}, which others may be able to write')}"
+        for p in WRITABLE_PATHS
+    ]
+    return "CASE " + " ".join(tests) + " END"
+
+
+def pretty_server(name: str, text: str) -> str:
+    """``{name: definition}`` as indented JSON (keys sorted), or compact if a key repeats."""
+    return (
+        f"coalesce(to_json(map({name}, try_parse_json({text})), map('pretty', 'true')), "
+        f"concat('{{', to_json(array({name})), ':', {text}, '}}'))"
     )
 
 
-def cut_snippet(text: Column, mark: str = "") -> Column:
-    limit = F.lit(SERVER_SNIPPET_CHARS)
-    return F.when(F.length(text) > limit, F.concat(F.left(text, limit), F.lit(mark))).otherwise(text)
+def cut_snippet(text: str, mark: str = "") -> str:
+    limit = SERVER_SNIPPET_CHARS
+    return f"CASE WHEN length({text}) > {limit} THEN concat(left({text}, {limit}), {sql_text(mark)}) ELSE {text} END"
 
 
-def config_hits(rules, applies: Column, snippets: bool) -> Column:
+def key_line(key: str) -> str:
+    """First line of the file that holds the key in double or single quotes, else 1."""
+    quoted = [f"contains(l, concat({sql_text(q)}, {key}, {sql_text(q)}))" for q in ('"', "'")]
+    lines = f"transform(_lines, (l, i) -> CASE WHEN {quoted[0]} OR {quoted[1]} THEN i + 1 END)"
+    return f"coalesce(try_element_at(array_compact({lines}), 1), 1)"
+
+
+def config_hits(rules, flag: str, snippets: bool) -> str:
     """Hits of the config rules of one file, from the columns ``path``, ``content`` and ``_lines``."""
-    content, lines = F.col("content"), F.col("_lines")
-    servers = F.when(applies & is_tool_config(F.col("path"), content), tool_servers(content))
-    parts = [_RULE_HITS[r.kind](r, servers, lines, snippets) for r in rules]
-    joined = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return F.coalesce(joined, no_hits())
-
-
-def _number(hits: Column) -> Column:
-    return F.transform(hits, lambda h, i: h.withField("match_ord", i))
-
-
-def _auth_hits(rule, servers, lines, snippets):
-    open_servers = F.filter(servers, lambda s: ~has_auth(s["def"]))
-    return _number(F.transform(open_servers, lambda s: hit(
-        F.lit(rule.ordinal), F.lit(0), key_line(lines, s["name"]), F.lit(0),
-        note=F.concat(F.lit("server '"), s["name"], F.lit("' has no authentication")),
-        snippet=cut_snippet(pretty_server(s["name"], s["text"]), SNIPPET_CUT_MARK) if snippets else F.lit(""),
-    )))
-
-
-def _env_hits(rule, servers, lines, snippets):
-    per_server = F.transform(servers, lambda s: F.transform(literal_secrets(s["def"]), lambda key: hit(
-        F.lit(rule.ordinal), F.lit(0), key_line(lines, key), F.lit(0),
-        note=F.concat(F.lit("server '"), s["name"], F.lit("' stores a literal secret in env '"), key, F.lit("'")),
-        snippet=F.to_json(
-            F.create_map(s["name"], F.struct(F.create_map(key, F.lit(REDACTED)).alias("env"))), {"pretty": "true"}
-        ) if snippets else F.lit(""),
-    )))
-    return _number(F.flatten(per_server))
-
-
-def _command_hits(rule, servers, lines, snippets):
-    bad = F.filter(servers, lambda s: command_problem(command_text(s["def"])).isNotNull())
-    return _number(F.transform(bad, lambda s: hit(
-        F.lit(rule.ordinal), F.lit(0), key_line(lines, s["name"]), F.lit(0),
-        note=F.concat(F.lit("server '"), s["name"], F.lit("' command '"), command_text(s["def"]), F.lit("' "),
-                      command_problem(command_text(s["def"]))),
-        snippet=cut_snippet(pretty_server(s["name"], s["text"])) if snippets else F.lit(""),
-    )))
+    parts = [_RULE_HITS[r.kind](r, "servers", snippets) for r in rules]
+    joined = f"flatten(transform(array({tool_servers()}), servers -> concat({', '.join(parts)})))"
+    return f"coalesce(CASE WHEN {flag} AND {is_tool_config()} THEN {joined} END, {NO_HITS})"
+
+
+def _snippet(text: str, snippets: bool) -> dict:
+    return {"snippet": text} if snippets else {}
+
+
+def _auth_hits(rule, servers: str, snippets: bool) -> str:
+    found = hit(rule.ordinal, 0, key_line("s.name"), "i", note="concat('server ', s.name, ' has no authentication')",
+                **_snippet(cut_snippet(pretty_server("s.name", "s.text"), SNIPPET_CUT_MARK), snippets))
+    return f"transform(filter({servers}, s -> NOT {has_auth('s.def')}), (s, i) -> {found})"
+
+
+def _env_hits(rule, servers: str, snippets: bool) -> str:
+    keys = (
+        f"flatten(transform({servers}, s -> transform({literal_secrets('s.def')}, "
+        "k -> named_struct('name', s.name, 'key', k))))"
+    )
+    redacted = f"to_json(map(x.name, map('env', map(x.key, {sql_text(REDACTED)}))), map('pretty', 'true'))"
+    found = hit(rule.ordinal, 0, key_line("x.key"), "i",
+                note="concat('server ', x.name, ' stores a literal secret in env ', x.key)", **_snippet(redacted, snippets))
+    return f"transform({keys}, (x, i) -> {found})"
+
+
+def _command_hits(rule, servers: str, snippets: bool) -> str:
+    command = command_text("s.def")
+    found = hit(rule.ordinal, 0, key_line("s.name"), "i",
+                note=f"concat('server ', s.name, ' command ', {command}, ' ', {command_problem(command)})",
+                **_snippet(cut_snippet(pretty_server("s.name", "s.text")), snippets))
+    return f"transform(filter({servers}, s -> {command_problem(command)} IS NOT NULL), (s, i) -> {found})"
 
 
 _RULE_HITS = {"config_auth": _auth_hits, "config_env": _env_hits, "config_command": _command_hits}

@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import file_name
-from ..functions.text import context_lines, context_snippet, match_lines, render_context, split_lines
+from ..functions.sqltext import sql_text
+from ..functions.text import match_lines, render_context, split_lines
 from ..rules import ALL_RULES
 from ..rules.fixed import DESCRIPTION_SHOWN_CHARS, INJECTION_PHRASES, PHRASE_SHOWN_CHARS
-from ..rules.spec import FILE, LINE, RuleSpec, any_glob, patterns_table, rules_table
+from ..rules.spec import FILE, LINE, Pattern, RuleSpec, any_glob, patterns_table, rules_table
 from .configs import config_hits
-from .hits import hit, no_hits
+from .hits import NO_HITS, context, hit
+
 
 def scan_files(files: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES, *, match_globs: bool = True,
                snippets: bool = True) -> DataFrame:
@@ -47,8 +49,9 @@ def scan_files(files: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES, *, mat
     name = file_name(F.col("path"))
     flags = [(any_glob(name, g) if match_globs else F.lit(True)).alias(applies[g]) for g in globs]
     prepared = files.select(*keep, "content", *flags)
-    prepared = prepared.where(reduce(or_, [F.col(c) for c in applies.values()]))
-    prepared = prepared.withColumn("_lines", split_lines(F.col("content")))
+    if match_globs:
+        prepared = prepared.where(reduce(or_, [F.col(c) for c in applies.values()]))
+    prepared = prepared.withColumns({"_lines": split_lines(F.col("content")), "_folded": fold_case(F.col("content"))})
 
     hits = []
     if line_rules:
@@ -62,105 +65,109 @@ def scan_files(files: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES, *, mat
             hits.append(_description_hits(rule, applies[rule.globs], snippets))
     config_rules = [r for r in rules if r.kind.startswith("config_")]
     if config_rules:
-        hits.append(config_hits(config_rules, F.col(applies[config_rules[0].globs]), snippets))
-
-    if len(hits) > 1:
-        hits = [F.concat(*hits)]
-    flag_names = list(applies.values())
-    found = prepared.select(*keep, *flag_names, F.explode(hits[0]).alias("hit"))
-    if line_rules:
-        found = _match_lines(found, keep, line_rules, applies)
-    else:
-        found = found.select(*keep, "hit")
+        hits.append(config_hits(config_rules, applies[config_rules[0].globs], snippets))
+
+    # explode_outer and a null test: for a plain explode the optimizer would put
+    # a size() > 0 filter below, and with it every regex twice
+    all_hits = F.expr("concat(" + ", ".join(hits) + ")")
+    found = prepared.select(*keep, *applies.values(), F.explode_outer(all_hits).alias("hit")).where("hit is not null")
+    found = _match_lines(found, keep, line_rules, applies) if line_rules else found.select(*keep, "hit")
+    hit_col = F.col("hit")
     return found.select(
         *keep,
-        F.col("hit.rule_ord").alias("rule_ord"),
-        F.col("hit.pattern_ord").alias("pattern_ord"),
-        F.col("hit.line_number").alias("line_number"),
-        F.col("hit.match_ord").alias("match_ord"),
-        F.col("hit.note").alias("note"),
-        F.coalesce(F.col("hit.snippet"), render_context(F.col("hit.context"), F.col("hit.line_number"))).alias("code_snippet"),
+        *[hit_col[n].alias(n) for n in ("rule_ord", "pattern_ord", "line_number", "match_ord", "note")],
+        F.coalesce(hit_col["snippet"], render_context(hit_col["context"], hit_col["line_number"])).alias("code_snippet"),
     )
 
 
-def line_guard(rules) -> str:
-    """One regex that every line with a line-mode match of these rules satisfies."""
-    parts = dict.fromkeys(p.guard for r in rules for p in r.patterns if p.mode == LINE)
-    return "(?iudU)(?:" + "|".join(parts) + ")"
+def fold_case(text: Column) -> Column:
+    """Lower case, with the few letters that regexes treat as an ASCII letter mapped to it.
 
+    Ignoring case, the long s, the dotless i and the dotted capital I (lower
+    case: i and a combining dot) match ``s`` and ``i``.
+    """
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(F.lower(text), "\u017f\u0131\u0307", "si"))
+
+
+def may_match(folded: str, pattern: Pattern) -> str:
+    """SQL predicate: the folded text holds a literal of each of the pattern's anchor groups."""
+    return " AND ".join(_holds_any(folded, group) for group in pattern.anchors) or "true"
+
+
+def _holds_any(folded: str, words) -> str:
+    # a word that contains another listed word adds nothing
+    shortest = [w for w in words if not any(o != w and o in w for o in words)]
+    return "(" + " OR ".join(f"contains({folded}, {sql_text(w)})" for w in shortest) + ")"
 
-def _line_candidates(rules, applies, snippets: bool) -> Column:
-    wanted = reduce(or_, [F.col(applies[r.globs]) for r in rules])
-    guard = line_guard(rules)
-    lines = F.col("_lines")
-    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("n"), line.alias("line")))
-    passing = F.filter(numbered, lambda x: x["line"].rlike(guard))
-    as_hits = F.transform(
-        passing,
-        lambda x: hit(F.lit(-1), F.lit(-1), x["n"], x["n"], line=x["line"],
-                       context=context_lines(lines, x["n"]) if snippets else None),
-    )
-    return F.when(wanted, as_hits).otherwise(no_hits())
+
+def _some_line_may_match(folded: str, rules) -> str:
+    """SQL predicate: the first anchor group of at least one line pattern is met."""
+    firsts = [p.anchors[0] if p.anchors else None for r in rules for p in r.patterns if p.mode == LINE]
+    return "true" if None in firsts else _holds_any(folded, list(dict.fromkeys(w for g in firsts for w in g)))
+
+
+def _line_candidates(rules, applies, snippets: bool) -> str:
+    """Lines on which some pattern may match, with their context, as hits without a rule."""
+    wanted = " OR ".join(dict.fromkeys(applies[r.globs] for r in rules))
+    around = {"context": context("x.n")} if snippets else {}
+    return f"""
+        CASE WHEN ({wanted}) AND {_some_line_may_match('_folded', rules)} THEN
+            transform(
+                filter(
+                    transform(arrays_zip(_lines, split(_folded, '\\n')),
+                              (x, i) -> named_struct('n', i + 1, 'line', x._lines, 'folded', x.`1`)),
+                    x -> {_some_line_may_match('x.folded', rules)}),
+                x -> {hit(-1, -1, "x.n", "x.n", line="x.line", folded="x.folded", **around)})
+        ELSE {NO_HITS} END"""
 
 
 def _match_lines(found: DataFrame, keep, rules, applies) -> DataFrame:
     """Replace each candidate line by one row per pattern that matches it."""
-    tests, codes = [], []
-    for rule in rules:
-        for k, p in enumerate(rule.patterns):
-            if p.mode == LINE:
-                tests.append((applies[rule.globs], p.java))
-                codes.append((rule.ordinal, k))
-    line = F.col("hit.line")
-    code = F.array_compact(
-        F.array(*[
-            F.when(F.col(flag) & line.rlike(java), F.lit(o * 100 + k))
-            for (flag, java), (o, k) in zip(tests, codes)
-        ])
-    )
+    tests = [
+        f"CASE WHEN {applies[r.globs]} AND {may_match('hit.folded', p)} AND rlike(hit.line, {sql_text(p.java)}) "
+        f"THEN {r.ordinal * 100 + k} END"
+        for r in rules
+        for k, p in enumerate(r.patterns)
+        if p.mode == LINE
+    ]
+    matched = F.array_compact(F.expr("array(" + ", ".join(tests) + ")"))
     ready = F.array(F.col("hit.rule_ord") * 100 + F.col("hit.pattern_ord"))
-    rows = found.select(*keep, "hit", F.explode(F.when(F.col("hit.rule_ord") < 0, code).otherwise(ready)).alias("_code"))
+    codes = F.when(F.col("hit.rule_ord") < 0, matched).otherwise(ready)
+    rows = found.select(*keep, "hit", F.explode_outer(codes).alias("_code")).where("_code is not null")
     return rows.select(
         *keep,
-        F.col("hit").withField("rule_ord", F.floor(F.col("_code") / 100).cast("int"))
+        F.col("hit")
+        .withField("rule_ord", F.floor(F.col("_code") / 100).cast("int"))
         .withField("pattern_ord", (F.col("_code") % 100).cast("int"))
         .alias("hit"),
     )
 
 
-def _file_hits(rule: RuleSpec, k: int, flag: str, snippets: bool) -> Column:
+def _file_hits(rule: RuleSpec, k: int, flag: str, snippets: bool) -> str:
     p = rule.patterns[k]
-    lines = F.col("_lines")
-    starts = match_lines(F.col("content"), p.java)
-    as_hits = F.transform(
-        starts,
-        lambda n, i: hit(F.lit(rule.ordinal), F.lit(k), n, i,
-                          snippet=context_snippet(lines, n) if snippets else F.lit("")),
-    )
-    possible = F.col("content").rlike("(?iudU)" + p.guard)
-    return F.when(F.col(flag) & possible, as_hits).otherwise(no_hits())
-
-
-def _description_hits(rule: RuleSpec, flag: str, snippets: bool) -> Column:
-    place, content = rule.patterns[0], F.col("content")
-    java, phrase = "(?iudU)" + place.regex, "(?iudU)" + INJECTION_PHRASES
-    texts = F.regexp_extract_all(content, F.lit(java), F.lit(0))
-    both = F.arrays_zip(texts.alias("text"), match_lines(content, java).alias("n"))
-    bad = F.filter(both, lambda x: x["text"].rlike(phrase))
-    shown = F.lit(DESCRIPTION_SHOWN_CHARS)
-    as_hits = F.transform(
-        bad,
-        lambda x, i: hit(
-            F.lit(rule.ordinal), F.lit(0), x["n"], i,
-            note=F.concat(
-                F.lit("tool description holds the phrase '"),
-                F.left(F.regexp_extract(x["text"], phrase, 0), F.lit(PHRASE_SHOWN_CHARS)), F.lit("'"),
-            ),
-            snippet=F.left(x["text"], shown) if snippets else F.lit(""),
-        ),
-    )
-    possible = content.rlike("(?iudU)" + place.guard) & content.rlike(phrase)
-    return F.when(F.col(flag) & possible, as_hits).otherwise(no_hits())
+    around = {"context": context("n")} if snippets else {}
+    return f"""
+        CASE WHEN {flag} AND {may_match('_folded', p)}
+        THEN transform({match_lines('content', p.java)}, (n, i) -> {hit(rule.ordinal, k, "n", "i", **around)})
+        ELSE {NO_HITS} END"""
+
+
+def _description_hits(rule: RuleSpec, flag: str, snippets: bool) -> str:
+    """Description literals and docstrings that hold an injection phrase."""
+    place = rule.patterns[0]
+    java, phrase = "(?iudU)" + place.regex, sql_text("(?iudU)" + INJECTION_PHRASES)
+    shown = {"snippet": f"left(x.text, {DESCRIPTION_SHOWN_CHARS})"} if snippets else {}
+    note = f"concat('tool description holds the phrase: ', left(regexp_extract(x.text, {phrase}, 0), {PHRASE_SHOWN_CHARS}))"
+    return f"""
+        CASE WHEN {flag} AND {may_match('_folded', place)} AND rlike(content, {phrase}) THEN
+            transform(
+                filter(
+                    transform(arrays_zip(regexp_extract_all(content, {sql_text(java)}, 0), {match_lines('content', java)}),
+                              x -> named_struct('text', x.`0`, 'n', x.`1`)),
+                    x -> rlike(x.text, {phrase})),
+                (x, i) -> {hit(rule.ordinal, 0, "x.n", "i", note=note, **shown)})
+        ELSE {NO_HITS} END"""
 
 
 def describe(findings: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES) -> DataFrame:
@@ -185,8 +192,3 @@ def describe(findings: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES) -> Da
 def scan(files: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES, **options) -> DataFrame:
     """Full findings of a file table."""
     return describe(scan_files(files, rules, **options), rules)
-
-
-def structural_hits(files: DataFrame, rules: tuple[RuleSpec, ...]) -> DataFrame:
-    """Only the tool-server config rules."""
-    return scan_files(files, tuple(r for r in rules if r.kind.startswith("config_")))

@@ -21,7 +21,15 @@ SKILL_FILES = ("*.py", "*.js", "*.ts", "*.tsx", "*.md", "*.yaml", "*.yml", "*.to
 MANIFESTS = ("*.json", "*.yaml", "*.yml", "*.toml")
 CODE5_JSON = CODE5 + JSON
 
-_USER = (USER_WORDS,)
+# anchor words: lower-case literals taken from the word groups above
+_SYSTEM = ("system_prompt", "system_msg", "sys_prompt", "instructions", "base_prompt")
+_USER = ("user_input", "user_msg", "user_message", "query", "prompt", "input_text", "message", "question")
+_CALLS = (".call(", ".invoke(", ".generate(", ".chat(", ".complete(", ".create(", "openai.", "anthropic.")
+_SENSITIVE = (
+    "password", "passwd", "secret", "token", "api_key", "apikey", "credential", "private_key", "cert", "access_key",
+)
+_IO = ("response", "output", "answer", "completion", "messages", "conversation", "chat_history", "llm_result")
+_LOG = ("console.log", "print", "logger.", "logging.")
 
 SHIPPED_RULES: tuple[RuleSpec, ...] = (
     RuleSpec(
@@ -32,10 +40,10 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         (
             Pattern(rf"(requests|httpx|urllib|fetch|axios)\.(post|put)\s*\(.*{MODEL_IO_WORDS}",
                     "model input or output in an outbound HTTP post/put",
-                    anchors=(r"\.post", r"\.put")),
+                    anchors=((".post", ".put"), _IO)),
             Pattern(r"(langsmith|langfuse|helicone|weights.*biases|wandb|agentops)",
                     "data may go to an AI monitoring vendor",
-                    anchors=("langsmith", "langfuse", "helicone", "weights", "wandb", "agentops")),
+                    anchors=(("langsmith", "langfuse", "helicone", "weights", "wandb", "agentops"),)),
         ),
     ),
     RuleSpec(
@@ -46,19 +54,19 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         (
             Pattern(rf"(console\.log|print|logger\.(info|debug|error|warning)|logging\.)\s*\(.*{SENSITIVE_WORDS}",
                     "secret-looking variable in a log call",
-                    anchors=(r"console\.log", "print", r"logger\.", r"logging\.")),
+                    anchors=(_LOG, _SENSITIVE)),
             Pattern(rf"(console\.log|print|logger\.)\s*\(.*{MODEL_IO_WORDS}",
                     "model conversation in a log call",
-                    anchors=(r"console\.log", "print", r"logger\.")),
+                    anchors=(_LOG, _IO)),
             Pattern(r"console\.log\s*\(\s*(JSON\.stringify|json\.dumps)\s*\(\s*(req|request|res|response)\s*\)",
                     "whole request or response object in a log call",
-                    anchors=(r"console\.log",)),
+                    anchors=(("console.log",), ("json.",))),
             Pattern(r"dangerouslySetInnerHTML\s*[:=]\s*\{.*__html",
                     "raw HTML injected into a React element",
-                    anchors=("dangerouslySetInnerHTML",)),
+                    anchors=(("dangerouslysetinnerhtml",),)),
             Pattern(r"\.innerHTML\s*=\s*.*(user|input|query|message|data|content)",
                     "user data assigned to innerHTML",
-                    anchors=(r"\.innerHTML",)),
+                    anchors=((".innerhtml",),)),
         ),
     ),
     RuleSpec(
@@ -69,13 +77,13 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         (
             Pattern(r"code_execution_config\s*=\s*\{[^}]*\}",
                     "code execution config given: check that the container is on",
-                    anchors=("code_execution",)),
+                    anchors=(("code_execution_config",),)),
             Pattern(r"(?:ConversableAgent|AssistantAgent)\s*\([^)]*code_execution",
                     "agent constructed with code execution",
-                    anchors=("code_execution",)),
+                    anchors=(("code_execution",), ("conversableagent", "assistantagent"))),
             Pattern(r"use_docker\s*=\s*False",
                     "container sandbox switched off",
-                    anchors=("use_docker",)),
+                    anchors=(("use_docker",),)),
         ),
     ),
     RuleSpec(
@@ -86,10 +94,10 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         (
             Pattern(r"allow_code_execution\s*=\s*True",
                     "task allows code execution",
-                    anchors=("allow_code_execution",)),
+                    anchors=(("allow_code_execution",),)),
             Pattern(rf"class\s+\w*Tool\w*[^\n]*\n{SAME_BLOCK}{{0,500}}?(?:os\.system|subprocess\.)",
                     "tool class with shell access", FILE,
-                    anchors=(r"os\.system", r"subprocess\.")),
+                    anchors=(("os.system", "subprocess."), ("class",))),
         ),
     ),
     RuleSpec(
@@ -101,7 +109,7 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
             Pattern(rf"@app\.route[^\n]*\n{SAME_BLOCK}{{0,500}}?def\s+\w+[^\n]*\n{SAME_BLOCK}{{0,500}}?"
                     r"(?!.*?(?:permission|auth|workspace_id|current_user))",
                     "route handler with no permission word after it", FILE,
-                    anchors=(r"@app\.route",)),
+                    anchors=(("@app.route",),)),
         ),
     ),
     RuleSpec(
@@ -110,16 +118,17 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         "A tool function reaches the shell, deletes files or writes over HTTP and never asks the user.",
         "Add a confirmation callback to the tool or ask inside the function before acting.",
         (
-            Pattern(r"@tool", "tool decorator without a confirmation guard", anchors=("@tool",)),
+            Pattern(r"@tool", "tool decorator without a confirmation guard",
+                    anchors=(("@tool",),)),
             Pattern(rf"def\s+\w+[^\n]*\n{SAME_BLOCK}{{0,500}}?(?:subprocess\.|os\.system|os\.popen)",
                     "shell call inside a function", FILE,
-                    anchors=(r"subprocess\.", r"os\.system", r"os\.popen")),
+                    anchors=(("subprocess.", "os.system", "os.popen"), ("def",))),
             Pattern(rf"def\s+\w+[^\n]*\n{SAME_BLOCK}{{0,500}}?(?:os\.remove|shutil\.rmtree|Path\(.*\)\.unlink)",
                     "file deletion inside a function", FILE,
-                    anchors=(r"os\.remove", r"shutil\.rmtree", r"\.unlink")),
+                    anchors=(("os.remove", "shutil.rmtree", ".unlink"), ("def",))),
             Pattern(rf"def\s+\w+[^\n]*\n{SAME_BLOCK}{{0,500}}?requests\.(?:post|put|delete|patch)",
                     "outbound HTTP write inside a function", FILE,
-                    anchors=(r"requests\.",)),
+                    anchors=(("requests.",), ("def",))),
         ),
     ),
     RuleSpec(
@@ -143,7 +152,7 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         "Keep tool descriptions neutral and factual, and screen them like user input.",
         (
             Pattern(DESCRIPTION_PLACES, "tool description with an injection phrase", FILE,
-                    anchors=(r"description\s*[=:]", r"[\"']{3}")),
+                    anchors=(("description", "def"),)),
         ),
         kind="tool_description",
     ),
@@ -161,21 +170,29 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         "Separate user input with clear markers and tell the model to ignore instructions found inside them.",
         (
             Pattern(rf"f\".*\{{{SYSTEM_WORDS}\}}.*\{{{USER_WORDS}\}}.*\"",
-                    "f-string joins system prompt and user input", anchors=_USER),
+                    "f-string joins system prompt and user input",
+                    anchors=(_SYSTEM, _USER, ('f"',))),
             Pattern(rf"{SYSTEM_WORDS}\s*\+\s*{USER_WORDS}",
-                    "system prompt + user input", anchors=_USER),
+                    "system prompt + user input",
+                    anchors=(_SYSTEM, _USER, ("+",))),
             Pattern(rf"\.format\s*\(\s*.*{USER_WORDS}",
-                    "user input passed to format()", anchors=_USER),
+                    "user input passed to format()",
+                    anchors=((".format",), _USER)),
             Pattern(rf"%\s*\(?\s*{USER_WORDS}",
-                    "user input through % formatting", anchors=_USER),
+                    "user input through % formatting",
+                    anchors=(("%",), _USER)),
             Pattern(rf"`.*\$\{{{USER_WORDS}\}}.*`",
-                    "template literal with user input", anchors=_USER),
+                    "template literal with user input",
+                    anchors=(("${",), _USER)),
             Pattern(rf"\"\s*\+\s*{USER_WORDS}",
-                    "string literal + user input", anchors=_USER),
+                    "string literal + user input",
+                    anchors=(("+",), _USER)),
             Pattern(rf"eval\s*\(\s*{USER_WORDS}",
-                    "eval() of user input", anchors=_USER),
+                    "eval() of user input",
+                    anchors=(("eval",), _USER)),
             Pattern(rf"new\s+Function\s*\(.*{USER_WORDS}",
-                    "new Function() of user input", anchors=_USER),
+                    "new Function() of user input",
+                    anchors=(("function",), _USER)),
         ),
     ),
     RuleSpec(
@@ -185,20 +202,23 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         "Review rule files like code and reject external URLs, credential requests and pseudo system tags.",
         (
             Pattern(r"(?:send|upload|forward|post|transmit|submit)\s+.*(?:to\s+)?https?://[^\s\"']{5,}",
-                    "sends data to an external URL", anchors=("https?://",)),
+                    "sends data to an external URL",
+                    anchors=(("http://", "https://"),)),
             Pattern(r"(?:include|attach|append|add)\s+(?:the\s+)?(?:api[_\s]?key|token|secret|password|credential)",
                     "asks for credentials in the output",
-                    anchors=("include", "attach", "append", "add")),
+                    anchors=(("include", "attach", "append", "add"), ("api", "token", "secret", "password", "credential"))),
             Pattern(r"(?:never|don'?t|do\s+not)\s+(?:show|display|report|flag)\s+(?:warnings?|errors?|security|vulnerab)",
                     "suppresses security warnings",
-                    anchors=("show", "display", "report", "flag")),
+                    anchors=(("warning", "error", "security", "vulnerab"), ("show", "display", "report", "flag"))),
             Pattern(r"(?:ignore|bypass|override|disable|skip)\s+(?:safety|security|refusal|restriction|guardrail|policy)",
                     "bypasses safety mechanisms",
-                    anchors=("ignore", "bypass", "override", "disable", "skip")),
+                    anchors=(("ignore", "bypass", "override", "disable", "skip"), ("safety", "security", "refusal", "restriction", "guardrail", "policy"))),
             Pattern(r"(?:install|use|download|fetch)\s+.*(?:from\s+)?https?://[^\s\"']{5,}",
-                    "fetches code from an external URL", anchors=("https?://",)),
+                    "fetches code from an external URL",
+                    anchors=(("http://", "https://"),)),
             Pattern(r"\[SYSTEM\]|\[HIDDEN\]|\[INTERNAL\]|\[OVERRIDE\]",
-                    "pseudo system tag"),
+                    "pseudo system tag",
+                    anchors=(("[system]", "[hidden]", "[internal]", "[override]"),)),
         ),
     ),
     RuleSpec(
@@ -209,10 +229,10 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         (
             Pattern(r"(ignore|忽略|forget|忘记| disregard).*(instructions|指令|prompt|提示)",
                     "instruction-override wording",
-                    anchors=("instructions", "指令", "prompt", "提示")),
+                    anchors=(("ignore", "忽略", "forget", "忘记", " disregard"), ("instructions", "指令", "prompt", "提示"))),
             Pattern(rf"{USER_WORDS}\s*\)?\s*\n\s*{MODEL_CALLS}",
                     "raw user input handed to a model call on the next line", FILE,
-                    anchors=(MODEL_CALLS,)),
+                    anchors=(_CALLS, _USER)),
         ),
     ),
     RuleSpec(
@@ -223,7 +243,7 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         (
             Pattern(rf"({SYSTEM_WORDS})\s*=\s*[\"'](?!.*(?:忽略|拒绝|ignore|refuse|不要|勿|forbidden|prohibited|must not))",
                     "system prompt literal with no defence word on its line",
-                    anchors=(SYSTEM_WORDS + r"\s*=",)),
+                    anchors=(_SYSTEM, ("=",))),
         ),
     ),
     RuleSpec(
@@ -234,29 +254,29 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         (
             Pattern(r"(?:exec|eval|__import__)\s*\(\s*(?:base64\.b64decode|atob|Buffer\.from)\s*\(['\"][A-Za-z0-9+/=]{40,}['\"]",
                     "execution of an encoded literal",
-                    anchors=("b64decode", "atob", r"Buffer\.from")),
+                    anchors=(("b64decode", "atob", "buffer.from"), ("exec", "eval", "__import__"))),
             Pattern(r"(?:importlib|__import__|compile)\s*\(.*(?:b64decode|atob|Buffer\.from|fromCharCode|unescape)",
                     "dynamic import or compile of encoded code",
-                    anchors=("importlib", "__import__", "compile")),
+                    anchors=(("importlib", "__import__", "compile"), ("b64decode", "atob", "buffer.from", "fromcharcode", "unescape"))),
             Pattern(r"(?:requests|httpx|urllib|fetch|axios|node-fetch)\s*\.\s*(?:post|put|get)\s*\(\s*['\"]https?://"
                     rf"(?:[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}\.[0-9]{{1,3}}|(?:{DROP_HOSTS}))",
                     "HTTP call to a raw address or drop host",
-                    anchors=("https?://",)),
+                    anchors=(("http://", "https://"), ("post", "put", "get"))),
             Pattern(r"(?:os\.system|subprocess\.|child_process\.exec|execSync|spawn\s*\(|popen)\s*\(.*"
                     r"(?:decode\s*\(|fromhex|replace\s*\(['\"]\\x|\.join\s*\(.*chr\()",
                     "shell call that decodes its argument",
-                    anchors=(r"os\.system", r"subprocess\.", "exec", "spawn", "popen")),
+                    anchors=(("os.system", "subprocess.", "child_process.exec", "execsync", "spawn", "popen"), ("decode", "fromhex", "replace", "chr("))),
             Pattern(r"[\"'](?:description|name|title)[\"']\s*:\s*[\"'].*(?:collect|harvest|gather|scrape|steal|exfiltrate|leak|dump)"
                     r".*(?:email|credential|password|token|key|secret|data)",
                     "metadata announces data harvesting",
-                    anchors=(r"[\"'](?:description|name|title)[\"']\s*:",)),
+                    anchors=(("collect", "harvest", "gather", "scrape", "steal", "exfiltrate", "leak", "dump"), ("description", "name", "title"))),
             Pattern(r"(?:open|readFile|readFileSync|fs\.read)\s*\(.*(?:/etc/|\.env|\.ssh/|\.aws/|\.config/|config\.json"
                     r"|credentials|\.git/config|\.npmrc|\.pypirc)",
                     "sensitive file opened",
-                    anchors=(r"open\s*\(", "readFile", r"fs\.read")),
+                    anchors=(("/etc/", ".env", ".ssh/", ".aws/", ".config/", "config.json", "credentials", ".git/config", ".npmrc", ".pypirc"), ("open", "readfile", "fs.read"))),
             Pattern(r"(?:eval|exec|Function\s*\()\s*\(\s*(?:this\.|obj\.|data\.|config\.|meta\.|input\.|args\.|params\.)",
                     "evaluation of a value taken from skill input",
-                    anchors=("eval", "exec", "Function")),
+                    anchors=(("eval", "exec", "function"), ("this.", "obj.", "data.", "config.", "meta.", "input.", "args.", "params."))),
         ),
     ),
     RuleSpec(
@@ -264,7 +284,8 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         "Manifest points at a paste, raw or request-bin host",
         "A skill manifest references a host that is often used to deliver a second stage after review.",
         "Replace such references with vendored copies and block these hosts for agent tools.",
-        (Pattern(DROP_URLS, "URL of a paste, raw or request-bin host", anchors=("https?://",)),),
+        (Pattern(DROP_URLS, "URL of a paste, raw or request-bin host",
+                    anchors=(("http://", "https://"),)),),
     ),
     RuleSpec(
         "TA-003", "cross_agent_context_loss", 16, "high", ("AG-03", "LLM06"), CODE5,
@@ -275,20 +296,20 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
             Pattern(r"(?:\.run\(|\.invoke\(|\.process\(|\.execute\(|create_task\()"
                     r"(?!.*(?:user_id|auth|permission|scope|context|caller))",
                     "call without an identity or permission word after it",
-                    anchors=(r"\.run\(", r"\.invoke\(", r"\.process\(", r"\.execute\(", r"create_task\(")),
+                    anchors=((".run(", ".invoke(", ".process(", ".execute(", "create_task("),)),
             Pattern(r"Task\s*\([^)]*agent\s*=\s*\w+(?!.*context\s*=)(?!.*user_id\s*=)",
                     "task handed to an agent without user context",
-                    anchors=(r"Task\s*\(",)),
+                    anchors=(("task",), ("agent",))),
             Pattern(r"(?:initiate_chat|a_initiate_chat)\s*\([^)]*(?!.*carryover\s*=)",
                     "agent chat started without carry-over",
-                    anchors=("initiate_chat",)),
+                    anchors=(("initiate_chat",),)),
             Pattern(r"StateGraph\s*\([^)]*\)(?!.*\bauth\b)",
                     "state graph without an auth field",
-                    anchors=("StateGraph",)),
+                    anchors=(("stategraph",),)),
             Pattern(r"(?:createChildAgent|spawnAgent|createAgent)\s*\([^)]*"
                     r"(?!.*(?:userId|auth|permission|scope|context))",
                     "child agent created without permissions",
-                    anchors=("createChildAgent", "spawnAgent", "createAgent")),
+                    anchors=(("createchildagent", "spawnagent", "createagent"),)),
         ),
     ),
     RuleSpec(
@@ -298,21 +319,23 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         "Require confirmation for every high-risk tool or ask the user inside it.",
         (
             Pattern(r"(def |async def )\w*(shell|bash|exec|delete|remove|write)\w*",
-                    "function named after a dangerous action", anchors=("def ",)),
+                    "function named after a dangerous action",
+                    anchors=(("def ",), ("shell", "bash", "exec", "delete", "remove", "write"))),
             Pattern(r"(os\.system|subprocess\.(call|run|Popen)|os\.popen|commands\.)",
                     "direct shell call",
-                    anchors=(r"os\.system", r"subprocess\.", r"os\.popen", r"commands\.")),
+                    anchors=(("os.system", "subprocess.", "os.popen", "commands."),)),
             Pattern(r"(os\.remove|os\.unlink|shutil\.rmtree|Path\(.*\)\.unlink)",
                     "file deletion",
-                    anchors=(r"os\.remove", r"\.unlink", r"shutil\.rmtree")),
+                    anchors=(("os.remove", ".unlink", "shutil.rmtree"),)),
             Pattern(r"(child_process\.exec|execSync|spawn|exec\s*\(|execFile)",
-                    "process start", anchors=("exec", "spawn")),
+                    "process start",
+                    anchors=(("exec", "spawn"),)),
             Pattern(r"(fs\.(unlink|rm|rmSync|unlinkSync)\s*\(|rimraf\s*\()",
                     "file deletion through the file-system module",
-                    anchors=(r"fs\.unlink", r"fs\.rm", "rimraf")),
+                    anchors=(("fs.unlink", "fs.rm", "rimraf"),)),
             Pattern(r"(fetch|axios)\s*\(\s*[\"'][^\"']*(?:delete|remove|destroy|purge)",
                     "destructive action over HTTP",
-                    anchors=(r"fetch\s*\(", r"axios\s*\(")),
+                    anchors=(("delete", "remove", "destroy", "purge"), ("fetch", "axios"))),
         ),
     ),
     RuleSpec(
@@ -322,16 +345,17 @@ SHIPPED_RULES: tuple[RuleSpec, ...] = (
         "Check the caller's rights at the start of every sensitive tool function.",
         (
             Pattern(r"(def |async def )\w*(admin|user|config|secret|key|token|password|credential)\w*",
-                    "function named after a sensitive resource", anchors=("def ",)),
+                    "function named after a sensitive resource",
+                    anchors=(("def ",), ("admin", "user", "config", "secret", "key", "token", "password", "credential"))),
             Pattern(r"(\.execute\(|\.commit\(|\.save\(|\.delete\(|\.update\(|INSERT|DELETE|UPDATE|DROP)",
                     "database write",
-                    anchors=(r"\.execute\(", r"\.commit\(", r"\.save\(", "INSERT", "DELETE", "UPDATE", "DROP")),
+                    anchors=((".execute(", ".commit(", ".save(", "insert", "delete", "update", "drop"),)),
             Pattern(r"(\.(create|delete|update|upsert|deleteMany|updateMany)\s*\(|prisma\.\w+\.(create|delete|update))",
                     "write through an object mapper",
-                    anchors=(r"\.create", r"\.delete", r"\.update", r"\.upsert")),
+                    anchors=((".create", ".delete", ".update", ".upsert"),)),
             Pattern(r"(localStorage|sessionStorage)\.(getItem|setItem)\s*\(\s*[\"'](token|auth|session|user)",
                     "auth token in browser storage",
-                    anchors=("localStorage", "sessionStorage")),
+                    anchors=(("localstorage", "sessionstorage"),)),
         ),
     ),
 )
@@ -342,14 +366,16 @@ DOCUMENTED_RULES: tuple[RuleSpec, ...] = (
         "AI provider key in source",
         "A literal with the shape of an AI provider API key is written into the source.",
         "Load the key from the environment or a secret store and rotate the leaked one.",
-        (Pattern(r"\bsk-[A-Za-z0-9_-]{20,}", "AI provider key literal", anchors=("sk-",)),),
+        (Pattern(r"\bsk-[A-Za-z0-9_-]{20,}", "AI provider key literal",
+                    anchors=(("sk-",),)),),
     ),
     RuleSpec(
         "SEC-002", "cloud_credential", 20, "critical", ("LLM02",), CODE5_JSON,
         "Cloud credential in source",
         "A literal with the shape of a cloud access key is written into the source.",
         "Use instance roles or a secret store and rotate the leaked key.",
-        (Pattern(r"\bAKIA[A-Z0-9]{16}\b", "cloud access key literal", anchors=("AKIA",)),),
+        (Pattern(r"\bAKIA[A-Z0-9]{16}\b", "cloud access key literal",
+                    anchors=(("akia",),)),),
     ),
     RuleSpec(
         "SEC-003", "generic_secret", 21, "high", ("LLM02",), CODE5_JSON,
@@ -359,9 +385,9 @@ DOCUMENTED_RULES: tuple[RuleSpec, ...] = (
         (
             Pattern(r"(password|passwd|secret|token|api_key|apikey|private_key|auth_token|access_key)[\"']?\s*[=:]\s*[\"'][^\s\"']{8,}[\"']",
                     "secret-named variable assigned a literal",
-                    anchors=("passw", "secret", "token", "api_?key", "private_key", "access_key")),
+                    anchors=(("passw", "secret", "token", "api_key", "apikey", "private_key", "access_key"), ("=", ":"))),
             Pattern(r"[a-z][a-z0-9+]{1,15}://[^\s:/@\"']+:[^\s:/@\"']+@[^\s\"']+", "URL with an embedded password",
-                    anchors=("://",)),
+                    anchors=(("://",), ("@",))),
         ),
     ),
 )

@@ -18,24 +18,21 @@ _FLAGS = {LINE: "(?iudU)", FILE: "(?isudU)"}
 class Pattern:
     """One regex of a rule.
 
-    ``anchors`` are regex alternatives of which every match holds at least one.
-    They let a scan drop most lines (or files) with one cheap test, and never
-    change the result.  Without anchors the regex itself serves as the test.
+    ``anchors`` are groups of lower-case literals: every match holds at least
+    one literal of each group.  They let a scan drop most lines (or files) by
+    substring tests before any regex runs, and never change the result.  Put
+    the rarest group first.  Without anchors the regex is tried everywhere.
     """
 
     regex: str
     text: str
     mode: str = LINE
-    anchors: tuple[str, ...] = ()
+    anchors: tuple[tuple[str, ...], ...] = ()
 
     @property
     def java(self) -> str:
         return _FLAGS[self.mode] + self.regex
 
-    @property
-    def guard(self) -> str:
-        return "|".join(self.anchors) if self.anchors else self.regex
-
 
 @dataclass(frozen=True)
 class RuleSpec:
