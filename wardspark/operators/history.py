@@ -1,4 +1,4 @@
-"""Scan history: two append-only tables, partitioned by day.
+"""Scan history: two append-only tables, partitioned by period (day or month).
 
 Headers and findings are kept apart so that listing and statistics never read
 findings, and no row has to hold all findings of a scan.
@@ -19,17 +19,21 @@ def scan_id(target: Column, created_at: Column) -> Column:
     return F.concat(F.lit("scan_"), F.left(F.sha2(F.concat_ws("|", target, created_at.cast("string")), 256), F.lit(12)))
 
 
-def history_rows(headers: DataFrame) -> DataFrame:
-    """Rows of the scans table from ``(id, target, score, total_checks, duration_ms, finding_count, created_at)``."""
+def history_rows(headers: DataFrame, period: str = "day") -> DataFrame:
+    """Rows of the scans table from ``(id, target, score, total_checks, duration_ms, finding_count, created_at)``.
+
+    ``period`` sets how much one partition holds; take ``month`` where a day
+    has only a handful of scans.
+    """
     return headers.select(
         "id", "target", "score", "total_checks", F.round("duration_ms", 1).alias("duration_ms"), "finding_count",
-        "created_at", F.to_date("created_at").alias("scan_date"),
+        "created_at", F.to_date(F.date_trunc(period, "created_at")).alias("scan_period"),
     )
 
 
 def append(rows: DataFrame, folder: str, table: str = SCANS) -> None:
-    """Append by day.  The rebalance keeps files few per day and splits days that are very large."""
-    rows.hint("rebalance", "scan_date").write.mode("append").partitionBy("scan_date").parquet(f"{folder}/{table}")
+    """Append by period.  The rebalance keeps files few per period and splits periods that are very large."""
+    rows.hint("rebalance", "scan_period").write.mode("append").partitionBy("scan_period").parquet(f"{folder}/{table}")
 
 
 def read(spark: SparkSession, folder: str, table: str = SCANS) -> DataFrame:
@@ -41,10 +45,10 @@ def page(scans: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     return scans.orderBy(F.col("created_at").desc(), "id").offset(offset).limit(limit)
 
 
-def by_id(scans: DataFrame, wanted: str, scan_date: str | None = None) -> DataFrame:
-    """One report; a known day prunes the other partitions."""
+def by_id(scans: DataFrame, wanted: str, scan_period: str | None = None) -> DataFrame:
+    """One report; a known period prunes the other partitions."""
     found = scans.where(F.col("id") == wanted)
-    return found if scan_date is None else found.where(F.col("scan_date") == F.lit(scan_date).cast("date"))
+    return found if scan_period is None else found.where(F.col("scan_period") == F.lit(scan_period).cast("date"))
 
 
 def stored_summary(scan_findings: DataFrame) -> DataFrame:

@@ -43,9 +43,13 @@ def with_positions(df: DataFrame, order: list[str], groups: dict[str, list[str]]
 
 
 def number_findings(findings: DataFrame) -> DataFrame:
-    """``finding_index`` inside the target and ``file_pos`` inside the file, in path, rule, pattern, match order."""
+    """``finding_index`` inside the target and ``file_pos`` inside the file, in path, rule, pattern, match order.
+
+    The findings are written before they are sorted: a range sort reads its
+    input twice (once for a sample), and the scan behind it should run once.
+    """
     return with_positions(
-        findings,
+        cut_lineage(findings),
         ["target", *FINDING_ORDER],
         {"finding_index": ["target"], "file_pos": ["target", "path"]},
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.detect import scan
+from ..operators.detect import describe, scan_files
 from ..operators.filters import chain_eligible, collected, is_minified
 from ..operators.numbering import number_findings
 from ..operators.report import report_header, total_checks
@@ -39,7 +39,7 @@ def run_scan(files: DataFrame, depth: int = 1, *, rules=SHIPPED_RULES, globs=DEF
     """
     targets = files.select("target").distinct()
     checks = total_checks(files.where(collected(F.col("path"), F.col("target"), globs)), len(rules))
-    numbered = number_findings(scan(scannable(files, globs), rules))
+    numbered = describe(number_findings(scan_files(scannable(files, globs), rules)), rules)
     if depth >= 2 and verdict_replies is not None:
         judged = join_verdicts(assign_batches(numbered), verdict_replies)
     else:

@@ -97,6 +97,9 @@ def duck_text(text: str) -> str:
 
 
 def _pick(quote, options, key: str) -> str:
+    """One of the texts by number: a constant array in Spark (one literal in the plan), CASE in DuckDB."""
+    if quote is sql_text:
+        return f"element_at(array({', '.join(quote(o) for o in options)}), CAST({key} AS INT) + 1)"
     cases = " ".join(f"WHEN {i} THEN {quote(o)}" for i, o in enumerate(options))
     return f"CASE {key} {cases} END"
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from wardspark.functions import grading, paths, text
 from wardspark.operators import report
-from wardspark.operators.detect import scan, scan_files
+from wardspark.operators.detect import describe, scan, scan_files
 from wardspark.operators.filters import at_or_above, chain_eligible, collected, severe
 from wardspark.operators.numbering import number_findings
 from wardspark.plans.scan import run_scan, scannable
-from wardspark.rules import ALL_RULES, DOCUMENTED_RULES, SHIPPED_RULES
+from wardspark.rules import ALL_RULES, DOCUMENTED_RULES, SHIPPED_RULES, rule
 
 from .corpora import CODE_FILES_SQL, code_files, spread, table, text_rows, TEXT_ROWS_SQL
 from .detection import flat
@@ -30,7 +30,7 @@ def numbered_findings(spark, sf_dir) -> DataFrame:
     """The findings table all later steps read; numbered findings are written once per session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _NUMBERED:
-        _NUMBERED[key] = number_findings(scan(scannable(files(spark, sf_dir)), ALL_RULES))
+        _NUMBERED[key] = describe(number_findings(scan_files(scannable(files(spark, sf_dir)), ALL_RULES)), ALL_RULES)
     return _NUMBERED[key]
 
 
@@ -59,7 +59,7 @@ _RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' T
 @register("finding_index", F_SQL + "SELECT target, path, rule_id, pattern_ord, line_number, finding_index FROM findings")
 def _(spark, sf_dir):
     """The whole pipeline up to numbered findings, scanned anew."""
-    found = number_findings(scan(scannable(files(spark, sf_dir)), ALL_RULES))
+    found = describe(number_findings(scan_files(scannable(files(spark, sf_dir)), ALL_RULES)), ALL_RULES)
     return found.select("target", "path", "rule_id", "pattern_ord", "line_number", "finding_index")
 
 
@@ -108,7 +108,7 @@ def _(spark, sf_dir):
     return report.with_grade(counts).select("target", "path", "points", "score")
 
 
-@register("owasp_coverage", F_SQL + "SELECT target, unnest(owasp_ids) AS owasp_id, count(*) AS n_findings FROM findings GROUP BY ALL")
+@register("owasp_coverage", F_SQL + ", u AS (SELECT target, unnest(owasp_ids) AS owasp_id FROM findings) SELECT target, owasp_id, count(*) AS n_findings FROM u GROUP BY ALL")
 def _(spark, sf_dir):
     return report.owasp_counts(numbered_findings(spark, sf_dir), "target")
 
@@ -281,3 +281,20 @@ def _(spark, sf_dir):
         "target", "finding_index",
         text.triage_block(c("finding_index"), c("rule_id"), c("severity"), c("path"), c("line_number"), c("title"), c("description"), c("code_snippet")).alias("triage_text"),
         text.chain_block(c("rule_id"), c("severity"), c("path"), c("line_number"), c("title"), c("description"), c("attack_demo")).alias("chain_text"))
+
+
+_DOCS_SQL = "docs AS (SELECT coalesce(source, '') AS target, CAST(doc_id AS VARCHAR) AS path, text AS content FROM documents)"
+
+
+@register("secrets_by_source", f"WITH {_DOCS_SQL}, {source_ctes('docs')}, {hits_cte((rule('SEC-003'),), match_globs=False)}, "
+          "findings AS (SELECT target, 'high' AS severity FROM hits), "
+          f"c AS (SELECT target, {_COUNTS_SQL} FROM findings GROUP BY target), t AS (SELECT target, count(*) AS n_documents FROM docs GROUP BY 1) "
+          "SELECT t.target, n_documents, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, "
+          f"coalesce(total, 0) AS total, {_POINTS} AS points, {_GRADE} AS score FROM t LEFT JOIN c USING (target)")
+def secrets_by_source(spark, sf_dir):
+    """Documents as a corpus: secret rule, severity counts and grade per source."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    corpus = docs.select(F.coalesce("source", F.lit("")).alias("target"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    found = scan(corpus, (rule("SEC-003"),), match_globs=False, snippets=False)
+    targets = corpus.groupBy("target").agg(F.count("*").alias("n_documents"))
+    return report.risk_scores(targets, found)
