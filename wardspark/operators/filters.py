@@ -45,7 +45,7 @@ def select_targets(files: DataFrame, requested: DataFrame, globs=DEFAULT_GLOBS)
 
     A request that names a directory applies the directory and name filters; a
     request that names one file takes it as it is.  Both are equi-joins on
-    unique request names, so no side is broadcast by hand.
+    unique request names.  Run it on a listing, before contents are read.
     """
     wanted = requested.select(F.col("request")).distinct()
     by_dir = files.join(wanted, files["target"] == wanted["request"]).where(collected(F.col("path"), F.col("target"), globs))
@@ -55,8 +55,11 @@ def select_targets(files: DataFrame, requested: DataFrame, globs=DEFAULT_GLOBS)
 
 def missing_targets(files: DataFrame, requested: DataFrame) -> DataFrame:
     """One INFO finding per request that is neither a directory nor a file of the listing."""
-    known = files.select(F.col("target").alias("request")).distinct().unionByName(files.select(F.col("path").alias("request")))
-    return requested.select("request").distinct().join(known, "request", "left_anti").select(
+    wanted = requested.select("request").distinct()
+    names = files.select(F.col("target").alias("request")).distinct().unionByName(files.select(F.col("path").alias("request")))
+    # only names that were asked for go into the anti join, however large the listing is
+    known = names.join(wanted, "request", "left_semi")
+    return wanted.join(known, "request", "left_anti").select(
         F.col("request").alias("target"),
         F.lit("engine").alias("rule_id"),
         F.lit("Target not found").alias("title"),

@@ -31,15 +31,19 @@ def with_positions(df: DataFrame, order: list[str], groups: dict[str, list[str]]
     placed = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id())).withColumn(
         "_block", F.shiftright("_at", 33)
     )
-    out = placed
-    for name, cols in groups.items():
+    # the groups are nested, so the shifts of the wider ones join the spans of the
+    # narrowest (small tables), and the rows themselves are joined once
+    nested = sorted(groups.items(), key=lambda g: len(g[1]), reverse=True)
+    finest = nested[0][1]
+    shifts = None
+    for name, cols in nested:
         spans = placed.groupBy(*cols, "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
         earlier = Window.partitionBy(*cols).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        starts = spans.select(
-            *cols, "_block", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
-        )
-        out = out.join(starts, [*cols, "_block"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_shift")
-    return out.drop("_at", "_block")
+        shift = (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias(name)
+        starts = spans.select(*cols, "_block", shift)
+        shifts = starts if shifts is None else shifts.join(starts, [*cols, "_block"])
+    out = placed.join(shifts, [*finest, "_block"])
+    return out.withColumns({name: F.col("_at") + F.col(name) for name in groups}).drop("_at", "_block")
 
 
 def number_findings(findings: DataFrame) -> DataFrame:

@@ -25,8 +25,14 @@ class ScanResult:
 
 
 def scannable(files: DataFrame, globs=DEFAULT_GLOBS) -> DataFrame:
-    """Files a directory scan looks into: collected and not minified."""
-    return files.where(collected(F.col("path"), F.col("target"), globs) & ~is_minified(F.col("path"), F.col("content")))
+    """Files a directory scan looks into: collected and not minified.
+
+    The content test looks at its text several times.  Inside ``exists`` the
+    text is bound once, so a content that is itself an expression (decoding)
+    is not evaluated for every look after the filter is pushed below it.
+    """
+    minified = F.exists(F.array("content"), lambda text: is_minified(F.col("path"), text))
+    return files.where(collected(F.col("path"), F.col("target"), globs) & ~minified)
 
 
 def run_scan(files: DataFrame, depth: int = 1, *, rules=SHIPPED_RULES, globs=DEFAULT_GLOBS,

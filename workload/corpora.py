@@ -143,14 +143,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _rendered(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rendered texts as if they had been read: through a one-element generator, because a plain
+    projection would be put into every later filter and rendered again for each look at a column."""
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    return rows.selectExpr(f"inline_outer(array(named_struct({fields})))")
+
+
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spread(table(spark, sf_dir, "events").select("event_id", "user_id"))
-    return events.selectExpr(*[f"{sql} AS {name}" for name, sql in _code_columns(sql_text).items()])
+    return _rendered(events, _code_columns(sql_text))
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
-    return customers.selectExpr(*[f"{sql} AS {name}" for name, sql in _config_columns(sql_text).items()])
+    return _rendered(customers, _config_columns(sql_text))
 
 
 def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
