@@ -20,6 +20,11 @@ CHAIN_SCHEMA = (
 )
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed one time, however often ``use`` looks at it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def outer_json(reply: Column, must_hold: str | None = None) -> Column:
     """From the first ``{`` to the last ``}``; empty if there is none."""
     if must_hold is None:
@@ -41,14 +46,16 @@ def strict_json(text: Column) -> Column:
     ``from_json`` on the bare text would ignore anything after the first value;
     inside brackets such a rest is an error.
     """
-    got = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
-    return F.when(F.size(got) == 1, got[0])
+    values = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    return once(values, lambda v: F.when(F.size(v) == 1, v[0]))
 
 
 def repaired_json(reply: Column, must_hold: str | None = None, also_before_bracket: bool = True) -> Column:
     """The reply's JSON as text: as it is, else after repairs, else null."""
-    found = outer_json(reply, must_hold)
-    return F.coalesce(strict_json(found), strict_json(strip_comments_and_commas(found, also_before_bracket)))
+    return once(
+        outer_json(reply, must_hold),
+        lambda found: F.coalesce(strict_json(found), strict_json(strip_comments_and_commas(found, also_before_bracket))),
+    )
 
 
 def verdict_batch(reply: Column) -> Column:
@@ -60,8 +67,11 @@ def verdict_batch(reply: Column) -> Column:
     verdicts are upper case, missing index is the position, missing reason is
     empty.
     """
-    text = repaired_json(reply, must_hold='"results"', also_before_bracket=False)
-    keys = F.map_keys(F.from_json(text, "map<string,string>"))
+    return once(repaired_json(reply, must_hold='"results"', also_before_bracket=False), _read_verdicts)
+
+
+def _read_verdicts(text: Column) -> Column:
+    fields = F.from_json(text, "map<string,string>")
     raw = F.from_json(text, "struct<results:array<string>>")["results"]
     items = F.transform(
         F.coalesce(raw, F.array().cast("array<string>")),
@@ -71,30 +81,40 @@ def verdict_batch(reply: Column) -> Column:
             F.from_json(x, "map<string,variant>").alias("item"),
         ),
     )
-    bad_item = F.exists(
-        items,
-        lambda x: ~F.coalesce(x["is_object"], F.lit(False))
-        | (F.array_contains(F.map_keys(x["item"]), "verdict")
-           & (F.coalesce(F.schema_of_variant(x["item"]["verdict"]), F.lit("VOID")) != "STRING")),
+    # an empty object or text has no items, anything else that is not a list cannot be read as verdicts
+    not_a_list = (
+        raw.isNull()
+        & F.coalesce(F.array_contains(F.map_keys(fields), "results"), F.lit(False))
+        & ~F.coalesce(fields["results"].isin("{}", ""), F.lit(False))
     )
-    not_a_list = raw.isNull() & F.coalesce(F.array_contains(keys, "results"), F.lit(False))
-    cleaned = F.transform(
-        items,
-        lambda x: F.struct(
-            x["pos"].alias("pos"),
-            F.coalesce(F.try_variant_get(x["item"]["index"], "$", "bigint"), x["pos"].cast("bigint")).alias("index"),
-            F.upper(F.coalesce(F.try_variant_get(x["item"]["verdict"], "$", "string"), F.lit("REAL"))).alias("verdict"),
-            F.coalesce(F.try_variant_get(x["item"]["reason"], "$", "string"), F.lit("")).alias("reason"),
-        ),
+    return once(items, lambda found: F.struct(
+        (F.exists(found, _malformed) | not_a_list).alias("failed"), F.transform(found, _verdict).alias("items")))
+
+
+def _malformed(x: Column) -> Column:
+    """Not an object, or a verdict that is not a text."""
+    verdict_type = F.coalesce(F.schema_of_variant(x["item"]["verdict"]), F.lit("VOID"))
+    return ~F.coalesce(x["is_object"], F.lit(False)) | (
+        F.array_contains(F.map_keys(x["item"]), "verdict") & (verdict_type != "STRING"))
+
+
+def _verdict(x: Column) -> Column:
+    item = x["item"]
+    return F.struct(
+        x["pos"].alias("pos"),
+        F.coalesce(F.try_variant_get(item["index"], "$", "bigint"), x["pos"].cast("bigint")).alias("index"),
+        F.upper(F.coalesce(F.try_variant_get(item["verdict"], "$", "string"), F.lit("REAL"))).alias("verdict"),
+        F.coalesce(F.try_variant_get(item["reason"], "$", "string"), F.lit("")).alias("reason"),
     )
-    return F.struct((bad_item | not_a_list).alias("failed"), cleaned.alias("items"))
 
 
 def audit_fields(reply: Column) -> Column:
     """The five audit fields of a reply, empty where missing."""
-    got = F.from_json(repaired_json(reply), AUDIT_SCHEMA)
     names = ("attack_path", "exploit_demo", "impact", "cvss_vector", "fix")
-    return F.struct(*[F.coalesce(got[n], F.lit("")).alias(n) for n in names])
+    return once(
+        F.from_json(repaired_json(reply), AUDIT_SCHEMA),
+        lambda got: F.struct(*[F.coalesce(got[n], F.lit("")).alias(n) for n in names]),
+    )
 
 
 def audit_demo(audit: Column, old: Column) -> Column:
@@ -114,8 +134,13 @@ def audit_fix(audit: Column, old: Column) -> Column:
 
 def chain_fields(reply: Column) -> Column:
     """A chain reply with every default filled in; null when nothing could be read."""
-    text = repaired_json(reply)
-    got = F.from_json(text, CHAIN_SCHEMA)
+    return once(
+        repaired_json(reply),
+        lambda text: F.when(text != "{}", once(F.from_json(text, CHAIN_SCHEMA), _filled_chain)),
+    )
+
+
+def _filled_chain(got: Column) -> Column:
     blank = F.lit("")
     stages = F.transform(
         F.coalesce(got["attack_chain"], F.array().cast(STAGES)),
@@ -124,7 +149,7 @@ def chain_fields(reply: Column) -> Column:
             *[F.coalesce(s[n], blank).alias(n) for n in STAGE_TEXTS],
         ),
     )
-    filled = F.struct(
+    return F.struct(
         F.coalesce(got["campaign_name"], F.lit(CHAIN_DEFAULT_NAME)).alias("campaign_name"),
         F.coalesce(got["executive_summary"], blank).alias("executive_summary"),
         F.coalesce(got["risk_level"], F.lit(CHAIN_DEFAULT_RISK)).alias("risk_level"),
@@ -132,4 +157,3 @@ def chain_fields(reply: Column) -> Column:
         F.coalesce(got["total_impact"], F.create_map().cast("map<string,string>")).alias("total_impact"),
         F.coalesce(got["mitigation_priority"], F.array().cast(MITIGATIONS)).alias("mitigation_priority"),
     )
-    return F.when(text != "{}", filled)

@@ -51,9 +51,11 @@ def number_findings(findings: DataFrame) -> DataFrame:
 
     The findings are written before they are sorted: a range sort reads its
     input twice (once for a sample), and the scan behind it should run once.
+    The result is written too: it is the findings table every later step reads.
     """
-    return with_positions(
+    numbered = with_positions(
         cut_lineage(findings),
         ["target", *FINDING_ORDER],
         {"finding_index": ["target"], "file_pos": ["target", "path"]},
     )
+    return cut_lineage(numbered)
