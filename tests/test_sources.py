@@ -33,6 +33,18 @@ def test_listing_follows_globs_and_pruning(spark, tmp_path):
     assert [r.path for r in one] == [os.path.join(root, "a/skip.md")]
 
 
+def test_wide_directories_are_listed_in_parts(spark, tmp_path):
+    want = set()
+    for i in range(40):
+        (tmp_path / f"d{i}" / "in").mkdir(parents=True)
+        for name in (f"d{i}/a.py", f"d{i}/in/b.js", f"top{i}.ts"):
+            (tmp_path / name).write_text("x")
+            want.add(name)
+    for shares in (1, 3, 8, 256):
+        rows = [os.path.relpath(r.path, tmp_path) for r in list_tree(spark, [str(tmp_path)], shares=shares).collect()]
+        assert len(rows) == len(want) and set(rows) == want, shares
+
+
 def test_contents_decode_and_unreadable_files(spark, tmp_path):
     root = str(tmp_path)
     make_tree(root)
@@ -65,6 +77,22 @@ def test_pipeline_depth_one(spark):
     assert got["t1"].owasp_coverage == {"AG-02": 1, "AG-10": 1, "LLM06": 2}
 
 
+def test_own_detector_joins_the_pipeline(spark):
+    from wardspark.rules.spec import RuleSpec
+
+    long_file = RuleSpec("XX-003", "long_file", 95, "low", ("LLM02",), ("*",), "Long file", "The file is longer than it should be.", "Split it.", kind="custom")
+
+    def detector(files):
+        return files.where(F.length("content") > 10).select(
+            "target", "path", F.lit(95).alias("rule_ord"), F.lit(0).alias("pattern_ord"), F.lit(1).alias("line_number"),
+            F.lit(0).alias("match_ord"), F.lit("long").alias("note"), F.left("content", F.lit(5)).alias("code_snippet"))
+
+    files = spark.createDataFrame([("t", "t/a.py", "@tool\n# padding"), ("t", "t/b.py", "x")], "target string, path string, content string")
+    found = run_scan(files, rules=SHIPPED_RULES + (long_file,), detectors=(detector,)).findings
+    assert sorted((r.rule_id, r.description, r.finding_index) for r in found.collect()) == [
+        ("FW-001", "tool decorator without a confirmation guard", 0), ("XX-003", "long", 1)]
+
+
 def test_unusable_rules_are_left_out(spark):
     from wardspark.rules.spec import Pattern, RuleSpec, usable_rules
 

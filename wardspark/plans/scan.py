@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,9 @@ from ..operators.filters import chain_eligible, collected, is_minified
 from ..operators.numbering import number_findings
 from ..operators.report import report_header, total_checks
 from ..operators.triage import assign_batches, join_audits, join_verdicts, read_chains
-from ..rules import SHIPPED_RULES
+from ..rules import ALL_RULES, SHIPPED_RULES
 from ..rules.fixed import DEFAULT_GLOBS
+from ..rules.spec import usable_rules
 
 
 @dataclass(frozen=True)
@@ -22,6 +24,7 @@ class ScanResult:
     judged: DataFrame
     header: DataFrame
     chains: DataFrame | None
+    left_out_rules: tuple = ()
 
 
 def scannable(files: DataFrame, globs=DEFAULT_GLOBS) -> DataFrame:
@@ -36,16 +39,28 @@ def scannable(files: DataFrame, globs=DEFAULT_GLOBS) -> DataFrame:
 
 
 def run_scan(files: DataFrame, depth: int = 1, *, rules=SHIPPED_RULES, globs=DEFAULT_GLOBS,
+             detectors: tuple[Callable[[DataFrame], DataFrame], ...] = (),
              verdict_replies: DataFrame | None = None, audit_replies: DataFrame | None = None,
              chain_replies: DataFrame | None = None) -> ScanResult:
     """Depth 1 detects, depth 2 adds verdicts, depth 3 adds audits and chains.
 
     The numbered findings are the one point where rows are written out; all
     later stages read that copy.  A layer without replies passes findings on.
+
+    ``detectors`` are functions from files to lean findings for what patterns
+    cannot say; list a ``RuleSpec`` of kind ``custom`` for each in ``rules``.
+    Rules that do not compile are left out and reported.
     """
+    left_out: list = []
+    if not set(rules) <= set(ALL_RULES):
+        rules, left_out = usable_rules(files.sparkSession, rules)
     targets = files.select("target").distinct()
     checks = total_checks(files.where(collected(F.col("path"), F.col("target"), globs)), len(rules))
-    numbered = describe(number_findings(scan_files(scannable(files, globs), rules)), rules)
+    source = scannable(files, globs)
+    lean = scan_files(source, tuple(r for r in rules if r.kind != "custom"))
+    for detector in detectors:
+        lean = lean.unionByName(detector(source).select(*lean.columns))
+    numbered = describe(number_findings(lean), rules)
     if depth >= 2 and verdict_replies is not None:
         judged = join_verdicts(assign_batches(numbered), verdict_replies)
     else:
@@ -58,4 +73,4 @@ def run_scan(files: DataFrame, depth: int = 1, *, rules=SHIPPED_RULES, globs=DEF
         if chain_replies is not None:
             eligible = chain_eligible(findings).select("target").distinct()
             chains = read_chains(chain_replies.join(eligible, "target", "left_semi"))
-    return ScanResult(findings, judged, report_header(targets, findings, checks), chains)
+    return ScanResult(findings, judged, report_header(targets, findings, checks), chains, tuple(left_out))

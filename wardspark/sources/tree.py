@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
+from itertools import islice
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +26,13 @@ _READ_CHUNK_BYTES = 32 << 20
 
 
 class _Share(InputPartition):
-    """One directory to list: alone, or with everything below it."""
+    """One directory to list: alone, with everything below it, or one part of a very wide one."""
 
-    def __init__(self, target: str, folder: str, below: bool):
-        self.target, self.folder, self.below = target, folder, below
+    def __init__(self, target: str, folder: str, below: bool, part: int = 0, parts: int = 1):
+        self.target, self.folder, self.below, self.part, self.parts = target, folder, below, part, parts
+
+    def takes(self, name: str) -> bool:
+        return self.parts == 1 or crc32(name.encode("utf-8", "surrogateescape")) % self.parts == self.part
 
 
 class TreeReader(DataSourceReader):
@@ -37,7 +42,11 @@ class TreeReader(DataSourceReader):
         self.shares = int(options.get("shares", "256"))
 
     def partitions(self):
-        """Open directories level by level until there is enough to share out."""
+        """Open directories level by level until there is enough to share out.
+
+        Only a bounded number of names is looked at here: a directory with very
+        many subdirectories is not opened but given out in parts by name.
+        """
         ready, open_ = [], []
         for target in self.targets:
             if os.path.isdir(target):
@@ -47,8 +56,12 @@ class TreeReader(DataSourceReader):
         while open_ and len(open_) < self.shares:
             deeper = []
             for target, folder in open_:
-                ready.append(_Share(target, folder, False))
-                deeper += [(target, d) for d in _folders(folder)]
+                found = list(islice(_folders(folder), 4 * self.shares + 1))
+                if len(found) > 4 * self.shares:
+                    ready += [_Share(target, folder, True, k, self.shares) for k in range(self.shares)]
+                else:
+                    ready.append(_Share(target, folder, False))
+                    deeper += [(target, d) for d in found]
             open_ = deeper
         return ready + [_Share(t, f, True) for t, f in open_] or [_Share("", "", False)]
 
@@ -58,15 +71,16 @@ class TreeReader(DataSourceReader):
         if not share.folder:
             yield share.target, share.target, _size(share.target)
             return
-        todo = [share.folder]
+        todo, top = [share.folder], True
         while todo:
             folder = todo.pop()
             for name in _names(folder):
-                if any(fnmatchcase(name, g) for g in self.globs):
+                if any(fnmatchcase(name, g) for g in self.globs) and (not top or share.takes(name)):
                     path = os.path.join(folder, name)
                     yield share.target, path, _size(path)
             if share.below:
-                todo += _folders(folder)
+                todo += [d for d in _folders(folder) if not top or share.takes(os.path.basename(d))]
+            top = False
 
 
 def _names(folder: str) -> list[str]:
@@ -76,12 +90,14 @@ def _names(folder: str) -> list[str]:
         return []
 
 
-def _folders(folder: str) -> list[str]:
+def _folders(folder: str) -> Iterator[str]:
     try:
         with os.scandir(folder) as entries:
-            return [e.path for e in entries if e.name not in SKIPPED_DIRS and e.is_dir(follow_symlinks=False)]
+            for e in entries:
+                if e.name not in SKIPPED_DIRS and e.is_dir(follow_symlinks=False):
+                    yield e.path
     except OSError:
-        return []
+        return
 
 
 def _size(path: str) -> int | None:
@@ -105,13 +121,14 @@ class SourceTree(DataSource):
         return TreeReader(self.options)
 
 
-def list_tree(spark: SparkSession, targets: list[str], globs=DEFAULT_GLOBS) -> DataFrame:
+def list_tree(spark: SparkSession, targets: list[str], globs=DEFAULT_GLOBS, shares: int = 256) -> DataFrame:
     """Files of the targets: directories are pruned and matched, a single file is taken as it is."""
     spark.dataSource.register(SourceTree)
     return (
         spark.read.format("source_tree")
         .option("targets", "\n".join(targets))
         .option("globs", "\n".join(globs))
+        .option("shares", str(shares))
         .load()
     )
 

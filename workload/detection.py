@@ -287,14 +287,15 @@ QUERIES["source_tree_scan"] = source_tree_scan
 
 
 def _requests(spark, sf_dir):
-    """A directory per nation (some do not exist) and single files taken from events."""
+    """A directory per nation (some do not exist) and the first and last file of every directory by name."""
     dirs = table(spark, sf_dir, "nation").select(F.concat(F.lit("repo"), F.col("n_nationkey").cast("string")).alias("request"))
-    files = code_files(spark, sf_dir).where("event_id % 37 = 0").select(F.col("path").alias("request"))
-    return dirs.unionByName(files)
+    ends = code_files(spark, sf_dir).groupBy("target").agg(F.min("path").alias("a"), F.max("path").alias("b"))
+    return dirs.unionByName(ends.select(F.explode(F.array("a", "b")).alias("request")))
 
 
 _REQUESTS_SQL = (
-    "requests AS (SELECT 'repo' || n_nationkey AS request FROM nation UNION ALL SELECT path FROM code_files WHERE event_id % 37 = 0)"
+    "requests AS (SELECT 'repo' || n_nationkey AS request FROM nation UNION ALL SELECT min(path) FROM code_files GROUP BY target "
+    "UNION ALL SELECT max(path) FROM code_files GROUP BY target)"
 )
 
 
