@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from wardspark.functions.text import decode_content
 from wardspark.operators.detect import scan
-from wardspark.plans.scan import run_scan, scannable
+from wardspark.plans.scan import run_scan, scan_tree, scannable
 from wardspark.rules import SHIPPED_RULES, rule
 from wardspark.sources.tree import list_tree, read_contents, read_tree
 
@@ -59,6 +59,27 @@ def test_contents_decode_and_unreadable_files(spark, tmp_path):
     assert not any(f[0].endswith("min.js") for f in found)
 
 
+def test_single_file_target_bypasses_the_filters(spark, tmp_path):
+    root = str(tmp_path)
+    make_tree(root)
+    one = os.path.join(root, "a/skip.md")
+    rules = (rule("SC-001"), rule("FW-001"))
+    (tmp_path / "a" / "skip.md").write_text("open('/etc/passwd')")
+    result = scan_tree(spark, [one, root + "/", root + "/gone"], rules=rules)
+    got = {r.target: (r.total_checks, r.summary.critical) for r in result.header.collect()}
+    assert got == {one: (2, 1), root + "/": (2 * 9, 0)}     # folder.py cannot be read but counts
+    assert [r.path for r in result.missing.collect()] == [root + "/gone"]
+
+
+def test_missing_targets(spark, tmp_path):
+    from wardspark.sources.tree import missing
+
+    (tmp_path / "empty").mkdir()
+    rows = missing(spark, [str(tmp_path / "empty"), str(tmp_path / "gone")]).collect()
+    assert [(r.rule_id, r.severity, r.line_number, r.total_checks) for r in rows] == [("engine", "info", 0, 0)]
+    assert rows[0].description == f"Path does not exist: {tmp_path / 'gone'}"
+
+
 def test_decode_matches_python(spark):
     samples = [b"", b"ok\r\n\rx\n", b"\xf0\x9f\x98", b"\xed\xa0\x80z", b"\xc0\xaf", "héé".encode(), b"\xe2\x82", b"a\xffb"]
     df = spark.createDataFrame([(i, bytearray(s)) for i, s in enumerate(samples)], "i int, raw binary")

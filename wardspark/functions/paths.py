@@ -27,6 +27,6 @@ def extension(path: Column) -> Column:
 
 def relative_dirs(path: Column, target: Column) -> Column:
     """Directory names between the target and the file."""
-    below = F.substring(path, F.length(target) + 2, F.length(path))
+    below = F.substring(path, F.length(F.rtrim(target, F.lit("/"))) + 2, F.length(path))
     dirs = F.split(below, "/")
     return F.slice(dirs, 1, F.size(dirs) - 1)

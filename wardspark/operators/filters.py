@@ -19,8 +19,8 @@ def in_skipped_dir(path: Column, target: Column) -> Column:
 
 
 def collected(path: Column, target: Column, globs=DEFAULT_GLOBS) -> Column:
-    """A directory scan picks this file up."""
-    return ~in_skipped_dir(path, target) & any_glob(file_name(path), globs)
+    """A scan of the target picks this file up; a target that is the file itself is taken as it is."""
+    return (path == target) | (~in_skipped_dir(path, target) & any_glob(file_name(path), globs))
 
 
 def is_minified(path: Column, content: Column) -> Column:
@@ -59,7 +59,12 @@ def missing_targets(files: DataFrame, requested: DataFrame) -> DataFrame:
     names = files.select(F.col("target").alias("request")).distinct().unionByName(files.select(F.col("path").alias("request")))
     # only names that were asked for go into the anti join, however large the listing is
     known = names.join(wanted, "request", "left_semi")
-    return wanted.join(known, "request", "left_anti").select(
+    return not_found(wanted.join(known, "request", "left_anti"))
+
+
+def not_found(requests: DataFrame) -> DataFrame:
+    """The INFO finding of every request."""
+    return requests.select(
         F.col("request").alias("target"),
         F.lit("engine").alias("rule_id"),
         F.lit("Target not found").alias("title"),

@@ -19,6 +19,23 @@ def scan_id(target: Column, created_at: Column) -> Column:
     return F.concat(F.lit("scan_"), F.left(F.sha2(F.concat_ws("|", target, created_at.cast("string")), 256), F.lit(12)))
 
 
+def from_report(header: DataFrame, period: str = "day") -> DataFrame:
+    """Rows of the scans table for fresh report headers, stamped with the current time."""
+    stamped = header.withColumn("created_at", F.current_timestamp())
+    return history_rows(
+        stamped.withColumns({
+            "id": scan_id(F.col("target"), F.col("created_at")),
+            "finding_count": F.col("summary.total"),
+        }),
+        period,
+    )
+
+
+def findings_of(scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """Rows of the findings table: the findings of a target under the id of its scan."""
+    return findings.join(scans.select("id", "target", "scan_period"), "target")
+
+
 def history_rows(headers: DataFrame, period: str = "day") -> DataFrame:
     """Rows of the scans table from ``(id, target, score, total_checks, duration_ms, finding_count, created_at)``.
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detect import describe, scan_files
@@ -16,6 +16,8 @@ from ..operators.triage import assign_batches, join_audits, join_verdicts, read_
 from ..rules import ALL_RULES, SHIPPED_RULES
 from ..rules.fixed import DEFAULT_GLOBS
 from ..rules.spec import usable_rules
+from ..session import cut_lineage
+from ..sources.tree import list_tree, missing, read_listed
 
 
 @dataclass(frozen=True)
@@ -25,6 +27,7 @@ class ScanResult:
     header: DataFrame
     chains: DataFrame | None
     left_out_rules: tuple = ()
+    missing: DataFrame | None = None
 
 
 def scannable(files: DataFrame, globs=DEFAULT_GLOBS) -> DataFrame:
@@ -39,6 +42,7 @@ def scannable(files: DataFrame, globs=DEFAULT_GLOBS) -> DataFrame:
 
 
 def run_scan(files: DataFrame, depth: int = 1, *, rules=SHIPPED_RULES, globs=DEFAULT_GLOBS,
+             listing: DataFrame | None = None,
              detectors: tuple[Callable[[DataFrame], DataFrame], ...] = (),
              verdict_replies: DataFrame | None = None, audit_replies: DataFrame | None = None,
              chain_replies: DataFrame | None = None) -> ScanResult:
@@ -47,6 +51,10 @@ def run_scan(files: DataFrame, depth: int = 1, *, rules=SHIPPED_RULES, globs=DEF
     The numbered findings are the one point where rows are written out; all
     later stages read that copy.  A layer without replies passes findings on.
 
+    ``listing(target, path)`` names the files without their contents; where contents
+    are costly to read it keeps targets and check counts from reading them again,
+    and it also counts files that could not be read.
+
     ``detectors`` are functions from files to lean findings for what patterns
     cannot say; list a ``RuleSpec`` of kind ``custom`` for each in ``rules``.
     Rules that do not compile are left out and reported.
@@ -54,8 +62,9 @@ def run_scan(files: DataFrame, depth: int = 1, *, rules=SHIPPED_RULES, globs=DEF
     left_out: list = []
     if not set(rules) <= set(ALL_RULES):
         rules, left_out = usable_rules(files.sparkSession, rules)
-    targets = files.select("target").distinct()
-    checks = total_checks(files.where(collected(F.col("path"), F.col("target"), globs)), len(rules))
+    names = files if listing is None else listing
+    targets = names.select("target").distinct()
+    checks = total_checks(names.where(collected(F.col("path"), F.col("target"), globs)), len(rules))
     source = scannable(files, globs)
     lean = scan_files(source, tuple(r for r in rules if r.kind != "custom"))
     for detector in detectors:
@@ -74,3 +83,14 @@ def run_scan(files: DataFrame, depth: int = 1, *, rules=SHIPPED_RULES, globs=DEF
             eligible = chain_eligible(findings).select("target").distinct()
             chains = read_chains(chain_replies.join(eligible, "target", "left_semi"))
     return ScanResult(findings, judged, report_header(targets, findings, checks), chains, tuple(left_out))
+
+
+def scan_tree(spark: SparkSession, targets: list[str], depth: int = 1, *, globs=DEFAULT_GLOBS, **options) -> ScanResult:
+    """Scan directories or files of a shared file system.
+
+    The tree is listed once and every file is read once.  Targets that do not
+    exist come back as INFO findings in ``missing``.
+    """
+    listing = cut_lineage(list_tree(spark, targets, globs))
+    result = run_scan(read_listed(listing), depth, globs=globs, listing=listing, **options)
+    return replace(result, missing=missing(spark, targets))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import decode_content
+from ..operators.filters import not_found
 from ..rules.fixed import DEFAULT_GLOBS, SKIPPED_DIRS
 
 LISTING = "target string, path string, size bigint"
@@ -133,6 +134,12 @@ def list_tree(spark: SparkSession, targets: list[str], globs=DEFAULT_GLOBS, shar
     )
 
 
+def missing(spark: SparkSession, targets: list[str]) -> DataFrame:
+    """INFO findings for the listed targets that do not exist (an empty directory does)."""
+    gone = [(t,) for t in targets if not os.path.exists(t)]
+    return not_found(spark.createDataFrame(gone, "request string"))
+
+
 def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFrame:
     """Add ``raw`` bytes and ``error`` to a listing.  Only paths are shuffled, so a hot directory is read by all tasks."""
 
@@ -162,10 +169,15 @@ def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFram
     )
 
 
-def read_tree(spark: SparkSession, targets: list[str], globs=DEFAULT_GLOBS) -> DataFrame:
-    """``target, path, content`` of all readable files."""
+def read_listed(listing: DataFrame) -> DataFrame:
+    """``target, path, content`` of the readable files of a listing."""
     return (
-        read_contents(list_tree(spark, targets, globs))
+        read_contents(listing)
         .where(F.col("error").isNull())
         .select("target", "path", decode_content(F.col("raw")).alias("content"))
     )
+
+
+def read_tree(spark: SparkSession, targets: list[str], globs=DEFAULT_GLOBS) -> DataFrame:
+    """``target, path, content`` of all readable files."""
+    return read_listed(list_tree(spark, targets, globs))
