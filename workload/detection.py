@@ -10,9 +10,8 @@ from wardspark.operators.detect import describe, scan, scan_files
 from wardspark.operators.filters import in_skipped_dir, is_minified, missing_targets, select_targets, tool_config
 from wardspark.functions.paths import file_name
 from wardspark.rules import ALL_RULES, FILE, LINE, rule
-from wardspark.rules.fixed import DEFAULT_GLOBS, MIN_RULES
+from wardspark.rules.fixed import DEFAULT_GLOBS, INJECTION_PHRASES, MIN_RULES
 from wardspark.rules.spec import any_glob, rules_table
-from wardspark.sources.tables import as_corpus
 from wardspark.sources.tree import list_tree
 
 from .corpora import CODE_FILES_SQL, CONFIGS_SQL, TEXT_ROWS_SQL, code_files, configs, spread, table, text_rows
@@ -417,7 +416,7 @@ def tool_description_extract_filter(spark, sf_dir):
 
 
 QUERIES["tool_description_extract_filter"] = tool_description_extract_filter
-_PHRASES = __import__("wardspark.rules.fixed", fromlist=["x"]).INJECTION_PHRASES
+_PHRASES = INJECTION_PHRASES
 ORACLE["tool_description_extract_filter"] = (
     f"WITH {CODE_FILES_SQL}, {source_ctes('code_files')}, {hits_cte((rule('MCP-004'),))} SELECT path, match_ord, "
     f"'tool description holds the phrase: ' || left(regexp_extract(text, {q('(?i)' + _PHRASES)}), 120) AS description, left(text, 500) AS code_snippet FROM hits"

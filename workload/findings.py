@@ -16,7 +16,7 @@ from wardspark.rules import ALL_RULES, DOCUMENTED_RULES, SHIPPED_RULES, rule
 
 from .corpora import CODE_FILES_SQL, code_files, spread, table, text_rows, TEXT_ROWS_SQL
 from .detection import flat
-from .duck import COLLECTED_SQL, NAME_SQL, SNIPPET, findings_ctes, hits_cte, q, rules_cte, source_ctes
+from .duck import COLLECTED_SQL, NAME_SQL, findings_ctes, hits_cte, source_ctes
 
 QUERIES, ORACLE = {}, {}
 _NUMBERED: dict = {}

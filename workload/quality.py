@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.operators import evaluate
-from wardspark.operators.detect import scan, scan_files
+from wardspark.operators.detect import scan
 from wardspark.operators.filters import severe
 from wardspark.rules import ALL_RULES, rule
 from wardspark.rules.spec import Pattern, RuleSpec, rules_table, usable_rules
@@ -14,9 +14,9 @@ from wardspark.sources.tables import as_corpus
 
 from .corpora import TEMPLATES, code_files, spread, table
 from .detection import flat
-from .duck import hits_cte, q, rules_cte, source_ctes
+from .duck import hits_cte, source_ctes
 from .findings import F_SQL, numbered_findings
-from .triage import _BATCHED_SQL, batched, chain_replies, judged
+from .triage import _BATCHED_SQL, chain_replies, judged
 from wardspark.operators.triage import read_chains
 
 QUERIES, ORACLE = {}, {}
