@@ -10,6 +10,8 @@ import __spark_entry__ as entry
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+LIBRARY = {name: query for m in entry.LIBRARY for name, query in m.QUERIES.items()}
+LIBRARY_SQL = {name: sql for m in entry.LIBRARY for name, sql in m.ORACLE.items()}
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="test tables not present")
 
 
@@ -30,10 +32,10 @@ def comparable(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(LIBRARY))
 def test_query(spark, duck, name):
-    got = entry.queries()[name](spark, str(SF)).toPandas()
-    sql = entry.oracle_sql().get(name)
+    got = LIBRARY[name](spark, str(SF)).toPandas()
+    sql = LIBRARY_SQL.get(name)
     if sql is None:
         assert len(got) > 0
         return
@@ -49,4 +51,4 @@ def test_entry(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"source_tree_scan"}
+    assert set(LIBRARY) - set(LIBRARY_SQL) == {"source_tree_scan"}
