@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import list_column, slices, strings
+from .common import extended, list_column, slices, strings
 
 CACHE = 500_000
 
@@ -165,7 +165,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     empty and has no ids and an empty decoded text.  Rows are independent: ties, repeated rows and null
     ids pass through, an empty table gives an empty result, and other columns are not read.
     """
-    schema = docs.select(id_col).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = extended(docs, [id_col], "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from ..session import checkpoint_folder
 
 #: Shared fixed values: what separates words, by its two definitions.
 ASCII_SPACE = "\\x20\\x09-\\x0D"
@@ -19,28 +22,20 @@ FOLD_WORDS = bytes(
 )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; every executor and the driver see it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and go on from that copy.
 
     Lost executors then cost the stages after the write only, and later reads are pruned.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only, so that further columns of the input can clash with nothing."""
-    return docs.select(*columns)
+def extended(docs: DataFrame, columns: list[str], ddl: str) -> StructType:
+    """The schema of the named columns of ``docs`` followed by those of ``ddl``."""
+    return StructType(docs.select(*columns).schema.fields + StructType.fromDDL(ddl).fields)
 
 
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
@@ -50,8 +45,6 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
 
 def list_column(flat, lengths) -> pa.Array:
     """An Arrow list column from the values of all rows on end and the length of each row."""
-    import numpy as np
-
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -63,7 +56,3 @@ def slices(batches, most_bytes: int = 8 << 20):
         rows = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-
-
-def find_spans(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in pattern.finditer(text)]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, contamination, token_files
+from .common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,23 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents against all items of the benchmark."""
+    found = contamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination.digests(found)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents as sequence files in the shared folder, read back."""
+    docs = table(spark, sf_dir, "documents")
+    folder = token_files.default_folder(docs)
+    manifest = token_files.write_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return token_files.read_documents(written(manifest, "token-manifest"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_decontamination": op3_decontamination,
+    "op8_token_files": op8_token_files,
 }
 ORACLE: dict[str, str] = {}
