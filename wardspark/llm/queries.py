@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, contamination, token_files
+from . import bpe, contamination, near_dedup, quality, repeats, token_files
 from .common import written
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents, linked at a shingle similarity of 0.75."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of documents, encoded and decoded again."""
     docs = table(spark, sf_dir, "documents")
@@ -25,6 +30,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digests(found)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents against the estimates of their language and source."""
+    judged = quality.quality_rules(table(spark, sf_dir, "documents"))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept", "distance")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of documents as sequence files in the shared folder, read back."""
     docs = table(spark, sf_dir, "documents")
@@ -33,9 +45,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(written(manifest, "token-manifest"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents without the 400-byte strings that also start elsewhere."""
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
+    "op4_quality": op4_quality,
     "op8_token_files": op8_token_files,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE: dict[str, str] = {}
