@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, contamination, near_dedup, quality, repeats, token_files
+from . import bpe, contamination, html_text, licenses, near_dedup, quality, repeats, token_files, toxicity, url_filter
 from .common import written
 
 
@@ -37,6 +37,28 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "distance")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of pages."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents, by a machine fitted on labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents."""
+    return licenses.digests(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of documents as sequence files in the shared folder, read back."""
     docs = table(spark, sf_dir, "documents")
@@ -55,7 +77,11 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
+    "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
+    "op7_html_text": op7_html_text,
     "op8_token_files": op8_token_files,
+    "op9_licenses": op9_licenses,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_url_filter": url_filter.ORACLE}
