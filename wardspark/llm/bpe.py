@@ -180,10 +180,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Number of ids and digests of ids and decoded text."""
+def digests(encoded: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, the number of ids, and digests of ids and decoded text."""
     return encoded.select(
-        id_col,
+        *columns,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -156,6 +156,20 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, part_words: in
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no benchmark window occurs."""
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
+    shipped = [(uuid.uuid4().hex, sc.broadcast(part)) for part in benchmark_parts(items, part_words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = [built(name, window, part) for name, part in shipped]
+        for batch in slices(batches):
+            texts = map(words_of, strings(batch.column(at)))
+            yield batch.filter(pa.array([not any(a.scan(words)[0] for a in automata) for words in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 

@@ -21,7 +21,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of documents, encoded and decoded again."""
     docs = table(spark, sf_dir, "documents")
-    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")), "doc_id")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

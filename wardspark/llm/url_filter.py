@@ -258,9 +258,9 @@ def words_sql(blocked_words=BLOCKED_WORDS) -> str:
 
 ORACLE = f"""
 WITH parts AS (
-  SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS at FROM pages
+  SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS mark FROM pages
 ), rest AS (
-  SELECT page_id, CASE WHEN at > 0 THEN substr(u, at + 3) ELSE '' END AS r FROM parts
+  SELECT page_id, CASE WHEN mark > 0 THEN substr(u, mark + 3) ELSE '' END AS r FROM parts
 ), urls AS (
   SELECT page_id,
          translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -274,7 +274,7 @@ WITH parts AS (
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
     list_filter(
-      list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, NULL), '.')),
+      list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
       lambda h: host <> '' AND len(list_intersect(regexp_split_to_array(h, '[.-]'), [{words_sql()}])) > 0) AS on_list
   FROM urls
 )
