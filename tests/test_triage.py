@@ -1,8 +1,4 @@
-"""Verdicts, audits, chains and budgets against a small Python model."""
-
-import json
-import random
-import re
+"""Verdicts, audits, chains and budgets on written-out cases."""
 
 from pyspark.sql import functions as F
 
@@ -12,98 +8,75 @@ from wardspark.operators.triage import assign_batches, chain_budget, join_audits
 FULL = "target string, path string, finding_index bigint, file_pos bigint, severity string"
 
 
-def read_reply(raw):
-    """None for a failed call, else a list of (index, verdict)."""
-    m = re.search(r"\{[\s\S]*\"results\"[\s\S]*\}", raw)
-    if not m:
-        return []
-    text = m.group()
-    try:
-        data = json.loads(text)
-    except ValueError:
-        text = re.sub(r",\s*}", "}", re.sub(r"//.*?\n", "\n", text))
-        try:
-            data = json.loads(text)
-        except ValueError:
-            return []
-    try:
-        return [(x.get("index", i), x.get("verdict", "REAL").upper()) for i, x in enumerate(data.get("results", []))]
-    except (AttributeError, TypeError):
-        return None
-
-
-def model_kept(findings, replies):
-    """findings: (path, index) in order of one target; replies: (path, batch) -> text, or None for a failed call."""
-    kept, by_path = set(), {}
-    for path, index in findings:
-        by_path.setdefault(path, []).append(index)
-    for path, indices in by_path.items():
-        for b in range(0, len(indices), 12):
-            batch = indices[b:b + 12]
-            raw = replies.get((path, b // 12))
-            verdicts = None if raw is None else read_reply(raw)
-            if verdicts is None:
-                kept |= set(batch)
-                continue
-            for pos, (index, verdict) in enumerate(verdicts):
-                if verdict == "REAL":
-                    kept.add(batch[pos] if pos < len(batch) else index)
-    return kept
-
-
-def random_reply(rng, n):
-    kind = rng.randrange(10)
-    m = max(0, n + rng.choice([-2, -1, 0, 0, 0, 1, 3]))
-    items = []
-    for i in range(m):
-        item = {"index": rng.choice([i, rng.randrange(60)]), "verdict": rng.choice(["REAL", "real", "NOISE", "maybe", "Real "])}
-        if rng.random() < 0.1:
-            del item[rng.choice(["index", "verdict"])]
-        items.append(item)
-    body = json.dumps({"results": items})
-    if kind == 0:
-        return None
-    if kind == 1:
-        return "prose { and " + body + " more"
-    if kind == 2:
-        return "text\n" + body + "\nthanks"
-    if kind == 3:
-        return body.replace("}]", "},]")           # not repaired before a bracket
-    if kind == 4:
-        return body[:-1] + ", // note\n}"
-    if kind == 5:
-        return rng.choice(["", "no json", "{}", '{"results": {}}', '{"results": 5}', '{"results": null}', '{"results": {"a": 1}}', '{"other": "results"}'])
-    if kind == 6:
-        return json.dumps({"results": items + [rng.choice([None, 5, "REAL", {"verdict": None}, {"verdict": 3}])]})
-    return body
-
-
-def test_verdicts_equal_model(spark):
-    rng = random.Random(5)
-    rows, replies, want = [], [], {}
-    for t in range(40):
-        target, findings, by_batch, index = f"t{t}", [], {}, 0
-        for p in range(rng.randint(1, 4)):
-            n = rng.randint(1, 27)
-            for pos in range(n):
-                findings.append((f"p{p}", index))
-                rows.append((target, f"p{p}", index, pos, "high"))
-                index += 1
-            for b in range((n + 11) // 12):
-                raw = random_reply(rng, min(12, n - 12 * b))
-                by_batch[(f"p{p}", b)] = raw
-                replies.append((target, f"p{p}", b, raw, None if raw is not None else "timeout"))
-        want[target] = {i for i in model_kept(findings, by_batch) if isinstance(i, int) and i < index}
-    found = assign_batches(spark.createDataFrame(rows, FULL))
-    judged = join_verdicts(found, spark.createDataFrame(replies, "target string, path string, batch_no int, reply string, error string"))
-    got = {t: set() for t in want}
-    out = judged.collect()
-    assert len(out) == len(rows)
-    for r in out:
-        if r.kept:
-            got[r.target].add(r.finding_index)
-    for t in want:
-        assert got[t] == want[t], (t, [x for x in replies if x[0] == t])
+LONG = [f'{{"index": {n}, "verdict": "NOISE"}}' for n in range(12)]
+
+# a reply to the first batch of a file with 14 findings, and which of the 14 stay
+# (12 and 13 are in the second batch, whose reply drops both unless the first names them)
+REPLIES = [
+    ('{"results": [{"verdict": "REAL"}, {"verdict": "NOISE"}, {"verdict": "real"}]}', {0, 2}),
+    ('{"results": []}', set()),
+    ('{"results": [{"index": 7}, {}]}', {0, 1}),
+    ('{"results": [{"verdict": "REAL "}, {"verdict": "Real"}, {"verdict": "unsure"}]}', {1}),
+    ('Sure! Here you are:\n{"results": [{"verdict": "REAL"}]}\nHope it helps', {0}),
+    ('{"results": [{"verdict": "REAL"},\n{"verdict": "REAL"} // both\n]}', {0, 1}),
+    ('{"results": [{"verdict": "REAL"} // first\r\n, {"verdict": "REAL"}]}', {0, 1}),
+    ('{"results": [{"verdict": "REAL",\u00a0}]}', {0}),
+    ('{"results": [{"verdict": "REAL"}],\n}', {0}),
+    ('{"results": [{"verdict": "REAL"},]}', set()),
+    ("{'results': [{'verdict': 'REAL'}]}", set()),
+    ('{"results": [{"verdict": \'REAL\'}]}', set()),
+    ("no JSON at all", set()),
+    ("", set()),
+    ('{"other": 1}', set()),
+    ('{ so {"results": [{"verdict": "REAL"}]}', set()),
+    ('{"results": {}}', set()),
+    ('{"results": ""}', set()),
+    ('{"results": null}', set(range(12))),
+    ('{"results": 5}', set(range(12))),
+    ('{"results": {"a": 1}}', set(range(12))),
+    ('{"results": [{"verdict": "NOISE"}, "REAL"]}', set(range(12))),
+    ('{"results": [{"verdict": null}]}', set(range(12))),
+    ('{"results": [{"verdict": 3}]}', set(range(12))),
+    ('{"results": [' + ", ".join(LONG) + ', {"index": 13, "verdict": "REAL"}]}', {13}),
+    ('{"results": [' + ", ".join(LONG) + ', {"index": 4, "verdict": "REAL"}, {"index": 13, "verdict": "NOISE"}]}', {4}),
+    ('{"results": [' + ", ".join(LONG) + ', {"verdict": "REAL"}]}', {12}),
+    (None, set(range(12))),
+]
+REPLY = "target string, path string, batch_no int, reply string, error string"
+
+
+def test_verdicts(spark):
+    rows, replies = [], []
+    for n, (reply, _) in enumerate(REPLIES):
+        rows += [(f"t{n}", "p", i, i, "high") for i in range(14)]
+        replies += [(f"t{n}", "p", 0, reply, None if reply is not None else "timeout"), (f"t{n}", "p", 1, '{"results": []}', None)]
+    judged = join_verdicts(assign_batches(spark.createDataFrame(rows, FULL)), spark.createDataFrame(replies, REPLY)).collect()
+    assert len(judged) == len(rows)
+    for n, (reply, stay) in enumerate(REPLIES):
+        assert {r.finding_index for r in judged if r.target == f"t{n}" and r.kept} == stay, reply
+
+
+def test_repeated_replies_do_not_repeat_findings(spark):
+    found = assign_batches(spark.createDataFrame([("t", "p", 0, 0, "high"), ("t", "p", 1, 1, "high")], FULL))
+    replies = [("t", "p", 0, '{"results": [{"verdict": "REAL"}]}', None), ("t", "p", 0, None, "late"), ("t", "p", 0, '{"results": [{"verdict": "REAL"}]}', None)]
+    got = join_verdicts(found, spark.createDataFrame(replies, REPLY)).collect()
+    assert sorted((r.finding_index, r.kept) for r in got) == [(0, True), (1, False)]
+
+
+def test_an_error_is_that_of_its_own_prompt(spark):
+    texts = spark.createDataFrame([("t", "p", n, "bad" if n == 7 else f"text {n}") for n in range(50)], "target string, path string, batch_no int, batch_text string").coalesce(1)
+
+    def scorer(batch):
+        if "bad" in batch:
+            raise RuntimeError("bad text")
+        return [t.upper() for t in batch]
+
+    for size in ("5", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {r.batch_no: (r.reply, r.error) for r in score_batches(texts, scorer).collect()}
+        assert got == {n: (None, "bad text") if n == 7 else (f"TEXT {n}", None) for n in range(50)}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(r.error for r in score_batches(texts, lambda batch: ["one", "two"]).collect())
 
 
 def test_missing_reply_keeps_the_batch_and_failing_scorer_too(spark):

@@ -20,6 +20,10 @@ CHAIN_SCHEMA = (
 )
 
 
+#: Replies are read as JSON says: no single quotes.
+STRICT = {"allowSingleQuotes": "false"}
+
+
 def once(value: Column, use) -> Column:
     """``use(value)`` with the value computed one time, however often ``use`` looks at it."""
     return F.transform(F.array(value), use)[0]
@@ -33,10 +37,10 @@ def outer_json(reply: Column, must_hold: str | None = None) -> Column:
 
 
 def strip_comments_and_commas(text: Column, also_before_bracket: bool) -> Column:
-    out = F.regexp_replace(text, F.lit(r"//.*?\n"), F.lit("\n"))
-    out = F.regexp_replace(out, F.lit(r",\s*\}"), F.lit("}"))
+    out = F.regexp_replace(text, F.lit(r"(?dU)//.*?\n"), F.lit("\n"))
+    out = F.regexp_replace(out, F.lit(r"(?dU),\s*\}"), F.lit("}"))
     if also_before_bracket:
-        out = F.regexp_replace(out, F.lit(r",\s*\]"), F.lit("]"))
+        out = F.regexp_replace(out, F.lit(r"(?dU),\s*\]"), F.lit("]"))
     return out
 
 
@@ -46,7 +50,7 @@ def strict_json(text: Column) -> Column:
     ``from_json`` on the bare text would ignore anything after the first value;
     inside brackets such a rest is an error.
     """
-    values = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+    values = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", STRICT)
     return once(values, lambda v: F.when(F.size(v) == 1, v[0]))
 
 
@@ -71,14 +75,14 @@ def verdict_batch(reply: Column) -> Column:
 
 
 def _read_verdicts(text: Column) -> Column:
-    fields = F.from_json(text, "map<string,string>")
-    raw = F.from_json(text, "struct<results:array<string>>")["results"]
+    fields = F.from_json(text, "map<string,string>", STRICT)
+    raw = F.from_json(text, "struct<results:array<string>>", STRICT)["results"]
     items = F.transform(
         F.coalesce(raw, F.array().cast("array<string>")),
         lambda x, i: F.struct(
             i.alias("pos"),
             x.startswith("{").alias("is_object"),
-            F.from_json(x, "map<string,variant>").alias("item"),
+            F.from_json(x, "map<string,variant>", STRICT).alias("item"),
         ),
     )
     # an empty object or text has no items, anything else that is not a list cannot be read as verdicts
@@ -112,7 +116,7 @@ def audit_fields(reply: Column) -> Column:
     """The five audit fields of a reply, empty where missing."""
     names = ("attack_path", "exploit_demo", "impact", "cvss_vector", "fix")
     return once(
-        F.from_json(repaired_json(reply), AUDIT_SCHEMA),
+        F.from_json(repaired_json(reply), AUDIT_SCHEMA, STRICT),
         lambda got: F.struct(*[F.coalesce(got[n], F.lit("")).alias(n) for n in names]),
     )
 
@@ -136,7 +140,7 @@ def chain_fields(reply: Column) -> Column:
     """A chain reply with every default filled in; null when nothing could be read."""
     return once(
         repaired_json(reply),
-        lambda text: F.when(text != "{}", once(F.from_json(text, CHAIN_SCHEMA), _filled_chain)),
+        lambda text: F.when(text != "{}", once(F.from_json(text, CHAIN_SCHEMA, STRICT), _filled_chain)),
     )
 
 

@@ -14,6 +14,7 @@ from .hits import NO_HITS, hit
 
 _CONFIG = "array<struct<mcpServers:map<string,string>,mcp:struct<servers:map<string,string>>>>"
 _SERVER = "struct<command:variant,args:variant,env:map<string,variant>,headers:map<string,variant>>"
+_STRICT = "map('allowSingleQuotes', 'false')"
 _NO_TEXTS = "CAST(array() AS array<string>)"
 
 
@@ -48,7 +49,7 @@ def tool_servers(content: str = "content") -> str:
     The text must be exactly one JSON value (inside brackets any rest is an
     error).  ``text`` is the server definition as compact JSON.
     """
-    parsed = f"from_json(concat('[', {content}, ']'), '{_CONFIG}')"
+    parsed = f"from_json(concat('[', {content}, ']'), '{_CONFIG}', {_STRICT})"
     entries = (
         f"transform(array({parsed}), "
         "c -> CASE WHEN size(c) = 1 THEN map_entries(coalesce(c[0].mcpServers, c[0].mcp.servers)) END)"
@@ -56,7 +57,7 @@ def tool_servers(content: str = "content") -> str:
     return f"""
         flatten(transform({entries}, entries ->
             transform(filter({_last_wins('entries')}, e -> startswith(e.value, '{{')),
-                      e -> named_struct('name', e.key, 'text', e.value, 'def', from_json(e.value, '{_SERVER}')))))"""
+                      e -> named_struct('name', e.key, 'text', e.value, 'def', from_json(e.value, '{_SERVER}', {_STRICT})))))"""
 
 
 def _text_or_blank(value: str) -> str:
@@ -69,11 +70,11 @@ def command_text(server: str) -> str:
 
 
 def has_auth(server: str) -> str:
-    """Auth in a header name, in an environment name, or as a command-line flag."""
+    """Auth in a header name, in an environment name, or as a command-line flag (also in a command given as a list)."""
     headers = f"transform(coalesce(map_keys({server}.headers), {_NO_TEXTS}), h -> lower(h))"
     env = f"coalesce(map_keys({server}.env), {_NO_TEXTS})"
     args = f"coalesce(try_variant_get({server}.args, '$', 'array<variant>'), CAST(array() AS array<variant>))"
-    line = f"lower(concat_ws(' ', {command_text(server)}, array_join(transform({args}, a -> {_text_or_blank('a')}), ' ')))"
+    line = f"lower(concat_ws(' ', coalesce(nullif({command_text(server)}, ''), to_json({server}.command)), array_join(transform({args}, a -> {_text_or_blank('a')}), ' ')))"
     names = ", ".join(sql_text(h) for h in AUTH_HEADERS)
     return (
         f"(arrays_overlap({headers}, array({names})) OR exists({env}, k -> {_any_contains('lower(k)', AUTH_ENV_WORDS)}) "

@@ -41,63 +41,76 @@ def batch_texts(batched: DataFrame) -> DataFrame:
 
 
 def score_batches(texts: DataFrame, scorer: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Replies of a user-supplied scorer, called once per Arrow batch of prompt texts.
+    """Replies of a user-supplied scorer, called with the prompt texts of an Arrow batch.
 
-    The scorer maps texts to replies.  An exception becomes the error of the
-    texts it was given, which keeps their findings.
+    The scorer maps texts to replies, one each.  If a call fails or returns another number of replies,
+    every text is tried by itself, so that an error is that of its own prompt alone, whatever the size of
+    Arrow batches.  An error keeps the findings of its prompt.
     """
 
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            replies = list(scorer([text]))
+        except Exception as err:  # noqa: BLE001 - any failure keeps the batch
+            return None, str(err) or type(err).__name__
+        return (replies[0], None) if len(replies) == 1 else (None, f"{len(replies)} replies to one text")
+
     def run(frames: Iterator):
         for pdf in frames:
+            texts = list(pdf["batch_text"])
             try:
-                replies, errors = scorer(list(pdf["batch_text"])), [None] * len(pdf)
-            except Exception as err:  # noqa: BLE001 - any failure keeps the batch
-                replies, errors = [None] * len(pdf), [str(err) or type(err).__name__] * len(pdf)
-            yield pdf[BATCH].assign(reply=replies, error=errors)
+                replies = list(scorer(texts))
+            except Exception:  # noqa: BLE001 - tried again one by one
+                replies = []
+            pairs = [(r, None) for r in replies] if len(replies) == len(texts) else [one(t) for t in texts]
+            yield pdf[BATCH].assign(reply=[r for r, _ in pairs], error=[e for _, e in pairs])
 
     return texts.mapInPandas(run, "target string, path string, batch_no int, reply string, error string")
 
 
+def one_reply(replies: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: of repeated replies the smallest, one without an error before others."""
+    best = F.min(F.struct(F.col("error").isNotNull().alias("bad"), "error", "reply")).alias("_r")
+    return replies.groupBy(*keys).agg(best).select(*keys, "_r.reply", "_r.error")
+
+
 def join_verdicts(batched: DataFrame, replies: DataFrame) -> DataFrame:
     """Add ``verdict``, ``reason`` and ``kept`` to the findings.
 
     REAL keeps a finding; another verdict or none drops it; a failed or missing
     reply keeps its whole batch.  A verdict past the end of its batch that says
     REAL keeps the finding whose index it names.
+
+    Everything is decided on narrow keys; the findings with their texts are joined once.
     """
-    read = replies.select(*BATCH, "error", verdict_batch(F.col("reply")).alias("_v"))
+    read = one_reply(replies, BATCH).select(*BATCH, "error", verdict_batch(F.col("reply")).alias("_v"))
     read = read.select(
         *BATCH,
         (F.col("error").isNotNull() | F.coalesce(F.col("_v.failed"), F.lit(True))).alias("_failed"),
         F.col("_v.items").alias("_items"),
     )
-    joined = batched.join(read, BATCH, "left")
-    item = F.try_element_at("_items", F.col("batch_pos") + 1)
     failed = F.coalesce("_failed", F.lit(True))
-
-    sizes = batched.groupBy(*BATCH).agg(F.count("*").cast("int").alias("_n"))
-    surplus = (
-        read.where(~F.col("_failed"))
-        .join(sizes, BATCH)
-        .where(F.size("_items") > F.col("_n"))
-        .select("target", F.explode(F.slice("_items", F.col("_n") + 1, F.size("_items"))).alias("_i"))
+    item = F.try_element_at("_items", F.col("batch_pos") + 1)
+    narrow = batched.select("target", "finding_index", *BATCH[1:], "batch_pos").join(read, BATCH, "left")
+    # the last finding of a batch carries what is said beyond it
+    last = F.col("batch_pos") == F.max("batch_pos").over(Window.partitionBy(*BATCH))
+    decided = narrow.select(
+        "target", "finding_index", failed.alias("_failed"),
+        F.when(~failed, item["verdict"]).alias("verdict"), F.when(~failed, item["reason"]).alias("reason"),
+        F.when(~failed & last & (F.size("_items") > F.col("batch_pos") + 1),
+               F.slice("_items", F.col("batch_pos") + 2, F.size("_items"))).alias("_beyond"),
+    )
+    named = (
+        decided.where(F.col("_beyond").isNotNull())
+        .select("target", F.explode("_beyond").alias("_i"))
         .where("_i.verdict = 'REAL'")
         .select("target", F.col("_i.index").alias("finding_index"), F.lit(True).alias("_named"))
         .distinct()
     )
-    return (
-        joined.withColumns({
-            "verdict": F.when(~failed, item["verdict"]),
-            "reason": F.when(~failed, item["reason"]),
-            "_failed": failed,
-        })
-        .join(surplus, ["target", "finding_index"], "left")
-        .withColumn(
-            "kept",
-            F.col("_failed") | (F.coalesce("verdict", F.lit("")) == "REAL") | F.coalesce("_named", F.lit(False)),
-        )
-        .drop("_failed", "_items", "_named")
-    )
+    kept_ = F.col("_failed") | (F.coalesce("verdict", F.lit("")) == "REAL") | F.coalesce("_named", F.lit(False))
+    decided = decided.join(named, ["target", "finding_index"], "left").select(
+        "target", "finding_index", "verdict", "reason", kept_.alias("kept"))
+    return batched.join(decided, ["target", "finding_index"])
 
 
 def kept(judged: DataFrame) -> DataFrame:
@@ -125,7 +138,8 @@ def join_audits(findings: DataFrame, audits: DataFrame) -> DataFrame:
 
     Adds ``audit_status``: skipped (not severe), failed (error or no reply), audited.
     """
-    read = audits.select("target", "finding_index", "error", audit_fields(F.col("reply")).alias("_audit"),
+    read = one_reply(audits, ["target", "finding_index"])
+    read = read.select("target", "finding_index", "error", audit_fields(F.col("reply")).alias("_audit"),
                          F.lit(True).alias("_has"))
     joined = findings.join(read, ["target", "finding_index"], "left")
     status = (
