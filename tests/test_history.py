@@ -18,7 +18,7 @@ def test_report_to_history_and_back(spark, tmp_path):
     first = history.page(stored, limit=1).first()
     assert re.fullmatch("scan_[0-9a-f]{12}", first.id) and first.duration_ms == 12.3
     assert history.stats(stored).first().clean_scans == 2
-    kept = history.findings_of(stored.dropDuplicates(["target"]), result.findings)
+    kept = history.findings_of(rows, result.findings)
     history.append(kept, str(tmp_path), history.FINDINGS)
     summary = history.stored_summary(history.read(spark, str(tmp_path), history.FINDINGS)).collect()
     assert [(r.high, r.critical, r.l1_findings, r.l3_audited) for r in summary] == [(2, 0, 2, 0)]

@@ -51,4 +51,4 @@ def test_entry(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(LIBRARY) - set(LIBRARY_SQL) == {"source_tree_scan"}
+    assert set(LIBRARY) == set(LIBRARY_SQL)

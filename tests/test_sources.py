@@ -67,10 +67,26 @@ def test_single_file_target_bypasses_the_filters(spark, tmp_path):
     (tmp_path / "a" / "skip.md").write_text("open('/etc/passwd')")
     result = scan_tree(spark, [one, root + "/", root + "/gone"], rules=rules)
     got = {r.target: (r.total_checks, r.summary.critical) for r in result.header.collect()}
-    assert got == {one: (2, 1), root + "/": (2 * 9, 0)}     # folder.py cannot be read but counts
+    assert got == {one: (2, 1), root + "/": (2 * 9, 0), root + "/gone": (0, 0)}     # folder.py cannot be read but counts
     assert [r.path for r in result.missing.collect()] == [root + "/gone"]
 
 
+def test_every_target_has_a_header_row(spark, tmp_path):
+    (tmp_path / "full").mkdir()
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "full" / "a.py").write_text("@tool\nos.system(c)\n")
+    (tmp_path / "full" / "b.min.js").write_text("x")
+    names = [str(tmp_path / n) for n in ("full", "empty", "gone")]
+    result = scan_tree(spark, names)
+    got = {r.target: (r.score, r.total_checks, r.summary.total, r.duration_ms > 0) for r in result.header.collect()}
+    n = len(SHIPPED_RULES)
+    assert got[names[0]][1:] == (2 * n, result.findings.count(), True)
+    assert got[names[1]] == ("A+", 0, 0, True) and got[names[2]] == ("A+", 0, 1, True)
+    assert [os.path.basename(r.path) for r in result.minified.collect()] == ["b.min.js"]
+    assert {r.target: r.status for r in result.chain_status.collect()}[names[1]] == "too few findings"
+    assert [r.l1_findings for r in result.tiers.collect()] == [result.findings.count()]
+
+
 def test_missing_targets(spark, tmp_path):
     from wardspark.sources.tree import missing
 

@@ -15,13 +15,16 @@ from ..rules.fixed import (
 from .report import FINDING_FIELDS
 
 
+KEY = ["target", "path", "rule_id"]
+
+
 def match_truth(findings: DataFrame, truth: DataFrame) -> DataFrame:
-    """Full outer join on (path, rule); both sides are reduced to one row per pair first."""
-    found = findings.groupBy("path", "rule_id").agg(F.count("*").alias("n_findings"))
-    labels = truth.groupBy("path", "rule_id").agg(
+    """Full outer join on (target, path, rule); both sides are reduced to one row per key first."""
+    found = findings.groupBy(*KEY).agg(F.count("*").alias("n_findings"))
+    labels = truth.groupBy(*KEY).agg(
         F.max("is_vulnerable").alias("is_vulnerable"), F.max(F.col("severity") == "critical").alias("is_critical")
     )
-    both = labels.join(found, ["path", "rule_id"], "full_outer")
+    both = labels.join(found, KEY, "full_outer")
     outcome = (
         F.when(F.col("is_vulnerable").isNull(), "unlabelled")
         .when(F.col("is_vulnerable") & F.col("n_findings").isNotNull(), "TP")
@@ -55,7 +58,7 @@ def detection_metrics(matched: DataFrame) -> DataFrame:
 
 
 def missing_detections(findings: DataFrame, truth: DataFrame) -> DataFrame:
-    return truth.where("is_vulnerable").join(findings.select("path", "rule_id").distinct(), ["path", "rule_id"], "left_anti")
+    return truth.where("is_vulnerable").join(findings.select(*KEY).distinct(), KEY, "left_anti")
 
 
 def run_counts(runs: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ findings, and no row has to hold all findings of a scan.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,11 @@ def scan_id(target: Column, created_at: Column) -> Column:
 
 
 def from_report(header: DataFrame, period: str = "day") -> DataFrame:
-    """Rows of the scans table for fresh report headers, stamped with the current time."""
-    stamped = header.withColumn("created_at", F.current_timestamp())
+    """Rows of the scans table for fresh report headers.
+
+    They are stamped once, here, so that ids stay the same however often the rows are computed.
+    """
+    stamped = header.withColumn("created_at", F.lit(datetime.now(timezone.utc)).cast("timestamp"))
     return history_rows(
         stamped.withColumns({
             "id": scan_id(F.col("target"), F.col("created_at")),
@@ -32,7 +37,11 @@ def from_report(header: DataFrame, period: str = "day") -> DataFrame:
 
 
 def findings_of(scans: DataFrame, findings: DataFrame) -> DataFrame:
-    """Rows of the findings table: the findings of a target under the id of its scan."""
+    """Rows of the findings table: findings of one scan under its id.
+
+    ``scans`` are the rows ``from_report`` made for that same scan: one for each target, so no finding is
+    repeated however many scans are stored.
+    """
     return findings.join(scans.select("id", "target", "scan_period"), "target")
 
 

@@ -21,7 +21,7 @@ def with_positions(df: DataFrame, order: list[str], groups: dict[str, list[str]]
     """Add 0-based positions: ``groups`` maps a new column to the columns it counts within.
 
     Every group must be a prefix of ``order``, and ``order`` should identify a
-    row.  The sorted rows are checkpointed, so that block numbers stay fixed
+    row.  The sorted rows are written, so that block numbers stay fixed
     however often the result is read and whatever is lost on the way.
     """
     for cols in groups.values():
@@ -49,13 +49,14 @@ def with_positions(df: DataFrame, order: list[str], groups: dict[str, list[str]]
 def number_findings(findings: DataFrame) -> DataFrame:
     """``finding_index`` inside the target and ``file_pos`` inside the file, in path, rule, pattern, match order.
 
-    The findings are written before they are sorted: a range sort reads its
-    input twice (once for a sample), and the scan behind it should run once.
-    The result is written too: it is the findings table every later step reads.
+    The findings are written with a row key before anything is sorted: a range sort reads its input twice
+    (once for a sample), and the scan behind it should run once.  Only the keys are sorted; the numbers
+    come back to the rows by the row key.  The result is the findings table every later step reads.
     """
-    numbered = with_positions(
-        cut_lineage(findings),
+    rows = cut_lineage(findings.withColumn("_row", F.monotonically_increasing_id()))
+    numbers = with_positions(
+        rows.select("target", *FINDING_ORDER, "_row"),
         ["target", *FINDING_ORDER],
         {"finding_index": ["target"], "file_pos": ["target", "path"]},
     )
-    return cut_lineage(numbered)
+    return cut_lineage(rows.join(numbers.select("_row", "finding_index", "file_pos"), "_row").drop("_row"))

@@ -70,16 +70,19 @@ def tier_summary(judged: DataFrame, chains: DataFrame) -> DataFrame:
     )
 
 
-def ci_gate(targets: DataFrame, findings: DataFrame, threshold: str = "high") -> DataFrame:
-    """2 at or above the threshold, else 1 with any severe finding, else 0."""
+def ci_gate(targets: DataFrame, findings: DataFrame, *thresholds: str) -> DataFrame:
+    """``target, threshold, exit_code``: 2 at or above the threshold, else 1 with any severe finding, else 0.
+
+    One pass over the findings, whatever the number of thresholds (``high`` if none is given).
+    """
     sev = F.col("severity")
     worst = findings.groupBy("target").agg(
         F.max(gate_rank(sev)).alias("worst_rank"), F.max(is_severe(sev).cast("int")).alias("any_severe")
     )
-    code = (
-        F.when(F.col("worst_rank") >= threshold_rank(threshold), 2).when(F.col("any_severe") == 1, 1).otherwise(0)
-    )
-    return targets.join(worst, "target", "left").select("target", code.alias("exit_code"))
+    gates = F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(threshold_rank(t)).alias("least")) for t in thresholds or ("high",)])
+    code = F.when(F.col("worst_rank") >= F.col("g.least"), 2).when(F.col("any_severe") == 1, 1).otherwise(0)
+    out = targets.join(worst, "target", "left").withColumn("g", F.explode(gates))
+    return out.select("target", "g.threshold", code.alias("exit_code"))
 
 
 def mitigation_rollup(findings: DataFrame) -> DataFrame:

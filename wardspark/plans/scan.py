@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.detect import describe, scan_files
-from ..operators.filters import chain_eligible, collected, is_minified
+from ..operators.filters import chain_eligible, collected, is_minified, severe
 from ..operators.numbering import number_findings
-from ..operators.report import report_header, total_checks
+from ..operators.report import report_header, tier_summary, total_checks
 from ..operators.triage import assign_batches, join_audits, join_verdicts, read_chains
 from ..rules import ALL_RULES, SHIPPED_RULES
 from ..rules.fixed import DEFAULT_GLOBS
@@ -20,14 +21,89 @@ from ..session import cut_lineage
 from ..sources.tree import list_tree, missing, read_listed
 
 
-@dataclass(frozen=True)
 class ScanResult:
-    findings: DataFrame
-    judged: DataFrame
-    header: DataFrame
-    chains: DataFrame | None
-    left_out_rules: tuple = ()
-    missing: DataFrame | None = None
+    """What a scan gives.  Each table is made when it is first asked for, so a count does not pay for snippets.
+
+    ``findings`` (numbered; kept and audited ones from depth 2 and 3 on), ``judged`` (with ``kept``, dropped ones too),
+    ``header`` (a row for every target: also empty and missing ones), ``chains``, ``chain_status``, ``tiers``,
+    ``missing`` (INFO findings), ``minified`` (files left out by size or shape), ``left_out_rules``.
+    """
+
+    def __init__(self, *, source, minified, targets, checks, rules, detectors, depth, replies, left_out, missing):
+        self._source, self._targets, self._checks, self._rules = source, targets, checks, rules
+        self._detectors, self._depth, self._replies = detectors, depth, replies
+        self._seconds = 0.0
+        self.minified, self.left_out_rules, self.missing = minified, left_out, missing
+
+    def _scan(self, **options) -> DataFrame:
+        lean = scan_files(self._source, tuple(r for r in self._rules if r.kind != "custom"), **options)
+        for detector in self._detectors:
+            lean = lean.unionByName(detector(self._source).select(*lean.columns))
+        return lean
+
+    @cached_property
+    def _numbered(self) -> DataFrame:
+        """The one point where rows are written out; all later stages read that copy."""
+        start = time.perf_counter()
+        numbered = number_findings(self._scan())
+        self._seconds += time.perf_counter() - start
+        return describe(numbered, self._rules)
+
+    @cached_property
+    def judged(self) -> DataFrame:
+        verdicts = self._replies[0]
+        if self._depth >= 2 and verdicts is not None:
+            return join_verdicts(assign_batches(self._numbered), verdicts)
+        return self._numbered.withColumn("kept", F.lit(True))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        found, audits = self.judged.where("kept"), self._replies[1]
+        return join_audits(found, audits) if self._depth >= 3 and audits is not None else found
+
+    @cached_property
+    def chains(self) -> DataFrame | None:
+        if self._depth < 3 or self._replies[2] is None:
+            return None
+        eligible = chain_eligible(self.findings).select("target").distinct()
+        return read_chains(self._replies[2].join(eligible, "target", "left_semi"))
+
+    @cached_property
+    def chain_status(self) -> DataFrame:
+        """``target, n_severe, status``: chained, unread (a reply without a chain), no reply, or too few findings."""
+        severe_ = severe(self.findings).groupBy("target").agg(F.count("*").alias("n_severe"))
+        out = self._targets.join(severe_, "target", "left").na.fill(0, ["n_severe"])
+        if self.chains is None:
+            return out.withColumn("status", F.when(F.col("n_severe") < 2, "too few findings").otherwise("no reply"))
+        read = self.chains.groupBy("target").agg(F.max(F.col("chain").isNotNull()).alias("_read"))
+        status = F.when(F.col("n_severe") < 2, "too few findings").when(F.col("_read").isNull(), "no reply")
+        return out.join(read, "target", "left").select("target", "n_severe", status.when(F.col("_read"), "chained").otherwise("unread").alias("status"))
+
+    @cached_property
+    def tiers(self) -> DataFrame:
+        """The funnel per target: found, dropped, audited, chained."""
+        judged, audits = self.judged, self._replies[1]
+        if self._depth >= 3 and audits is not None:
+            judged = join_audits(judged, audits)
+        else:
+            judged = judged.withColumn("audit_status", F.lit("skipped"))
+        chained = self.chains.where("chain is not null") if self.chains is not None else self._targets.limit(0)
+        return tier_summary(judged, chained)
+
+    @cached_property
+    def header(self) -> DataFrame:
+        """Grades and counts.  At depth 1 they come from a scan without snippets unless the findings are there already."""
+        lean = self._depth == 1 and not self._detectors and "_numbered" not in self.__dict__
+        start = time.perf_counter()
+        found = describe(self._scan(snippets=False), self._rules) if lean else self.findings
+        columns = ["target", "rule_id", "severity", "owasp_ids"]
+        found = found.select(*columns)
+        if self.missing is not None:
+            nothing = F.array().cast("array<string>")
+            found = found.unionByName(self.missing.select("target", "rule_id", "severity", nothing.alias("owasp_ids")))
+        made = cut_lineage(report_header(self._targets, found, self._checks))
+        self._seconds += time.perf_counter() - start
+        return made.withColumn("duration_ms", F.lit(round(1000 * self._seconds, 1)))
 
 
 def scannable(files: DataFrame, globs=DEFAULT_GLOBS) -> DataFrame:
@@ -37,23 +113,29 @@ def scannable(files: DataFrame, globs=DEFAULT_GLOBS) -> DataFrame:
     text is bound once, so a content that is itself an expression (decoding)
     is not evaluated for every look after the filter is pushed below it.
     """
-    minified = F.exists(F.array("content"), lambda text: is_minified(F.col("path"), text))
-    return files.where(collected(F.col("path"), F.col("target"), globs) & ~minified)
+    return files.where(collected(F.col("path"), F.col("target"), globs) & ~minified())
+
+
+def minified() -> Column:
+    return F.exists(F.array("content"), lambda text: is_minified(F.col("path"), text))
 
 
 def run_scan(files: DataFrame, depth: int = 1, *, rules=SHIPPED_RULES, globs=DEFAULT_GLOBS,
-             listing: DataFrame | None = None,
+             listing: DataFrame | None = None, targets: DataFrame | None = None, missing: DataFrame | None = None,
+             minified_too: bool = False,
              detectors: tuple[Callable[[DataFrame], DataFrame], ...] = (),
              verdict_replies: DataFrame | None = None, audit_replies: DataFrame | None = None,
              chain_replies: DataFrame | None = None) -> ScanResult:
     """Depth 1 detects, depth 2 adds verdicts, depth 3 adds audits and chains.
 
-    The numbered findings are the one point where rows are written out; all
-    later stages read that copy.  A layer without replies passes findings on.
+    A layer without replies passes findings on.
 
     ``listing(target, path)`` names the files without their contents; where contents
     are costly to read it keeps targets and check counts from reading them again,
-    and it also counts files that could not be read.
+    and it also counts files that could not be read.  ``targets(target)`` are those asked for: one without a
+    collected file has its header row too, as have those of ``missing``, INFO findings of targets that are not there.
+
+    Minified files are left out and listed in the result, unless ``minified_too``.
 
     ``detectors`` are functions from files to lean findings for what patterns
     cannot say; list a ``RuleSpec`` of kind ``custom`` for each in ``rules``.
@@ -63,34 +145,24 @@ def run_scan(files: DataFrame, depth: int = 1, *, rules=SHIPPED_RULES, globs=DEF
     if not set(rules) <= set(ALL_RULES):
         rules, left_out = usable_rules(files.sparkSession, rules)
     names = files if listing is None else listing
-    targets = names.select("target").distinct()
+    every = names.select("target")
+    for more in (targets, missing):
+        if more is not None:
+            every = every.unionByName(more.select("target"))
     checks = total_checks(names.where(collected(F.col("path"), F.col("target"), globs)), len(rules))
-    source = scannable(files, globs)
-    lean = scan_files(source, tuple(r for r in rules if r.kind != "custom"))
-    for detector in detectors:
-        lean = lean.unionByName(detector(source).select(*lean.columns))
-    numbered = describe(number_findings(lean), rules)
-    if depth >= 2 and verdict_replies is not None:
-        judged = join_verdicts(assign_batches(numbered), verdict_replies)
-    else:
-        judged = numbered.withColumn("kept", F.lit(True))
-    findings = judged.where("kept")
-    chains = None
-    if depth >= 3:
-        if audit_replies is not None:
-            findings = join_audits(findings, audit_replies)
-        if chain_replies is not None:
-            eligible = chain_eligible(findings).select("target").distinct()
-            chains = read_chains(chain_replies.join(eligible, "target", "left_semi"))
-    return ScanResult(findings, judged, report_header(targets, findings, checks), chains, tuple(left_out))
+    picked = files.where(collected(F.col("path"), F.col("target"), globs))
+    return ScanResult(
+        source=picked if minified_too else scannable(files, globs), minified=picked.where(minified()).select("target", "path"),
+        targets=every.distinct(), checks=checks, rules=rules, detectors=detectors, depth=depth,
+        replies=(verdict_replies, audit_replies, chain_replies), left_out=tuple(left_out), missing=missing)
 
 
 def scan_tree(spark: SparkSession, targets: list[str], depth: int = 1, *, globs=DEFAULT_GLOBS, **options) -> ScanResult:
     """Scan directories or files of a shared file system.
 
     The tree is listed once and every file is read once.  Targets that do not
-    exist come back as INFO findings in ``missing``.
+    exist come back as INFO findings in ``missing``, and every target has a row in the header.
     """
     listing = cut_lineage(list_tree(spark, targets, globs))
-    result = run_scan(read_listed(listing), depth, globs=globs, listing=listing, **options)
-    return replace(result, missing=missing(spark, targets))
+    asked = spark.createDataFrame([(t,) for t in targets], "target string")
+    return run_scan(read_listed(listing), depth, globs=globs, listing=listing, targets=asked, missing=missing(spark, targets), **options)

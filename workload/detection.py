@@ -12,7 +12,6 @@ from wardspark.functions.paths import file_name
 from wardspark.rules import ALL_RULES, FILE, LINE, rule
 from wardspark.rules.fixed import DEFAULT_GLOBS, INJECTION_PHRASES, MIN_RULES
 from wardspark.rules.spec import any_glob, rules_table
-from wardspark.sources.tree import list_tree
 
 from .corpora import CODE_FILES_SQL, CONFIGS_SQL, TEXT_ROWS_SQL, code_files, configs, spread, table, text_rows
 from .duck import (
@@ -277,14 +276,6 @@ ORACLE["rule_registry"] = (
 
 
 # --- sources ------------------------------------------------------------------------
-def source_tree_scan(spark, sf_dir):
-    """The folder of the given tables as a source tree."""
-    return list_tree(spark, [sf_dir], ("*.parquet",)).select(file_name(F.col("path")).alias("name"), "size")
-
-
-QUERIES["source_tree_scan"] = source_tree_scan
-
-
 def _requests(spark, sf_dir):
     """A directory per nation (some do not exist) and the first and last file of every directory by name."""
     dirs = table(spark, sf_dir, "nation").select(F.concat(F.lit("repo"), F.col("n_nationkey").cast("string")).alias("request"))

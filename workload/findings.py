@@ -11,7 +11,7 @@ from wardspark.operators import report
 from wardspark.operators.detect import describe, scan, scan_files
 from wardspark.operators.filters import at_or_above, chain_eligible, collected, severe
 from wardspark.operators.numbering import number_findings
-from wardspark.plans.scan import run_scan, scannable
+from wardspark.plans.scan import scannable
 from wardspark.rules import ALL_RULES, DOCUMENTED_RULES, SHIPPED_RULES, rule
 
 from .corpora import CODE_FILES_SQL, code_files, spread, table, text_rows, TEXT_ROWS_SQL
@@ -26,9 +26,17 @@ def files(spark, sf_dir) -> DataFrame:
     return code_files(spark, sf_dir).select("target", "path", "content")
 
 
+def table_state(spark, sf_dir) -> int:
+    """Changes whenever a file behind the corpus does."""
+    names = ("events", "customer")
+    parts = [table(spark, sf_dir, n).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"),
+                                            F.col("_metadata.file_modification_time").alias("t")) for n in names]
+    return parts[0].unionByName(parts[1]).groupBy("p", "s", "t").count().agg(F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)"))).first()[0]
+
+
 def numbered_findings(spark, sf_dir) -> DataFrame:
-    """The findings table all later steps read; numbered findings are written once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The findings table all later steps read, written once for a state of the tables in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, table_state(spark, sf_dir))
     if key not in _NUMBERED:
         _NUMBERED[key] = describe(number_findings(scan_files(scannable(files(spark, sf_dir)), ALL_RULES)), ALL_RULES)
     return _NUMBERED[key]
@@ -65,9 +73,10 @@ def _(spark, sf_dir):
 
 @register("findings_union", F_SQL + "SELECT target, rule_id, pattern_ord, count(*) AS n_findings FROM findings GROUP BY ALL")
 def _(spark, sf_dir):
-    """Two rule sets scanned apart and put together as a bag."""
-    src = scannable(files(spark, sf_dir))
-    both = scan(src, SHIPPED_RULES, snippets=False).unionByName(scan(src, DOCUMENTED_RULES, snippets=False))
+    """The findings of two rule sets of one scan, put together as a bag."""
+    found = scan(scannable(files(spark, sf_dir)), ALL_RULES, snippets=False)
+    names = [[r.rule_id for r in rules] for rules in (SHIPPED_RULES, DOCUMENTED_RULES)]
+    both = found.where(F.col("rule_id").isin(names[0])).unionByName(found.where(F.col("rule_id").isin(names[1])))
     return both.groupBy("target", "rule_id", "pattern_ord").agg(F.count("*").alias("n_findings"))
 
 
@@ -125,11 +134,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     targets = files(spark, sf_dir).select("target").distinct()
     found = numbered_findings(spark, sf_dir)
-    gates = [report.ci_gate(targets, found, t).withColumn("threshold", F.lit(t)) for t in ("low", "high", "critical", "bogus")]
-    out = gates[0]
-    for g in gates[1:]:
-        out = out.unionByName(g)
-    return out
+    return report.ci_gate(targets, found, "low", "high", "critical", "bogus")
 
 
 @register("severity_threshold_filter", F_SQL + f"SELECT target, finding_index, severity FROM findings WHERE {_RANK} >= 3")
@@ -163,7 +168,7 @@ def _(spark, sf_dir):
     return report.mitigation_rollup(numbered_findings(spark, sf_dir))
 
 
-@register("top_mitigations", F_SQL + ", m AS (SELECT target, rule_id, count(*) AS n_findings FROM findings WHERE severity IN ('critical', 'high') GROUP BY ALL) "
+@register("top_rules", F_SQL + ", m AS (SELECT target, rule_id, count(*) AS n_findings FROM findings WHERE severity IN ('critical', 'high') GROUP BY ALL) "
           "SELECT target, rule_id, n_findings, row_number() OVER (PARTITION BY target ORDER BY n_findings DESC, rule_id) AS place FROM m "
           "QUALIFY row_number() OVER (PARTITION BY target ORDER BY n_findings DESC, rule_id) <= 3")
 def _(spark, sf_dir):
@@ -178,13 +183,13 @@ def _(spark, sf_dir):
     return report.by_severity(numbered_findings(spark, sf_dir)).select("target", "finding_index", "rule_id", "display_rank")
 
 
-@register("group_by_file", F_SQL + "SELECT target, path, CAST(file_pos // 12 AS BIGINT) AS chunk_no, string_agg(CAST(finding_index AS VARCHAR), ',' ORDER BY finding_index) AS members, "
-          "min(finding_index) AS first_index FROM findings GROUP BY ALL")
+@register("group_by_file", F_SQL + "SELECT target, path, count(*) AS n_findings, min(finding_index) AS first_index, max(finding_index) AS last_index, "
+          "CAST(sum(finding_index * (file_pos + 1)) AS BIGINT) AS placed FROM findings GROUP BY ALL")
 def _(spark, sf_dir):
-    """Findings per file in order, in chunks of at most twelve so that no file is one row."""
-    chunked = numbered_findings(spark, sf_dir).withColumn("chunk_no", F.floor(F.col("file_pos") / 12))
-    return chunked.groupBy("target", "path", "chunk_no").agg(
-        F.array_join(F.sort_array(F.collect_list("finding_index")), ",").alias("members"), F.min("finding_index").alias("first_index"))
+    """The findings of every file with their order; sums over places, so that no file has to be one list."""
+    return numbered_findings(spark, sf_dir).groupBy("target", "path").agg(
+        F.count("*").alias("n_findings"), F.min("finding_index").alias("first_index"), F.max("finding_index").alias("last_index"),
+        F.sum(F.col("finding_index") * (F.col("file_pos") + 1)).alias("placed"))
 
 
 # --- reports ----------------------------------------------------------------------
@@ -216,14 +221,6 @@ def _(spark, sf_dir):
         F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["rule_id"], f["line_number"])), ",").alias("found"))
 
 
-@register("depth_select", F_SQL.replace(hits_cte(), hits_cte(SHIPPED_RULES)) + f", c AS (SELECT target, {_COUNTS_SQL} FROM findings GROUP BY target) "
-          f"SELECT target, {_GRADE} AS score, total FROM c")
-def _(spark, sf_dir):
-    """The pipeline at depth 1 with the shipped rules."""
-    header = run_scan(files(spark, sf_dir), depth=1).header
-    return header.select("target", "score", F.col("summary.total").alias("total"))
-
-
 # --- text functions -------------------------------------------------------------------
 @register("split_lines", f"WITH {TEXT_ROWS_SQL} SELECT source, path, unnest(string_split(content, chr(10))) AS line, "
           "CAST(generate_subscripts(string_split(content, chr(10)), 1) AS BIGINT) AS line_number FROM text_rows")

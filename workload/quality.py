@@ -41,8 +41,8 @@ _LABELS = (
 
 def truth(spark, sf_dir) -> DataFrame:
     labels = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.lit(v).alias("is_vulnerable")) for t, r, s, v in _LABELS])
-    rows = code_files(spark, sf_dir).select("path", (F.col("event_id") % len(TEMPLATES)).alias("n"))
-    return rows.select("path", F.explode(F.filter(labels, lambda x: x["t"] == F.col("n"))).alias("x")).select("path", "x.rule_id", "x.severity", "x.is_vulnerable")
+    rows = code_files(spark, sf_dir).select("target", "path", (F.col("event_id") % len(TEMPLATES)).alias("n"))
+    return rows.select("target", "path", F.explode(F.filter(labels, lambda x: x["t"] == F.col("n"))).alias("x")).select("target", "path", "x.rule_id", "x.severity", "x.is_vulnerable")
 
 
 _TRUTH_SQL = (
@@ -89,7 +89,7 @@ def _(spark, sf_dir):
     docs = as_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), F.col("doc_id"), F.col("text"), "documents")
     found = scan(docs, (rule("SEC-003"),), match_globs=False, snippets=False)
     labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").cast("string").alias("path"), F.lit("SEC-003").alias("rule_id"), F.lit("high").alias("severity"), (F.col("toxic") == 1).alias("is_vulnerable"))
+        F.lit("documents").alias("target"), F.col("doc_id").cast("string").alias("path"), F.lit("SEC-003").alias("rule_id"), F.lit("high").alias("severity"), (F.col("toxic") == 1).alias("is_vulnerable"))
     return evaluate.match_truth(found, labels).groupBy("outcome").agg(F.count("*").alias("n"))
 
 

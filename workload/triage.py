@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from wardspark.functions.replies import repaired_json, verdict_batch
 from wardspark.operators import report, triage
 from wardspark.operators.filters import chain_eligible, severe
+from wardspark.plans.scan import run_scan
+from wardspark.rules import ALL_RULES
 
 from .detection import flat
-from .findings import F_SQL, files, numbered_findings
+from .findings import _GRADE, F_SQL, files, numbered_findings
 
 QUERIES, ORACLE = {}, {}
 N_SHAPES = 9
@@ -234,3 +236,34 @@ def _(spark, sf_dir):
     e = triage.join_audits(j, audit_replies(numbered_findings(spark, sf_dir)))
     chains = triage.read_chains(chain_replies(numbered_findings(spark, sf_dir))).where("chain is not null")
     return report.tier_summary(e, chains)
+
+
+_COUNTS = "count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) AS total"
+
+
+@register("depth_select", _BATCHED_SQL + ", at_depth AS (SELECT d.depth, v.* FROM verdicts v, (VALUES (1), (2), (3)) d(depth) WHERE d.depth = 1 OR kept), "
+          f"c AS (SELECT depth, target, {_COUNTS}, count(*) FILTER (WHERE depth = 3 AND severity IN ('critical', 'high') AND finding_index % 5 < 3) AS audited, "
+          "count(*) FILTER (WHERE severity IN ('critical', 'high')) AS severe FROM at_depth GROUP BY ALL) "
+          f"SELECT CAST(depth AS BIGINT) AS depth, target, {_GRADE} AS score, total, audited, depth = 3 AND severe >= 2 AND CAST(substr(target, 5) AS INT) % 4 < 2 AS chained FROM c")
+def _(spark, sf_dir):
+    """The whole pipeline at depth 1, 2 and 3."""
+    given = numbered_findings(spark, sf_dir)
+    b = triage.assign_batches(given)
+    out = None
+    for depth in (1, 2, 3):
+        result = run_scan(files(spark, sf_dir), depth, rules=ALL_RULES, verdict_replies=replies(b), audit_replies=audit_replies(given), chain_replies=chain_replies(given))
+        header = result.header.where("summary.total > 0")
+        tiers = result.tiers if depth == 3 else header.select("target", F.lit(0).alias("l3_audited"), F.lit(False).alias("l4_chain"))
+        rows = header.join(tiers, "target").select(F.lit(depth).alias("depth"), "target", "score", F.col("summary.total").alias("total"),
+                                                   F.col("l3_audited").alias("audited"), F.col("l4_chain").alias("chained"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("top_mitigations", F_SQL + ", t AS (SELECT DISTINCT target, CAST(substr(target, 5) AS INT) % 4 AS kind FROM findings) "
+          "SELECT target, CASE kind WHEN 0 THEN 'pin' END AS action, CAST(1 AS BIGINT) AS place FROM t WHERE kind = 0")
+def _(spark, sf_dir):
+    """The first three mitigations of every chain."""
+    c = triage.read_chains(chain_replies(numbered_findings(spark, sf_dir))).where("chain is not null")
+    firsts = F.transform(F.slice("chain.mitigation_priority", 1, 3), lambda m, i: F.struct(m["action"].alias("action"), (i + 1).alias("place")))
+    return c.select("target", F.explode(firsts).alias("m")).select("target", "m.action", "m.place")
