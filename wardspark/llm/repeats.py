@@ -4,18 +4,20 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else.
 
 1. *Suffix buckets.*  A window of ``LENGTH`` bytes belongs to the bucket of its
    minimiser, the 100-byte gram of smallest hash in it.  Equal windows have
-   equal minimisers at the same distance, so a bucket is complete in itself, and
-   a bucket with one occurrence holds no repeat: only the others go on.
-2. *Blockwise construction.*  Tasks get whole buckets, as the stretches of text
-   their windows cover, and suffix-sort them a few megabytes at a time: first by
-   the leading ``PERIOD`` bytes, then, where these tie, by the ranks of the
-   difference-cover sample.  For any two places there is a shift below
-   ``PERIOD`` that brings both into the sample, so one look at two ranks settles
-   a tie of any length.  Neighbours in this order with a common prefix of
-   ``LENGTH`` bytes are repeats.
-3. *Very large buckets* (more than ``MOST`` occurrences) would not fit one task.
-   Their windows become rows with 128-bit hashes, which are counted with
-   partial sums: the same answer by another way, at any size.
+   equal minimisers at the same distance, so a bucket is complete in itself.
+   The neighbouring windows of one minimiser form a stretch of text.  A bucket
+   with one stretch holds no repeat.  Equal stretches (by 128-bit hash) are
+   repeats in all their windows; one of them stays for comparison with others.
+2. *Blockwise construction.*  Tasks get whole buckets of different stretches and
+   suffix-sort them a few megabytes at a time: first by the leading ``PERIOD``
+   bytes, then, where these tie, by the ranks of the difference-cover sample.
+   For any two places there is a shift below ``PERIOD`` that brings both into the
+   sample, so one look at two ranks settles a tie of any length.  Neighbours in
+   this order with a common prefix of ``LENGTH`` bytes are repeats.
+3. *Very large buckets* (more than ``MOST`` different stretches) would not fit one
+   task.  They are split by what their windows have in common: ever fewer
+   neighbouring windows, whose common bytes are counted by 128-bit hash with partial
+   sums; what is unique leaves at every step.  The same answer, at any size.
 
 Texts that occur more than once as a whole stand in the buckets once.  They are
 known by their digest everywhere, so ids may be null or repeat.
@@ -28,6 +30,7 @@ from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +39,10 @@ from .common import extended, list_column, slices, strings, written
 LENGTH = 400
 GRAM = 100
 GRAMS = LENGTH - GRAM + 1
-#: Occurrences of one minimiser that a task sorts itself: at most 14 MB of text.
+#: Different stretches of one minimiser that a task sorts itself: at most 14 MB of text.
 MOST = 20_000
+#: Neighbouring windows that are told apart together, step by step, in larger buckets.
+STEPS = (64, 13, 3, 1)
 BLOCK_BYTES = 4 << 20
 PERIOD = 32
 #: A difference cover modulo 32; every residue is a difference of two of them.
@@ -45,7 +50,7 @@ COVER = (0, 1, 2, 3, 7, 11, 19)
 SEGMENT = 1 << 22
 
 MIX_A, MIX_B, SHIFT = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+BASE = np.uint64(0x9E3779B97F4A7C15)
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -83,7 +88,7 @@ class Rolling:
         return mixed((sums[length:] - sums[:n]) * self.backs[:n])
 
 
-ROLLING = tuple(Rolling(b) for b in BASES)
+ROLLING = Rolling(BASE)
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -97,22 +102,23 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def minimisers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one minimiser: its hash, and the first and last start of the run."""
-    keys, firsts, lasts = [], [], []
+def minimisers(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one minimiser: its hash and place, and the first and last start of the run."""
+    keys, places_, firsts, lasts = [], [], [], []
     for at in range(0, len(data) - LENGTH + 1, SEGMENT):
         part = data[at : at + SEGMENT + LENGTH - 1]
-        grams = ROLLING[0].hashes(part, GRAM)
+        grams = ROLLING.hashes(part, GRAM)
         places = (grams & ~LOW) | np.arange(len(grams), dtype=np.uint64)  # the leftmost of equal ones
         chosen = (sliding_least(places, GRAMS) & LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         keys.append(grams[chosen[first]].view(np.int64))
+        places_.append(chosen[first] + at)
         firsts.append(first + at)
         lasts.append(np.concatenate([first[1:], [len(chosen)]]) - 1 + at)
     if not keys:
         none = np.zeros(0, np.int64)
-        return none, none, none
-    return np.concatenate(keys), np.concatenate(firsts), np.concatenate(lasts)
+        return none, none, none, none
+    return tuple(map(np.concatenate, (keys, places_, firsts, lasts)))
 
 
 def raw(text: str) -> np.ndarray:
@@ -125,32 +131,35 @@ def with_digest(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """``digest, grams, lows, highs`` of every text that has a window."""
-    schema = extended(docs, ["digest"], "grams array<long>, lows array<int>, highs array<int>")
+    """``digest`` and the stretches of every text that has a window: hash and place of the minimiser, first and
+    last window, hash of the stretch."""
+    schema = extended(docs, ["digest"], "gram array<long>, at array<int>, low array<int>, high array<int>, body array<binary>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [minimisers(raw(t)) for t in strings(batch.column(1))]
+            found, bodies = [], []
+            for text in strings(batch.column(1)):
+                data = raw(text)
+                found.append(minimisers(data))
+                view = memoryview(data)
+                bodies += [xxhash.xxh3_128_digest(view[a : b + LENGTH]) for a, b in zip(found[-1][2].tolist(), found[-1][3].tolist(), strict=True)]
             sizes, none = [len(f[0]) for f in found], np.zeros(0, np.int64)
-            columns = [np.concatenate([none, *(f[i] for f in found)]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), list_column(columns[0], sizes), list_column(columns[1].astype(np.int32), sizes),
-                list_column(columns[2].astype(np.int32), sizes)], names=schema.names)
+            columns = [np.concatenate([none, *(f[i] for f in found)]) for i in range(4)]
+            lists = [list_column(c if i == 0 else c.astype(np.int32), sizes) for i, c in enumerate(columns)]
+            lists.append(list_column(pa.array(bodies, pa.binary()), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=schema.names)
 
     return docs.where(F.octet_length("text") >= LENGTH).select("digest", "text").mapInArrow(run, schema)
 
 
-def runs(anchored: DataFrame) -> DataFrame:
-    return anchored.select("digest", F.explode(F.arrays_zip("grams", "lows", "highs")).alias("r")).select(
-        "digest", F.col("r.grams").alias("gram"), F.col("r.lows").alias("low"), F.col("r.highs").alias("high"))
-
-
-STRETCH = "gram long, digest binary, low int, body binary, w1 long, w2 long"
+STRETCH = "gram long, digest binary, at int, low int, single boolean, large boolean, bytes binary"
+STRETCH_TYPES = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+STRETCH_NAMES = ["gram", "digest", "at", "low", "single", "large", "bytes"]
 
 
 def stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The text that the windows of shared buckets cover; for very large buckets a row per window instead."""
-    listed = wanted.groupBy("digest").agg(F.collect_list(F.struct("gram", "low", "high", "large")).alias("runs"))
+    """The bytes of the wanted stretches, once each although texts may repeat."""
+    listed = wanted.groupBy("digest").agg(F.collect_list(F.struct("gram", "at", "low", "high", "single", "large")).alias("runs"))
     joined = texts.select("digest", "text").join(listed.hint("shuffle_hash"), "digest").select("digest", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,28 +167,15 @@ def stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in slices(batches, 2 << 20):
             rows = []
             for digest, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if digest == last:
-                    continue
-                last, data = digest, raw(text)
-                hashes = None
-                for r in found:
-                    low, high = r["low"], r["high"]
-                    if not r["large"]:
-                        rows.append((r["gram"], digest, low, data[low : high + LENGTH].tobytes(), None, None))
-                        continue
-                    part = data[low : high + LENGTH]
-                    hashes = [x.hashes(part, LENGTH).view(np.int64).tolist() for x in ROLLING]
-                    rows += [(None, digest, low + n, None, a, b) for n, (a, b) in enumerate(zip(*hashes, strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), STRETCH_TYPES, strict=True)]
-                                             if rows else [pa.array([], t) for t in STRETCH_TYPES], names=STRETCH_NAMES)
+                if digest != last:
+                    last, data = digest, raw(text)
+                    rows += [(r["gram"], digest, r["at"], r["low"], r["single"], r["large"], data[r["low"] : r["high"] + LENGTH].tobytes()) for r in found]
+            columns = list(zip(*rows, strict=True)) or [()] * len(STRETCH_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, STRETCH_TYPES, strict=True)], names=STRETCH_NAMES)
 
     return joined.mapInArrow(run, STRETCH)
 
 
-STRETCH_TYPES = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-STRETCH_NAMES = ["gram", "digest", "low", "body", "w1", "w2"]
-
-
 def eight_bytes(data: np.ndarray) -> np.ndarray:
     """For every place the next 8 bytes as a number that sorts like them (zeros behind the end)."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -252,23 +248,24 @@ COVERED = pa.schema([("digest", pa.binary()), ("start", pa.int32()), ("end", pa.
 
 
 def sort_buckets(stretched: DataFrame) -> DataFrame:
-    """``digest, start, end`` of the repeated windows of all buckets that tasks sort themselves."""
-    dealt = stretched.where("body is not null").select("gram", "digest", "low", "body").repartition("gram").sortWithinPartitions("gram")
+    """``digest, start, end`` of the repeated windows of the buckets that tasks sort themselves."""
+    dealt = stretched.where("not large").select("gram", "digest", "low", "single", "bytes").repartition("gram").sortWithinPartitions("gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, bytes]] = []
+        held: list[tuple[bytes, int, bool, bytes]] = []
         size, last, seen = 0, None, set()
 
         def flush() -> pa.RecordBatch:
             out = []
-            hits = repeated([b for _, _, b in held], [len(b) - LENGTH + 1 for _, _, b in held]) if len(held) > 1 else []
-            for (digest, low, _), hit in zip(held, hits, strict=False):
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                out += [{"digest": digest, "start": low + s, "end": low + e - 1 + LENGTH} for s, e in edge.reshape(-1, 2).tolist()]
+            hits = repeated([x[3] for x in held], [len(x[3]) - LENGTH + 1 for x in held]) if len(held) > 1 else []
+            for (digest, low, single, _), hit in zip(held, hits, strict=False):
+                if single:  # all windows of the others are known to be repeats
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                    out += [{"digest": digest, "start": low + s, "end": low + e - 1 + LENGTH} for s, e in edge.reshape(-1, 2).tolist()]
             return pa.RecordBatch.from_pylist(out, schema=COVERED)
 
         for batch in slices(batches, 1 << 20):
-            for gram, digest, low, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for gram, digest, low, single, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if gram != last:
                     last, seen = gram, set()
                     if size >= BLOCK_BYTES:
@@ -276,33 +273,57 @@ def sort_buckets(stretched: DataFrame) -> DataFrame:
                         held, size = [], 0
                 if (digest, low) not in seen:
                     seen.add((digest, low))
-                    held.append((digest, low, body))
+                    held.append((digest, low, single, body))
                     size += len(body)
         yield flush()
 
     return dealt.mapInArrow(run, "digest binary, start int, end int")
 
 
-def count_windows(stretched: DataFrame) -> DataFrame:
-    """The same for the windows of very large buckets, by counts of their hashes."""
-    place = F.xxhash64("digest", "low")
-    windows = stretched.where("w1 is not null").select("digest", "low", "w1", "w2")
-    twice = windows.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
-    found = windows.join(twice.select("w1", "w2"), ["w1", "w2"])
-    return found.select("digest", F.col("low").alias("start"), (F.col("low") + LENGTH).alias("end"))
+def split_large(stretched: DataFrame) -> DataFrame:
+    """The same for larger buckets.  Windows are named by their distance from the minimiser, equal in equal windows."""
+    large = written(stretched.where("large").select("digest", "at", "low", "bytes").distinct(), "large")
+    left = large.select("digest", "low", (F.col("low") - F.col("at")).alias("a"), (F.col("low") - F.col("at") + F.octet_length("bytes") - LENGTH).alias("b"))
+    for step in STEPS:
+
+        def run(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 2 << 20):
+                rows = []
+                for digest, low, a, b, at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    base = at - low
+                    for n in range(a // step, b // step + 1):
+                        common = body[base + n * step + step - 1 : base + n * step + LENGTH]
+                        rows.append((digest, low, max(a, n * step), min(b, n * step + step - 1), n, xxhash.xxh3_128_digest(common)))
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                types = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["digest", "low", "a", "b", "n", "common"])
+
+        joined = left.join(large, ["digest", "low"]).select("digest", "low", "a", "b", "at", "bytes")
+        parts = written(joined.mapInArrow(run, "digest binary, low int, a int, b int, n int, common binary"), "parts")
+        place = F.xxhash64("digest", "low")
+        twice = parts.groupBy("n", "common").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
+        left = written(parts.join(twice.select("n", "common"), ["n", "common"]).select("digest", "low", "a", "b"), "left")
+    found = left.join(large.select("digest", "low", "at"), ["digest", "low"])
+    return found.select("digest", (F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b") + LENGTH).alias("end"))
 
 
 def covered(docs: DataFrame, most: int = MOST) -> DataFrame:
     """``digest, whole, spans`` for every text with something to remove; ``docs`` has text and digest."""
     anchored = written(anchors(docs), "anchors")
     copies = anchored.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("whole"))
-    each = runs(anchored)
+    each = anchored.select("digest", F.inline(F.arrays_zip("gram", "at", "low", "high", "body")))
     place = F.xxhash64("digest", "low")
-    shared = each.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).where("x <> y")
-    shared = written(shared.select("gram", (F.col("n") > most).alias("large")), "shared")
-    wanted = written(each.join(shared, "gram").distinct(), "wanted")
-    stretched = written(stretches(docs, wanted), "stretches")
-    ranges = sort_buckets(stretched).unionByName(count_windows(stretched))
+    ends = [F.min(place).alias("x"), F.max(place).alias("y")]
+    shared = each.groupBy("gram").agg(*ends).where("x <> y").select("gram")
+    wanted = written(each.join(written(shared, "shared"), "gram").distinct(), "wanted")
+    bodies = wanted.groupBy("gram", "body").agg(*ends, F.min(F.struct("digest", "low", "high", "at")).alias("one"))
+    bodies = written(bodies.select("gram", "body", (F.col("x") == F.col("y")).alias("single"), "one.*"), "bodies")
+    equal = wanted.join(bodies.where("not single").select("gram", "body"), ["gram", "body"])
+    several = bodies.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > most).alias("large"))
+    stretched = written(stretches(docs, bodies.join(several, "gram")), "stretches")
+    ranges = equal.select("digest", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end")).unionByName(sort_buckets(stretched))
+    if not stretched.where("large").isEmpty():
+        ranges = ranges.unionByName(split_large(stretched))
     spans = ranges.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return written(spans.join(copies, "digest", "full_outer"), "repeats")
 
