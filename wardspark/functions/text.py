@@ -64,17 +64,6 @@ def context_snippet(lines: Column, n: Column, around: int = CONTEXT_LINES) -> Co
     return render_context(context_lines(lines, n, around), n, around)
 
 
-def key_line(lines: Column, key: Column) -> Column:
-    """First line that holds the key in double or single quotes, else 1."""
-    double = F.concat(F.lit('"'), key, F.lit('"'))
-    single = F.concat(F.lit("'"), key, F.lit("'"))
-    hit = F.filter(
-        F.transform(lines, lambda line, i: F.when(line.contains(double) | line.contains(single), i + 1)),
-        lambda x: x.isNotNull(),
-    )
-    return F.coalesce(F.try_element_at(hit, F.lit(1)), F.lit(1))
-
-
 def redact(text: Column, java_regex: str) -> Column:
     return F.regexp_replace(text, F.lit(java_regex), F.lit(REDACTED.replace("$", "\\$")))
 

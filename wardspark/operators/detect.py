@@ -33,18 +33,19 @@ from .hits import NO_HITS, context, hit
 
 
 def scan_files(files: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES, *, match_globs: bool = True,
-               snippets: bool = True) -> DataFrame:
+               snippets: bool = True, modes: tuple[str, ...] = (LINE, FILE)) -> DataFrame:
     """Lean findings of ``files(path, content, ...)``; other columns are passed through.
 
     One row per finding: ``rule_ord, pattern_ord, line_number, match_ord, note,
     code_snippet``.  ``match_globs=False`` applies every rule to every row, for
     table corpora whose ids are not file names.  ``snippets=False`` leaves the
-    context out for jobs that only count.
+    context out for jobs that only count.  ``modes`` leaves out patterns of the
+    other mode before anything is matched.
     """
     keep = [c for c in files.columns if c != "content"]
     globs = list(dict.fromkeys(r.globs for r in rules))
     applies = {g: f"_applies{i}" for i, g in enumerate(globs)}
-    line_rules = [r for r in rules if r.kind == "regex" and any(p.mode == LINE for p in r.patterns)]
+    line_rules = [r for r in rules if LINE in modes and r.kind == "regex" and any(p.mode == LINE for p in r.patterns)]
 
     name = file_name(F.col("path"))
     flags = [(any_glob(name, g) if match_globs else F.lit(True)).alias(applies[g]) for g in globs]
@@ -59,7 +60,7 @@ def scan_files(files: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES, *, mat
     for rule in rules:
         if rule.kind == "regex":
             for k, p in enumerate(rule.patterns):
-                if p.mode == FILE:
+                if p.mode == FILE and FILE in modes:
                     hits.append(_file_hits(rule, k, applies[rule.globs], snippets))
         elif rule.kind == "tool_description":
             hits.append(_description_hits(rule, applies[rule.globs], snippets))

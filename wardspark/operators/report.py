@@ -130,7 +130,8 @@ def report_documents(header: DataFrame, numbered: DataFrame, chains: DataFrame |
 
     A report of up to ``page_size`` findings is one document.  A longer one
     continues on further pages with the same header, so no document (and no
-    task) has to hold an unbounded list.
+    task) has to hold an unbounded list; every document says how many pages its report has.
+    The tables ``header`` and ``numbered`` are the report itself, one row for each finding.
     """
     pages = (
         numbered.select(
@@ -143,6 +144,7 @@ def report_documents(header: DataFrame, numbered: DataFrame, chains: DataFrame |
     )
     out = header.join(pages, "target", "left").withColumns({
         "page": F.coalesce("page", F.lit(0)),
+        "n_pages": F.greatest(F.lit(1), F.ceil(F.col("summary.total") / page_size).cast("int")),
         "findings": F.coalesce("findings", F.array().cast(pages.schema["findings"].dataType)),
     })
     if chains is None:

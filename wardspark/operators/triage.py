@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.grading import is_severe
 from ..functions.replies import audit_demo, audit_fields, audit_fix, chain_fields, verdict_batch
 from ..functions.text import CHAIN_BLOCK_MIN_CHARS, chain_block, head_and_tail, triage_block
-from ..rules.fixed import BATCH_SIZE, CHAIN_CHAR_LIMIT
+from ..rules.fixed import BATCH_SIZE, CHAIN_CHAR_LIMIT, FILE_CHAR_LIMIT
 
 BATCH = ["target", "path", "batch_no"]
 
@@ -121,14 +121,18 @@ def dropped(judged: DataFrame) -> DataFrame:
     return judged.where(~F.col("kept"))
 
 
-def file_payloads(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """The content of its file, head and tail only where it is long, next to every severe finding.
+def file_payloads(findings: DataFrame, files: DataFrame, limit: int | None = FILE_CHAR_LIMIT) -> DataFrame:
+    """The content of its file next to every severe finding: ``file_text``, ``n_chars`` of the whole, ``was_cut``.
 
-    The cut happens before the join, so at most one limited text per file is
+    Texts over ``limit`` characters keep head and tail; ``None`` cuts nothing.  The
+    cut happens before the join, so with a limit at most one limited text per file is
     shuffled; a file with very many findings is split by the adaptive skew join.
     """
-    short = files.select("target", "path", head_and_tail(F.col("content")).alias("file_text"))
-    return findings.where(is_severe(F.col("severity"))).join(short, ["target", "path"], "left").withColumn(
+    content = F.col("content")
+    shown = content if limit is None else head_and_tail(content, limit)
+    was_cut = F.lit(False) if limit is None else F.length(content) > limit
+    texts = files.select("target", "path", shown.alias("file_text"), F.length(content).alias("n_chars"), was_cut.alias("was_cut"))
+    return findings.where(is_severe(F.col("severity"))).join(texts, ["target", "path"], "left").withColumn(
         "file_text", F.coalesce("file_text", F.concat(F.lit("[File not found: "), F.col("path"), F.lit("]")))
     )
 

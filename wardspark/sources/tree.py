@@ -24,6 +24,7 @@ from ..rules.fixed import DEFAULT_GLOBS, SKIPPED_DIRS
 
 LISTING = "target string, path string, size bigint"
 _READ_CHUNK_BYTES = 32 << 20
+_PARTITION_BYTES = 128 << 20
 
 
 class _Share(InputPartition):
@@ -136,12 +137,21 @@ def list_tree(spark: SparkSession, targets: list[str], globs=DEFAULT_GLOBS, shar
 
 def missing(spark: SparkSession, targets: list[str]) -> DataFrame:
     """INFO findings for the listed targets that do not exist (an empty directory does)."""
-    gone = [(t,) for t in targets if not os.path.exists(t)]
-    return not_found(spark.createDataFrame(gone, "request string"))
+
+    def gone(frames):
+        for pdf in frames:
+            yield pdf[[not os.path.exists(t) for t in pdf["request"]]]
+
+    asked = spark.createDataFrame([(t,) for t in targets], "request string")
+    return not_found(asked.mapInPandas(gone, "request string"))
 
 
 def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Add ``raw`` bytes and ``error`` to a listing.  Only paths are shuffled, so a hot directory is read by all tasks."""
+    """Add ``raw`` bytes and ``error`` to a listing.
+
+    Only paths are shuffled, so a hot directory is read by all tasks.  Without ``partitions`` there is one
+    for every ``_PARTITION_BYTES`` of listed sizes, and as many as cores at least.
+    """
 
     def read(frames):
         import pandas as pd
@@ -163,7 +173,10 @@ def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFram
             if rows:
                 yield pd.DataFrame(rows, columns=["target", "path", "raw", "error"])
 
-    n = partitions or listing.sparkSession.sparkContext.defaultParallelism * 4
+    n = partitions
+    if n is None:
+        listed = listing.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        n = max(listing.sparkSession.sparkContext.defaultParallelism, -(-listed // _PARTITION_BYTES))
     return listing.repartition(n).select("target", "path").mapInPandas(
         read, "target string, path string, raw binary, error string"
     )

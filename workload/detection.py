@@ -155,11 +155,12 @@ ORACLE["pretty_json_truncate"] = (
 
 
 def json_key_line(spark, sf_dir):
-    from wardspark.functions.text import key_line, split_lines
+    from wardspark.functions.text import split_lines
+    from wardspark.operators.configs import key_line
 
-    c = configs(spark, sf_dir).select("path", split_lines(F.col("content")).alias("ls"))
+    c = configs(spark, sf_dir).select("path", split_lines(F.col("content")).alias("_lines"))
     keys = ("command", "env", "API_KEY", "second", "absent")
-    return flat(c.select("path", *[key_line(F.col("ls"), F.lit(k)).alias(f"line_{k.lower()}") for k in keys]))
+    return flat(c.select("path", *[F.expr(key_line(f"'{k}'")).alias(f"line_{k.lower()}") for k in keys]))
 
 
 QUERIES["json_key_line"] = json_key_line
@@ -190,7 +191,7 @@ _LINE_RULES = tuple(r for r in ALL_RULES if r.kind == "regex")
 
 def line_rule_scan(spark, sf_dir):
     rules = tuple(r for r in _LINE_RULES if any(p.mode == LINE for p in r.patterns))
-    found = scan_files(code_files(spark, sf_dir), rules, snippets=False)
+    found = scan_files(code_files(spark, sf_dir), rules, snippets=False, modes=(LINE,))
     line_codes = [r.ordinal * 100 + k for r in rules for k, p in enumerate(r.patterns) if p.mode == LINE]
     counted = found.groupBy("target", "rule_ord", "pattern_ord").agg(F.count("*").alias("n_findings"), F.sum("line_number").alias("sum_line"))
     return flat(counted.where((F.col("rule_ord") * 100 + F.col("pattern_ord")).isin(line_codes)))
@@ -208,7 +209,7 @@ ORACLE["line_rule_scan"] = (
 
 def file_rule_scan(spark, sf_dir):
     rules = tuple(r for r in _LINE_RULES if any(p.mode == FILE for p in r.patterns))
-    found = scan_files(code_files(spark, sf_dir), rules, snippets=False)
+    found = scan_files(code_files(spark, sf_dir), rules, snippets=False, modes=(FILE,))
     codes = [r.ordinal * 100 + k for r in rules for k, p in enumerate(r.patterns) if p.mode == FILE]
     counted = found.groupBy("target", "rule_ord", "pattern_ord").agg(F.count("*").alias("n_findings"), F.sum("line_number").alias("sum_line"))
     return flat(counted.where((F.col("rule_ord") * 100 + F.col("pattern_ord")).isin(codes)))

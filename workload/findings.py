@@ -209,14 +209,14 @@ def _documents(spark, sf_dir, page_size):
 
 @register("report_json_export", F_SQL + _HEADER_SQL + ", p AS (SELECT target, CAST(finding_index // 200 AS BIGINT) AS page, count(*) AS n, "
           "string_agg(rule_id || ':' || line_number, ',' ORDER BY finding_index) AS found FROM findings GROUP BY ALL) "
-          f"SELECT target, page, {_GRADE} AS score, total_checks, critical, total, n, found FROM p JOIN c USING (target) JOIN k USING (target)")
+          f"SELECT target, page, (total + 199) // 200 AS n_pages, {_GRADE} AS score, total_checks, critical, total, n, found FROM p JOIN c USING (target) JOIN k USING (target)")
 def _(spark, sf_dir):
     """Documents as JSON text, read back and flattened."""
     docs = _documents(spark, sf_dir, 200)
     as_text = docs.select(F.to_json(F.struct(*docs.columns)).alias("doc"))
     back = as_text.select(F.from_json("doc", docs.schema).alias("d")).select("d.*")
     return back.select(
-        "target", "page", "score", "total_checks", F.col("summary.critical").alias("critical"), F.col("summary.total").alias("total"),
+        "target", "page", "n_pages", "score", "total_checks", F.col("summary.critical").alias("critical"), F.col("summary.total").alias("total"),
         F.size("findings").alias("n"),
         F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["rule_id"], f["line_number"])), ",").alias("found"))
 

@@ -176,10 +176,10 @@ def _(spark, sf_dir):
     return triage.join_audits(f, audit_replies(f)).select("target", "finding_index", "attack_demo", "fix_suggestion")
 
 
-@register("findings_file_content", F_SQL + "SELECT f.target, finding_index, md5(c.content) AS text_md5, length(c.content) AS n_chars FROM findings f JOIN code_files c USING (path) WHERE severity IN ('critical', 'high')")
+@register("findings_file_content", F_SQL + "SELECT f.target, finding_index, md5(c.content) AS text_md5, length(c.content) AS n_chars, length(c.content) > 32000 AS was_cut FROM findings f JOIN code_files c USING (path) WHERE severity IN ('critical', 'high')")
 def _(spark, sf_dir):
     p = triage.file_payloads(numbered_findings(spark, sf_dir), files(spark, sf_dir))
-    return p.select("target", "finding_index", F.md5(F.col("file_text").cast("binary")).alias("text_md5"), F.length("file_text").alias("n_chars"))
+    return p.select("target", "finding_index", F.md5(F.col("file_text").cast("binary")).alias("text_md5"), "n_chars", "was_cut")
 
 
 # --- chains -----------------------------------------------------------------------
