@@ -2,8 +2,8 @@
 
 Documents in ascending id order are dealt by range, one file for each range.
 A file is an Arrow IPC stream whose record batches hold ``ROWS`` sequences as
-fixed-size lists: ``tokens`` (uint32) and ``mask`` (uint8: 0 behind the end, 1
-token, 2 first token of a document).  Memory-mapped, sequence ``i`` is a view of
+fixed-size lists: ``tokens`` (uint16 if the vocabulary fits, else uint32) and
+``mask`` (one bit: false behind the end).  Memory-mapped, sequence ``i`` is a view of
 batch ``i // ROWS``: nothing is copied or decoded.  An index file beside it (an
 Arrow stream too) holds id, start and length of each document.
 
@@ -73,8 +73,8 @@ def loaded(path: str) -> Encoder:
     return Encoder(path)
 
 
-def sequence_schema(length: int) -> pa.Schema:
-    return pa.schema([("tokens", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def sequence_schema(length: int, ids: pa.DataType) -> pa.Schema:
+    return pa.schema([("tokens", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -87,19 +87,16 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
 class SequenceWriter:
     """Packs ids on end into sequences; holds one record batch."""
 
-    def __init__(self, sink, length: int, rows: int):
-        self.schema, self.length, self.most = sequence_schema(length), length, length * rows
+    def __init__(self, sink, length: int, rows: int, ids: pa.DataType):
+        self.schema, self.length, self.most, self.type = sequence_schema(length, ids), length, length * rows, ids
         self.writer = pa.ipc.new_stream(sink, self.schema)
-        self.ids, self.marks, self.held, self.sequences = [], [], 0, 0
+        self.ids, self.held, self.sequences = [], 0, 0
 
     def add(self, ids: np.ndarray) -> None:
-        marks = np.ones(len(ids), np.uint8)
-        marks[:1] = 2
         at = 0
         while at < len(ids):
             step = min(len(ids) - at, self.most - self.held)
             self.ids.append(ids[at : at + step])
-            self.marks.append(marks[at : at + step])
             self.held += step
             at += step
             if self.held == self.most:
@@ -109,14 +106,12 @@ class SequenceWriter:
         if not self.held:
             return
         pad = -self.held % self.length
-        tokens = np.concatenate([*self.ids, np.zeros(pad, np.uint32)])
-        marks = np.concatenate([*self.marks, np.zeros(pad, np.uint8)])
-        arrays = [
-            pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (tokens, marks)
-        ]
-        self.writer.write_batch(pa.RecordBatch.from_arrays(arrays, schema=self.schema))
+        tokens = np.concatenate([*self.ids, np.zeros(pad, self.ids[0].dtype)])
+        mask = np.arange(len(tokens)) < self.held
+        lists = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(tokens, self.type), pa.array(mask))]
+        self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.sequences += len(tokens) // self.length
-        self.ids, self.marks, self.held = [], [], 0
+        self.ids, self.held = [], 0
 
     def close(self) -> None:
         self.flush()
@@ -146,11 +141,13 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
                 system.create_dir(base, recursive=True)
                 sink = system.open_output_stream(f"{base}/{name}.arrows")
                 index = system.open_output_stream(f"{base}/{name}.index.arrows")
-                out, listed = SequenceWriter(sink, length, rows), pa.ipc.new_stream(index, INDEX)
+                narrow = encoder.library.get_vocab_size() <= 1 << 16
+                out = SequenceWriter(sink, length, rows, pa.uint16() if narrow else pa.uint32())
+                listed = pa.ipc.new_stream(index, INDEX)
             starts, sizes = [], []
             for text in strings(batch.column(1)):
                 ids = np.frombuffer(encoder.encode(text) + end, "<u4")
-                out.add(ids)
+                out.add(ids.astype("<u2") if narrow else ids)
                 starts.append(total)
                 sizes.append(len(ids))
                 total += len(ids)
@@ -184,15 +181,14 @@ class Sequences:
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
-    def _view(self, i: int, column: int) -> np.ndarray:
+    def _view(self, i: int, column: int) -> pa.Array:
         batch = self.batches[i // self.rows]
-        at = (i % self.rows) * self.length
-        return batch.column(column).values.slice(at, self.length).to_numpy(zero_copy_only=True)
+        return batch.column(column).values.slice((i % self.rows) * self.length, self.length)
 
     def tokens(self, i: int) -> np.ndarray:
-        return self._view(i, 0)
+        return self._view(i, 0).to_numpy(zero_copy_only=True)
 
-    def mask(self, i: int) -> np.ndarray:
+    def mask(self, i: int) -> pa.BooleanArray:
         return self._view(i, 1)
 
     def span(self, start: int, size: int) -> Iterator[np.ndarray]:
@@ -230,7 +226,7 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 def crc(sequences: Sequences, start: int, size: int) -> int:
     value = 0
     for view in sequences.span(start, size):
-        value = zlib.crc32(view, value)
+        value = zlib.crc32(view.astype("<u4"), value)
     return value
 
 
