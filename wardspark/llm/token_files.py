@@ -13,9 +13,11 @@ tokenizers library and keeps the ids (up to ``CACHE``, then it starts over).
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,8 +34,7 @@ from .common import slices, strings
 
 LENGTH = 2048
 ROWS = 64
-CACHE = 500_000
-DOCS_A_BATCH = 4096
+CACHE = 1_000_000
 
 #: A space and the run of text behind it belong to no other word; white space is cut as the vocabulary file does.
 CHUNK = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
@@ -45,27 +46,42 @@ MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 class Encoder:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores; threads of the library would only wait
         self.library = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or "(?!)")
+        # a character of the vocabulary file stands for a byte
+        self.widths = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.widths[i] = len(token)
         self.known: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [array("I", x.ids).tobytes() for x in found]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode new chunks.  Those that start with a space go to the library side by side as running text."""
+        running = [c for c in chunks if c[0] == " " and len(c) > 1 and not c.isspace()]
+        single = [c for c in chunks if c[0] != " " or len(c) == 1 or c.isspace()]
+        self.known.update(zip(single, self.raw(single), strict=True))
+        ids = b"".join(self.raw(["".join(running[i : i + 64]) for i in range(0, len(running), 64)]))
+        ends = np.cumsum([len(c.encode()) for c in running])
+        last = 4 * (1 + np.searchsorted(np.cumsum(self.widths[np.frombuffer(ids, "<u4")]), ends))
+        at = 0
+        for chunk, end in zip(running, last.tolist(), strict=True):
+            self.known[chunk] = ids[at:end]
+            at = end
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers."""
-        if UNSURE.search(text) or self.special.search(text):
-            return self.raw([text])[0]
-        chunks = CHUNK.findall(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian 32-bit integers."""
+        cut = [None if UNSURE.search(t) or self.special.search(t) else CHUNK.findall(t) for t in texts]
         known = self.known
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(chunks))
-            known.update(zip(new, self.raw(new), strict=True))
-        return b"".join(map(known.__getitem__, chunks))
+        every = set().union(*(c for c in cut if c))
+        if len(known) + len(every) > CACHE:
+            known.clear()
+        self.learn([c for c in every if c not in known])
+        get = known.__getitem__
+        return [self.raw([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -134,7 +150,7 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
         encoder, sink = loaded(tokenizer), None
         end = np.array([end_id], "<u4").tobytes()
         total = n_docs = 0
-        for batch in slices(batches):
+        for batch in slices(batches, 1 << 20):
             if sink is None:
                 system, base = place(folder)
                 name = f"part-{part:06d}-{uuid.uuid4().hex}"
@@ -145,8 +161,8 @@ def write_sequences(docs: DataFrame, tokenizer: str, folder: str, end_id: int =
                 out = SequenceWriter(sink, length, rows, pa.uint16() if narrow else pa.uint32())
                 listed = pa.ipc.new_stream(index, INDEX)
             starts, sizes = [], []
-            for text in strings(batch.column(1)):
-                ids = np.frombuffer(encoder.encode(text) + end, "<u4")
+            for found in encoder.encode(strings(batch.column(1))):
+                ids = np.frombuffer(found + end, "<u4")
                 out.add(ids.astype("<u2") if narrow else ids)
                 starts.append(total)
                 sizes.append(len(ids))
