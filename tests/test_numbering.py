@@ -44,3 +44,16 @@ def test_thirteen_findings_make_two_batches(spark):
     df = spark.createDataFrame([("t", "p", i) for i in range(13)], "target string, path string, file_pos bigint")
     got = sorted((r.batch_no, r.batch_pos) for r in assign_batches(df).collect())
     assert got == [(0, i) for i in range(12)] + [(1, 0)]
+
+
+def test_neighbor_lines_across_blocks(spark):
+    from wardspark.operators.numbering import neighbor_lines
+
+    texts = {"a": "\n".join(f"line {n}" for n in range(23)), "b": "", "c": "one\ntwo"}
+    got = {(r.path, r.line_number): r.around for r in neighbor_lines(spark.createDataFrame(list(texts.items()), "path string, content string"), 3, block=5).collect()}
+    want = {}
+    for path, text in texts.items():
+        lines = text.split("\n")
+        for n in range(len(lines)):
+            want[path, n + 1] = "\n".join(lines[max(0, n - 3) : n + 4])
+    assert got == want

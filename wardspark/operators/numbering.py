@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import split_lines
 from ..session import cut_lineage
 
 FINDING_ORDER = ("path", "rule_ord", "pattern_ord", "match_ord", "line_number")
@@ -60,3 +61,17 @@ def number_findings(findings: DataFrame) -> DataFrame:
         {"finding_index": ["target"], "file_pos": ["target", "path"]},
     )
     return cut_lineage(rows.join(numbers.select("_row", "finding_index", "file_pos"), "_row").drop("_row"))
+
+
+def neighbor_lines(files: DataFrame, around: int = 3, block: int = 10_000) -> DataFrame:
+    """``path, line_number, around``: every line with those before and after it.
+
+    Lines are rows.  A window runs over a block of lines of one file, with the ``around`` lines on either side
+    of the block as context, so a file of any length is many small groups and no row holds more than its lines.
+    """
+    lines = files.select("path", F.posexplode(split_lines(F.col("content"))).alias("n", "line"))
+    blocks = F.array_distinct(F.array(*[F.floor((F.col("n") + d) / block) for d in (-around, 0, around)]))
+    dealt = lines.withColumn("block", F.explode(blocks))
+    frame = Window.partitionBy("path", "block").orderBy("n").rowsBetween(-around, around)
+    shown = dealt.withColumn("around", F.array_join(F.collect_list("line").over(frame), "\n"))
+    return shown.where(F.col("block") == F.floor(F.col("n") / block)).select("path", (F.col("n") + 1).alias("line_number"), "around")

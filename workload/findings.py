@@ -10,7 +10,7 @@ from wardspark.functions import grading, paths, text
 from wardspark.operators import report
 from wardspark.operators.detect import describe, scan, scan_files
 from wardspark.operators.filters import at_or_above, chain_eligible, collected, severe
-from wardspark.operators.numbering import number_findings
+from wardspark.operators.numbering import neighbor_lines, number_findings
 from wardspark.plans.scan import scannable
 from wardspark.rules import ALL_RULES, DOCUMENTED_RULES, SHIPPED_RULES, rule
 
@@ -88,10 +88,8 @@ def _(spark, sf_dir):
 @register("neighbor_lines", f"WITH {CODE_FILES_SQL}, {source_ctes('code_files')} SELECT path, CAST(line_number AS BIGINT) AS line_number, "
           "array_to_string(ls[greatest(line_number - 3, 1):line_number + 3], chr(10)) AS around FROM lines")
 def _(spark, sf_dir):
-    """Lines as rows with the three lines before and after, by lag and lead over a bounded frame per file."""
-    src = files(spark, sf_dir).select("path", text.split_lines(F.col("content")).alias("ls"))
-    rows = src.select("path", F.explode(F.transform("ls", lambda line, i: F.struct((i + 1).alias("n"), text.context_lines(F.col("ls"), i + 1).alias("c")))).alias("x"))
-    return rows.select("path", F.col("x.n").alias("line_number"), F.array_join("x.c", "\n").alias("around"))
+    """Lines as rows with the three lines before and after."""
+    return neighbor_lines(files(spark, sf_dir), 3).withColumn("line_number", F.col("line_number").cast("long"))
 
 
 # --- counts and grades --------------------------------------------------------------
