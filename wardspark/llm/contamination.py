@@ -191,3 +191,34 @@ def digests(found: DataFrame) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"),
         (F.size("word_spans") > 0).alias("contaminated"),
     )
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+#: ``digests`` of a scan with the default window, for items with ids.
+ORACLE = f"""
+WITH item AS (
+  SELECT item_id, {_WORDS} AS w FROM benchmark
+), windows AS (
+  SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 9), ' '))) AS win,
+         least(len(w), 10) AS n
+  FROM item WHERE len(w) > 0
+), known AS (
+  SELECT DISTINCT win, n FROM windows
+), doc AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), place AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS place_at, w FROM doc, (SELECT DISTINCT n FROM known) WHERE len(w) >= n
+), hit AS (
+  SELECT doc_id, place_at, p.n, k.win FROM (SELECT doc_id, place_at, n, array_to_string(list_slice(w, place_at, place_at + n - 1), ' ') AS win FROM place) p JOIN known k ON k.win = p.win AND k.n = p.n
+), covered AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(place_at, place_at + n)) AS pos FROM hit) GROUP BY 1
+), items AS (
+  SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS ids FROM (SELECT DISTINCT doc_id, win, n FROM hit) JOIN windows USING (win, n) GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(ids), 0) AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

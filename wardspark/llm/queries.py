@@ -84,4 +84,8 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLE = {"op5_url_filter": url_filter.ORACLE}
+ORACLE = {
+    "op1_near_dedup": near_dedup.ORACLE,
+    "op3_decontamination": contamination.ORACLE,
+    "op5_url_filter": url_filter.ORACLE,
+}
