@@ -236,7 +236,8 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                         sums = [crc(sequences, s, n) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts + base), docs.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition("path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number given by hand is kept: rows this small would otherwise be put together in one task
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def crc(sequences: Sequences, start: int, size: int) -> int:
