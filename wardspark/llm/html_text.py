@@ -30,7 +30,8 @@ from .dom import Page
 BUCKETS = 1 << 16
 #: Bound of the sample of pages whose texts are set into labelled pages.
 TRAIN_PAGES = 240
-EPOCHS, RATE, DECAY = 60, 0.3, 1e-3
+LAYOUTS_A_PAGE = 5
+EPOCHS, RATE, DECAY = 100, 0.3, 3e-4
 KINDS = 2  # edges to elements and edges to blocks of text
 
 
@@ -160,7 +161,10 @@ class Layouts:
         return "<ul>" + "".join(f"<li>{x}</li>" for x in each) + "</ul>" if self.random.random() < 0.6 else " | ".join(each)
 
     def paragraph(self, mark: str) -> str:
-        tag, text = self.pick(INSIDE), html.escape(self.pick(self.blocks))
+        tag, words = self.pick(INSIDE), self.pick(self.blocks).split(" ")
+        if self.random.random() < 0.5:  # length alone must not tell an article from the rest
+            words = words[: int(self.random.integers(1, 31))]
+        text = html.escape(" ".join(words))
         if self.random.random() < 0.3:
             words = text.split(" ")
             at = int(self.random.integers(len(words)))
@@ -171,7 +175,7 @@ class Layouts:
 
     def boilerplate(self, mark: str) -> str:
         kind = int(self.random.integers(8))
-        text = f"<p>{self.phrase(40)}</p>" if self.random.random() < 0.5 else self.phrase(30)
+        text = f"<p>{self.phrase(90)}</p>" if self.random.random() < 0.5 else self.phrase(60)
         if kind == 0:
             return self.box(self.pick(MENU), self.links())
         if kind == 1:
@@ -207,16 +211,15 @@ class Layouts:
         for _ in range(int(r.integers(0, 3))):
             body = f"<div{' class=' + self.pick(('wrapper', 'container', 'page', 'row')) if r.random() < 0.5 else ''}>{body}</div>"
         page = Page(f"<!DOCTYPE html><html><head><title>{self.phrase(5)}</title></head><body>{body}</body></html>")
-        labels = np.zeros(len(page.parent), int)
-        inside, all_ = np.zeros(len(labels), int), np.zeros(len(labels), int)
-        for n in range(len(labels) - 1, 0, -1):
+        inside = np.zeros(len(page.parent), int)
+        for n in range(len(inside) - 1, 0, -1):
             if page.text[n] is not None:
-                marked = mark in page.text[n]
+                inside[n] = mark in page.text[n]
                 page.text[n] = page.text[n].replace(mark, "")
-                all_[n], inside[n] = 1, marked
-            all_[page.parent[n]] += all_[n]
             inside[page.parent[n]] += inside[n]
-        labels[(inside > 0) & (2 * inside > all_)] = 1
+        # content are the innermost element around the whole article, and what in it holds some of its text
+        labels = (inside > 0).astype(int)
+        labels[: np.flatnonzero(inside == inside[0])[-1]] = 0
         return page, labels
 
 
@@ -233,7 +236,7 @@ def train(pages: DataFrame, most: int = TRAIN_PAGES, seed: int = 11) -> Model:
 
     rows = chosen.mapInArrow(blocks, "blocks array<string>").toArrow()["blocks"].to_pylist()
     made = Layouts(sorted(b for r in rows for b in r), seed)
-    labelled = [made.page() for _ in range(3 * most)]
+    labelled = [made.page() for _ in range(LAYOUTS_A_PAGE * most)]
     return fit([p for p, _ in labelled], [y for _, y in labelled])
 
 
