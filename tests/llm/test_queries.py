@@ -39,7 +39,7 @@ def test_query(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    assert len(got) == con.sql(f"SELECT count(*) FROM {'pages' if name[:3] in ('op5', 'op7') else 'documents'}").fetchone()[0]
+    assert len(got) == con.execute(f"SELECT count(*) FROM {'pages' if name[:3] in ('op5', 'op7') else 'documents'}").fetchone()[0]
     if name in queries.ORACLE:
         want = con.sql(queries.ORACLE[name])
         assert sorted(frame.columns) == sorted(want.columns)

@@ -332,7 +332,9 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """Every row of ``docs`` with ``doc`` (the row as it was), ``n_bytes``, ``spans`` (removed) and ``kept`` (bytes).
+    """Every row of ``docs`` with ``doc`` (the row as it was), ``n_bytes``, ``spans`` (removed), ``kept`` (bytes) and ``kept_text``.
+
+    ``kept_text`` is what is left of a text that lost something, without characters that a cut has broken.
 
     Texts are judged as UTF-8 bytes, null as empty, whole and without a limit of length; matches never cross
     documents.  A text of ``LENGTH`` bytes or more that stands in two rows goes wholly in both, whatever their ids.
@@ -342,11 +344,11 @@ def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     packed = with_digest(packed)
     found = covered(packed.select("text", "digest"), most)
     joined = packed.join(found.hint("shuffle_hash"), "digest", "left").select("doc", "text", "spans", "whole")
-    schema = extended(joined, ["doc"], "n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    schema = extended(joined, ["doc"], "n_bytes long, spans array<struct<start:int,end:int>>, kept binary, kept_text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, removed, kept = [], [], []
+            sizes, removed, kept, texts = [], [], [], []
             rows = zip(strings(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             for text, spans, whole in rows:
                 data = text.encode("utf-8", "replace")
@@ -356,7 +358,8 @@ def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
                 sizes.append(len(data))
                 removed.append([{"start": s, "end": e} for s, e in gone])
                 kept.append(b"".join(data[a:b] for a, b in zip(ends, heads, strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, SPANS), pa.array(kept, pa.binary())], names=schema.names)
+                texts.append(kept[-1].decode("utf-8", "ignore") if gone else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, SPANS), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
@@ -381,7 +384,7 @@ def digests(result: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeats cut out of ``text`` (broken characters at the cuts go too) and ``n_chars`` counted anew."""
     result = remove_repeats(docs)
-    text = F.when(F.size("spans") == 0, F.col("doc.text")).otherwise(F.expr("decode(kept, 'UTF-8')"))
+    text = F.when(F.size("spans") == 0, F.col("doc.text")).otherwise(F.col("kept_text"))
     columns = {c: F.col("doc").getField(c).alias(c) for c in docs.columns}
     columns["text"] = text.alias("text")
     if "n_chars" in columns:
