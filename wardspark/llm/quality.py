@@ -106,11 +106,12 @@ def statistics(text: Column) -> Column:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """``doc`` (the row as it was), ``lang``, ``source``, base counts, ``base_failed`` and the vector."""
+    # exploding an array of one keeps a later filter above, which would count everything a second time
     counted = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         F.coalesce("lang", F.lit("")).alias("lang"),
         F.coalesce("source", F.lit("")).alias("source"),
-        statistics(F.col("text")).alias("s"),
+        F.explode(F.array(statistics(F.col("text")))).alias("s"),
     ).select("doc", "lang", "source", "s.*")
     n = F.greatest(F.col("n_words"), F.lit(1))
     # log shares, drawn towards a common value by a few virtual words, lines or characters: in a short text
