@@ -40,3 +40,23 @@ def test_stages_pass_the_columns_on(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(SF)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(SF)).collect() == [], name
+
+
+def test_repeated_rows_and_null_ids_keep_one_text(spark):
+    import random
+
+    def text(seed):
+        r = random.Random(seed)
+        return " ".join("".join(r.choice("abcdefghijklmno") for _ in range(6)) for _ in range(120))
+
+    near = text(1) + " end"
+    rows = [(1, text(1)), (2, text(2)), (2, text(2)), (None, text(3)), (None, text(3)), (5, near), (5, text(4)), (None, text(2)),
+            (6, text(6)), (7, text(6)), (7, text(7)), (8, ""), (8, ""), (9, ""), (10, None)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["MinHash near-dedup"](spark, docs, str(SF))
+    assert kept.columns == docs.columns
+    want = [(1, text(1)), (2, text(2)), (None, text(3)), (5, text(4)), (6, text(6)), (7, text(7)), (8, ""), (9, ""), (10, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    after = stages["suffix-array dedup"](spark, kept, str(SF))
+    assert sorted(((r.doc_id, r.text) for r in after.collect()), key=str) == sorted(want, key=str)

@@ -265,9 +265,24 @@ def labelled(feats: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFram
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; rows that repeat a kept id stay with it."""
-    gone = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns: of each group of near copies the one of smallest id.
+
+    Every row is judged by its own text: of rows that repeat an id with an equal text one stays, and a row stays that
+    only shares its id with a near copy.  Rows without an id are not linked, but of those with equal texts one stays,
+    and none if a row with an id stays that has this text.  Texts without words are equal only within one id.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "rows")
+    keys = rows.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("doc.text", F.lit("")))).alias("same_text"))
+    has_id = F.col("doc_id").isNotNull()
+    named = rows.where(F.col("doc.doc_id").cast("long").isNotNull()).select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
+    placed = near_duplicates(named).select(F.col("doc_id").alias("row"), F.col("n_shingles") > 0, "component_id").toDF("row", "worded", "component")
+    single = [F.when(F.col("worded"), F.col("component")).alias("group"), *(F.when(~F.col("worded"), F.col(c)).alias(f"own_{c}") for c in ("doc_id", "same_text"))]
+    first = keys.where(has_id).join(placed, "row").groupBy(*single).agg(F.min(F.struct("doc_id", "same_text", "row")).alias("first"))
+    first = written(first.select("first.row", "first.same_text", F.col("group").isNotNull().alias("worded")), "first-of-each")
+    nameless = keys.where(~has_id).groupBy("same_text").agg(F.min("row").alias("row"))
+    nameless = nameless.join(first.where("worded").select("same_text").distinct(), "same_text", "left_anti").select("row")
+    return rows.join(first.select("row").union(nameless), "row", "left_semi").select("doc.*")
 
 
 #: ``near_duplicates`` of documents with distinct ids.
