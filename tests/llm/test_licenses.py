@@ -47,5 +47,33 @@ def test_changed_templates_are_found_and_others_not(spark):
     assert not got[2].labels and not got[3].labels and not got[4].labels
 
 
+LGPL = licenses.TEXTS[5][1].replace("General", "Lesser General")
+LABELLED = [(text, label) for label, text in licenses.TEXTS] + [
+    ("Licensed under CC BY-SA 4.0", ""), ("released under the BSD license", ""), ("licensed under the Mozilla Public License, Version 2.0", ""), ("Licensed under the Apache License, Version 1.1", "apache"), (LGPL, ""),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc,cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", ""),
+    (f"{licenses.TEXTS[5][1]} {licenses.TEXTS[7][1]}", "gpl-2,gpl-3"),
+]
+
+
+def test_each_template_has_its_own_label_only(spark):
+    rows = [(n, f"zzz yyy {t} xxx") for n, (t, _) in enumerate(LABELLED)]
+    got = {r.doc_id: ",".join(r.labels) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: label if label != "apache" else "" for n, (_, label) in enumerate(LABELLED)}
+
+
+def test_scattered_changes_and_words_put_in(spark):
+    words, changed_words, at = licenses.words_of(MIT), [], 0
+    for n in [3] * 9 + [2] * 10:  # kept words between changed ones
+        changed_words += [*words[at : at + n], "zzz"]
+        at += n + 1
+    inserted = [" ".join([*words[:35], *["yyy"] * n, *words[35:]]) for n in (6, 40, 400)]
+    stray = " ".join([*words[:30], "obtain", "to", "any", "person", "obtaining", *words[30:]])
+    rows = list(enumerate([" ".join(changed_words), *inserted, stray]))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r.labels == ["mit"] and len(r.spans) == 1 for r in got.values())
+    assert got[0].score < 0.8 and all(got[n].score == 1 for n in (1, 2, 3, 4))
+
+
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []

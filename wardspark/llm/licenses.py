@@ -3,9 +3,12 @@
 Every rolling 3-word hash of every text is joined to the places of that hash in
 the templates.  A hit votes for a diagonal: place in the text minus place in the
 template.  A copy of a template, also one with changed words, is one diagonal
-with many votes; words put in or left out move the rest to a neighbouring
-diagonal, so neighbours that follow each other are merged.  What results is
-verified word by word on the text.
+with many votes; words put in or left out move the rest to another diagonal.
+What is verified word by word on the text are chains: words of all diagonals that
+follow each other in the text and in the template.
+
+A template stands for its license only if the words are there that tell it from
+others, and of templates found in the same words the best covered ones count.
 
 The three base phrases are templates too: a diagonal with all their votes and
 equal words is a place.  Texts are known by their digest, so equal texts are
@@ -14,17 +17,18 @@ judged once and ids may be null or repeat.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import FOLD_WORDS, NOT_WORD, extended, slices, strings, written
 
 K = 3
-#: Diagonals of one template that differ by at most this many words, and leave at most this many words between them, merge.
-DRIFT, GAP = 4, 25
+#: Words put in at one place that a chain passes over first; if no such chain covers the template, any number.
+PUT_IN = 100
 #: Share of a template's words that must stand in order in the text.
 COVERAGE = 0.7
 
@@ -50,6 +54,23 @@ TEXTS = (
 )
 
 
+#: Where a template with the label is found, one phrase of each group must stand, and none of ``OTHERS``.
+TELLING = {
+    "mit": (("mit", "permission"),),
+    "apache-2": (("apache",), ("version 2", "license 2", "licence 2")),
+    "gpl-2": (("gnu",), ("version 2", "v2", "v 2")),
+    "gpl-3": (("gnu",), ("version 3", "v3", "v 3")),
+    "mpl-2": (("mozilla", "mpl"), ("v 2", "version 2", "license 2")),
+    "cc-by": (("attribution",),),
+    "cc-by-nc": (("noncommercial", "non commercial", "by nc"),),
+    "cc-by-sa": (("sharealike", "share alike", "by sa"),),
+}
+OTHERS = {
+    "gpl-2": ("gnu lesser", "gnu affero", "gnu library"), "gpl-3": ("gnu lesser", "gnu affero", "gnu library"),
+    "cc-by": ("attribution noncommercial", "attribution non", "attribution sharealike", "attribution share", "attribution noderivatives", "attribution noderivs", "attribution no"),
+}
+
+
 def words_of(text: str) -> list[str]:
     return [w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").translate(FOLD_WORDS).split()]
 
@@ -88,35 +109,84 @@ def diagonals(worded: DataFrame, grams: DataFrame) -> DataFrame:
         F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("votes"))
 
 
-def merge_neighbours(lines: DataFrame) -> DataFrame:
-    """``digest, template, spans``: for each text and template the runs of neighbouring diagonals.
+def candidates(lines: DataFrame) -> DataFrame:
+    """``digest, runs``: for each text the templates that it may hold, with their diagonals.
 
-    One text's diagonals of one template are a group, which is bounded by the text.
+    One text's diagonals of one template are a group, which is bounded by the text.  Of a copy with changed words
+    each run of equal words costs two votes, so the first bar is a lower bound for all that can reach the coverage;
+    with words put in there are more runs, so what lies between first and last hits is enough too.
     """
-    order = Window.partitionBy("digest", "template").orderBy("low", "diagonal")
-    new = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) <= DRIFT) & (F.col("low") - F.lag("high").over(order) <= GAP + K)
-    numbered = lines.withColumn("new", F.when(new, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    runs = numbered.groupBy("digest", "template", "run").agg(F.collect_list(F.struct("diagonal", "low", "high")).alias("lines"), F.sum("votes").alias("votes"))
     size = F.element_at(F.array(*[F.lit(len(w)) for w, _, _ in TEMPLATES]), F.col("template") + 1)
     is_base = F.element_at(F.array(*[F.lit(b) for _, _, b in TEMPLATES]), F.col("template") + 1)
-    # a word that differs costs up to three votes, so this keeps all that can reach the coverage
-    runs = runs.where(is_base | (F.col("votes") >= F.greatest(F.lit(1.0), (COVERAGE * size - 1) / K)))
+    least = F.ceil(COVERAGE * size)
+    runs = lines.groupBy("digest", "template").agg(
+        F.collect_list(F.struct("diagonal", "low", "high")).alias("lines"), F.sum("votes").alias("votes"), F.sum(F.col("high") - F.col("low") + K).alias("reach"))
+    runs = runs.where(is_base | (F.col("votes") >= least - (K - 1) * (size - least + 1)) | (F.col("reach") >= least))
     return runs.groupBy("digest").agg(F.collect_list(F.struct("template", "lines")).alias("runs"))
 
 
-def verified(words: list[str], template: int, lines: list[dict]) -> tuple[int, int, float, list[int]]:
-    """Start and end of the text's words that stand in for the template, its share found, and exact places."""
-    wanted, _, base = TEMPLATES[template]
-    exact, found, low, high = [], set(), len(words), 0
-    for line in lines:
-        d = line["diagonal"]
-        if d >= 0 and tuple(words[d : d + len(wanted)]) == wanted:
-            exact.append(d)
-        for at in range(max(0, line["low"], d), min(line["high"] + K, d + len(wanted), len(words))):
-            if words[at] == wanted[at - d]:
-                found.add(at - d)
-                low, high = min(low, at), max(high, at + 1)
-    return low, high, len(found) / len(wanted), exact
+def exact_places(words: list[str], wanted: tuple[str, ...], lines: list[dict]) -> list[int]:
+    return [d for d in (line["diagonal"] for line in lines) if d >= 0 and tuple(words[d : d + len(wanted)]) == wanted]
+
+
+def chains(anchors: list[tuple[int, int]], size: int, put_in: int) -> list[list[tuple[int, int]]]:
+    """Chains of ``(place in text, place in template)`` that rise in both and cover enough, best first, apart from each other."""
+    nodes: list[tuple[int, int, int, int]] = []  # words so far, start in the text (later is better), place, node before
+    ends: list[int | None] = [None] * size  # for each place in the template the node of the best chain that ends there
+    for at, t in anchors:
+        best = (0, at, at, -1)
+        for n in ends[:t]:
+            if n is not None and at - nodes[n][2] - 1 <= put_in and nodes[n][:2] >= best[:2] and nodes[n][2] < at:
+                best = (*nodes[n][:3], n)
+        node = (best[0] + 1, best[1] if best[3] >= 0 else at, at, best[3])
+        ends[t] = len(nodes)
+        nodes.append(node)
+    out, used = [], set()
+    for n in sorted((n for n, x in enumerate(nodes) if x[0] >= COVERAGE * size), key=lambda n: (-nodes[n][0], -nodes[n][1], n)):
+        chain, free = [], True
+        while n >= 0 and free:
+            free = nodes[n][2] not in used
+            chain.append(anchors[n])
+            n = nodes[n][3]
+        if free:
+            used.update(range(chain[-1][0], chain[0][0] + 1))
+            out.append(chain[::-1])
+    return out
+
+
+def found_places(words: list[str], template: int, lines: list[dict]) -> list[tuple[float, frozenset[int]]]:
+    """Share of the template and the places in the text of its words, for every place that holds the template."""
+    wanted, label, _ = TEMPLATES[template]
+    anchors = sorted(
+        ((at, at - d) for line in lines for d in (line["diagonal"],)
+         for at in range(max(0, d), min(d + len(wanted), len(words))) if words[at] == wanted[at - d]),
+        key=lambda a: (a[0], -a[1]))
+    out = []
+    for chain in chains(anchors, len(wanted), PUT_IN) or chains(anchors, len(wanted), len(words)):
+        # a telling word may stand in the template's place outside of what was found
+        first, last = chain[0][0] - chain[0][1], chain[-1][0] + len(wanted) - chain[-1][1]
+        around = f" {' '.join(words[max(0, first) : last])} "
+        inside = f" {' '.join(words[chain[0][0] : chain[-1][0] + 1])} "
+        told = all(any(f" {p} " in around for p in group) for group in TELLING.get(label, ()))
+        if told and not any(f" {p} " in inside for p in OTHERS.get(label, ())):
+            out.append((len(chain) / len(wanted), frozenset(at for at, _ in chain)))
+    return out
+
+
+def best_covered(found: list[tuple[str, float, frozenset[int]]]) -> list[tuple[str, float, frozenset[int]]]:
+    """Without those that have half of their words or more in common with a better covered one of another label."""
+    kept: list[tuple[str, float, frozenset[int]]] = []
+    owner: dict[int, list[int]] = {}
+    for label, share, places in sorted(found, key=lambda x: (-x[1], -len(x[2]), x[0])):
+        common = Counter(k for at in places for k in owner.get(at, ()))
+        beaten = any(
+            kept[k][0] != label and 2 * n >= min(len(places), len(kept[k][2])) and (kept[k][1], len(kept[k][2])) > (share, len(places))
+            for k, n in common.items())
+        if not beaten:
+            for at in places:
+                owner.setdefault(at, []).append(len(kept))
+            kept.append((label, share, places))
+    return kept
 
 
 DETAILS = "n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, spans array<struct<label:string,start:int,end:int,share:double>>"
@@ -131,16 +201,18 @@ def verify(texts: DataFrame) -> DataFrame:
         for batch in slices(batches):
             out = []
             for text, runs in zip(strings(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words, places, labels, spans = words_of(text), [], set(), []
+                words, places, spans, found = words_of(text), [], [], []
                 for r in runs:
-                    _, label, base = TEMPLATES[r["template"]]
-                    start, end, share, exact = verified(words, r["template"], r["lines"])
+                    wanted, label, base = TEMPLATES[r["template"]]
                     if base:
+                        exact = exact_places(words, wanted, r["lines"])
                         places += [(at, label) for at in exact]
-                        spans += [(label, at, at + len(TEMPLATES[r["template"]][0]), 1.0) for at in exact]
-                    elif share >= COVERAGE:
-                        labels.add(label)
-                        spans.append((label, start, end, share))
+                        spans += [(label, at, at + len(wanted), 1.0) for at in exact]
+                    else:
+                        found += [(label, *x) for x in found_places(words, r["template"], r["lines"])]
+                found = best_covered(found)
+                labels = {label for label, _, _ in found}
+                spans += [(label, min(at), max(at) + 1, share) for label, share, at in found]
                 base_labels = {label for _, label in places}
                 starts = [at for at, _ in places]
                 out.append((len(places), min(starts, default=None), max(starts, default=None), sorted(base_labels), sorted(base_labels | labels),
@@ -162,7 +234,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     worded = word_tables(docs.select("doc_id", "text"))
     counts = written(worded.select("doc_id", "digest", F.size("words").cast("long").alias("n_words")), "license-words")
-    runs = written(merge_neighbours(diagonals(worded, template_grams(docs.sparkSession))), "license-runs")
+    runs = written(candidates(diagonals(worded, template_grams(docs.sparkSession))), "license-runs")
     texts = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     found = verify(texts.join(runs.hint("shuffle_hash"), "digest").select("digest", "text", "runs"))
     found = written(found, "license-found").dropDuplicates(["digest"])
