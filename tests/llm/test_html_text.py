@@ -44,6 +44,18 @@ def test_reading():
     assert blocks("<textarea>no</textarea>a<style>b") == ["a"]
 
 
+def test_only_raw_text_is_skipped():
+    assert blocks("<datalist><option value=a><option value=b></datalist><article><p>all of it</article>") == ["all of it"]
+    for tag in ("option", "select", "object", "svg", "math", "iframe", "noscript", "template", "xmp"):
+        assert blocks(f"<div><{tag}><p>the rest</p><p>of it</p>") == ["the rest", "of it"], tag
+        assert blocks(f"<div><{tag}>a<{tag}>b</{tag}>c</{tag}><p>d</p></div><p>e") [-2:] == ["d", "e"], tag
+        assert "".join(blocks(f"<div><{tag}>a<{tag}>b</{tag}>c</{tag}><p>d</p></div>")) == "abcd", tag
+    assert blocks("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <svg><g><path d=x /><text>then</text></g></svg> so") == ["if x=1 then so"]
+    assert blocks("<p>a<noscript><img src=x></noscript>b<object data=x>c</object></p>d") == ["abc", "d"]
+    assert blocks("<select><option>a<option>b<optgroup label=x><option>c</select>d") == ["a", "b", "c", "d"]
+    assert blocks("<p>a<select><option>b</select>c<p>d") == ["a", "b", "c", "d"]
+
+
 def article_of(source):
     found = re.search(r"<article>(.*?)(</article>|\Z)", source, re.S)
     parts = re.split(r"</?(?:h1|p)>", found[1] if found else "")

@@ -5,15 +5,21 @@ from __future__ import annotations
 import html
 import re
 
-#: Fixed values of HTML: elements without content, with raw text, that end an open paragraph, and inline ones.
+#: Fixed values of HTML: elements without content, with raw text, and inline ones; lists of choices; what ends an open svg or math.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option xmp object".split())
+RAW = frozenset("script style textarea title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big button cite code data del dfn em font i img input ins kbd label mark q ruby rt rp s samp "
-    "small span strike strong sub sup time tt u var wbr br".split()
+    "small span strike strong sub sup time tt u var wbr br noscript iframe object svg math".split()
 )
-SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+FOREIGN = frozenset(("svg", "math"))
+CHOICES = frozenset("select datalist optgroup option".split())
+HTML_BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
+    "header hgroup hr li main menu nav ol p pre section select datalist table tbody td tfoot th thead tr ul".split()
+)
+SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("optgroup", "option")}
+BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select", "datalist", "optgroup"), "optgroup": ("select", "datalist")}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -38,6 +44,7 @@ class Page:
         self._parts: list[str] = []
         self._linked = 0
         self._links = 0
+        self._foreign = 0
         self._read(source)
         self._end_block()
 
@@ -77,16 +84,26 @@ class Page:
             return
         if tag in VOID and tag in INLINE:
             return
+        if attributes.endswith("/") and (tag in CHOICES or tag in ("noscript", "iframe", "object", "svg", "math", "template", "xmp")):
+            return
+        if self._foreign and tag not in INLINE:
+            if tag not in HTML_BLOCKS:
+                return  # only the text of an image or formula counts
+            self._cut(next(i for i, (name, _) in enumerate(self._open) if name in FOREIGN))
         node = self._open[-1][1]
         if tag in INLINE:
             if tag == "a":
                 self._links += 1
+            self._foreign += tag in FOREIGN
             self._open.append((tag, node))
             return
         self._end_block()
         if tag in VOID:
             return
-        self._close_open(("p",), ("#root",) if tag != "p" else ("#root",), blocks=True)
+        if tag not in CHOICES:
+            self._close_open(("p",), ("#root",) if tag != "p" else ("#root",), blocks=True)
+        if tag not in ("option", "optgroup"):
+            self._end_choices()
         if tag in SELF_CLOSING:
             self._close_open(SELF_CLOSING[tag], BARRIER.get(tag, ()), blocks=False)
         names = [w.lower() for a in ATTRIBUTE.finditer(attributes) for w in (a[1], *NAME_PART.findall(a[2] or a[3] or a[4] or ""))] if attributes else []
@@ -105,8 +122,20 @@ class Page:
             if tag in barriers or (blocks and tag not in INLINE):
                 return
 
+    def _end_choices(self) -> None:
+        """End open lists of choices, which hold nothing but choices."""
+        first = None
+        for i in range(len(self._open) - 1, 0, -1):
+            if self._open[i][0] in CHOICES:
+                first = i
+            elif self._open[i][0] not in INLINE:
+                break
+        if first is not None:
+            self._cut(first)
+
     def _cut(self, i: int) -> None:
         self._links -= sum(tag == "a" for tag, _ in self._open[i:])
+        self._foreign -= sum(tag in FOREIGN for tag, _ in self._open[i:])
         del self._open[i:]
 
     def _close(self, tag: str) -> None:
