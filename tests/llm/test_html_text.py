@@ -113,3 +113,17 @@ def test_odd_rows(spark, model):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract(frame.limit(0), model).collect() == []
     assert html_text.train(frame.limit(0)).weights.any()
+
+
+def test_sample_takes_copies_of_a_page_once(spark, monkeypatch):
+    class Drawn(Exception):
+        pass
+
+    def stop(blocks, seed):
+        raise Drawn(blocks)
+
+    monkeypatch.setattr(html_text, "Layouts", stop)
+    rows = [(n, None, f"<p>page {max(0, n - 60)}</p>") for n in range(70)]
+    with pytest.raises(Drawn) as drawn:
+        html_text.train(spark.createDataFrame(rows, "page_id long, url string, html string"), most=70)
+    assert drawn.value.args[0] == sorted(f"page {n}" for n in range(10))

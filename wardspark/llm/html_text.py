@@ -30,6 +30,9 @@ from .dom import Page
 BUCKETS = 1 << 16
 #: Bound of the sample of pages whose texts are set into labelled pages.
 TRAIN_PAGES = 240
+#: Of each page of the sample at most so many blocks of at most so many characters; the made pages draw their phrases
+#: from at most so many words.  These bound the fit only; extraction reads whole pages.
+TRAIN_BLOCKS, TRAIN_CHARS, TRAIN_WORDS = 20, 2_000, 50_000
 LAYOUTS_A_PAGE = 5
 EPOCHS, RATE, DECAY = 100, 0.3, 3e-4
 KINDS = 2  # edges to elements and edges to blocks of text
@@ -144,7 +147,7 @@ class Layouts:
 
     def __init__(self, blocks: list[str], seed: int):
         self.random, self.blocks = np.random.default_rng(seed), blocks or ["text"]
-        self.words = [w for b in self.blocks for w in b.split()][:50_000] or ["text"]
+        self.words = [w for b in self.blocks for w in b.split()][:TRAIN_WORDS] or ["text"]
 
     def pick(self, names):
         return names[int(self.random.integers(len(names)))]
@@ -224,14 +227,16 @@ class Layouts:
 
 
 def train(pages: DataFrame, most: int = TRAIN_PAGES, seed: int = 11) -> Model:
-    """Fit on layouts made of the texts of at most about ``most`` pages, chosen by a hash of the page."""
-    count = pages.count()
+    """Fit on layouts made of the texts of at most about ``most`` different pages, chosen by a hash of the page."""
+    pages = pages.where(F.col("html").isNotNull())
+    count = pages.select(F.xxhash64("html").alias("same")).distinct().count()
     place = F.pmod(F.xxhash64(F.lit("train"), "html"), F.lit(1_000_000))
-    chosen = pages.where(F.col("html").isNotNull() & (place < int(1_000_000 * min(1.0, most / max(1, count))))).select("html")
+    chosen = pages.where(place < int(1_000_000 * min(1.0, most / max(1, count)))).select("html")
+    chosen = chosen.groupBy(F.xxhash64("html").alias("same")).agg(F.first("html").alias("html")).select("html")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [[t[:2000] for t in Page(h).text if t][:20] for h in strings(batch.column(0))]
+            found = [[t[:TRAIN_CHARS] for t in Page(h).text if t][:TRAIN_BLOCKS] for h in strings(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["blocks"])
 
     rows = chosen.mapInArrow(blocks, "blocks array<string>").toArrow()["blocks"].to_pylist()
