@@ -55,8 +55,12 @@ def repeats(texts, length=400):
     return out
 
 
+def left_of(data, gone):
+    return np.frombuffer(data, np.uint8)[~gone].tobytes()
+
+
 def repeat_row(data, gone):
-    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+    kept = left_of(data, gone)
     spans = int((np.diff(np.concatenate([[0], gone.astype(int), [0]])) == 1).sum())
     return len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
 

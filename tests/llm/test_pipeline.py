@@ -21,7 +21,7 @@ def test_against_brute_force(spark):
     rows = {r.doc_id: r for r in docs.collect()}
     left = {i: r.text for i, r in rows.items() if i in kept}
     left = {i: left[i] for i, (_, root) in brute.near_duplicates(list(left.items())).items() if i == root}
-    cut = brute.repeats(list(left.values()))
+    cut = brute.repeats(list(left.values()), corpus_pipeline.PASSAGE_BYTES)
     texts = {i: bytes(b for b, g in zip(data, gone, strict=True) if not g).decode("utf-8", "ignore") for i, (data, gone) in zip(left, cut, strict=True)}
     found = brute.contamination(list(texts.items()), items)
     library = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))

@@ -21,7 +21,7 @@ COLUMNS = {
     "op7": ["page_id", "url", "text", "n_chars"],
     "op8": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
-    "op10": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op10": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_passage", "text"],
 }
 
 

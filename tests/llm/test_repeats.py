@@ -25,14 +25,34 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("most", [repeats.MOST, 2])
-def test_against_brute_force(spark, most):
+@pytest.mark.parametrize(("length", "shorter"), [(400, None), (240, None), (400, 240), (400, 64)])
+def test_against_brute_force(spark, most, length, shorter):
     rows = corpus(most)
     docs = spark.createDataFrame([(i, t, b"x") for i, t in rows], "doc_id long, text string, digest binary")
-    got = [tuple(r) for r in repeats.digests(repeats.remove_repeats(docs, most)).collect()]
-    want = [(i, *brute.repeat_row(*x)) for (i, _), x in zip(rows, brute.repeats([t for _, t in rows]), strict=True)]
+    got = [tuple(r) for r in repeats.digests(repeats.remove_repeats(docs, length, shorter, most)).collect()]
+    texts = [t for _, t in rows]
+    want = []
+    for (i, t), x, y in zip(rows, brute.repeats(texts, length), brute.repeats(texts, shorter or length), strict=True):
+        left = brute.left_of(*y).decode("utf-8", "ignore") if y[1].any() else t or ""
+        want.append((i, *brute.repeat_row(*x), bool(y[1].any()), left))
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("length", [63, 100, 488])
+def test_lengths_that_cannot_be_ranked(spark, length):
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string"), length)
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(9)
+    long = "".join(r.choices("abcdefgh \n", k=5 << 20))  # longer than a segment
+    passage = long[(1 << 22) - 200 : (1 << 22) + 260]  # over the border of two segments
+    docs = spark.createDataFrame([(1, long), (2, "x" * 30 + passage), (3, passage[:390])], "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in repeats.remove_repeats(docs).select("doc.doc_id", "spans").collect()}
+    assert got == {1: [((1 << 22) - 200, (1 << 22) + 260)], 2: [(30, 490)], 3: []}
+
+
 def test_every_residue_pair_has_a_shift():
     for i, row in enumerate(repeats.SHIFTS):
         for j, d in enumerate(row):
@@ -43,9 +63,9 @@ def test_segments_do_not_change_the_choice(monkeypatch):
     import numpy as np
 
     data = np.frombuffer(random.Random(1).randbytes(6000), np.uint8)
-    whole = repeats.minimisers(data)
+    whole = repeats.minimisers(data, 400)
     monkeypatch.setattr(repeats, "SEGMENT", 700)
-    parts = repeats.minimisers(data)
+    parts = repeats.minimisers(data, 400)
 
     def by_window(found):
         return {w: (k, p) for k, p, a, b in zip(*(x.tolist() for x in found), strict=True) for w in range(a, b + 1)}

@@ -68,8 +68,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts of documents without the 400-byte strings that also start elsewhere."""
-    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+    """Whole texts of documents without the 400-byte strings that also start elsewhere; ``text`` also without those of 240."""
+    return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents"), shorter=repeats.PASSAGE))
 
 
 QUERIES = {

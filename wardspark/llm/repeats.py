@@ -1,23 +1,27 @@
 """Suffix-array dedup of long repeated strings (operator 10).
 
-A byte goes if a string of ``LENGTH`` bytes over it also starts anywhere else.
+A byte goes if a string of ``length`` bytes over it also starts anywhere else.
 
-1. *Suffix buckets.*  A window of ``LENGTH`` bytes belongs to the bucket of its
-   minimiser, the 100-byte gram of smallest hash in it.  Equal windows have
+1. *Suffix buckets.*  A window of ``length`` bytes belongs to the bucket of its
+   minimiser, the gram (a quarter as long) of smallest hash in it.  Equal windows have
    equal minimisers at the same distance, so a bucket is complete in itself.
    The neighbouring windows of one minimiser form a stretch of text.  A bucket
    with one stretch holds no repeat.  Equal stretches (by 128-bit hash) are
-   repeats in all their windows; one of them stays for comparison with others.
+   repeats in all their windows; one of them is sorted for all, marked as not single.
 2. *Blockwise construction.*  Tasks get whole buckets of different stretches and
    suffix-sort them a few megabytes at a time: first by the leading ``PERIOD``
    bytes, then, where these tie, by the ranks of the difference-cover sample.
    For any two places there is a shift below ``PERIOD`` that brings both into the
    sample, so one look at two ranks settles a tie of any length.  Neighbours in
-   this order with a common prefix of ``LENGTH`` bytes are repeats.
+   this order with a common prefix of ``length`` bytes are repeats.
 3. *Very large buckets* (more than ``MOST`` different stretches) would not fit one
-   task.  They are split by what their windows have in common: ever fewer
-   neighbouring windows, whose common bytes are counted by 128-bit hash with partial
-   sums; what is unique leaves at every step.  The same answer, at any size.
+   task.  They are split by what neighbouring windows have in common into smaller
+   buckets, which are sorted in the same way; only what is still too large is split
+   further, in the end by single windows.  The same answer, at any size.
+
+With ``shorter`` the same sort answers for a second, smaller length: buckets and
+stretches are those of the shorter windows, each stretch carries as many bytes more
+as the longer strings need, and every group of neighbours is read at both lengths.
 
 Texts that occur more than once as a whole stand in the buckets once.  They are
 known by their digest everywhere, so ids may be null or repeat.
@@ -37,14 +41,16 @@ from pyspark.sql import functions as F
 from .common import extended, list_column, slices, strings, written
 
 LENGTH = 400
-GRAM = 100
-GRAMS = LENGTH - GRAM + 1
+#: Fewer bytes than 51 words take; the lengths are multiples of 8 from 64 to 480.
+PASSAGE = 240
 #: Different stretches of one minimiser that a task sorts itself: at most 14 MB of text.
 MOST = 20_000
-#: Neighbouring windows that are told apart together, step by step, in larger buckets.
+#: Neighbouring windows that stay together when larger buckets are split, step by step.
 STEPS = (64, 13, 3, 1)
 BLOCK_BYTES = 4 << 20
 PERIOD = 32
+#: Bytes that the ranks of the cover sample tell apart.
+DEPTH = 512
 #: A difference cover modulo 32; every residue is a difference of two of them.
 COVER = (0, 1, 2, 3, 7, 11, 19)
 SEGMENT = 1 << 22
@@ -102,14 +108,15 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def minimisers(data: np.ndarray) -> tuple[np.ndarray, ...]:
+def minimisers(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one minimiser: its hash and place, and the first and last start of the run."""
     keys, places_, firsts, lasts = [], [], [], []
-    for at in range(0, len(data) - LENGTH + 1, SEGMENT):
-        part = data[at : at + SEGMENT + LENGTH - 1]
-        grams = ROLLING.hashes(part, GRAM)
+    gram = length // 4
+    for at in range(0, len(data) - length + 1, SEGMENT):
+        part = data[at : at + SEGMENT + length - 1]
+        grams = ROLLING.hashes(part, gram)
         places = (grams & ~LOW) | np.arange(len(grams), dtype=np.uint64)  # the leftmost of equal ones
-        chosen = (sliding_least(places, GRAMS) & LOW).astype(np.int64)
+        chosen = (sliding_least(places, length - gram + 1) & LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         keys.append(grams[chosen[first]].view(np.int64))
         places_.append(chosen[first] + at)
@@ -130,9 +137,9 @@ def with_digest(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", text).withColumn("digest", F.unhex(F.md5(text)))
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """``digest`` and the stretches of every text that has a window: hash and place of the minimiser, first and
-    last window, hash of the stretch."""
+def anchors(docs: DataFrame, base: int, reach: int) -> DataFrame:
+    """``digest`` and the stretches of every text that has a window of ``base`` bytes: hash and place of the minimiser,
+    first and last window, hash of the bytes up to ``reach`` from the last window's start."""
     schema = extended(docs, ["digest"], "gram array<long>, at array<int>, low array<int>, high array<int>, body array<binary>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,24 +147,29 @@ def anchors(docs: DataFrame) -> DataFrame:
             found, bodies = [], []
             for text in strings(batch.column(1)):
                 data = raw(text)
-                found.append(minimisers(data))
+                found.append(minimisers(data, base))
                 view = memoryview(data)
-                bodies += [xxhash.xxh3_128_digest(view[a : b + LENGTH]) for a, b in zip(found[-1][2].tolist(), found[-1][3].tolist(), strict=True)]
+                bodies += [xxhash.xxh3_128_digest(view[a : b + reach]) for a, b in zip(found[-1][2].tolist(), found[-1][3].tolist(), strict=True)]
             sizes, none = [len(f[0]) for f in found], np.zeros(0, np.int64)
             columns = [np.concatenate([none, *(f[i] for f in found)]) for i in range(4)]
             lists = [list_column(c if i == 0 else c.astype(np.int32), sizes) for i, c in enumerate(columns)]
             lists.append(list_column(pa.array(bodies, pa.binary()), sizes))
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=schema.names)
 
-    return docs.where(F.octet_length("text") >= LENGTH).select("digest", "text").mapInArrow(run, schema)
+    return docs.where(F.octet_length("text") >= base).select("digest", "text").mapInArrow(run, schema)
+
 
+STRETCH = "gram long, digest binary, at int, low int, high int, single boolean, large boolean, bytes binary"
+STRETCH_TYPES = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+STRETCH_NAMES = ["gram", "digest", "at", "low", "high", "single", "large", "bytes"]
 
-STRETCH = "gram long, digest binary, at int, low int, single boolean, large boolean, bytes binary"
-STRETCH_TYPES = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
-STRETCH_NAMES = ["gram", "digest", "at", "low", "single", "large", "bytes"]
 
+def arrow_rows(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-def stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+
+def stretches(texts: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     """The bytes of the wanted stretches, once each although texts may repeat."""
     listed = wanted.groupBy("digest").agg(F.collect_list(F.struct("gram", "at", "low", "high", "single", "large")).alias("runs"))
     joined = texts.select("digest", "text").join(listed.hint("shuffle_hash"), "digest").select("digest", "text", "runs")
@@ -169,9 +181,8 @@ def stretches(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for digest, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if digest != last:
                     last, data = digest, raw(text)
-                    rows += [(r["gram"], digest, r["at"], r["low"], r["single"], r["large"], data[r["low"] : r["high"] + LENGTH].tobytes()) for r in found]
-            columns = list(zip(*rows, strict=True)) or [()] * len(STRETCH_TYPES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, STRETCH_TYPES, strict=True)], names=STRETCH_NAMES)
+                    rows += [(r["gram"], digest, r["at"], r["low"], r["high"], r["single"], r["large"], data[r["low"] : r["high"] + reach].tobytes()) for r in found]
+            yield arrow_rows(rows, STRETCH_TYPES, STRETCH_NAMES)
 
     return joined.mapInArrow(run, STRETCH)
 
@@ -186,7 +197,7 @@ def eight_bytes(data: np.ndarray) -> np.ndarray:
 
 
 def cover_ranks(words: np.ndarray) -> np.ndarray:
-    """Ranks of the sample suffixes by their first 512 bytes, at their places (elsewhere -1)."""
+    """Ranks of the sample suffixes by their first ``DEPTH`` bytes, at their places (elsewhere -1)."""
     n = len(words)
     places = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
     look = np.concatenate([words, np.zeros(PERIOD, np.uint64)])
@@ -195,23 +206,24 @@ def cover_ranks(words: np.ndarray) -> np.ndarray:
     new = np.zeros(len(places), bool)
     for k in keys:
         new[1:] |= k[order[1:]] != k[order[:-1]]
-    ranks = np.full(n + 512 + PERIOD, -1, np.int64)
+    ranks = np.full(n + DEPTH + PERIOD, -1, np.int64)
     ranks[places[order]] = np.cumsum(new)
     depth = PERIOD
-    while depth < LENGTH + PERIOD:
+    while depth < DEPTH:
         both = (ranks[places] << 32) | (ranks[places + depth] + 1)
         ranks[places] = np.unique(both, return_inverse=True)[1]
         depth *= 2
     return ranks
 
 
-def repeated(bodies: list[bytes], counts: list[int]) -> list[np.ndarray]:
-    """For each stretch, which of its first ``counts`` places start a window that another place starts too."""
+def repeated(bodies: list[bytes], counts: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each (rising) length and each stretch, which of its first ``counts`` places start a string that another place starts too."""
     data = np.frombuffer(b"".join(bodies), np.uint8)
     words = eight_bytes(data)
-    starts = np.cumsum([0, *map(len, bodies[:-1])])
+    sizes = np.array([len(x) for x in bodies])
+    starts = np.cumsum(sizes) - sizes
     suffixes = np.concatenate([np.arange(s, s + c) for s, c in zip(starts.tolist(), counts, strict=True)])
-    look = np.concatenate([words, np.zeros(LENGTH, np.uint64)])
+    look = np.concatenate([words, np.zeros(DEPTH, np.uint64)])
     keys = [look[suffixes + 8 * i] for i in range(PERIOD // 8)]
     order = np.lexsort(keys[::-1])
     sorted_ = suffixes[order]
@@ -234,38 +246,48 @@ def repeated(bodies: list[bytes], counts: list[int]) -> list[np.ndarray]:
             sorted_[a:b] = sorted(sorted_[a:b].tolist(), key=key)
     same = np.zeros(len(sorted_) + 1, bool)
     same[1:-1] = ~new[1:-1]
-    near = np.flatnonzero(same)
-    for i in range(PERIOD, LENGTH, 8):
-        near = near[look[sorted_[near] + i] == look[sorted_[near - 1] + i]]
-    hit = np.zeros(len(data) + 1, bool)
-    hit[sorted_[near]] = True
-    hit[sorted_[near - 1]] = True
-    return [hit[s : s + c] for s, c in zip(starts.tolist(), counts, strict=True)]
+    left = np.repeat(starts + sizes, sizes)[sorted_] - sorted_  # bytes up to the end of the own stretch
+    near, known, out = np.flatnonzero(same), PERIOD, []
+    for length in lengths:
+        for i in range(known, length, 8):
+            near = near[look[sorted_[near] + i] == look[sorted_[near - 1] + i]]
+        known = length
+        alike = np.zeros(len(sorted_), bool)
+        alike[near] = True
+        group = np.cumsum(~alike)  # neighbours with a common prefix; what ends before is none of them
+        whole = left >= length
+        many = np.bincount(group[whole], minlength=len(sorted_) + 1) > 1
+        hit = np.zeros(len(data) + 1, bool)
+        hit[sorted_[whole & many[group]]] = True
+        out.append([hit[s : s + c] for s, c in zip(starts.tolist(), counts, strict=True)])
+    return out
 
 
 SHIFTS = shifts()
-COVERED = pa.schema([("digest", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
+COVERED = pa.schema([("length", pa.int32()), ("digest", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
+COVERED_DDL = "length int, digest binary, start int, end int"
 
 
-def sort_buckets(stretched: DataFrame) -> DataFrame:
-    """``digest, start, end`` of the repeated windows of the buckets that tasks sort themselves."""
-    dealt = stretched.where("not large").select("gram", "digest", "low", "single", "bytes").repartition("gram").sortWithinPartitions("gram")
+def sort_buckets(buckets: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """``length, digest, start, end`` of the repeats in buckets that a task can hold: ``gram, digest, low, windows, single, bytes``."""
+    dealt = buckets.select("gram", "digest", "low", "windows", "single", "bytes").repartition("gram").sortWithinPartitions("gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, int, bool, bytes]] = []
+        held: list[tuple[bytes, int, int, bool, bytes]] = []
         size, last, seen = 0, None, set()
 
         def flush() -> pa.RecordBatch:
             out = []
-            hits = repeated([x[3] for x in held], [len(x[3]) - LENGTH + 1 for x in held]) if len(held) > 1 else []
-            for (digest, low, single, _), hit in zip(held, hits, strict=False):
-                if single:  # all windows of the others are known to be repeats
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                    out += [{"digest": digest, "start": low + s, "end": low + e - 1 + LENGTH} for s, e in edge.reshape(-1, 2).tolist()]
+            found = repeated([x[4] for x in held], [x[2] for x in held], lengths) if len(held) > 1 else []
+            for length, hits in zip(lengths, found, strict=False):
+                for (digest, low, _, single, _), hit in zip(held, hits, strict=True):
+                    if single and hit.any():  # all windows of the others are known to be repeats
+                        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                        out += [{"length": length, "digest": digest, "start": low + s, "end": low + e - 1 + length} for s, e in edge.reshape(-1, 2).tolist()]
             return pa.RecordBatch.from_pylist(out, schema=COVERED)
 
         for batch in slices(batches, 1 << 20):
-            for gram, digest, low, single, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for gram, digest, low, windows, single, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if gram != last:
                     last, seen = gram, set()
                     if size >= BLOCK_BYTES:
@@ -273,17 +295,27 @@ def sort_buckets(stretched: DataFrame) -> DataFrame:
                         held, size = [], 0
                 if (digest, low) not in seen:
                     seen.add((digest, low))
-                    held.append((digest, low, single, body))
+                    held.append((digest, low, windows, single, body))
                     size += len(body)
         yield flush()
 
-    return dealt.mapInArrow(run, "digest binary, start int, end int")
+    return dealt.mapInArrow(run, COVERED_DDL)
+
+
+PIECE = ["digest", "low", "a", "b", "n", "common", "bytes"]
+PIECE_TYPES = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+
 
+def split_large(stretched: DataFrame, length: int, most: int) -> DataFrame:
+    """``length, digest, start, end`` for larger buckets, split into ones that can be sorted.
 
-def split_large(stretched: DataFrame) -> DataFrame:
-    """The same for larger buckets.  Windows are named by their distance from the minimiser, equal in equal windows."""
-    large = written(stretched.where("large").select("digest", "at", "low", "bytes").distinct(), "large")
-    left = large.select("digest", "low", (F.col("low") - F.col("at")).alias("a"), (F.col("low") - F.col("at") + F.octet_length("bytes") - LENGTH).alias("b"))
+    Windows are named by their distance from the minimiser, equal in equal windows, so a piece of neighbouring
+    windows can only meet pieces with the same place and the same bytes common to its windows.
+    """
+    large = written(stretched.where("large").select("digest", "at", "low", "high", "bytes").distinct(), "large")
+    last = F.least(F.col("high"), F.col("low") + F.octet_length("bytes") - length) - F.col("at")
+    left = large.select("digest", "low", (F.col("low") - F.col("at")).alias("a"), last.alias("b")).where("a <= b")
+    found = []
     for step in STEPS:
 
         def run(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
@@ -292,24 +324,39 @@ def split_large(stretched: DataFrame) -> DataFrame:
                 for digest, low, a, b, at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     base = at - low
                     for n in range(a // step, b // step + 1):
-                        common = body[base + n * step + step - 1 : base + n * step + LENGTH]
-                        rows.append((digest, low, max(a, n * step), min(b, n * step + step - 1), n, xxhash.xxh3_128_digest(common)))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                types = (pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["digest", "low", "a", "b", "n", "common"])
+                        common = xxhash.xxh3_128_digest(body[base + n * step + step - 1 : base + n * step + length])
+                        first, last = max(a, n * step), min(b, n * step + step - 1)
+                        rows.append((digest, low, first, last, n, common, body[base + first : base + last + length] if step > 1 else b""))
+                yield arrow_rows(rows, PIECE_TYPES, PIECE)
 
         joined = left.join(large, ["digest", "low"]).select("digest", "low", "a", "b", "at", "bytes")
-        parts = written(joined.mapInArrow(run, "digest binary, low int, a int, b int, n int, common binary"), "parts")
-        place = F.xxhash64("digest", "low")
-        twice = parts.groupBy("n", "common").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
-        left = written(parts.join(twice.select("n", "common"), ["n", "common"]).select("digest", "low", "a", "b"), "left")
-    found = left.join(large.select("digest", "low", "at"), ["digest", "low"])
-    return found.select("digest", (F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b") + LENGTH).alias("end"))
-
-
-def covered(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """``digest, whole, spans`` for every text with something to remove; ``docs`` has text and digest."""
-    anchored = written(anchors(docs), "anchors")
+        parts = written(joined.mapInArrow(run, "digest binary, low int, a int, b int, n int, common binary, bytes binary"), "parts")
+        several = written(parts.groupBy("n", "common").agg(F.count("*").alias("pieces")).where("pieces > 1"), "several")
+        if step == 1:
+            found.append(parts.join(several, ["n", "common"]).select("digest", "low", "a", "b"))
+            break
+        held = parts.join(several.where(F.col("pieces") <= most), ["n", "common"])
+        # windows of other minimisers of the text may be in the same piece; their starts differ by ``low``
+        buckets = held.select(F.xxhash64("n", "common").alias("gram"), F.struct("digest", "low").alias("digest"), F.col("a").alias("low"),
+                              (F.col("b") - F.col("a") + 1).alias("windows"), F.lit(True).alias("single"), "bytes")
+        packed = buckets.withColumn("digest", F.concat("digest.digest", F.unhex(F.lpad(F.hex("digest.low"), 8, "0"))))
+        hits = sort_buckets(packed, (length,))
+        found.append(hits.select(F.expr("substring(digest, 1, 16)").alias("digest"), F.expr("cast(conv(hex(substring(digest, 17, 4)), 16, 10) as int)").alias("low"),
+                                 F.col("start").alias("a"), (F.col("end") - length).alias("b")))
+        left = written(parts.join(several.where(F.col("pieces") > most), ["n", "common"]).select("digest", "low", "a", "b"), "left")
+        if left.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    placed = out.join(large.select("digest", "low", "at"), ["digest", "low"])
+    return placed.select(F.lit(length).alias("length"), "digest", (F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b") + length).alias("end"))
+
+
+def covered(docs: DataFrame, lengths: tuple[int, ...], most: int = MOST) -> DataFrame:
+    """``digest, whole, spans`` for every text with something to remove at one of the (rising) lengths; ``docs`` has text and digest."""
+    base, reach = lengths[0], lengths[-1]
+    anchored = written(anchors(docs, base, reach), "anchors")
     copies = anchored.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest", F.lit(True).alias("whole"))
     each = anchored.select("digest", F.inline(F.arrays_zip("gram", "at", "low", "high", "body")))
     place = F.xxhash64("digest", "low")
@@ -320,53 +367,69 @@ def covered(docs: DataFrame, most: int = MOST) -> DataFrame:
     bodies = written(bodies.select("gram", "body", (F.col("x") == F.col("y")).alias("single"), "one.*"), "bodies")
     equal = wanted.join(bodies.where("not single").select("gram", "body"), ["gram", "body"])
     several = bodies.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > most).alias("large"))
-    stretched = written(stretches(docs, bodies.join(several, "gram")), "stretches")
-    ranges = equal.select("digest", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end")).unionByName(sort_buckets(stretched))
+    stretched = written(stretches(docs, bodies.join(several, "gram"), reach), "stretches")
+    # a stretch near the end of a text may be too short for the longer strings; the union of spans is cut to the text later
+    ranges = equal.select(F.explode(F.array(*map(F.lit, lengths))).alias("length"), "digest", F.col("low").alias("start"), F.col("high").alias("last"))
+    ranges = ranges.select("length", "digest", "start", (F.col("last") + F.col("length")).alias("end"))
+    small = stretched.where("not large").withColumn("windows", F.col("high") - F.col("low") + 1)
+    ranges = ranges.unionByName(sort_buckets(small, lengths))
     if not stretched.where("large").isEmpty():
-        ranges = ranges.unionByName(split_large(stretched))
-    spans = ranges.groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        for length in lengths:
+            ranges = ranges.unionByName(split_large(stretched, length, most))
+    spans = ranges.groupBy("digest").agg(F.collect_list(F.struct("length", "start", "end")).alias("spans"))
     return written(spans.join(copies, "digest", "full_outer"), "repeats")
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, shorter: int | None = None, most: int = MOST) -> DataFrame:
     """Every row of ``docs`` with ``doc`` (the row as it was), ``n_bytes``, ``spans`` (removed), ``kept`` (bytes) and ``kept_text``.
 
     ``kept_text`` is what is left of a text that lost something, without characters that a cut has broken.
+    With ``shorter`` it is what is left when strings of so many bytes go, and ``short_spans`` are those; without, they
+    are as ``spans``.
 
     Texts are judged as UTF-8 bytes, null as empty, whole and without a limit of length; matches never cross
-    documents.  A text of ``LENGTH`` bytes or more that stands in two rows goes wholly in both, whatever their ids.
+    documents.  A text of ``length`` bytes or more that stands in two rows goes wholly in both, whatever their ids.
     An empty table gives an empty result; columns of any name pass through in ``doc``.
     """
+    lengths = tuple(sorted({length, shorter or length}))
+    if lengths[0] < 64 or lengths[-1] > DEPTH - PERIOD or any(n % 8 for n in lengths) or lengths[-1] != length:
+        raise ValueError("lengths are multiples of 8 from 64 to 480, the shorter one first")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
     packed = with_digest(packed)
-    found = covered(packed.select("text", "digest"), most)
+    found = covered(packed.select("text", "digest"), lengths, most)
     joined = packed.join(found.hint("shuffle_hash"), "digest", "left").select("doc", "text", "spans", "whole")
-    schema = extended(joined, ["doc"], "n_bytes long, spans array<struct<start:int,end:int>>, kept binary, kept_text string")
+    schema = extended(joined, ["doc"], "n_bytes long, spans array<struct<start:int,end:int>>, short_spans array<struct<start:int,end:int>>, kept binary, kept_text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, removed, kept, texts = [], [], [], []
+            sizes, removed, short, kept, texts = [], [], [], [], []
             rows = zip(strings(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             for text, spans, whole in rows:
                 data = text.encode("utf-8", "replace")
-                gone = [(0, len(data))] if whole else merged(spans or ())
-                ends = [0, *(e for _, e in gone)]
-                heads = [*(s for s, _ in gone), len(data)]
+                gone = [removed_runs(len(data), n, whole, spans or ()) for n in (length, lengths[0])]
                 sizes.append(len(data))
-                removed.append([{"start": s, "end": e} for s, e in gone])
-                kept.append(b"".join(data[a:b] for a, b in zip(ends, heads, strict=True)))
-                texts.append(kept[-1].decode("utf-8", "ignore") if gone else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, SPANS), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], names=schema.names)
+                removed.append([{"start": s, "end": e} for s, e in gone[0]])
+                short.append([{"start": s, "end": e} for s, e in gone[1]])
+                kept.append(without(data, gone[0]))
+                texts.append(without(data, gone[1]).decode("utf-8", "ignore") if gone[1] else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, SPANS), pa.array(short, SPANS), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
-def merged(spans) -> list[tuple[int, int]]:
+def removed_runs(n_bytes: int, length: int, whole: bool | None, spans) -> list[tuple[int, int]]:
+    """Maximal runs of the spans of one length, as far as strings of that length fit the text."""
+    if n_bytes < length:
+        return []
+    if whole:
+        return [(0, n_bytes)]
     out: list[tuple[int, int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans):
+    for start, end in sorted((s["start"], min(s["end"], n_bytes)) for s in spans if s["length"] == length):
+        if end - start < length:
+            continue
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -374,16 +437,28 @@ def merged(spans) -> list[tuple[int, int]]:
     return out
 
 
+def without(data: bytes, gone: list[tuple[int, int]]) -> bytes:
+    ends = [0, *(e for _, e in gone)]
+    heads = [*(s for s, _ in gone), len(data)]
+    return b"".join(data[a:b] for a, b in zip(ends, heads, strict=True))
+
+
 def digests(result: DataFrame) -> DataFrame:
+    """The columns of the query; ``text`` is what is left without the shorter repeats, ``has_passage`` tells whether there were any."""
     length = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    had = F.size("short_spans") > 0
     return result.select(
         F.col("doc.doc_id").alias("doc_id"), "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"))
+        F.sha2("kept", 256).alias("kept_sha256"), had.alias("has_passage"), F.when(had, F.col("kept_text")).otherwise(F.coalesce("doc.text", F.lit(""))).alias("text"))
+
 
+def cleaned(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
+    """``docs`` with the repeats cut out of ``text`` (broken characters at the cuts go too) and ``n_chars`` counted anew.
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeats cut out of ``text`` (broken characters at the cuts go too) and ``n_chars`` counted anew."""
-    result = remove_repeats(docs)
+    All rows stay, with all their columns.  Null and empty texts, texts below ``length`` bytes and texts without a
+    repeat stay as they are (null stays null), with their ``n_chars``; an empty table stays empty.
+    """
+    result = remove_repeats(docs, length)
     text = F.when(F.size("spans") == 0, F.col("doc.text")).otherwise(F.col("kept_text"))
     columns = {c: F.col("doc").getField(c).alias(c) for c in docs.columns}
     columns["text"] = text.alias("text")
