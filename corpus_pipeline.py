@@ -10,6 +10,8 @@ from wardspark.llm import bpe, contamination, near_dedup, quality, repeats
 from wardspark.llm.common import written
 
 TOKENIZER = "word_bpe_49k.json"
+#: A passage of 51 words of prose has more bytes than this.
+PASSAGE_BYTES = 240
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that also start elsewhere are cut out of the texts; all documents stay."""
-    return repeats.cleaned(docs)
+    """Strings of ``PASSAGE_BYTES`` that also start elsewhere are cut out of the texts; all documents stay."""
+    return repeats.cleaned(docs, PASSAGE_BYTES)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
