@@ -22,6 +22,9 @@ COLUMNS = {
     "op8": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     "op10": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_passage", "text"],
+    "op11": ["lang", "source", "part", "item", "value", "rank"],
+    "op12": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op13": ["doc_id", "held_out", "lang_pred", "score"],
 }
 
 
@@ -39,7 +42,8 @@ def test_query(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    assert len(got) == con.execute(f"SELECT count(*) FROM {'pages' if name[:3] in ('op5', 'op7') else 'documents'}").fetchone()[0]
+    if name.split("_")[0] not in ("op11", "op12"):
+        assert len(got) == con.execute(f"SELECT count(*) FROM {'pages' if name[:3] in ('op5', 'op7') else 'documents'}").fetchone()[0]
     if name in queries.ORACLE:
         want = con.execute(queries.ORACLE[name])
         names, rows = [d[0] for d in want.description], want.fetchall()

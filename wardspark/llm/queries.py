@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, contamination, html_text, licenses, near_dedup, quality, repeats, token_files, toxicity, url_filter
+from . import bpe, contamination, divergence, html_text, language, licenses, near_dedup, phrases, quality, repeats, token_files, toxicity, url_filter
 from .common import written
 
 
@@ -72,6 +72,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.remove_repeats(table(spark, sf_dir, "documents"), shorter=repeats.PASSAGE))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of whole texts of documents, priced for every language and source."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of whole texts of documents, the best of every language."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents, by profiles of the rows outside the held-out fold."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_bpe": op2_bpe,
@@ -83,9 +98,14 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_licenses": op9_licenses,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_divergence": op11_divergence,
+    "op12_phrases": op12_phrases,
+    "op13_language": op13_language,
 }
 ORACLE = {
     "op1_near_dedup": near_dedup.ORACLE,
     "op3_decontamination": contamination.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op11_divergence": divergence.ORACLE,
+    "op12_phrases": phrases.ORACLE,
 }
