@@ -1,8 +1,10 @@
 """Detection: files in, findings out, in one pass over the files and without a shuffle.
 
-Every file row yields an array of hits and is exploded once:
+A file is one unit; a long one is also cut into blocks of lines before any pattern
+runs, each with a few lines of its neighbours for context, so that no row holds the
+candidate lines of more than a block.  Every unit yields an array of hits and is exploded once:
 
-* line patterns: the file is split into lines, one anchor regex drops the lines
+* line patterns: the unit is split into lines, one anchor regex drops the lines
   no pattern can match, and what is left is exploded and tested pattern by
   pattern.  Context lines travel with the few lines that pass the anchor test,
   so no second read of the files is needed for snippets.
@@ -26,11 +28,14 @@ from ..functions.paths import file_name
 from ..functions.sqltext import sql_text
 from ..functions.text import match_lines, render_context, split_lines
 from ..rules import ALL_RULES
-from ..rules.fixed import DESCRIPTION_SHOWN_CHARS, INJECTION_PHRASES, PHRASE_SHOWN_CHARS
+from ..rules.fixed import CONTEXT_LINES, DESCRIPTION_SHOWN_CHARS, INJECTION_PHRASES, PHRASE_SHOWN_CHARS
 from ..rules.spec import FILE, LINE, Pattern, RuleSpec, any_glob, patterns_table, rules_table
 from .configs import config_hits
 from .hits import NO_HITS, context, hit
 
+#: Texts over so many bytes are matched line by line in blocks of so many lines.
+LONG_BYTES, BLOCK_LINES = 1 << 20, 2000
+
 
 def scan_files(files: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES, *, match_globs: bool = True,
                snippets: bool = True, modes: tuple[str, ...] = (LINE, FILE)) -> DataFrame:
@@ -52,6 +57,9 @@ def scan_files(files: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES, *, mat
     prepared = files.select(*keep, "content", *flags)
     if match_globs:
         prepared = prepared.where(reduce(or_, [F.col(c) for c in applies.values()]))
+    whole_too = any(r.kind != "regex" or FILE in modes and any(p.mode == FILE for p in r.patterns) for r in rules)
+    unit = F.explode_outer(F.expr(_units(bool(line_rules), whole_too))).alias("_unit")
+    prepared = prepared.select(*keep, *applies.values(), unit).select(*keep, *applies.values(), "_unit.*")
     prepared = prepared.withColumns({"_lines": split_lines(F.col("content")), "_folded": fold_case(F.col("content"))})
 
     hits = []
@@ -66,7 +74,7 @@ def scan_files(files: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES, *, mat
             hits.append(_description_hits(rule, applies[rule.globs], snippets))
     config_rules = [r for r in rules if r.kind.startswith("config_")]
     if config_rules:
-        hits.append(config_hits(config_rules, applies[config_rules[0].globs], snippets))
+        hits.append(config_hits(config_rules, f"_whole AND {applies[config_rules[0].globs]}", snippets))
 
     # explode_outer and a null test: for a plain explode the optimizer would put
     # a size() > 0 filter below, and with it every regex twice
@@ -81,6 +89,23 @@ def scan_files(files: DataFrame, rules: tuple[RuleSpec, ...] = ALL_RULES, *, mat
     )
 
 
+def _units(line_rules: bool, whole_too: bool) -> str:
+    """SQL: the text itself, or if it is long its blocks of lines and, for what looks at whole texts, the text.
+
+    ``_own`` lines from line ``_before + 1`` of ``content`` are the unit's own, and the first line of ``content`` is
+    line ``_skipped + 1`` of the file; a unit without own lines is only for patterns of whole texts (``_whole``).
+    """
+    around = CONTEXT_LINES
+    whole = f"""array(named_struct('_skipped', 0, '_before', 0, '_own', {0 if line_rules else 1 << 30}, '_whole', true, 'content', content))"""
+    blocks = f"""
+        flatten(transform(array(split(content, '\n')), lines -> transform(sequence(0, size(lines) - 1, {BLOCK_LINES}),
+            n -> named_struct('_skipped', greatest(n - {around}, 0), '_before', least(n, {around}), '_own', {BLOCK_LINES}, '_whole', false,
+                              'content', array_join(slice(lines, greatest(n - {around}, 0) + 1, least(n, {around}) + {BLOCK_LINES + around}), '\n')))))"""
+    long = {(True, True): f"concat({whole}, {blocks})", (True, False): blocks}.get((line_rules, whole_too), whole)
+    short = "array(named_struct('_skipped', 0, '_before', 0, '_own', 1 << 30, '_whole', true, 'content', content))".replace("1 << 30", str(1 << 30))
+    return f"CASE WHEN coalesce(octet_length(content), 0) <= {LONG_BYTES} THEN {short} ELSE {long} END"
+
+
 def fold_case(text: Column) -> Column:
     """Lower case, with the few letters that regexes treat as an ASCII letter mapped to it.
 
@@ -113,13 +138,13 @@ def _line_candidates(rules, applies, snippets: bool) -> str:
     wanted = " OR ".join(dict.fromkeys(applies[r.globs] for r in rules))
     around = {"context": context("x.n")} if snippets else {}
     return f"""
-        CASE WHEN ({wanted}) AND {_some_line_may_match('_folded', rules)} THEN
+        CASE WHEN _own > 0 AND ({wanted}) AND {_some_line_may_match('_folded', rules)} THEN
             transform(
                 filter(
                     transform(arrays_zip(_lines, split(_folded, '\\n')),
                               (x, i) -> named_struct('n', i + 1, 'line', x._lines, 'folded', x.`1`)),
-                    x -> {_some_line_may_match('x.folded', rules)}),
-                x -> {hit(-1, -1, "x.n", "x.n", line="x.line", folded="x.folded", **around)})
+                    x -> x.n > _before AND x.n <= _before + _own AND {_some_line_may_match('x.folded', rules)}),
+                x -> {hit(-1, -1, "_skipped + x.n", "_skipped + x.n", line="x.line", folded="x.folded", **around)})
         ELSE {NO_HITS} END"""
 
 
@@ -149,7 +174,7 @@ def _file_hits(rule: RuleSpec, k: int, flag: str, snippets: bool) -> str:
     p = rule.patterns[k]
     around = {"context": context("n")} if snippets else {}
     return f"""
-        CASE WHEN {flag} AND {may_match('_folded', p)}
+        CASE WHEN _whole AND {flag} AND {may_match('_folded', p)}
         THEN transform({match_lines('content', p.java)}, (n, i) -> {hit(rule.ordinal, k, "n", "i", **around)})
         ELSE {NO_HITS} END"""
 
@@ -161,7 +186,7 @@ def _description_hits(rule: RuleSpec, flag: str, snippets: bool) -> str:
     shown = {"snippet": f"left(x.text, {DESCRIPTION_SHOWN_CHARS})"} if snippets else {}
     note = f"concat('tool description holds the phrase: ', left(regexp_extract(x.text, {phrase}, 0), {PHRASE_SHOWN_CHARS}))"
     return f"""
-        CASE WHEN {flag} AND {may_match('_folded', place)} AND rlike(content, {phrase}) THEN
+        CASE WHEN _whole AND {flag} AND {may_match('_folded', place)} AND rlike(content, {phrase}) THEN
             transform(
                 filter(
                     transform(arrays_zip(regexp_extract_all(content, {sql_text(java)}, 0), {match_lines('content', java)}),
