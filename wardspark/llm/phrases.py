@@ -4,10 +4,10 @@ A phrase of up to five words counts as often as it stands within a piece of text
 Where five words begin at a place, all phrases beginning there are prefixes of them,
 so one trie of such windows counts phrases of every length.
 
-1. *Pruning.*  A phrase can only be frequent if all pairs and triples of neighbouring words in it
-   are.  Two passes count hashes of words and pairs, then of triples of frequent pairs (two
-   numbers a row).  What reaches ``least`` goes into a bit array of bounded size; a hash that two
-   phrases share, or a full array, lets more through and changes no result.
+1. *Pruning.*  A phrase can only be frequent if all shorter phrases in it are.  Three passes count
+   hashes of words and pairs, then of triples of frequent pairs, then of four and five words with frequent
+   triples (two numbers a row).  What reaches ``least`` goes into a bit array of bounded size; a hash that
+   two phrases share, or a full array, lets more through and changes no result.
 2. *HAT-trie.*  A task puts the window of every place, cut where it stops being frequent, into a
    trie over its own word ids: shallow nodes above hash containers, which burst into nodes
    when they grow.  Beyond ``HELD`` entries the largest subtrees are spilled whole, as sorted runs.
@@ -118,11 +118,11 @@ def places(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, together:
 
 
 def gram_hashes(lang: str, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the word, pair and triple that begin at each place, and 0 where a piece ends before."""
+    """Hashes of the one to five words that begin at each place, and 0 where a piece ends before."""
     inside = ids != 0
     word = np.where(inside, mixed(hashes[ids] ^ np.uint64(xxhash.xxh3_64_intdigest(lang))) | np.uint64(1), np.uint64(0))
     out = [word]
-    for n in (1, 2):
+    for n in range(1, WORDS):
         later = np.concatenate([word[n:], np.zeros(n, np.uint64)])[: len(word)]
         both = (out[-1] != 0) & (later != 0)
         out.append(np.where(both, mixed(out[-1] + later * MIX_B) | np.uint64(1), np.uint64(0)))
@@ -174,8 +174,26 @@ def frequent(counts: DataFrame, least: int) -> Broadcast:
     return spark.sparkContext.broadcast(Filter(array))
 
 
-def hash_counts(texts: DataFrame, filters: Broadcast | None) -> DataFrame:
-    """``h, n``: counts of words and pairs, or with a filter of triples whose pairs pass; partial sums."""
+def ahead(x: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([x[n:], np.zeros(n, x.dtype)])[: len(x)]
+
+
+def may_be_frequent(grams: list[np.ndarray], filters: list[Filter]) -> list[np.ndarray]:
+    """For each length, at which places it can begin a frequent phrase, as far as there are filters.
+
+    The filters hold words and pairs, triples, and four and five words.  One length more than they
+    know is judged by the shorter phrases in it.
+    """
+    out = [filters[0].has(grams[0])]
+    for n in range(1, WORDS):
+        inside = out[-1] & ahead(out[-1], 1)
+        known = (0, 0, 1, 2, 2)[n]
+        out.append(inside & (filters[known].has(grams[n]) if known < len(filters) else grams[n] != 0))
+    return out
+
+
+def hash_counts(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
+    """``h, n``: counts of words and pairs, with one filter of triples, with two of four and five words; partial sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
@@ -198,12 +216,12 @@ def hash_counts(texts: DataFrame, filters: Broadcast | None) -> DataFrame:
             if not len(ids):
                 vocabulary = reset(vocabulary)
                 continue
-            word, pair, triple = gram_hashes(lang, ids, vocabulary.hashes)
-            if filters is None:
-                more = [word, pair]
+            grams = gram_hashes(lang, ids, vocabulary.hashes)
+            if filters:
+                fine = may_be_frequent(grams, [f.value for f in filters])
+                more = [np.where(fine[n], grams[n], np.uint64(0)) for n in ((2,), (3, 4))[len(filters) - 1]]
             else:
-                fine = filters.value.has(pair)
-                more = [np.where(fine & np.concatenate([fine[1:], [False]]), triple, np.uint64(0))]
+                more = grams[:2]
             held += [np.unique(m[m != 0], return_counts=True) for m in more]
             if sum(len(k) for k, _ in held) > 6 * PLACES:
                 held[:] = [merge()]
@@ -292,15 +310,11 @@ def unescaped(word: bytes) -> bytes:
     return word.replace(b"\x01\x01", GAP).replace(b"\x01\x02", ESCAPE) if ESCAPE in word else word
 
 
-def windows(lang: str, ids: np.ndarray, hashes: np.ndarray, pairs: Filter, triples: Filter) -> tuple[np.ndarray, np.ndarray]:
+def windows(lang: str, ids: np.ndarray, hashes: np.ndarray, filters: list[Filter]) -> tuple[np.ndarray, np.ndarray]:
     """Different windows of the places whose word is frequent (rows of ids, 0 behind the end) and their counts."""
-    word, pair, triple = gram_hashes(lang, ids, hashes)
-    begins = pairs.has(word)
-    two = pairs.has(pair)
-    three = two & np.concatenate([two[1:], [False]]) & triples.has(triple)
-    ahead = lambda x, n: np.concatenate([x[n:], np.zeros(n, bool)])[: len(x)]
-    go_on = [begins, two, three, three & ahead(three, 1), three & ahead(three, 1) & ahead(three, 2)]
-    columns = [np.where(ok, np.concatenate([ids[n:], np.zeros(n, np.int32)])[: len(ids)], 0) for n, ok in enumerate(go_on)]
+    go_on = may_be_frequent(gram_hashes(lang, ids, hashes), filters)
+    begins = go_on[0]
+    columns = [np.where(ok, ahead(ids, n), 0) for n, ok in enumerate(go_on)]
     rows = np.stack([c[begins] for c in columns], 1).astype(np.int64)
     if not len(rows):
         return rows, np.zeros(0, np.int64)
@@ -314,7 +328,7 @@ def windows(lang: str, ids: np.ndarray, hashes: np.ndarray, pairs: Filter, tripl
     return rows[order[first]], np.diff(np.concatenate([first, [len(rows)]]))
 
 
-def trie_runs(texts: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFrame:
+def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
     """``lang, window, n``: sorted runs of spilled subtrees; the empty window counts all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +349,7 @@ def trie_runs(texts: DataFrame, pairs: Broadcast, triples: Broadcast) -> DataFra
                 vocabulary = reset(vocabulary)
                 continue
             totals[lang] = totals.get(lang, 0) + int(np.count_nonzero(ids))
-            rows, counts = windows(lang, ids, vocabulary.hashes, pairs.value, triples.value)
+            rows, counts = windows(lang, ids, vocabulary.hashes, [f.value for f in filters])
             trie = tries.setdefault(lang, HatTrie(BURST))
             for window, n in zip(rows.tolist(), counts.tolist(), strict=True):
                 trie.add(tuple(window[: window.index(0)] if 0 in window else window), n)
@@ -413,9 +427,10 @@ def mine(docs: DataFrame, least: int = LEAST, most: int = MOST_RANKS) -> DataFra
     repeated rows count as often as they stand there.  Equal scores rank by count, then by phrase.  Other columns are not read.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = frequent(hash_counts(texts, None), least)
-    triples = frequent(hash_counts(texts, pairs), least)
-    runs = written(trie_runs(texts, pairs, triples), "runs")
+    filters: list[Broadcast] = []
+    for _ in range(3):
+        filters.append(frequent(hash_counts(texts, list(filters)), least))
+    runs = written(trie_runs(texts, filters), "runs")
     counts = written(merged_runs(runs, least), "phrases")
     totals = runs.where(F.octet_length("window") == 0).groupBy("lang").agg(F.sum("n").alias("n"))
     return best(counts, totals, most)
