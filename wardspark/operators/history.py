@@ -1,7 +1,10 @@
-"""Scan history: two append-only tables, partitioned by period (day or month).
+"""Scan history: two append-only tables, partitioned by period (day or month) and append.
 
 Headers and findings are kept apart so that listing and statistics never read
 findings, and no row has to hold all findings of a scan.
+
+Every append has a key and owns the partitions with that key: an append that is tried again,
+after a lost driver for example, replaces what it wrote before and counts once.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ def scan_id(target: Column, created_at: Column) -> Column:
     return F.concat(F.lit("scan_"), F.left(F.sha2(F.concat_ws("|", target, created_at.cast("string")), 256), F.lit(12)))
 
 
-def from_report(header: DataFrame, period: str = "day") -> DataFrame:
+def from_report(header: DataFrame, period: str = "day", created_at: datetime | None = None) -> DataFrame:
     """Rows of the scans table for fresh report headers.
 
     They are stamped once, here, so that ids stay the same however often the rows are computed.
     """
-    stamped = header.withColumn("created_at", F.lit(datetime.now(timezone.utc)).cast("timestamp"))
+    stamped = header.withColumn("created_at", F.lit(created_at or datetime.now(timezone.utc)).cast("timestamp"))
     return history_rows(
         stamped.withColumns({
             "id": scan_id(F.col("target"), F.col("created_at")),
@@ -36,13 +39,34 @@ def from_report(header: DataFrame, period: str = "day") -> DataFrame:
     )
 
 
+def from_findings(findings: DataFrame, created_at: datetime, period: str = "day") -> DataFrame:
+    """Rows of the findings table: findings of the scan stamped ``created_at``, under its ids.
+
+    The id follows from target and time, so nothing is joined and no other scan of the target is in the way.
+    """
+    stamp = F.lit(created_at).cast("timestamp")
+    return findings.withColumns({"id": scan_id(F.col("target"), stamp), "scan_period": F.to_date(F.date_trunc(period, stamp))})
+
+
 def findings_of(scans: DataFrame, findings: DataFrame) -> DataFrame:
-    """Rows of the findings table: findings of one scan under its id.
+    """Findings that carry the ``id`` of their scan, with the period of that scan.
 
-    ``scans`` are the rows ``from_report`` made for that same scan: one for each target, so no finding is
-    repeated however many scans are stored.
+    ``scans`` may be the whole stored table: the join is on the scan, so a target that was scanned often
+    gets each finding once.  Scans stored in several appends count once.
     """
-    return findings.join(scans.select("id", "target", "scan_period"), "target")
+    return findings.join(scans.select("id", "scan_period").distinct(), "id")
+
+
+def store_scan(result, folder: str, period: str = "day", created_at: datetime | None = None) -> datetime:
+    """Append header and findings of a ``ScanResult`` and return the stamp.
+
+    Pass the stamp of a call that failed to try it again: the ids and the append are the same.
+    """
+    created_at = created_at or datetime.now(timezone.utc)
+    key = created_at.strftime("%Y%m%dT%H%M%S%f")
+    append(from_findings(result.findings, created_at, period), folder, key, FINDINGS)
+    append(from_report(result.header, period, created_at), folder, key)  # last: a listed scan has its findings
+    return created_at
 
 
 def history_rows(headers: DataFrame, period: str = "day") -> DataFrame:
@@ -57,13 +81,18 @@ def history_rows(headers: DataFrame, period: str = "day") -> DataFrame:
     )
 
 
-def append(rows: DataFrame, folder: str, table: str = SCANS) -> None:
-    """Append by period.  The rebalance keeps files few per period and splits periods that are very large."""
-    rows.hint("rebalance", "scan_period").write.mode("append").partitionBy("scan_period").parquet(f"{folder}/{table}")
+def append(rows: DataFrame, folder: str, key: str, table: str = SCANS) -> None:
+    """Write rows by period as the append ``key``; whatever that append wrote to these periods before is replaced.
+
+    The rebalance keeps files few per period and splits periods that are very large.
+    """
+    keyed = rows.withColumn("append_key", F.lit(key)).hint("rebalance", "scan_period")
+    writer = keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_period", "append_key")
+    writer.parquet(f"{folder}/{table}")
 
 
 def read(spark: SparkSession, folder: str, table: str = SCANS) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}")
+    return spark.read.parquet(f"{folder}/{table}").drop("append_key")
 
 
 def page(scans: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:

@@ -47,12 +47,12 @@ def with_positions(df: DataFrame, order: list[str], groups: dict[str, list[str]]
     return out.withColumns({name: F.col("_at") + F.col(name) for name in groups}).drop("_at", "_block")
 
 
-def number_findings(findings: DataFrame) -> DataFrame:
+def numbered_rows(findings: DataFrame) -> DataFrame:
     """``finding_index`` inside the target and ``file_pos`` inside the file, in path, rule, pattern, match order.
 
     The findings are written with a row key before anything is sorted: a range sort reads its input twice
     (once for a sample), and the scan behind it should run once.  Only the keys are sorted; the numbers
-    come back to the rows by the row key.  The result is the findings table every later step reads.
+    come back to the rows by the row key.
     """
     rows = cut_lineage(findings.withColumn("_row", F.monotonically_increasing_id()))
     numbers = with_positions(
@@ -60,7 +60,29 @@ def number_findings(findings: DataFrame) -> DataFrame:
         ["target", *FINDING_ORDER],
         {"finding_index": ["target"], "file_pos": ["target", "path"]},
     )
-    return cut_lineage(rows.join(numbers.select("_row", "finding_index", "file_pos"), "_row").drop("_row"))
+    return rows.join(numbers.select("_row", "finding_index", "file_pos"), "_row").drop("_row")
+
+
+def number_findings(findings: DataFrame) -> DataFrame:
+    """The numbered rows, written: the findings table every later step reads."""
+    return cut_lineage(numbered_rows(findings))
+
+
+def running_sums(df: DataFrame, order: list[str], group: str, weight: str, name: str) -> DataFrame:
+    """Add the sum of ``weight`` up to and with each row of its group.
+
+    As with positions, rows are sorted once by range.  A sum runs inside one block of one group, and the sums of
+    the earlier blocks of the group are added, one row for each block.  ``order`` begins with the group and identifies a row.
+    """
+    if order[0] != group:
+        raise ValueError(f"{group} is not the first of {order}")
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id())).withColumn("_block", F.shiftright("_at", 33))
+    inside = F.sum(weight).over(Window.partitionBy(group, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    totals = placed.groupBy(group, "_block").agg(F.sum(weight).alias("_sum"))
+    earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(group, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    return placed.withColumn(name, inside).join(shifts, [group, "_block"]).withColumn(name, F.col(name) + F.col("_before")).drop("_at", "_block", "_before")
 
 
 def neighbor_lines(files: DataFrame, around: int = 3, block: int = 10_000) -> DataFrame:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardspark.operators import history
+from wardspark.plans.scan import run_scan
+from wardspark.rules import ALL_RULES
 from wardspark.session import checkpoint_folder
 
 from .corpora import table
 from .detection import flat
+from .duck import COLLECTED_SQL
+from .findings import _COUNTS_SQL, _GRADE, F_SQL, files
 
 QUERIES, ORACLE = {}, {}
 _GRADES = ("A+", "A", "B", "C", "D", "F")
@@ -96,16 +101,34 @@ def _(spark, sf_dir):
 
 @register("history_append", _SCANS_SQL + "SELECT strftime(created_at, '%Y-%m') AS month, 2 * count(*) AS n_scans, round(2 * sum(duration_ms), 1) AS sum_duration FROM scans GROUP BY 1")
 def _(spark, sf_dir):
-    """Two appends to the partitioned table in the shared folder, then read back."""
+    """Two appends to the partitioned table in the shared folder, one of them tried twice, then read back."""
     folder = f"{checkpoint_folder(spark)}/history-{uuid.uuid4().hex}"
     rows = scans(spark, sf_dir)
-    history.append(rows, folder)
-    history.append(rows, folder)
+    for key in ("first", "second", "second"):
+        history.append(rows, folder, key)
     back = history.read(spark, folder)
     return back.groupBy(F.date_format("scan_period", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("n_scans"), F.round(F.sum("duration_ms"), 1).alias("sum_duration"))
 
 
+@register("scan_to_history", F_SQL + f", c AS (SELECT target, {_COUNTS_SQL} FROM findings GROUP BY target), "
+          f"t AS (SELECT target, CAST(count(*) FILTER (WHERE {COLLECTED_SQL}) * 22 AS BIGINT) AS total_checks FROM code_files GROUP BY 1) "
+          f"SELECT target, {_GRADE} AS score, total_checks, coalesce(total, 0) AS finding_count, coalesce(total, 0) AS l1_findings, coalesce(critical, 0) AS critical, "
+          "coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, CAST(2 AS BIGINT) AS n_scans FROM t LEFT JOIN c USING (target)")
+def _(spark, sf_dir):
+    """A scan stored twice under one stamp and once under another; each stored scan has its findings once."""
+    folder = f"{checkpoint_folder(spark)}/history-{uuid.uuid4().hex}"
+    result = run_scan(files(spark, sf_dir), rules=ALL_RULES)
+    first = history.store_scan(result, folder)
+    for stamp in (first, first + timedelta(seconds=1)):
+        history.store_scan(result, folder, created_at=stamp)
+    scans_, found = history.read(spark, folder), history.read(spark, folder, history.FINDINGS)
+    summary = history.stored_summary(history.findings_of(scans_, found.drop("scan_period")))
+    each = scans_.join(summary, "id", "left").na.fill(0, ["l1_findings", "critical", "high", "medium"])
+    columns = ("target", "score", "total_checks", "finding_count", "l1_findings", "critical", "high", "medium")
+    return each.groupBy(*columns).agg(F.count("*").alias("n_scans"))
+
+
 @register("utc_now_iso", _SCANS_SQL + "SELECT target, finding_count, round(duration_ms, 1) AS duration_ms, true AS named, true AS stamped_now FROM scans")
 def _(spark, sf_dir):
     """Fresh report headers become history rows: an id made of target and time, and the current UTC time."""

@@ -246,14 +246,15 @@ _COUNTS = "count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) F
           "count(*) FILTER (WHERE severity IN ('critical', 'high')) AS severe FROM at_depth GROUP BY ALL) "
           f"SELECT CAST(depth AS BIGINT) AS depth, target, {_GRADE} AS score, total, audited, depth = 3 AND severe >= 2 AND CAST(substr(target, 5) AS INT) % 4 < 2 AS chained FROM c")
 def _(spark, sf_dir):
-    """The whole pipeline at depth 1, 2 and 3."""
+    """The whole pipeline at depth 1, 2 and 3, from one scan whose stages are written once."""
     given = numbered_findings(spark, sf_dir)
-    b = triage.assign_batches(given)
+    result = run_scan(files(spark, sf_dir), 3, rules=ALL_RULES, verdict_replies=replies(triage.assign_batches(given)),
+                      audit_replies=audit_replies(given), chain_replies=chain_replies(given))
     out = None
-    for depth in (1, 2, 3):
-        result = run_scan(files(spark, sf_dir), depth, rules=ALL_RULES, verdict_replies=replies(b), audit_replies=audit_replies(given), chain_replies=chain_replies(given))
-        header = result.header.where("summary.total > 0")
-        tiers = result.tiers if depth == 3 else header.select("target", F.lit(0).alias("l3_audited"), F.lit(False).alias("l4_chain"))
+    for depth in (3, 2, 1):
+        view = result.at_depth(depth)
+        header = view.header.where("summary.total > 0")
+        tiers = view.tiers if depth == 3 else header.select("target", F.lit(0).alias("l3_audited"), F.lit(False).alias("l4_chain"))
         rows = header.join(tiers, "target").select(F.lit(depth).alias("depth"), "target", "score", F.col("summary.total").alias("total"),
                                                    F.col("l3_audited").alias("audited"), F.col("l4_chain").alias("chained"))
         out = rows if out is None else out.unionByName(rows)
