@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wardspark.functions.replies import audit_fields, chain_fields
-from wardspark.operators.triage import assign_batches, chain_budget, join_audits, join_verdicts, score_batches
+from wardspark.operators.triage import assign_batches, chain_budget, chain_parts, chain_prompts, join_audits, join_verdicts, score_batches
 
 FULL = "target string, path string, finding_index bigint, file_pos bigint, severity string"
 
@@ -123,3 +123,45 @@ def test_budget_boundary_is_exact(spark):
     for limit, fit in ((3 * size, 3), (3 * size - 1, 2), (size - 1, 0), (99 * size, 5)):
         got = chain_budget(f, limit).collect()
         assert len(got) == fit and all(r.n_omitted == 5 - fit for r in got)
+
+
+CHAINABLE = "target string, finding_index bigint, rule_id string, severity string, path string, line_number int, title string, description string, attack_demo string"
+
+
+def plain_parts(lengths, limit):
+    """Part of each text, from the rule in words."""
+    ends = [sum(lengths[: i + 1]) for i in range(len(lengths))]
+    base = max([e for e in ends if e <= limit], default=0)
+    longest = max([n for n, e in zip(lengths, ends, strict=True) if e > limit and n <= limit // 2], default=0)
+    places = [(-1, -1) if e <= limit else ((e - n - base) // (limit - longest), i if n > limit // 2 else -1) for i, (n, e) in enumerate(zip(lengths, ends, strict=True))]
+    order = sorted(set(places))
+    return [order.index(p) + (order[0] != (-1, -1)) for p in places]  # no part 0 where not even the first text fits
+
+
+def test_parts_hold_every_finding_within_the_budget(spark):
+    import random
+
+    r = random.Random(1)
+    sizes = {"a": [r.randint(0, 40) for _ in range(300)], "b": [500, 3, 500, 2, 900, 1], "c": [1], "hot": [r.choice((1, 5, 260)) for _ in range(400)]}
+    rows = [(t, i, "R", "high", "p", 1, "", "d" * n, "") for t, ns in sizes.items() for i, n in enumerate(ns)]
+    f = spark.createDataFrame(rows, CHAINABLE)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # many blocks, as large data has
+    try:
+        for limit in (400, 1000):
+            got = chain_parts(f, limit).collect()
+            assert len(got) == len(rows)
+            budget = {(x.target, x.finding_index, x.used_chars, x.n_omitted) for x in chain_budget(f, limit).collect()}
+            assert {(x.target, x.finding_index, x.used_chars, x.n_omitted) for x in got if x.part_no == 0 and x.used_chars <= limit} == budget
+            for target in sizes:
+                mine = sorted((x.finding_index, len(x.chain_text), x.part_no) for x in got if x.target == target)
+                assert [p for _, _, p in mine] == plain_parts([n for _, n, _ in mine], limit)
+                for part in {p for _, _, p in mine}:
+                    inside = [n for _, n, p in mine if p == part]
+                    assert sum(inside) <= limit or len(inside) == 1
+                parts = sorted({p for _, _, p in mine})
+                assert parts == list(range(parts[0], parts[-1] + 1)) and parts[0] == (mine[0][1] > limit)
+            prompts = chain_prompts(chain_parts(f, limit)).collect()
+            assert sum(p.n_included for p in prompts) == len(rows)
+            assert all(("omitted" in p.prompt_text) == (p.part_no == 0 and p.n_omitted > 0) for p in prompts)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

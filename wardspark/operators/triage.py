@@ -15,6 +15,7 @@ from ..functions.grading import is_severe
 from ..functions.replies import audit_demo, audit_fields, audit_fix, chain_fields, verdict_batch
 from ..functions.text import CHAIN_BLOCK_MIN_CHARS, chain_block, head_and_tail, triage_block
 from ..rules.fixed import BATCH_SIZE, CHAIN_CHAR_LIMIT, FILE_CHAR_LIMIT
+from .numbering import running_sums
 
 BATCH = ["target", "path", "batch_no"]
 
@@ -162,17 +163,21 @@ def join_audits(findings: DataFrame, audits: DataFrame) -> DataFrame:
     )
 
 
+def _chain_texts(chainable: DataFrame) -> DataFrame:
+    block = chain_block(F.col("rule_id"), F.col("severity"), F.col("path"), F.col("line_number"), F.col("title"),
+                        F.col("description"), F.col("attack_demo"))
+    return chainable.select("target", "finding_index", "rule_id", block.alias("chain_text"))
+
+
 def chain_budget(chainable: DataFrame, limit: int = CHAIN_CHAR_LIMIT) -> DataFrame:
     """Findings whose text fits the budget of their target, with the text and the number left out.
 
     Every block has a fixed minimum length, so only the first ``limit //
     minimum`` findings of a target can fit.  That bound goes into a per-task
     top-k before the shuffle; the running sum then sees a few hundred rows per
-    target however many findings it has.
+    target however many findings it has.  ``chain_parts`` has the others too.
     """
-    block = chain_block(F.col("rule_id"), F.col("severity"), F.col("path"), F.col("line_number"), F.col("title"),
-                        F.col("description"), F.col("attack_demo"))
-    texts = chainable.select("target", "finding_index", "rule_id", block.alias("chain_text"))
+    texts = _chain_texts(chainable)
     most = limit // CHAIN_BLOCK_MIN_CHARS
     order = Window.partitionBy("target").orderBy("finding_index")
     first = texts.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
@@ -186,16 +191,52 @@ def chain_budget(chainable: DataFrame, limit: int = CHAIN_CHAR_LIMIT) -> DataFra
     return fitting.join(left_out, "target")
 
 
+def chain_parts(chainable: DataFrame, limit: int = CHAIN_CHAR_LIMIT) -> DataFrame:
+    """Every finding with its text and ``part_no``: part 0 is what fits the budget of the target, the others follow in order
+    (from 1 on also where not even the first finding fits).
+
+    No part has more than ``limit`` characters, unless a single finding has.  Behind part 0 the text is cut at equal
+    distances: a finding belongs to the stretch it begins in, and stretches are shorter than the limit by the longest
+    text of the target, so what stands out at the end still fits.  Texts over half the limit are parts of their own.
+    ``used_chars`` is the running sum over the target, from sums over blocks of the sorted findings: a target
+    with very many findings is never one task.  ``n_omitted`` counts findings behind part 0.
+    """
+    sized = _chain_texts(chainable).withColumn("_chars", F.length("chain_text").cast("long"))
+    summed = running_sums(sized, ["target", "finding_index"], "target", "_chars", "used_chars")
+    in_first, giant = F.col("used_chars") <= limit, F.col("_chars") > limit // 2
+    per_target = summed.groupBy("target").agg(
+        F.coalesce(F.max(F.when(in_first, F.col("used_chars"))), F.lit(0)).alias("_base"),
+        F.coalesce(F.max(F.when(~in_first & ~giant, F.col("_chars"))), F.lit(0)).alias("_longest"),
+        F.count_if(~in_first).alias("n_omitted"))
+    begins = F.col("used_chars") - F.col("_chars") - F.col("_base")
+    stretch = F.floor(begins / (limit - F.col("_longest"))).cast("long")
+    # a text of its own comes behind the shorter ones that begin in its stretch
+    place = F.when(in_first, F.struct(F.lit(-1).cast("long").alias("stretch"), F.lit(-1).cast("long").alias("own"))).otherwise(
+        F.struct(stretch.alias("stretch"), F.when(giant, F.col("finding_index").cast("long")).otherwise(F.lit(-1).cast("long")).alias("own")))
+    placed = summed.join(per_target, "target").withColumn("_place", place)
+    # numbers without gaps, one row a part
+    numbers = placed.groupBy("target", "_place").agg(F.count("*").alias("_n")).withColumn("_first", F.col("_place.stretch") < 0)
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("_place"))
+    has_first = F.max("_first").over(Window.partitionBy("target"))
+    numbers = numbers.select("target", "_place", (rank - F.when(has_first, 1).otherwise(0)).alias("part_no"))
+    return placed.join(numbers, ["target", "_place"]).select("target", "finding_index", "rule_id", "chain_text", "used_chars", "n_omitted", "part_no")
+
+
 def chain_prompts(budgeted: DataFrame) -> DataFrame:
-    """One prompt body per target, bounded by the budget."""
+    """One prompt body per target and part, each bounded by the budget; only the first says how many findings are not in it.
+
+    Takes the findings of ``chain_budget`` (one prompt a target) or of ``chain_parts`` (all parts).
+    """
+    keys = ["target", "part_no"] if "part_no" in budgeted.columns else ["target"]
+    first = F.col("part_no") == 0 if "part_no" in keys else F.lit(True)
     return (
-        budgeted.groupBy("target")
+        budgeted.groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("finding_index", "chain_text"))).alias("_t"), F.max("n_omitted").alias("n_omitted"))
         .select(
-            "target", F.size("_t").alias("n_included"), "n_omitted",
+            *keys, F.size("_t").alias("n_included"), "n_omitted",
             F.concat(
                 F.array_join(F.transform("_t", lambda t: t["chain_text"]), "\n"),
-                F.when(F.col("n_omitted") > 0, F.concat(
+                F.when(first & (F.col("n_omitted") > 0), F.concat(
                     F.lit("\n\n[... "), F.col("n_omitted").cast("string"),
                     F.lit(" more findings omitted to stay within context window]"))).otherwise(F.lit("")),
             ).alias("prompt_text"),

@@ -200,11 +200,28 @@ def _(spark, sf_dir):
     return b.select("target", "finding_index", "used_chars", "n_omitted")
 
 
-@register("chain_prompt", _BUDGET_SQL + "SELECT target, count(*) AS n_included, n_omitted, md5(string_agg(t, chr(10) ORDER BY finding_index) || CASE WHEN n_omitted > 0 THEN chr(10) || chr(10) || '[... ' || n_omitted "
-          "|| ' more findings omitted to stay within context window]' ELSE '' END) AS prompt_md5 FROM fit GROUP BY target, n_omitted")
+# the same cut points in SQL: stretches behind the first part, texts over half the budget by themselves
+_PARTS_SQL = (
+    F_SQL + f", texts AS (SELECT target, finding_index, {_CHAIN_TEXT} AS t FROM findings WHERE severity IN ('critical', 'high') "
+    "AND target IN (SELECT target FROM findings WHERE severity IN ('critical', 'high') GROUP BY 1 HAVING count(*) >= 2)), "
+    "running AS (SELECT *, sum(length(t)) OVER (PARTITION BY target ORDER BY finding_index) AS used_chars FROM texts), "
+    "bounds AS (SELECT target, coalesce(max(used_chars) FILTER (WHERE used_chars <= 48000), 0) AS base, count(*) FILTER (WHERE used_chars > 48000) AS n_omitted, "
+    "coalesce(max(length(t)) FILTER (WHERE used_chars > 48000 AND length(t) <= 24000), 0) AS longest FROM running GROUP BY 1), "
+    "cut AS (SELECT *, CASE WHEN used_chars <= 48000 THEN -1 ELSE (used_chars - length(t) - base) // (48000 - longest) END AS stretch, "
+    "CASE WHEN used_chars > 48000 AND length(t) > 24000 THEN finding_index ELSE -1 END AS own FROM running JOIN bounds USING (target)), "
+    "parts AS (SELECT *, dense_rank() OVER (PARTITION BY target ORDER BY stretch, own) - CASE WHEN min(stretch) OVER (PARTITION BY target) < 0 THEN 1 ELSE 0 END AS part_no FROM cut) "
+)
+
+
+@register("chain_prompt", _PARTS_SQL + "SELECT target, CAST(part_no AS BIGINT) AS part_no, count(*) AS n_included, n_omitted, md5(string_agg(t, chr(10) ORDER BY finding_index) "
+          "|| CASE WHEN part_no = 0 AND n_omitted > 0 THEN chr(10) || chr(10) || '[... ' || n_omitted || ' more findings omitted to stay within context window]' ELSE '' END) AS prompt_md5, "
+          "sum(length(t)) <= 48000 AS within_budget FROM parts GROUP BY target, part_no, n_omitted")
 def _(spark, sf_dir):
-    p = triage.chain_prompts(triage.chain_budget(chain_eligible(numbered_findings(spark, sf_dir))))
-    return p.select("target", "n_included", "n_omitted", F.md5(F.col("prompt_text").cast("binary")).alias("prompt_md5"))
+    """All parts: every severe finding of a target that can have a chain is in one."""
+    parts = triage.chain_parts(chain_eligible(numbered_findings(spark, sf_dir)))
+    p = triage.chain_prompts(parts)
+    chars = F.length("prompt_text") - F.col("n_included") <= 48000 + 100
+    return p.select("target", "part_no", "n_included", "n_omitted", F.md5(F.col("prompt_text").cast("binary")).alias("prompt_md5"), chars.alias("within_budget"))
 
 
 def chain_replies(found: DataFrame) -> DataFrame:
