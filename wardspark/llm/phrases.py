@@ -41,6 +41,8 @@ BURST, SHALLOW, HELD = 8192, 3, 400_000
 KNOWN, PLACES = 400_000, 1_000_000
 #: Bits of the array for a frequent hash, and of the whole array at most (64 MB).
 BITS_EACH, MOST_BITS, SEGMENT_BITS = 64, 1 << 29, 1 << 20
+#: Where in a hash the places of its two bits begin.
+PROBES = (3, 34)
 #: Parts of phrases are looked up in so many copies of the counts.
 SALTS = 8
 CHUNK = 4 << 20
@@ -130,14 +132,17 @@ def gram_hashes(lang: str, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarr
 
 
 class Filter:
-    """A bit array of frequent hashes, or none at all."""
+    """A bit array with two bits for each frequent hash."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes >> np.uint64(3)) & self.mask
-        return (hashes != 0) & ((self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1)
+        out = hashes != 0
+        for shift in PROBES:
+            at = (hashes >> np.uint64(shift)) & self.mask
+            out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
 
 
 def frequent(counts: DataFrame, least: int) -> Broadcast:
@@ -146,8 +151,8 @@ def frequent(counts: DataFrame, least: int) -> Broadcast:
     often = written(counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "often")
     wanted = max(SEGMENT_BITS, min(MOST_BITS, often.count() * BITS_EACH))
     size = 1 << (wanted - 1).bit_length()
-    at = F.shiftrightunsigned("h", 3).bitwiseAND(F.lit(size - 1))
-    bits = often.select(at.alias("at")).withColumn("segment", F.floor(F.col("at") / SEGMENT_BITS).cast("int")).repartition("segment").sortWithinPartitions("segment")
+    probes = F.array(*[F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(size - 1)) for shift in PROBES])
+    bits = often.select(F.explode(probes).alias("at")).withColumn("segment", F.floor(F.col("at") / SEGMENT_BITS).cast("int")).repartition("segment").sortWithinPartitions("segment")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, marks = None, np.zeros(SEGMENT_BITS, np.uint8)
@@ -335,12 +340,12 @@ def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
         vocabulary, tries, totals = Vocabulary(), {}, {}
 
         def spilled(lang: str, trie: HatTrie, left: int) -> Iterator[pa.RecordBatch]:
-            words = vocabulary.words
-            for first in trie.largest(left) if left else list(trie.root):
-                found = sorted((GAP.join([escaped(words[i]) for i in ids]), n) for ids, n in trie.spill(first))
-                for at in range(0, len(found), 100_000):
-                    part = found[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], schema=RUN)
+            words = [escaped(w) for w in vocabulary.words]
+            rows = [row for first in (trie.largest(left) if left else list(trie.root)) for row in trie.spill(first)]
+            found = sorted((GAP.join([words[i] for i in ids]), n) for ids, n in rows)
+            for at in range(0, len(found), 50_000):
+                part = found[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], schema=RUN)
 
         for lang, ids in places(batches, vocabulary, PLACES, KNOWN):
             if not len(ids):
