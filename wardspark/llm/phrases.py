@@ -36,9 +36,9 @@ WORDS = 5
 MOST_RANKS = 2000
 NO_LANG = "und"
 #: Entries of a container before it bursts, levels of nodes that may hold containers, entries of a task's tries.
-BURST, SHALLOW, HELD = 8192, 3, 400_000
+BURST, SHALLOW, HELD = 8192, 3, 300_000
 #: Words of the tables a task keeps, and places it looks at together.
-KNOWN, PLACES = 400_000, 1_000_000
+KNOWN, PLACES = 200_000, 400_000
 #: Bits of the array for a frequent hash, and of the whole array at most (64 MB).
 BITS_EACH, MOST_BITS, SEGMENT_BITS = 64, 1 << 29, 1 << 20
 #: Where in a hash the places of its two bits begin.
@@ -228,9 +228,9 @@ def hash_counts(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
             else:
                 more = grams[:2]
             held += [np.unique(m[m != 0], return_counts=True) for m in more]
-            if sum(len(k) for k, _ in held) > 6 * PLACES:
+            if sum(len(k) for k, _ in held) > 4 * PLACES:
                 held[:] = [merge()]
-                if len(held[0][0]) > 3 * PLACES:
+                if len(held[0][0]) > 2 * PLACES:
                     yield rows()
         yield rows()
 
