@@ -35,12 +35,23 @@ def is_tool_config(path: str = "path", content: str = "content") -> str:
     )
 
 
+def _bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` computed once under a name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _last_wins(entries: str) -> str:
-    """Map entries with one entry per key: first position, last value, as a reader with dicts gives."""
-    return (
-        f"transform(array_distinct(transform({entries}, e -> e.key)), "
-        f"k -> named_struct('key', k, 'value', element_at(filter({entries}, e -> e.key = k), -1).value))"
-    )
+    """Map entries with one entry per key: first position, last value, as a reader with dicts gives.
+
+    Sorted places tell the first and the last of equal keys, so the time is that of a sort however many entries there are.
+    """
+    plain = "transform(en, e -> named_struct('key', e.key, 'value', e.value))"
+    firsts = "filter(s, (x, j) -> j = 0 OR s[greatest(j - 1, 0)].k <> x.k)"
+    lasts = "filter(s, (x, j) -> j = size(s) - 1 OR s[least(j + 1, size(s) - 1)].k <> x.k)"
+    ends = _bind(lasts, "z", f"sort_array(transform({firsts}, (f, m) -> named_struct('i', f.i, 'last', z[m].i)))")
+    single = f"transform({ends}, o -> named_struct('key', en[o.i].key, 'value', en[o.last].value))"
+    once = _bind("sort_array(transform(en, (e, i) -> named_struct('k', e.key, 'i', i)))", "s", single)
+    return _bind(entries, "en", f"CASE WHEN size(array_distinct(transform(en, e -> e.key))) = size(en) THEN {plain} ELSE {once} END")
 
 
 def tool_servers(content: str = "content") -> str:
@@ -82,16 +93,26 @@ def has_auth(server: str) -> str:
     )
 
 
-def literal_secrets(server: str) -> str:
-    """Names of environment entries whose value is a literal secret."""
+def _secret_entries(entries: str) -> str:
     text = "try_variant_get(e.value, '$', 'string')"
-    entries = _last_wins(f"map_entries({server}.env)")
     return (
-        f"coalesce(transform(filter({entries}, e -> schema_of_variant(e.value) = 'STRING' AND NOT startswith({text}, '$') "
-        f"AND rlike({text}, {sql_text('(?dU)' + SECRET_VALUE)})), e -> e.key), {_NO_TEXTS})"
+        f"filter({entries}, e -> schema_of_variant(e.value) = 'STRING' AND NOT startswith({text}, '$') "
+        f"AND rlike({text}, {sql_text('(?dU)' + SECRET_VALUE)}))"
     )
 
 
+def literal_secrets(server: str) -> str:
+    """Names of environment entries whose value is a literal secret."""
+    return f"coalesce(transform({_secret_entries(_last_wins(f'map_entries({server}.env)'))}, e -> e.key), {_NO_TEXTS})"
+
+
+def without_secrets(text: str, server: str) -> str:
+    """JSON text of a server with the literal secrets of its environment taken out, those of repeated names too."""
+    written = "to_json(array(try_variant_get(e.value, '$', 'string')))"
+    values = f"transform({_secret_entries(f'map_entries({server}.env)')}, e -> substring({written}, 3, length({written}) - 4))"
+    return f"aggregate(coalesce({values}, {_NO_TEXTS}), {text}, (t, v) -> replace(t, v, {sql_text(REDACTED)}))"
+
+
 def command_problem(command: str) -> str:
     """Why a command is suspicious, or null.  Paths are tried in their listed order; a bare shell wins."""
     lowered = f"lower({_forward_slashes(command)})"
@@ -104,17 +125,41 @@ def command_problem(command: str) -> str:
     return "CASE " + " ".join(tests) + " END"
 
 
-def pretty_server(name: str, text: str) -> str:
-    """``{name: definition}`` as indented JSON (keys sorted), or compact if a key repeats."""
+#: What JSON text consists of: texts (also one that is cut off), signs, and numbers or words.
+_TOKENS = r'"(?:[^"\\]|\\.)*"?|[{}\[\],:]|[^{}\[\],:"]+'
+
+
+def _indented(text: str) -> str:
+    """Compact JSON with every entry on a line of its own, two blanks a level; empty brackets stay together."""
+    step = "repeat('  ', a.depth)"
+    opens, closes = "t IN ('{', '[')", "t IN ('}', ']')"
+    before = f"CASE WHEN NOT {closes} AND a.last IN ('open', ',') THEN concat('\n', {step}) WHEN {closes} AND a.last <> 'open' THEN concat('\n', repeat('  ', a.depth - 1)) ELSE '' END"
+    shown = "CASE WHEN t = ':' THEN ': ' ELSE t END"
+    last = f"CASE WHEN {opens} THEN 'open' WHEN t = ',' THEN ',' ELSE '' END"
+    depth = f"a.depth + CASE WHEN {opens} THEN 1 WHEN {closes} THEN -1 ELSE 0 END"
+    place = "CASE WHEN t IN (',', ':') THEN '' ELSE " + before + " END"
     return (
-        f"coalesce(to_json(map({name}, try_parse_json({text})), map('pretty', 'true')), "
-        f"concat('{{', to_json(array({name})), ':', {text}, '}}'))"
+        f"aggregate(regexp_extract_all({text}, {sql_text(_TOKENS)}, 0), named_struct('out', '', 'depth', 0, 'last', ''), "
+        f"(a, t) -> named_struct('out', concat(a.out, {place}, {shown}), 'depth', {depth}, 'last', {last}), a -> a.out)"
     )
 
 
+def _quoted(name: str) -> str:
+    """A text as it stands in JSON, with its quotes."""
+    return f"substring(to_json(array({name})), 2, length(to_json(array({name}))) - 2)"
+
+
+def pretty_server(name: str, text: str) -> str:
+    """``{name: definition}`` as indented JSON, keys in the order of the file.
+
+    Only as much is written as a snippet can show (the indented text is never shorter than the compact one).
+    """
+    return _indented(f"left(concat('{{', {_quoted(name)}, ':', {text}, '}}'), {SERVER_SNIPPET_CHARS + 1})")
+
+
 def cut_snippet(text: str, mark: str = "") -> str:
     limit = SERVER_SNIPPET_CHARS
-    return f"CASE WHEN length({text}) > {limit} THEN concat(left({text}, {limit}), {sql_text(mark)}) ELSE {text} END"
+    return _bind(text, "full", f"CASE WHEN length(full) > {limit} THEN concat(left(full, {limit}), {sql_text(mark)}) ELSE full END")
 
 
 def key_line(key: str) -> str:
@@ -124,10 +169,42 @@ def key_line(key: str) -> str:
     return f"coalesce(try_element_at(array_compact({lines}), 1), 1)"
 
 
+def key_index() -> str:
+    """Everything between two neighbouring quotes of a line with the first line it stands on, sorted: made once for a file.
+
+    A text without that quote stands in quotes on a line exactly if it lies between two neighbouring ones.
+    """
+    between = [_bind(f"split(l, {sql_text(q)})", "p", "slice(p, 2, greatest(size(p) - 2, 0))") for q in ('"', "'")]
+    found = f"flatten(transform(_lines, (l, i) -> transform(concat({', '.join(between)}), k -> named_struct('k', k, 't', 0, 'i', i + 1))))"
+    return _bind(f"sort_array({found})", "s", "filter(s, (x, j) -> j = 0 OR s[greatest(j - 1, 0)].k <> x.k)")
+
+
+def key_lines(keys: str, index: str) -> str:
+    """``key_line`` of every key of an array, by merging the sorted keys with the index of the file.
+
+    Behind its entry of the index (``t`` 0) stand the places that ask for a key (``t`` 1); the first of them takes the
+    line over and the others repeat it.
+    """
+    asked = "transform(ks, (k, i) -> named_struct('k', k, 't', 1, 'i', i))"
+    before = "w[greatest(j - 1, 0)]"
+    marked = (
+        f"filter(transform(w, (x, j) -> named_struct('t', x.t, 'i', x.i, 'new', j = 0 OR {before}.k <> x.k OR {before}.t = 0, "
+        f"'line', CASE WHEN j > 0 AND {before}.k = x.k AND {before}.t = 0 THEN {before}.i END)), x -> x.t = 1)"
+    )
+    starts = "filter(transform(e, (x, j) -> named_struct('j', j, 'new', x.new, 'line', coalesce(x.line, 1))), x -> x.new)"
+    each = "flatten(transform(b, (f, m) -> array_repeat(f.line, CASE WHEN m + 1 < size(b) THEN b[m + 1].j ELSE size(e) END - f.j)))"
+    placed = _bind(each, "g", "transform(sort_array(transform(e, (x, j) -> named_struct('i', x.i, 'line', g[j]))), y -> y.line)")
+    merged = _bind(f"sort_array(concat({index}, {asked}))", "w", _bind(marked, "e", _bind(starts, "b", placed)))
+    # a key that holds a quote itself is looked for line by line
+    odd = f"CASE WHEN contains(k, {sql_text(chr(34))}) OR contains(k, {sql_text(chr(39))}) THEN {key_line('k')} ELSE ls[n] END"
+    return _bind(keys, "ks", _bind(merged, "ls", f"transform(ks, (k, n) -> {odd})"))
+
+
 def config_hits(rules, flag: str, snippets: bool) -> str:
     """Hits of the config rules of one file, from the columns ``path``, ``content`` and ``_lines``."""
     parts = [_RULE_HITS[r.kind](r, "servers", snippets) for r in rules]
-    joined = f"flatten(transform(array({tool_servers()}), servers -> concat({', '.join(parts)})))"
+    found = _bind(key_index(), "keyed", f"concat({', '.join(parts)})")
+    joined = _bind(tool_servers(), "servers", f"CASE WHEN size(servers) > 0 THEN {found} END")
     return f"coalesce(CASE WHEN {flag} AND {is_tool_config()} THEN {joined} END, {NO_HITS})"
 
 
@@ -135,10 +212,16 @@ def _snippet(text: str, snippets: bool) -> dict:
     return {"snippet": text} if snippets else {}
 
 
+def _with_lines(found: str, key: str, hit_: str) -> str:
+    """Hits ``hit_`` of the elements ``s`` of an array, with the line ``n`` of each element's key."""
+    rows = f"transform(arrays_zip(f, {key_lines(f'transform(f, s -> s.{key})', 'keyed')}), (z, i) -> {_bind('z', 'q', hit_)})"
+    return _bind(found, "f", f"CASE WHEN size(f) > 0 THEN {rows} ELSE {NO_HITS} END")
+
+
 def _auth_hits(rule, servers: str, snippets: bool) -> str:
-    found = hit(rule.ordinal, 0, key_line("s.name"), "i", note="concat('server ', s.name, ' has no authentication')",
-                **_snippet(cut_snippet(pretty_server("s.name", "s.text"), SNIPPET_CUT_MARK), snippets))
-    return f"transform(filter({servers}, s -> NOT {has_auth('s.def')}), (s, i) -> {found})"
+    text = cut_snippet(pretty_server("q.f.name", without_secrets("q.f.text", "q.f.def")), SNIPPET_CUT_MARK)
+    found = hit(rule.ordinal, 0, "q.`1`", "i", note="concat('server ', q.f.name, ' has no authentication')", **_snippet(text, snippets))
+    return _with_lines(f"filter({servers}, s -> NOT {has_auth('s.def')})", "name", found)
 
 
 def _env_hits(rule, servers: str, snippets: bool) -> str:
@@ -146,18 +229,18 @@ def _env_hits(rule, servers: str, snippets: bool) -> str:
         f"flatten(transform({servers}, s -> transform({literal_secrets('s.def')}, "
         "k -> named_struct('name', s.name, 'key', k))))"
     )
-    redacted = f"to_json(map(x.name, map('env', map(x.key, {sql_text(REDACTED)}))), map('pretty', 'true'))"
-    found = hit(rule.ordinal, 0, key_line("x.key"), "i",
-                note="concat('server ', x.name, ' stores a literal secret in env ', x.key)", **_snippet(redacted, snippets))
-    return f"transform({keys}, (x, i) -> {found})"
+    redacted = pretty_server("q.f.name", f"concat('{{\"env\":{{', {_quoted('q.f.key')}, ':', {_quoted(sql_text(REDACTED))}, '}}}}')")
+    found = hit(rule.ordinal, 0, "q.`1`", "i",
+                note="concat('server ', q.f.name, ' stores a literal secret in env ', q.f.key)", **_snippet(redacted, snippets))
+    return _with_lines(keys, "key", found)
 
 
 def _command_hits(rule, servers: str, snippets: bool) -> str:
-    command = command_text("s.def")
-    found = hit(rule.ordinal, 0, key_line("s.name"), "i",
-                note=f"concat('server ', s.name, ' command ', {command}, ' ', {command_problem(command)})",
-                **_snippet(cut_snippet(pretty_server("s.name", "s.text")), snippets))
-    return f"transform(filter({servers}, s -> {command_problem(command)} IS NOT NULL), (s, i) -> {found})"
+    command = command_text("q.f.def")
+    found = hit(rule.ordinal, 0, "q.`1`", "i",
+                note=f"concat('server ', q.f.name, ' command ', {command}, ' ', {command_problem(command)})",
+                **_snippet(cut_snippet(pretty_server("q.f.name", without_secrets("q.f.text", "q.f.def"))), snippets))
+    return _with_lines(f"filter({servers}, s -> {command_problem(command_text('s.def'))} IS NOT NULL)", "name", found)
 
 
 _RULE_HITS = {"config_auth": _auth_hits, "config_env": _env_hits, "config_command": _command_hits}

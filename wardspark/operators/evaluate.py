@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,23 +71,25 @@ def run_counts(runs: DataFrame) -> DataFrame:
 def run_jaccard(runs: DataFrame, run_ids: list[int], key: list[str]) -> DataFrame:
     """Jaccard similarity of the severe findings of every two runs.
 
-    One row per finding with a flag per run, then one conditional sum per pair
-    of runs: nothing is joined and no pairs of rows are made.
+    Most findings are in the same runs, so findings are counted by their sorted list of runs first.  Pairs are
+    emitted from each different list once, with its count, and what two runs have in either follows from their sizes.
+    The plan is the same for any number of runs.
     """
-    flags = {r: f"_in_{r}" for r in run_ids}
-    seen = runs.where(is_severe(F.col("severity"))).groupBy(*key).agg(
-        *[F.max((F.col("run_id") == r).cast("int")).alias(c) for r, c in flags.items()]
-    )
-    pairs = list(combinations(run_ids, 2))
-    sums = seen.agg(*[
-        F.struct(
-            F.lit(a).alias("run_a"), F.lit(b).alias("run_b"),
-            F.coalesce(F.sum(F.col(flags[a]) * F.col(flags[b])), F.lit(0)).alias("n_both"),
-            F.coalesce(F.sum(F.greatest(flags[a], flags[b])), F.lit(0)).alias("n_either"),
-        ).alias(f"_p{i}")
-        for i, (a, b) in enumerate(pairs)
-    ])
-    rows = sums.select(F.explode(F.array(*[f"_p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
+    known = F.array(*[F.lit(r) for r in run_ids])
+    seen = runs.where(is_severe(F.col("severity")) & F.array_contains(known, F.col("run_id"))).groupBy(*key).agg(F.sort_array(F.collect_set("run_id")).alias("_in"))
+    lists = seen.groupBy("_in").agg(F.count("*").alias("_n"))
+    sizes = lists.select(F.explode("_in").alias("run"), "_n").groupBy("run").agg(F.sum("_n").alias("size"))
+    # an element with all behind it, then its partners
+    ahead = lists.select("_n", "_in", F.posexplode("_in").alias("_at", "run_a"))
+    both = ahead.select("_n", "run_a", F.explode(F.slice("_in", F.col("_at") + 2, F.size("_in"))).alias("run_b"))
+    both = both.groupBy("run_a", "run_b").agg(F.sum("_n").alias("n_both"))
+    every = runs.sparkSession.range(1).select(F.explode(F.sort_array(known)).alias("run_a"))
+    every = every.select("run_a", F.explode(F.filter(F.sort_array(known), lambda r: r > F.col("run_a"))).alias("run_b"))
+    rows = every.join(both, ["run_a", "run_b"], "left")
+    for name in ("run_a", "run_b"):
+        rows = rows.join(sizes.withColumnsRenamed({"run": name, "size": f"_{name}"}), name, "left")
+    rows = rows.na.fill(0, ["n_both", "_run_a", "_run_b"])
+    rows = rows.select("run_a", "run_b", "n_both", (F.col("_run_a") + F.col("_run_b") - F.col("n_both")).alias("n_either"))
     return rows.withColumn("jaccard", F.coalesce(F.try_divide("n_both", "n_either"), F.lit(1.0))).withColumn(
         "passed", F.col("jaccard") >= GATE_JACCARD
     )
@@ -104,16 +104,23 @@ def verdict_agreement(runs: DataFrame, key: list[str]) -> DataFrame:
     ).withColumn("passed", F.col("agreement") >= GATE_VERDICT_AGREEMENT)
 
 
-def layer_effect(matched_l1: DataFrame, matched_l2: DataFrame, severe_per_target: DataFrame, chains: DataFrame) -> DataFrame:
-    """False positives removed by the verdict layer, and chains present where two severe findings exist."""
-    fp1 = matched_l1.agg(F.count_if(F.col("outcome") == "FP").alias("fp_l1"))
-    fp2 = matched_l2.agg(F.count_if(F.col("outcome") == "FP").alias("fp_l2"))
+def match_layers(judged: DataFrame, truth: DataFrame) -> DataFrame:
+    """One match of truth with judged findings (``kept``): ``in_l1`` where there is a finding, ``in_l2`` where one stays."""
+    found = judged.groupBy(*KEY).agg(F.lit(True).alias("in_l1"), F.max("kept").alias("in_l2"))
+    labels = truth.groupBy(*KEY).agg(F.max("is_vulnerable").alias("is_vulnerable"))
+    return labels.join(found, KEY, "full_outer").na.fill(False, ["in_l1", "in_l2"])
+
+
+def layer_effect(matched: DataFrame, severe_per_target: DataFrame, chains: DataFrame) -> DataFrame:
+    """False positives removed by the verdict layer (of ``match_layers``), and chains present where two severe findings exist."""
+    safe = F.coalesce(~F.col("is_vulnerable"), F.lit(False))
+    noise = matched.agg(F.count_if(safe & F.col("in_l1")).alias("fp_l1"), F.count_if(safe & F.col("in_l2")).alias("fp_l2"))
     due = severe_per_target.where("n_severe >= 2").select("target").join(
         chains.select("target", F.lit(1).alias("_c")).distinct(), "target", "left"
     ).agg(F.count("*").alias("chains_due"), F.count("_c").alias("chains_present"))
-    # three one-row aggregates side by side
+    # two one-row aggregates side by side
     one = F.lit(1).alias("_k")
-    out = fp1.select("*", one).join(fp2.select("*", one), "_k").join(due.select("*", one), "_k").drop("_k")
+    out = noise.select("*", one).join(due.select("*", one), "_k").drop("_k")
     cut = F.try_divide(F.col("fp_l1") - F.col("fp_l2"), F.col("fp_l1"))
     return out.withColumn("noise_cut", cut).withColumn(
         "passed", F.coalesce(F.col("noise_cut") >= GATE_NOISE_CUT, F.lit(True)) & (F.col("chains_due") == F.col("chains_present"))

@@ -91,3 +91,12 @@ def at_or_above(findings: DataFrame, threshold: str) -> DataFrame:
     from ..functions.grading import gate_rank, threshold_rank
 
     return findings.where(gate_rank(F.col("severity")) >= threshold_rank(threshold))
+
+
+def by_rule_set(findings: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """The findings of every rule set, put together as a bag with the name of the set in ``rule_set``.
+
+    A finding of several sets comes once for each.  One pass: the names a finding belongs to are exploded.
+    """
+    names = F.array_compact(F.array(*[F.when(F.col("rule_id").isin(rules), F.lit(name)) for name, rules in sets.items()]))
+    return findings.withColumn("rule_set", F.explode(names))

@@ -87,6 +87,9 @@ CONFIGS = (
     '{"mcpServers": {"broken": {"command": "bash"}},}',
     '{"mcpServers": {"text": "bash"}}',
     '{\n  "mcpServers": {\n    "first": {"command": "pwsh"},\n    "second": {"command": "~/bin/srv", "env": {"auth_mode": "none"}}\n  }\n}',
+    '{\n  "mcpServers": {\n    "long{id}": {"env": {"PAYLOAD": "sk-live-abcdefghij{id}", "DEPTH": 3}, "command": "../run", "args": ['
+    + ", ".join(f'"--part={n:02d}"' for n in range(40)) + "]}\n  }\n}",
+    '{"mcpServers": {"bare{id}": {}, "lists": {"command": ["env/bin/x", "a"], "roots": [], "env": {}, "limit": 5, "on": true}}}',
 )
 CONFIG_NAMES = ("mcp.json", "settings.json", "claude_desktop_config.json", "config.json", "settings.toml")
 
@@ -169,6 +172,25 @@ def text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(docs.unionByName(pages).unionByName(turns))
 
 
+def any_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All text rows, and code and configs as texts whose ids are plain numbers: no rule can go by a file name."""
+    number = lambda df, source, key: df.select(F.lit(source).alias("source"), F.col(key).cast("string").alias("path"), "content")
+    code = _rendered(spread(table(spark, sf_dir, "events").select("event_id", "user_id")), _code_columns(sql_text))
+    config_columns = {"c_custkey": "c_custkey", **_config_columns(sql_text)}
+    config = _rendered(spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")), config_columns)
+    return text_rows(spark, sf_dir).unionByName(number(code, "code", "event_id")).unionByName(number(config, "configs", "c_custkey"))
+
+
+def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user wrote in a week as one file, events in order: files with many findings."""
+    columns = _code_columns(sql_text)
+    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("week", "ts").alias("week")))
+    texts = events.select("user_id", "week", "event_id", F.expr(columns["target"]).alias("target"), F.expr(columns["content"]).alias("text"))
+    files = texts.groupBy("target", "user_id", "week").agg(F.sort_array(F.collect_list(F.struct("event_id", "text"))).alias("t"))
+    path = F.concat("target", F.lit("/u"), F.col("user_id").cast("string"), F.lit("/"), F.date_format("week", "yyyyMMdd"), F.lit("/session.py"))
+    return files.select("target", path.alias("path"), F.array_join(F.transform("t", lambda x: x["text"]), "").alias("content"))
+
+
 CODE_FILES_SQL = (
     "code_files AS (SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in _code_columns(duck_text).items()) + " FROM events)"
 ).replace("AS STRING", "AS VARCHAR")
@@ -180,3 +202,12 @@ TEXT_ROWS_SQL = (
     "UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages "
     "UNION ALL SELECT 'conversations', concat_ws('.', conv_id, turn), text FROM conversations)"
 )
+ANY_TEXTS_SQL = f"{TEXT_ROWS_SQL}, {CODE_FILES_SQL}, " + (
+    "any_texts AS (SELECT source, path, content FROM text_rows UNION ALL SELECT 'code', CAST(event_id AS VARCHAR), content FROM code_files "
+    "UNION ALL SELECT 'configs', CAST(c_custkey AS VARCHAR), " + _config_columns(duck_text)["content"].replace("AS STRING", "AS VARCHAR") + " FROM customer)"
+)
+SESSION_FILES_SQL = (
+    "events_text AS (SELECT event_id, user_id, date_trunc('week', ts) AS week, " + _code_columns(duck_text)["target"] + " AS target, " + _code_columns(duck_text)["content"] + " AS text FROM events), "
+    "session_files AS (SELECT target, target || '/u' || user_id || '/' || strftime(week, '%Y%m%d') || '/session.py' AS path, string_agg(text, '' ORDER BY event_id) AS content "
+    "FROM events_text GROUP BY target, user_id, week)"
+).replace("AS STRING", "AS VARCHAR")

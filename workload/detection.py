@@ -13,9 +13,9 @@ from wardspark.rules import ALL_RULES, FILE, LINE, rule
 from wardspark.rules.fixed import DEFAULT_GLOBS, INJECTION_PHRASES, MIN_RULES
 from wardspark.rules.spec import any_glob, rules_table
 
-from .corpora import CODE_FILES_SQL, CONFIGS_SQL, TEXT_ROWS_SQL, code_files, configs, spread, table, text_rows
+from .corpora import ANY_TEXTS_SQL, CODE_FILES_SQL, CONFIGS_SQL, TEXT_ROWS_SQL, any_texts, code_files, configs, spread, table, text_rows
 from .duck import (
-    COLLECTED_SQL, CONFIG_TEST_SQL, NAME_SQL, SKIPPED_SQL, SNIPPET, glob_sql, hits_cte, line_test, minified_sql, q, rules_cte, source_ctes,
+    COLLECTED_SQL, CONFIG_TEST_SQL, NAME_SQL, SKIPPED_SQL, SNIPPET, glob_sql, hits_cte, minified_sql, q, rules_cte, source_ctes,
 )
 
 QUERIES, ORACLE = {}, {}
@@ -45,20 +45,55 @@ for _r in ALL_RULES:
 
 # --- config rules: parsed with JSON functions on the SQL side -----------------
 # DuckDB's reader lets a comma stand before a closing bracket; strict JSON does not.
-_SERVERS_SQL = f"""{CONFIGS_SQL},
+def _servers_sql(ctes: str, base: str, where: str) -> str:
+    return f"""{ctes},
 parsed AS (SELECT target, path, content, string_split(content, chr(10)) AS ls,
                   coalesce(json_extract(content, '$.mcpServers'), json_extract(content, '$.mcp.servers')) AS servers
-           FROM configs WHERE ends_with({NAME_SQL}, '.json') AND {CONFIG_TEST_SQL} AND json_valid(content)
+           FROM {base} WHERE {where} AND {CONFIG_TEST_SQL} AND json_valid(content)
              AND NOT regexp_matches(content, ',\\s*[}}\\]]')),
 named AS (SELECT *, unnest(json_keys(servers)) AS server FROM parsed),
 server AS (SELECT *, json_extract(servers, '$."' || server || '"') AS def FROM named),
-defs AS (SELECT *, coalesce(json_extract_string(def, '$.command'), '') AS command,
+defs AS (SELECT *, CASE WHEN json_type(def, '$.command') = 'VARCHAR' THEN json_extract_string(def, '$.command') ELSE '' END AS command,
                 coalesce(list_transform(json_keys(def, '$.headers'), lambda h: lower(h)), []) AS headers,
                 coalesce(json_keys(def, '$.env'), []) AS envs,
                 coalesce(array_to_string(CAST(json_extract(def, '$.args') AS VARCHAR[]), ' '), '') AS args
          FROM server WHERE json_type(def) = 'OBJECT')"""
 
 
+_SERVERS_SQL = _servers_sql(CONFIGS_SQL, "configs", f"ends_with({NAME_SQL}, '.json')")
+_SECRET_TEST = (
+    "json_type({v}) = 'VARCHAR' AND NOT starts_with(json_extract_string({v}, '$'), '$') AND regexp_matches(json_extract_string({v}, '$'), "
+    "'sk-[A-Za-z0-9_-]{{10,}}|AKIA[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{20,}}|xox[bpsar]-[0-9]+-[0-9]+-[A-Za-z0-9]{{20,}}|[A-Za-z0-9+/=]{{32,}}')"
+)
+
+
+def _entries_sql(obj: str, depth: int, value) -> str:
+    """Entries of an object on lines of their own; ``value`` gives the SQL of an entry's value."""
+    k, blanks = f"k{depth}", " " * depth
+    v = f"json_extract({obj}, '$.\"' || {k} || '\"')"
+    rows = f"list_transform(json_keys({obj}), lambda {k}: '{blanks}\"' || {k} || '\": ' || {value(k, v)})"
+    return f"CASE WHEN len(json_keys({obj})) = 0 THEN '{{}}' ELSE '{{' || chr(10) || array_to_string({rows}, ',' || chr(10)) || chr(10) || '{' ' * (depth - 2)}}}' END"
+
+
+def _value_sql(key: str, v: str, hide: bool) -> str:
+    """A value inside a server definition, with objects and lists opened up and, if asked, secrets of the environment hidden."""
+    def inner(k2, v2):
+        return f"CASE WHEN {key} = 'env' AND {_SECRET_TEST.format(v=v2)} THEN '\"***REDACTED***\"' ELSE CAST({v2} AS VARCHAR) END" if hide else f"CAST({v2} AS VARCHAR)"
+    items = f"array_to_string(list_transform(CAST({v} AS JSON[]), lambda e: '      ' || CAST(e AS VARCHAR)), ',' || chr(10))"
+    listed = f"CASE WHEN json_array_length({v}) = 0 THEN '[]' ELSE '[' || chr(10) || {items} || chr(10) || '    ]' END"
+    return f"CASE json_type({v}) WHEN 'OBJECT' THEN {_entries_sql(v, 6, inner)} WHEN 'ARRAY' THEN {listed} ELSE CAST({v} AS VARCHAR) END"
+
+
+def _pretty_sql(hide: bool = True) -> str:
+    """``{server: def}`` indented by two blanks a level, keys in their order."""
+    body = _entries_sql("def", 4, lambda k, v: _value_sql(k, v, hide))
+    return f"'{{' || chr(10) || '  \"' || server || '\": ' || {body} || chr(10) || '}}'"
+
+
+def _cut_sql(text: str, mark: str) -> str:
+    return f"CASE WHEN length({text}) > 600 THEN left({text}, 600) || {mark} ELSE {text} END"
+
+
 def _key_line_sql(key: str) -> str:
     return (
         f"coalesce(list_min(list_filter(range(1, len(ls) + 1), lambda j: contains(ls[j], '\"' || {key} || '\"') "
@@ -69,7 +104,7 @@ def _key_line_sql(key: str) -> str:
 def _config_query(rule_id):
     def run(spark, sf_dir):
         found = scan(configs(spark, sf_dir), (rule(rule_id),))
-        return flat(found.select("path", "line_number", "description"))
+        return flat(found.select("path", "line_number", "description", "code_snippet"))
     return run
 
 
@@ -81,13 +116,14 @@ _AUTH_SQL = (
 )
 ORACLE["mcp_no_auth"] = (
     f"WITH {_SERVERS_SQL} SELECT path, CAST({_key_line_sql('server')} AS BIGINT) AS line_number, "
-    f"'server ' || server || ' has no authentication' AS description FROM defs WHERE NOT {_AUTH_SQL}"
+    f"'server ' || server || ' has no authentication' AS description, {_cut_sql(_pretty_sql(), "chr(10) || '... [truncated]'")} AS code_snippet FROM defs WHERE NOT {_AUTH_SQL}"
 )
 QUERIES["mcp_env_secret"] = _config_query("MCP-002")
 ORACLE["mcp_env_secret"] = (
     f"WITH {_SERVERS_SQL}, entries AS (SELECT path, ls, server, unnest(envs) AS k, def FROM defs), "
     "vals AS (SELECT *, json_extract(def, '$.env.\"' || k || '\"') AS v FROM entries) "
-    f"SELECT path, CAST({_key_line_sql('k')} AS BIGINT) AS line_number, 'server ' || server || ' stores a literal secret in env ' || k AS description "
+    f"SELECT path, CAST({_key_line_sql('k')} AS BIGINT) AS line_number, 'server ' || server || ' stores a literal secret in env ' || k AS description, "
+    "'{' || chr(10) || '  \"' || server || '\": {' || chr(10) || '    \"env\": {' || chr(10) || '      \"' || k || '\": \"***REDACTED***\"' || chr(10) || '    }' || chr(10) || '  }' || chr(10) || '}' AS code_snippet "
     "FROM vals WHERE json_type(v) = 'VARCHAR' AND NOT starts_with(json_extract_string(v, '$'), '$') AND regexp_matches(json_extract_string(v, '$'), "
     "'sk-[A-Za-z0-9_-]{10,}|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[bpsar]-[0-9]+-[0-9]+-[A-Za-z0-9]{20,}|[A-Za-z0-9+/=]{32,}')"
 )
@@ -101,7 +137,7 @@ _PROBLEM_SQL = (
 )
 ORACLE["mcp_command_path"] = (
     f"WITH {_SERVERS_SQL} SELECT path, CAST({_key_line_sql('server')} AS BIGINT) AS line_number, "
-    f"'server ' || server || ' command ' || command || ' ' || ({_PROBLEM_SQL}) AS description FROM defs WHERE ({_PROBLEM_SQL}) IS NOT NULL"
+    f"'server ' || server || ' command ' || command || ' ' || ({_PROBLEM_SQL}) AS description, {_cut_sql(_pretty_sql(), "''")} AS code_snippet FROM defs WHERE ({_PROBLEM_SQL}) IS NOT NULL"
 )
 
 
@@ -139,18 +175,18 @@ ORACLE["extract_mcp_servers"] = (
 
 
 def pretty_json_truncate(spark, sf_dir):
-    from wardspark.operators.configs import cut_snippet, tool_servers
+    """Every server definition as a snippet shows it, secrets included: this is the layout alone."""
+    from wardspark.operators.configs import cut_snippet, pretty_server, tool_servers
 
     found = configs(spark, sf_dir).where(tool_config() & file_name(F.col("path")).endswith(".json"))
     rows = found.select("path", F.explode_outer(F.expr(tool_servers())).alias("s")).where("s is not null")
-    one = rows.select("path", F.col("s.name").alias("server"), F.expr("concat('{\"', s.name, '\":', s.text, '}')").alias("t"))
-    return one.select("path", "server", F.expr(cut_snippet("t", "\n... [truncated]")).alias("compact_json"))
+    return rows.select("path", F.col("s.name").alias("server"), F.expr(cut_snippet(pretty_server("s.name", "s.text"), "\n... [truncated]")).alias("pretty_json"))
 
 
 QUERIES["pretty_json_truncate"] = pretty_json_truncate
 ORACLE["pretty_json_truncate"] = (
-    f"WITH {_SERVERS_SQL}, one AS (SELECT path, server, '{{\"' || server || '\":' || CAST(json(def) AS VARCHAR) || '}}' AS t FROM defs) "
-    "SELECT path, server, CASE WHEN length(t) > 600 THEN left(t, 600) || chr(10) || '... [truncated]' ELSE t END AS compact_json FROM one"
+    f"WITH {_SERVERS_SQL}, one AS (SELECT path, server, {_pretty_sql(hide=False)} AS t FROM defs) "
+    "SELECT path, server, CASE WHEN length(t) > 600 THEN left(t, 600) || chr(10) || '... [truncated]' ELSE t END AS pretty_json FROM one"
 )
 
 
@@ -223,21 +259,24 @@ ORACLE["file_rule_scan"] = (
 
 
 def table_corpus_scan(spark, sf_dir):
-    rows = text_rows(spark, sf_dir).withColumnRenamed("source", "target")
-    found = scan(rows, _LINE_RULES, match_globs=False, snippets=False)
+    """All rules over all texts, whatever they are called: what applies is decided by the content."""
+    rows = any_texts(spark, sf_dir).withColumnRenamed("source", "target")
+    found = scan(rows, ALL_RULES, match_globs=False, snippets=False)
     return flat(found.groupBy("target", "path", "rule_id", "pattern_ord", "line_number").agg(F.count("*").alias("n_findings")))
 
 
 QUERIES["table_corpus_scan"] = table_corpus_scan
-_TEXT_SRC = "texts AS (SELECT source AS target, path, content FROM text_rows)"
-_LINE_ONLY = [(r, k) for r in _LINE_RULES for k, p in enumerate(r.patterns) if p.mode == LINE]
+_TEXT_SRC = "texts AS (SELECT source AS target, path, content FROM any_texts)"
+_PATTERN_RULES = tuple(r for r in ALL_RULES if not r.kind.startswith("config_"))
 ORACLE["table_corpus_scan"] = (
-    f"WITH {TEXT_ROWS_SQL}, {_TEXT_SRC}, {source_ctes('texts')}, {rules_cte()}, "
-    "coded AS (SELECT target, path, line_number, unnest(list_filter(["
-    + ", ".join(f"CASE WHEN {line_test(r, k)} THEN {r.ordinal * 100 + k} END" for r, k in _LINE_ONLY)
-    + "], lambda x: x IS NOT NULL)) AS code FROM lines) "
-    "SELECT target, path, rule_id, CAST(code % 100 AS BIGINT) AS pattern_ord, CAST(line_number AS BIGINT) AS line_number, count(*) AS n_findings "
-    "FROM coded JOIN rules ON rule_ord = code // 100 GROUP BY ALL"
+    f"WITH {_servers_sql(f'{ANY_TEXTS_SQL}, {_TEXT_SRC}', 'texts', 'true')}, {source_ctes('texts')}, {hits_cte(_PATTERN_RULES, match_globs=False)}, {rules_cte()}, "
+    "entries AS (SELECT target, path, ls, unnest(envs) AS k, def FROM defs), "
+    "vals AS (SELECT *, json_extract(def, '$.env.\"' || k || '\"') AS v FROM entries), "
+    "found AS (SELECT target, path, rule_id, pattern_ord, line_number FROM hits JOIN rules USING (rule_ord) "
+    f"UNION ALL SELECT target, path, 'MCP-001', 0, {_key_line_sql('server')} FROM defs WHERE NOT {_AUTH_SQL} "
+    f"UNION ALL SELECT target, path, 'MCP-003', 0, {_key_line_sql('server')} FROM defs WHERE ({_PROBLEM_SQL}) IS NOT NULL "
+    f"UNION ALL SELECT target, path, 'MCP-002', 0, {_key_line_sql('k')} FROM vals WHERE {_SECRET_TEST.format(v='v')}) "
+    "SELECT target, path, rule_id, CAST(pattern_ord AS BIGINT) AS pattern_ord, CAST(line_number AS BIGINT) AS line_number, count(*) AS n_findings FROM found GROUP BY ALL"
 )
 
 

@@ -74,6 +74,11 @@ def line_hits(rules, match_globs: bool = True) -> str:
     )
 
 
+def _where(globs) -> str:
+    """The files a rule applies to; all of them where names do not count."""
+    return "true" if globs is None else glob_sql(globs)
+
+
 def _marked(regex: str, flags: str, code: int, keep: str = "true", globs=(), text: str = "CAST(NULL AS VARCHAR)") -> str:
     """File-wide matches of an RE2-safe regex, cut apart at a mark before each match."""
     return f"""
@@ -83,7 +88,7 @@ def _marked(regex: str, flags: str, code: int, keep: str = "true", globs=(), tex
                    {text} AS text
             FROM (SELECT target, path, ls, pieces, unnest(range(1, len(pieces))) AS i FROM (
                 SELECT target, path, ls, string_split(regexp_replace(content, {rx('(' + regex + ')', flags)}, chr(57344) || '\\1', 'g'), chr(57344)) AS pieces
-                FROM src WHERE {glob_sql(globs)})))
+                FROM src WHERE {_where(globs)})))
         WHERE {keep}"""
 
 
@@ -99,7 +104,7 @@ def _block_hits(header: str, inside: str, code: int, globs) -> str:
     return f"""
         SELECT target, path, ls, n AS line_number, row_number() OVER (PARTITION BY path ORDER BY n) - 1 AS match_ord, {code} AS code, CAST(NULL AS VARCHAR) AS text
         FROM (SELECT target, path, ls, n, array_to_string(ls[n + 1:{_block_end('n')} - 1], chr(10)) AS body
-              FROM (SELECT target, path, ls, unnest(range(1, len(ls))) AS n FROM src WHERE {glob_sql(globs)})
+              FROM (SELECT target, path, ls, unnest(range(1, len(ls))) AS n FROM src WHERE {_where(globs)})
               WHERE regexp_matches(ls[n], {rx(header)}))
         WHERE regexp_matches(body, {rx('^.{0,500}?(?:' + inside + ')', 'is')})"""
 
@@ -112,35 +117,35 @@ def _route_hits(code: int, globs) -> str:
         SELECT target, path, ls, n AS line_number, row_number() OVER (PARTITION BY path ORDER BY n) - 1 AS match_ord, {code} AS code, CAST(NULL AS VARCHAR) AS text
         FROM (SELECT target, path, ls, n, array_to_string(ls[n + 2:], chr(10)) AS rest,
                      array_to_string(ls[n + 2:{_block_end('n + 1')} - 1], chr(10)) AS body
-              FROM (SELECT target, path, ls, unnest(range(1, len(ls) - 1)) AS n FROM src WHERE {glob_sql(globs)})
+              FROM (SELECT target, path, ls, unnest(range(1, len(ls) - 1)) AS n FROM src WHERE {_where(globs)})
               WHERE regexp_matches(ls[n], {rx('@app[.]route')}) AND regexp_matches(ls[n + 1], {rx('def[[:space:]]+[a-z0-9_]+')}))
         WHERE NOT regexp_matches(rest, {rx(_PERMISSION)})
            OR length(regexp_extract(rest, {rx('^(.*)' + _PERMISSION, 'is')}, 1)) + 1 <= least(500, length(body))"""
 
 
-def file_hits(rules) -> list[str]:
+def file_hits(rules, match_globs: bool = True) -> list[str]:
     out = []
     for r in rules:
-        code = r.ordinal * 100
+        code, globs = r.ordinal * 100, r.globs if match_globs else None
         if r.rule_id == "PI-002":
-            out.append(_marked(USER_WORDS.replace("(", "(?:", 1) + r"\s*\)?\s*\n\s*" + MODEL_CALLS.replace("(", "(?:", 1), "is", code + 1, globs=r.globs))
+            out.append(_marked(USER_WORDS.replace("(", "(?:", 1) + r"\s*\)?\s*\n\s*" + MODEL_CALLS.replace("(", "(?:", 1), "is", code + 1, globs=globs))
         elif r.rule_id == "FW-001":
             head = r"def\s+\w+"
-            out.append(_block_hits(head, r"subprocess\.|os\.system|os\.popen", code + 1, r.globs))
-            out.append(_block_hits(head, r"os\.remove|shutil\.rmtree|Path\(.*\)\.unlink", code + 2, r.globs))
-            out.append(_block_hits(head, r"requests\.(?:post|put|delete|patch)", code + 3, r.globs))
+            out.append(_block_hits(head, r"subprocess\.|os\.system|os\.popen", code + 1, globs))
+            out.append(_block_hits(head, r"os\.remove|shutil\.rmtree|Path\(.*\)\.unlink", code + 2, globs))
+            out.append(_block_hits(head, r"requests\.(?:post|put|delete|patch)", code + 3, globs))
         elif r.rule_id == "FW-003":
-            out.append(_block_hits(r"class\s+\w*Tool\w*", r"os\.system|subprocess\.", code + 1, r.globs))
+            out.append(_block_hits(r"class\s+\w*Tool\w*", r"os\.system|subprocess\.", code + 1, globs))
         elif r.rule_id == "FW-004":
-            out.append(_route_hits(code, r.globs))
+            out.append(_route_hits(code, globs))
         elif r.rule_id == "MCP-004":
             piece = f"regexp_extract(pieces[i + 1], {rx('^(?:' + DESCRIPTION_PLACES + ')')})"
-            out.append(_marked(DESCRIPTION_PLACES, "i", code, keep=f"regexp_matches(text, {rx(INJECTION_PHRASES)})", globs=r.globs, text=piece))
+            out.append(_marked(DESCRIPTION_PLACES, "i", code, keep=f"regexp_matches(text, {rx(INJECTION_PHRASES)})", globs=globs, text=piece))
     return out
 
 
 def hits_cte(rules=ALL_RULES, match_globs: bool = True) -> str:
-    parts = [p for p in [line_hits(rules, match_globs), *file_hits(rules)] if p]
+    parts = [p for p in [line_hits(rules, match_globs), *file_hits(rules, match_globs)] if p]
     return (
         "hits AS MATERIALIZED (SELECT target, path, ls, CAST(line_number AS BIGINT) AS line_number, CAST(match_ord AS BIGINT) AS match_ord, "
         "CAST(code // 100 AS BIGINT) AS rule_ord, CAST(code % 100 AS BIGINT) AS pattern_ord, text FROM ("

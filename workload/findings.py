@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wardspark.functions import grading, paths, text
 from wardspark.operators import report
 from wardspark.operators.detect import describe, scan, scan_files
-from wardspark.operators.filters import at_or_above, chain_eligible, collected, severe
+from wardspark.operators.filters import at_or_above, by_rule_set, chain_eligible, collected, severe
 from wardspark.operators.numbering import neighbor_lines, number_findings
 from wardspark.plans.scan import scannable
 from wardspark.rules import ALL_RULES, DOCUMENTED_RULES, SHIPPED_RULES, rule
@@ -75,8 +75,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The findings of two rule sets of one scan, put together as a bag."""
     found = scan(scannable(files(spark, sf_dir)), ALL_RULES, snippets=False)
-    names = [[r.rule_id for r in rules] for rules in (SHIPPED_RULES, DOCUMENTED_RULES)]
-    both = found.where(F.col("rule_id").isin(names[0])).unionByName(found.where(F.col("rule_id").isin(names[1])))
+    both = by_rule_set(found, {"shipped": [r.rule_id for r in SHIPPED_RULES], "documented": [r.rule_id for r in DOCUMENTED_RULES]})
     return both.groupBy("target", "rule_id", "pattern_ord").agg(F.count("*").alias("n_findings"))
 
 

@@ -138,12 +138,11 @@ def _(spark, sf_dir):
           "(SELECT count(*) FROM s) AS chains_due, (SELECT count(*) FROM s WHERE CAST(substr(target, 5) AS INT) % 4 < 2) AS chains_present) "
           "SELECT *, (fp_l1 - fp_l2) / nullif(fp_l1, 0) AS noise_cut, coalesce((fp_l1 - fp_l2) / nullif(fp_l1, 0) >= 0.3, true) AND chains_due = chains_present AS passed FROM x")
 def _(spark, sf_dir):
-    t = truth(spark, sf_dir)
-    found = numbered_findings(spark, sf_dir)
-    per_target = severe(found).groupBy("target").agg(F.count("*").alias("n_severe"))
-    chains = read_chains(chain_replies(found)).where("chain is not null")
-    return evaluate.layer_effect(
-        evaluate.match_truth(found, t), evaluate.match_truth(judged(spark, sf_dir).where("kept"), t), per_target, chains)
+    """Both layers from one match; truth and judged findings are read once for it."""
+    j = judged(spark, sf_dir)
+    per_target = severe(j).groupBy("target").agg(F.count("*").alias("n_severe"))
+    chains = read_chains(chain_replies(numbered_findings(spark, sf_dir))).where("chain is not null")
+    return evaluate.layer_effect(evaluate.match_layers(j, truth(spark, sf_dir)), per_target, chains)
 
 
 # --- rules and fields ------------------------------------------------------------------
