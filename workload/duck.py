@@ -144,8 +144,8 @@ def file_hits(rules, match_globs: bool = True) -> list[str]:
     return out
 
 
-def hits_cte(rules=ALL_RULES, match_globs: bool = True) -> str:
-    parts = [p for p in [line_hits(rules, match_globs), *file_hits(rules, match_globs)] if p]
+def hits_cte(rules=ALL_RULES, match_globs: bool = True, whole_files: bool = True) -> str:
+    parts = [p for p in [line_hits(rules, match_globs), *(file_hits(rules, match_globs) if whole_files else ())] if p]
     return (
         "hits AS MATERIALIZED (SELECT target, path, ls, CAST(line_number AS BIGINT) AS line_number, CAST(match_ord AS BIGINT) AS match_ord, "
         "CAST(code // 100 AS BIGINT) AS rule_ord, CAST(code % 100 AS BIGINT) AS pattern_ord, text FROM ("
@@ -194,10 +194,14 @@ CONFIG_TEST_SQL = (
 
 def findings_ctes() -> str:
     """Numbered full findings of the scannable code files."""
+    return numbered_ctes(CODE_FILES_SQL, "code_files", f"{COLLECTED_SQL} AND NOT {minified_sql()}", hits_cte())
+
+
+def numbered_ctes(corpus: str, base: str, where: str, hits: str) -> str:
     return ", ".join([
-        CODE_FILES_SQL,
-        source_ctes("code_files", f"{COLLECTED_SQL} AND NOT {minified_sql()}"),
-        hits_cte(), rules_cte(), patterns_cte(),
+        corpus,
+        source_ctes(base, where),
+        hits, rules_cte(), patterns_cte(),
         "findings AS MATERIALIZED (SELECT h.target, h.path, h.line_number, h.rule_ord, h.pattern_ord, h.match_ord, r.rule_id, r.severity, r.owasp_ids, r.title, r.fix, "
         f"CASE WHEN h.text IS NULL THEN p.pattern_text ELSE 'tool description holds the phrase: ' || left(regexp_extract(h.text, {rx(INJECTION_PHRASES)}), 120) END AS description, "
         f"{SNIPPET} AS code_snippet, "

@@ -7,16 +7,20 @@ unreadable, failed, malformed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardspark.functions.replies import repaired_json, verdict_batch
 from wardspark.operators import report, triage
+from wardspark.operators.detect import describe, scan_files
 from wardspark.operators.filters import chain_eligible, severe
+from wardspark.operators.numbering import number_findings
 from wardspark.plans.scan import run_scan
-from wardspark.rules import ALL_RULES
+from wardspark.rules import ALL_RULES, LINE
 
+from .corpora import SESSION_FILES_SQL, session_files
 from .detection import flat
+from .duck import hits_cte, numbered_ctes
 from .findings import _GRADE, F_SQL, files, numbered_findings
 
 QUERIES, ORACLE = {}, {}
@@ -141,6 +145,57 @@ def _(spark, sf_dir):
     return triage.join_verdicts(b, scored).select("target", "finding_index", "verdict", "kept")
 
 
+# --- files with many findings: batches behind the first, verdicts across batches -----
+_SESSION_RULES = tuple(r for r in ALL_RULES if r.kind == "regex")
+
+
+def session_findings(spark, sf_dir) -> DataFrame:
+    """Line findings of a user's week as one file: some dozens each."""
+    lean = scan_files(session_files(spark, sf_dir), _SESSION_RULES, modes=(LINE,))
+    return triage.assign_batches(describe(number_findings(lean), _SESSION_RULES))
+
+
+def session_replies(found: DataFrame) -> DataFrame:
+    """Replies by the first finding of the batch: clean, with an item more that names the finding before the batch, failed, too short."""
+    verdict = F.when(F.col("finding_index") % 3 != 0, F.lit("REAL")).otherwise(F.lit("NOISE"))
+    item = F.concat(F.lit('{"index": '), F.col("batch_pos").cast("string"), F.lit(', "verdict": "'), verdict, F.lit('"}'))
+    b = found.select(*triage.BATCH, "finding_index", F.struct("batch_pos", item.alias("item")).alias("i")).groupBy(*triage.BATCH).agg(
+        F.transform(F.sort_array(F.collect_list("i")), lambda x: x["item"]).alias("items"), F.min("finding_index").alias("first"))
+    more = F.concat(F.lit('{"index": '), (F.col("first") - 1).cast("string"), F.lit(', "verdict": "REAL"}'))
+    shape = F.col("first") % 4
+    items = F.when(shape == 1, F.array_append("items", more)).when(shape == 3, F.slice("items", 1, F.size("items") - 1)).otherwise(F.col("items"))
+    reply = F.concat(F.lit('{"results": ['), F.array_join(items, ", "), F.lit("]}"))
+    return b.select(*triage.BATCH, F.when(shape != 2, reply).alias("reply"), F.when(shape == 2, F.lit("timeout")).alias("error"))
+
+
+_SESSION_SQL = (
+    "WITH " + numbered_ctes(SESSION_FILES_SQL, "session_files", "true", hits_cte(_SESSION_RULES, whole_files=False))
+    + ", batched AS (SELECT *, CAST(file_pos // 12 AS BIGINT) AS batch_no, CAST(file_pos % 12 AS BIGINT) AS batch_pos, "
+    "min(finding_index) OVER (PARTITION BY target, path, file_pos // 12) AS first, count(*) OVER (PARTITION BY target, path, file_pos // 12) AS n, "
+    "CASE WHEN finding_index % 3 <> 0 THEN 'REAL' ELSE 'NOISE' END AS v FROM findings), "
+    "named AS (SELECT DISTINCT target, first - 1 AS finding_index, true AS named FROM batched WHERE first % 4 = 1), "
+    "said AS (SELECT *, CASE WHEN first % 4 IN (0, 1) OR first % 4 = 3 AND batch_pos < n - 1 THEN v END AS verdict FROM batched) "
+)
+
+
+@register("batch_assign_sessions", _SESSION_SQL + "SELECT target, path, batch_no, count(*) AS n_findings, CAST(sum(batch_pos * (finding_index + 1)) AS BIGINT) AS placed FROM batched GROUP BY ALL")
+def _(spark, sf_dir):
+    """Batches of files with more than twelve findings."""
+    return session_findings(spark, sf_dir).groupBy(*triage.BATCH).agg(
+        F.count("*").alias("n_findings"), F.sum(F.col("batch_pos") * (F.col("finding_index") + 1)).alias("placed"))
+
+
+@register("session_verdicts", _SESSION_SQL + "SELECT target, finding_index, batch_no, verdict, first % 4 = 2 OR coalesce(verdict = 'REAL', false) OR coalesce(named, false) AS kept, "
+          "coalesce(named, false) AND first % 4 <> 2 AND coalesce(verdict <> 'REAL', true) AS kept_by_another_batch FROM said LEFT JOIN named USING (target, finding_index)")
+def _(spark, sf_dir):
+    """Verdicts in which a batch speaks for a finding of the batch before it."""
+    found = session_findings(spark, sf_dir)
+    judged_ = triage.join_verdicts(found, session_replies(found))
+    failed = F.min("finding_index").over(Window.partitionBy(*triage.BATCH)) % 4 == 2
+    by_other = F.col("kept") & ~failed & F.coalesce(F.col("verdict") != "REAL", F.lit(True))
+    return judged_.select("target", "finding_index", "batch_no", "verdict", "kept", by_other.alias("kept_by_another_batch"))
+
+
 # --- audits -----------------------------------------------------------------------
 def audit_replies(found: DataFrame) -> DataFrame:
     """Replies for severe findings: full, without attack path, inside prose with stray commas, failed, none."""
