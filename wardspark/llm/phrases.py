@@ -4,7 +4,8 @@ A phrase of up to five words counts as often as it stands within a piece of text
 Where five words begin at a place, all phrases beginning there are prefixes of them,
 so one trie of such windows counts phrases of every length.
 
-1. *Pruning.*  A phrase can only be frequent if all shorter phrases in it are.  Three passes count
+1. *Pruning.*  A phrase can only be frequent if all shorter phrases in it are.  Texts are written as
+   hashes of their words, 8 bytes each, and three passes over these count
    hashes of words and pairs, then of triples of frequent pairs, then of four and five words with frequent
    triples (two numbers a row).  What reaches ``least`` goes into a bit array of bounded size; a hash that
    two phrases share, or a full array, lets more through and changes no result.
@@ -36,9 +37,9 @@ WORDS = 5
 MOST_RANKS = 2000
 NO_LANG = "und"
 #: Entries of a container before it bursts, levels of nodes that may hold containers, entries of a task's tries.
-BURST, SHALLOW, HELD = 8192, 3, 300_000
+BURST, SHALLOW, HELD = 8192, 3, 400_000
 #: Words of the tables a task keeps, and places it looks at together.
-KNOWN, PLACES = 200_000, 400_000
+KNOWN, PLACES = 400_000, 500_000
 #: Bits of the array for a frequent hash, and of the whole array at most (64 MB).
 BITS_EACH, MOST_BITS, SEGMENT_BITS = 64, 1 << 29, 1 << 20
 #: Where in a hash the places of its two bits begin.
@@ -63,7 +64,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary(dict):
-    """Ids of a task's words in order of appearance; 0 ends a piece."""
+    """Ids of a task's words in order of appearance; 0 ends a piece.  ``words`` are as windows are made of, ``hashes`` never 0."""
 
     def __init__(self):
         super().__init__({END: 0})
@@ -72,10 +73,10 @@ class Vocabulary(dict):
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.words)
-        self.words.append(word)
+        self.words.append(escaped(word))
         if n == len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros(n, np.uint64)])
-        self.hashes[n] = xxhash.xxh3_64_intdigest(word)
+        self.hashes[n] = xxhash.xxh3_64_intdigest(word) | 1
         return n
 
     def ids(self, text: bytes) -> np.ndarray:
@@ -91,41 +92,61 @@ class Vocabulary(dict):
         return np.concatenate([*parts, np.zeros(1, np.int32)])
 
 
-def places(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, together: int, most_words: int) -> Iterator[tuple[str, np.ndarray]]:
-    """Language and word ids of many texts on end, about so many places at once or one text.
+def escaped(word: bytes) -> bytes:
+    """The word without the byte between words, so that windows sort as a trie is walked."""
+    return word.replace(ESCAPE, b"\x01\x02").replace(GAP, b"\x01\x01") if ESCAPE in word or GAP in word else word
 
-    No ids at all are a sign that the vocabulary has more than ``most_words`` and may be emptied.
-    """
-    held: dict[str, list[np.ndarray]] = {}
-    sizes: dict[str, int] = {}
-    for batch in slices(batches):
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids = vocabulary.ids(text)
-            held.setdefault(lang, []).append(ids)
-            sizes[lang] = sizes.get(lang, 0) + len(ids)
-            if sizes[lang] >= together:
-                sizes.pop(lang)
-                yield lang, np.concatenate(held.pop(lang))
-        if sum(sizes.values()) >= 2 * together:
-            for lang in list(held):
-                yield lang, np.concatenate(held.pop(lang))
-            sizes.clear()
-        if len(vocabulary) > most_words:
-            for lang in list(held):
-                yield lang, np.concatenate(held.pop(lang))
-            sizes.clear()
-            yield "", np.zeros(0, np.int32)
-    for lang, parts in held.items():
-        yield lang, np.concatenate(parts)
-
-
-def gram_hashes(lang: str, ids: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+
+def unescaped(word: bytes) -> bytes:
+    return word.replace(b"\x01\x01", GAP).replace(b"\x01\x02", ESCAPE) if ESCAPE in word else word
+
+
+class Places:
+    """Word arrays of many texts by language, given out on end, about so many places at once or one text."""
+
+    def __init__(self, together: int):
+        self.together = together
+        self.held: dict[str, list[np.ndarray]] = {}
+        self.sizes: dict[str, int] = {}
+
+    def put(self, lang: str, words: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+        self.held.setdefault(lang, []).append(words)
+        self.sizes[lang] = self.sizes.get(lang, 0) + len(words)
+        if self.sizes[lang] >= self.together:
+            yield lang, self.out(lang)
+        if sum(self.sizes.values()) >= 2 * self.together:
+            yield from self.rest()
+
+    def out(self, lang: str) -> np.ndarray:
+        del self.sizes[lang]
+        return np.concatenate(self.held.pop(lang))
+
+    def rest(self) -> Iterator[tuple[str, np.ndarray]]:
+        for lang in list(self.held):
+            yield lang, self.out(lang)
+
+
+def word_hashes(texts: DataFrame) -> DataFrame:
+    """``lang, words``: the hashes of the words of every text, 0 where a piece ends, as bytes."""
+    most_words = KNOWN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary()
+        for batch in slices(batches):
+            words = [vocabulary.hashes[vocabulary.ids(t)].tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["lang", "words"])
+            if len(vocabulary) > most_words:
+                vocabulary = Vocabulary()
+
+    return texts.mapInArrow(run, "lang string, words binary")
+
+
+def gram_hashes(lang: str, words: np.ndarray) -> list[np.ndarray]:
     """Hashes of the one to five words that begin at each place, and 0 where a piece ends before."""
-    inside = ids != 0
-    word = np.where(inside, mixed(hashes[ids] ^ np.uint64(xxhash.xxh3_64_intdigest(lang))) | np.uint64(1), np.uint64(0))
+    word = np.where(words != 0, mixed(words ^ np.uint64(xxhash.xxh3_64_intdigest(lang))) | np.uint64(1), np.uint64(0))
     out = [word]
     for n in range(1, WORDS):
-        later = np.concatenate([word[n:], np.zeros(n, np.uint64)])[: len(word)]
+        later = ahead(word, n)
         both = (out[-1] != 0) & (later != 0)
         out.append(np.where(both, mixed(out[-1] + later * MIX_B) | np.uint64(1), np.uint64(0)))
     return out
@@ -197,12 +218,17 @@ def may_be_frequent(grams: list[np.ndarray], filters: list[Filter]) -> list[np.n
     return out
 
 
-def hash_counts(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
+def hash_counts(hashed: DataFrame, filters: list[Broadcast]) -> DataFrame:
     """``h, n``: counts of words and pairs, with one filter of triples, with two of four and five words; partial sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        gathered, held = Places(PLACES), []
+
+        def places() -> Iterator[tuple[str, np.ndarray]]:
+            for batch in slices(batches):
+                for lang, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    yield from gathered.put(lang, np.frombuffer(words, np.uint64))
+            yield from gathered.rest()
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
             keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in held)])
@@ -217,11 +243,8 @@ def hash_counts(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
-        for lang, ids in places(batches, vocabulary, PLACES, KNOWN):
-            if not len(ids):
-                vocabulary = reset(vocabulary)
-                continue
-            grams = gram_hashes(lang, ids, vocabulary.hashes)
+        for lang, words in places():
+            grams = gram_hashes(lang, words)
             if filters:
                 fine = may_be_frequent(grams, [f.value for f in filters])
                 more = [np.where(fine[n], grams[n], np.uint64(0)) for n in ((2,), (3, 4))[len(filters) - 1]]
@@ -234,13 +257,7 @@ def hash_counts(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
                     yield rows()
         yield rows()
 
-    return texts.mapInArrow(run, "h long, n long")
-
-
-def reset(vocabulary: Vocabulary) -> Vocabulary:
-    vocabulary.clear()
-    vocabulary.__init__()
-    return vocabulary
+    return hashed.mapInArrow(run, "h long, n long")
 
 
 class HatTrie:
@@ -290,34 +307,28 @@ class HatTrie:
             stay -= self.root[first][0]
         return out
 
-    def spill(self, first: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    def spill(self, first: int) -> list[tuple[tuple[int, ...], int]]:
         """All sequences of a subtree, which goes."""
         subtree = self.root.pop(first)
         self.entries -= subtree[0]
-        stack = [((first,), subtree)]
+        if not subtree[2]:
+            return [((first, *rest), n) for rest, n in subtree[1].items()]
+        out, stack = [], [((first,), subtree)]
         while stack:
             ids, (_, table, is_node) = stack.pop()
             if is_node:
                 stack += [(ids if step < 0 else (*ids, step), below) for step, below in table.items()]
             else:
-                yield from (((*ids, *rest), n) for rest, n in table.items())
+                out += [((*ids, *rest), n) for rest, n in table.items()]
+        return out
 
 
 RUN = pa.schema([("lang", pa.string()), ("window", pa.binary()), ("n", pa.int64())])
 
 
-def escaped(word: bytes) -> bytes:
-    """The word without the byte between words, so that windows sort as a trie is walked."""
-    return word.replace(ESCAPE, b"\x01\x02").replace(GAP, b"\x01\x01") if ESCAPE in word or GAP in word else word
-
-
-def unescaped(word: bytes) -> bytes:
-    return word.replace(b"\x01\x01", GAP).replace(b"\x01\x02", ESCAPE) if ESCAPE in word else word
-
-
 def windows(lang: str, ids: np.ndarray, hashes: np.ndarray, filters: list[Filter]) -> tuple[np.ndarray, np.ndarray]:
     """Different windows of the places whose word is frequent (rows of ids, 0 behind the end) and their counts."""
-    go_on = may_be_frequent(gram_hashes(lang, ids, hashes), filters)
+    go_on = may_be_frequent(gram_hashes(lang, hashes[ids]), filters)
     begins = go_on[0]
     columns = [np.where(ok, ahead(ids, n), 0) for n, ok in enumerate(go_on)]
     rows = np.stack([c[begins] for c in columns], 1).astype(np.int64)
@@ -338,21 +349,25 @@ def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, tries, totals = Vocabulary(), {}, {}
+        gathered, most_words = Places(PLACES), KNOWN
 
         def spilled(lang: str, trie: HatTrie, left: int) -> Iterator[pa.RecordBatch]:
-            words = [escaped(w) for w in vocabulary.words]
-            rows = [row for first in (trie.largest(left) if left else list(trie.root)) for row in trie.spill(first)]
-            found = sorted((GAP.join([words[i] for i in ids]), n) for ids, n in rows)
-            for at in range(0, len(found), 50_000):
-                part = found[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], schema=RUN)
-
-        for lang, ids in places(batches, vocabulary, PLACES, KNOWN):
-            if not len(ids):
-                for known, trie in tries.items():
-                    yield from spilled(known, trie, 0)
-                vocabulary = reset(vocabulary)
-                continue
+            held: list[tuple[bytes, int]] = []
+            words = vocabulary.words
+
+            def sorted_run() -> pa.RecordBatch:
+                held.sort()
+                columns = [pa.array([lang] * len(held), pa.string()), pa.array([w for w, _ in held], pa.binary()), pa.array([n for _, n in held], pa.int64())]
+                held.clear()
+                return pa.RecordBatch.from_arrays(columns, schema=RUN)
+
+            for first in trie.largest(left) if left else sorted(trie.root):
+                held += [(GAP.join([words[i] for i in ids]), n) for ids, n in trie.spill(first)]
+                if len(held) >= 20_000:
+                    yield sorted_run()
+            yield sorted_run()
+
+        def count(lang: str, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
             totals[lang] = totals.get(lang, 0) + int(np.count_nonzero(ids))
             rows, counts = windows(lang, ids, vocabulary.hashes, [f.value for f in filters])
             trie = tries.setdefault(lang, HatTrie(BURST))
@@ -363,6 +378,20 @@ def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
             if sum(t.entries for t in tries.values()) > HELD:
                 for known, held in tries.items():
                     yield from spilled(known, held, 0)
+
+        for batch in slices(batches):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                for ready, ids in gathered.put(lang, vocabulary.ids(text)):
+                    yield from count(ready, ids)
+            if len(vocabulary) > most_words:  # nothing may refer to its ids any more
+                for ready, ids in gathered.rest():
+                    yield from count(ready, ids)
+                for known, trie in tries.items():
+                    yield from spilled(known, trie, 0)
+                vocabulary.clear()
+                vocabulary.__init__()
+        for ready, ids in gathered.rest():
+            yield from count(ready, ids)
         for lang, trie in tries.items():
             yield from spilled(lang, trie, 0)
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([b""] * len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())], schema=RUN)
@@ -432,9 +461,10 @@ def mine(docs: DataFrame, least: int = LEAST, most: int = MOST_RANKS) -> DataFra
     repeated rows count as often as they stand there.  Equal scores rank by count, then by phrase.  Other columns are not read.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    hashed = written(word_hashes(texts), "words")
     filters: list[Broadcast] = []
     for _ in range(3):
-        filters.append(frequent(hash_counts(texts, list(filters)), least))
+        filters.append(frequent(hash_counts(hashed, list(filters)), least))
     runs = written(trie_runs(texts, filters), "runs")
     counts = written(merged_runs(runs, least), "phrases")
     totals = runs.where(F.octet_length("window") == 0).groupBy("lang").agg(F.sum("n").alias("n"))

@@ -1,16 +1,17 @@
 """Quality rules by robust multivariate outliers (operator 4), in DataFrame functions only.
 
-Each text gives a vector of transformed statistics.  For every (language,
-source) a minimum-covariance-determinant estimate is fitted: start from medians
-and scaled deviations, keep the ``SHARE`` of rows nearest by Mahalanobis
-distance, estimate mean and covariance from these alone, and repeat.  A text is
-rejected if its distance to its group's estimate is beyond ``CUTOFF``.
-
-Nothing but sums and counts of bins is ever shuffled: "the nearest share" is a
-threshold on the distance, read from a histogram with fine logarithmic bins, so
-a source with a third of all rows is pre-aggregated like any other.  Groups with
-fewer than ``LEAST_ROWS`` rows use the estimate of their language, or else the
-one of all rows.
+Each text gives a vector of transformed statistics.  For every (language, source) a regularised
+minimum-covariance-determinant estimate is fitted: of the sets with ``SHARE`` of the rows, one whose
+covariance (plus the ``FLOORS``) has the smallest determinant.  Three deterministic starts (scaled
+deviations, and correlations of signs and of bent values) take concentration steps, each of which keeps the rows
+nearest by the estimate and estimates again, until no determinant falls any more; the smallest one of a group counts.
+A text is rejected if its Mahalanobis distance from its group's estimate is beyond ``CUTOFF``.
+
+Nothing but sums and counts of bins by (language, source) is ever shuffled: "the nearest share" is a
+threshold on the distance, read from a histogram with fine logarithmic bins.  Groups with fewer than ``least_rows``
+rows use the estimate of their language, or else the one of all rows; those add up the bins and sums of
+their groups, so no row is read twice and no task sees the rows of a level.  Estimates are shipped to the rows
+where their number is bounded, and joined with salted keys beyond that.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHARE = 0.75
-STEPS = 3
+#: Concentration steps at most, and the fall of a log determinant that is still worth one.
+STEPS, LEAST_FALL = 10, 0.001
+STARTS = ("deviations", "signs", "bent")
 LEAST_ROWS = 200
-#: Squared distance beyond which a text is rejected: far outside what 6 normal variables reach.
+#: Squared distance beyond which a text is rejected: far outside what 6 normal variables reach (one in 10**19).  Statistics
+#: of texts have heavier tails than that: a page of prose may well be at 40, while junk (symbols, repeats) lies at several hundred.
 CUTOFF = 100.0
 #: Median of the chi-squared distribution with 6 degrees of freedom; makes distances comparable.
 CHI2_MEDIAN = 5.348120627
@@ -33,9 +37,14 @@ CHI2_MEDIAN = 5.348120627
 FLOORS = {"x_length": 1.0, "x_word_length": 0.05, "x_symbols": 0.35, "x_dup_lines": 0.35, "x_repeats": 0.35, "x_variety": 0.02}
 NAMES = tuple(FLOORS)
 P = len(NAMES)
+#: Places of a lower triangle in the order they are stored.
 PAIRS = tuple((i, j) for i in range(P) for j in range(i + 1))
 ANY = "*"
 BINS = 64
+FINE = 256
+#: Groups whose estimates are shipped whole (2 kB each at most); salts of the join beyond that.
+MOST_SHIPPED, SALTS = 5_000, 32
+KEY = ["level", "g_lang", "g_source"]
 
 
 def bound(value: Column, use) -> Column:
@@ -128,9 +137,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     })
 
 
-def cut_point(rows: DataFrame, keys: list[str], bin_: Column, share: float) -> DataFrame:
-    """``keys, bin``: the first bin at which ``share`` of a key's rows is reached.  One row per bin is windowed."""
-    counts = rows.groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"))
+def cut_point(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """``keys, bin``: the first bin at which ``share`` of a key's ``n`` is reached.  One row per bin is windowed."""
     upto = Window.partitionBy(*keys).orderBy("bin")
     total = F.sum("n").over(Window.partitionBy(*keys))
     reached = counts.withColumns({"at": F.sum("n").over(upto), "all": total}).where(F.col("at") >= share * F.col("all"))
@@ -141,87 +149,180 @@ def log_bin(value: Column) -> Column:
     return F.floor(F.log2(value + 1e-9) * BINS)
 
 
-def distance(x: dict[str, Column] | None = None) -> Column:
-    """Squared Mahalanobis distance from ``m0..`` by the Cholesky factor ``l00, l10, l11..`` of the same row."""
-    y: list[Column] = []
-    for i, name in enumerate(NAMES):
-        rest = F.col(name) - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * y[j]
-        y.append(rest / F.col(f"l{i}{i}"))
-    out = y[0] * y[0]
-    for v in y[1:]:
-        out = out + v * v
+def group_key() -> list[Column]:
+    """The group of each level that a (language, source) belongs to."""
+    level = F.col("level")
+    return [level, F.when(level < 2, F.col("lang")).otherwise(ANY).alias("g_lang"), F.when(level < 1, F.col("source")).otherwise(ANY).alias("g_source")]
+
+
+def matched(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with the one row of ``table`` (a written table) of their language and source."""
+    keys = ["lang", "source"]
+    if table.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED:
+        return rows.join(F.broadcast(table), keys)
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(copies, [*keys, "salt"]).drop("salt")
+
+
+def differences() -> list[Column]:
+    return [F.col(n) - F.col("e.m")[i] for i, n in enumerate(NAMES)]
+
+
+def distance() -> Column:
+    """Squared Mahalanobis distance by the estimate ``e``: centre ``m`` and the inverse ``w`` of the Cholesky factor."""
+    d = differences()
+    out = F.lit(0.0)
+    for i in range(P):
+        y = F.lit(0.0)
+        for j in range(i + 1):
+            y = y + F.col("e.w")[PAIRS.index((i, j))] * d[j]
+        out = out + y * y
     return out
 
 
-def estimates(subset: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of the covariance (with floors) for each group."""
-    sums = [F.avg(name).alias(f"m{i}") for i, name in enumerate(NAMES)]
-    sums += [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i, j in PAIRS]
-    out = subset.groupBy("g_lang", "g_source").agg(*sums)
+def factored(table: DataFrame) -> DataFrame:
+    """``w`` (inverse of the Cholesky factor) and ``logdet`` from covariances ``c00, c10, c11..``, to which the floors are added."""
+    out = table
     for i in range(P):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") + (FLOORS[NAMES[i]] ** 2 if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.drop(*[f"c{i}{j}" for i, j in PAIRS])
-
-
-def fit(stats: DataFrame) -> DataFrame:
-    """``g_lang, g_source, m*, l*, scale, n_rows``: an estimate for each (language, source), language and all rows.
+    for i in range(P):
+        for j in range(i, -1, -1):
+            if i == j:
+                out = out.withColumn(f"w{i}{i}", 1 / F.col(f"l{i}{i}"))
+            else:
+                total = F.lit(0.0)
+                for k in range(j, i):
+                    total = total + F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
+                out = out.withColumn(f"w{i}{j}", -total / F.col(f"l{i}{i}"))
+    logdet = F.lit(0.0)
+    for i in range(P):
+        logdet = logdet + 2 * F.log(F.col(f"l{i}{i}"))
+    made = out.withColumns({"w": F.array(*[F.col(f"w{i}{j}") for i, j in PAIRS]), "logdet": logdet})
+    return made.drop(*[f"{x}{i}{j}" for x in "clw" for i, j in PAIRS])
+
+
+def products(values: list[Column], name: str) -> list[Column]:
+    return [F.sum(values[i] * values[j]).alias(f"{name}{i}{j}") for i, j in PAIRS]
+
+
+def members_of(stats: DataFrame, least_rows: int) -> DataFrame:
+    """``lang, source, level`` and the ``uses`` of each group: which levels' fits its rows take part in, and whose it is judged by."""
+    groups = written(stats.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n")), "mcd-groups")
+    by_lang = groups.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.min("n").alias("least"))
+    short = by_lang.agg(F.min("of_lang").alias("least_lang"))
+    every = groups.join(by_lang, "lang").withColumn("k", F.lit(1)).join(short.withColumn("k", F.lit(1)), "k")
+    levels = F.array_compact(F.array(
+        F.when(F.col("n") >= least_rows, F.lit(0)), F.when(F.col("least") < least_rows, F.lit(1)), F.when(F.col("least_lang") < least_rows, F.lit(2))))
+    uses = F.when(F.col("n") >= least_rows, 0).when(F.col("of_lang") >= least_rows, 1).otherwise(2)
+    return written(every.select("lang", "source", "n", uses.alias("uses"), F.explode(levels).alias("level")), "mcd-members")
+
+
+def packed(members: DataFrame, estimates: DataFrame) -> DataFrame:
+    """For each (language, source) the estimates its rows are measured by (at most three levels with three starts)."""
+    values = [c for c in estimates.columns if c not in KEY]
+    of = members.select("lang", "source", *group_key()).join(estimates, KEY)
+    return written(of.groupBy("lang", "source").agg(F.collect_list(F.struct("level", *values)).alias("es")), "mcd-packed")
+
+
+def measured(good: DataFrame, of: DataFrame) -> DataFrame:
+    return matched(good, of).select("lang", "source", *NAMES, F.explode("es").alias("e"))
+
+
+def rolled(sums: DataFrame, *more: str) -> DataFrame:
+    """Sums by (language, source) added up to the groups of their level."""
+    values = [c for c in sums.columns if c not in ("lang", "source", "level", *more)]
+    return sums.select(*group_key(), *more, *values).groupBy(*KEY, *more).agg(*[F.sum(v).alias(v) for v in values])
+
+
+def first_estimates(good: DataFrame, members: DataFrame) -> DataFrame:
+    """Medians with three covariances: scaled deviations, and correlations of the directions and of bent values."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(n) * FINE).alias("bin")) for i, n in enumerate(NAMES)])).alias("v")
+    bins = written(good.select("lang", "source", each).groupBy("lang", "source", "v.i", "v.bin").agg(F.count("*").alias("n")), "mcd-bins")
+    of_level = rolled(bins.join(members.select("lang", "source", "level"), ["lang", "source"]), "i", "bin")
+    of_level = written(of_level, "mcd-level-bins")
+    middle = cut_point(of_level, [*KEY, "i"], 0.5).withColumnRenamed("bin", "mid")
+    apart = of_level.join(middle, [*KEY, "i"]).groupBy(*KEY, "i", F.abs(F.col("bin") - F.col("mid")).alias("bin")).agg(F.sum("n").alias("n"))
+    both = middle.join(cut_point(apart, [*KEY, "i"], 0.5), [*KEY, "i"])
+    centre = both.groupBy(*KEY).agg(
+        F.sort_array(F.collect_list(F.struct("i", ((F.col("mid") + 0.5) / FINE).alias("m"), (1.4826 * (F.col("bin") + 0.5) / FINE).alias("s")))).alias("v"))
+    floors = F.array(*[F.lit(f) for f in FLOORS.values()])
+    wide = F.zip_with(F.transform("v", lambda v: v["s"]), floors, lambda s, f: F.sqrt(s * s + f * f))
+    centre = written(centre.select(*KEY, F.transform("v", lambda v: v["m"]).alias("m"), wide.alias("s")), "mcd-centre")
+
+    rows = measured(good, packed(members, centre))
+    z = [d / F.col("e.s")[i] for i, d in enumerate(differences())]
+    length = F.lit(0.0)
+    for v in z:
+        length = length + v * v
+    long = F.greatest(F.sqrt(length), F.lit(1e-12))
+    sums = rows.groupBy("lang", "source", F.col("e.level").alias("level")).agg(*products([v / long for v in z], "u"), *products([F.tanh(v) for v in z], "t"))
+    sums = written(rolled(sums).join(centre, KEY), "mcd-sums")
+
+    def start(n: int, name: str | None) -> DataFrame:
+        def correlation(i: int, j: int) -> Column:
+            if name is None or i == j:
+                return F.lit(1.0 if i == j else 0.0)
+            return F.col(f"{name}{i}{j}") / F.greatest(F.sqrt(F.col(f"{name}{i}{i}") * F.col(f"{name}{j}{j}")), F.lit(1e-12))
+
+        covariances = {f"c{i}{j}": correlation(i, j) * F.col("s")[i] * F.col("s")[j] for i, j in PAIRS}
+        return sums.withColumns(covariances).select(*KEY, F.lit(n).alias("start"), "m", *covariances)
+
+    starts = start(0, None).unionByName(start(1, "u")).unionByName(start(2, "t"))
+    # the floors are in the deviations already; a little more of them does no harm to a start
+    return factored(starts).withColumn("logdet", F.lit(float("inf")))
+
+
+def concentrated(good: DataFrame, members: DataFrame, state: DataFrame, step: int) -> DataFrame:
+    """``state`` after one step, where that lowers the determinant; ``fall`` is by how much."""
+    keys = [*KEY, "start"]
+    counts = measured(good, packed(members, state)).groupBy("lang", "source", F.col("e.level").alias("level"), F.col("e.start").alias("start"), log_bin(distance()).alias("bin"))
+    limits = cut_point(rolled(counts.agg(F.count("*").alias("n")), "start", "bin"), keys, SHARE).withColumnRenamed("bin", "limit")
+    limited = written(state.join(limits, keys), f"mcd-limits-{step}")
+    near = measured(good, packed(members, limited)).where(log_bin(distance()) <= F.col("e.limit"))
+    d = differences()
+    sums = near.groupBy("lang", "source", F.col("e.level").alias("level"), F.col("e.start").alias("start")).agg(
+        F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(d)], *products(d, "q"))
+    both = rolled(sums, "start").join(state, keys)
+    moved = F.array(*[F.col("m")[i] + F.col(f"s{i}") / F.col("n") for i in range(P)])
+    covariances = {f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") / F.col("n") * F.col(f"s{j}") / F.col("n") for i, j in PAIRS}
+    old = F.struct(F.col("logdet"), F.col("m"), F.col("w")).alias("old")
+    new = factored(both.select(*keys, old, moved.alias("m"), *[c.alias(n) for n, c in covariances.items()]))
+    better = F.col("logdet") < F.col("old.logdet")
+    chosen = F.when(better, F.struct("logdet", "m", "w")).otherwise(F.col("old"))
+    return new.select(*keys, chosen.alias("now"), (F.col("old.logdet") - F.col("logdet")).alias("fall")).select(*keys, "now.*", "fall")
+
+
+def fit(stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """``lang, source, e`` (level, centre, factor and scale of the estimate the group is judged by) for every group of ``stats``.
 
     ``stats`` is a written table with the vector; rows that fail the base rules are left out of the fit.
-    An empty table has no estimate.
-    """
-    levels = F.array(*[F.struct(a.alias("g_lang"), b.alias("g_source")) for a, b in (
-        (F.col("lang"), F.col("source")), (F.col("lang"), F.lit(ANY)), (F.lit(ANY), F.lit(ANY)))])
-    good = stats.where(~F.col("base_failed")).select(F.explode(levels).alias("g"), *NAMES).select("g.*", *NAMES)
-    keys = ["g_lang", "g_source"]
-
-    # medians and deviations, one statistic a row
-    long = good.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.col(n).alias("x")) for i, n in enumerate(NAMES)])).alias("v")).select(*keys, "v.*")
-    middle = written(cut_point(long, [*keys, "i"], F.floor(F.col("x") * 256), 0.5).withColumn("mid", (F.col("bin") + 0.5) / 256).drop("bin"), "mcd-mid")
-    apart = F.floor(F.abs(F.col("x") - F.col("mid")) * 256)
-    spread = cut_point(long.join(middle, [*keys, "i"]), [*keys, "i"], apart, 0.5).withColumn("mad", (F.col("bin") + 0.5) / 256).drop("bin")
-    start = middle.join(spread, [*keys, "i"]).groupBy(*keys).agg(
-        *[F.max(F.when(F.col("i") == i, F.col("mid"))).alias(f"m{i}") for i in range(P)],
-        *[F.max(F.when(F.col("i") == i, F.sqrt((1.4826 * F.col("mad")) ** 2 + FLOORS[n] ** 2))).alias(f"l{i}{i}") for i, n in enumerate(NAMES)],
-    ).withColumns({f"l{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j})
-
-    for step in range(STEPS + 1):
-        start = written(start, f"mcd-{step}")
-        measured = good.join(start, keys).withColumn("d2", distance())
-        limit = cut_point(measured, keys, log_bin(F.col("d2")), SHARE).withColumnRenamed("bin", "limit")
-        start = estimates(measured.drop(*[c for c in start.columns if c not in keys]).join(written(limit, f"mcd-cut-{step}"), keys)
-                          .where(log_bin(F.col("d2")) <= F.col("limit")))
-    start = written(start, "mcd-last")
-    measured = good.join(start, keys).withColumn("d2", distance())
-    scale = cut_point(measured, keys, log_bin(F.col("d2")), 0.5)
-    scale = scale.select(*keys, (F.greatest(F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS), F.lit(1e-9)) / CHI2_MEDIAN).alias("scale"))
-    sizes = good.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    return written(start.join(scale, keys).join(sizes, keys), "mcd-fit")
-
-
-def judge(stats: DataFrame, fitted: DataFrame, least_rows: int = LEAST_ROWS, cutoff: float = CUTOFF) -> DataFrame:
-    """Add ``distance`` (null without any estimate) and ``kept``.
-
-    A row without an estimate of enough rows for its group uses its language's, else that of all rows.
+    Where no row passes them there is no estimate.
     """
-    groups = fitted.where((F.col("n_rows") >= least_rows) | (F.col("g_lang") == ANY))
-    known = groups.select("g_lang", "g_source", F.lit(True).alias("own"))
-    mine = stats.join(known.where(F.col("g_source") != ANY), (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source")), "left")
-    mine = mine.drop("g_lang", "g_source")
-    by_lang = known.where((F.col("g_source") == ANY) & (F.col("g_lang") != ANY)).select("g_lang", F.lit(True).alias("of_lang"))
-    mine = mine.join(by_lang, F.col("lang") == F.col("g_lang"), "left").drop("g_lang")
-    mine = mine.withColumns({
-        "use_lang": F.when(F.col("own") | F.col("of_lang"), F.col("lang")).otherwise(ANY),
-        "use_source": F.when(F.col("own"), F.col("source")).otherwise(ANY),
-    })
-    out = mine.join(groups, (F.col("use_lang") == F.col("g_lang")) & (F.col("use_source") == F.col("g_source")), "left")
-    out = out.withColumn("distance", distance() / F.col("scale"))
+    good = stats.where(~F.col("base_failed")).select("lang", "source", *NAMES)
+    members = members_of(stats, least_rows)
+    state = written(first_estimates(good, members), "mcd-starts")
+    for step in range(STEPS):
+        after = written(concentrated(good, members, state, step), f"mcd-{step}")
+        state = after.drop("fall")
+        if step and (after.agg(F.max("fall")).first()[0] or 0.0) < LEAST_FALL:
+            break
+    best = state.groupBy(*KEY).agg(F.min(F.struct("logdet", "start", "m", "w")).alias("b")).select(*KEY, "b.logdet", "b.start", "b.m", "b.w")
+    best = written(best, "mcd-best")
+    counts = measured(good, packed(members, best)).groupBy("lang", "source", F.col("e.level").alias("level"), log_bin(distance()).alias("bin"))
+    middle = cut_point(rolled(counts.agg(F.count("*").alias("n")), "bin"), KEY, 0.5)
+    scale = F.greatest(F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS), F.lit(1e-9)) / CHI2_MEDIAN
+    scaled = written(best.join(middle, KEY).withColumn("scale", scale).drop("bin"), "mcd-scaled")
+    used = members.select("lang", "source", F.col("uses").alias("level")).distinct().select("lang", "source", *group_key())
+    return written(used.join(scaled, KEY, "left").select("lang", "source", F.when(F.col("m").isNotNull(), F.struct("level", "logdet", "start", "m", "w", "scale")).alias("e")), "mcd-fit")
+
+
+def judge(stats: DataFrame, fitted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """Add ``distance`` (null without any estimate) and ``kept``."""
+    out = matched(stats, fitted).withColumn("distance", distance() / F.col("e.scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return out.withColumn("kept", kept).select(*stats.columns, "distance", "kept")
 
@@ -238,9 +339,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
+    """The rows of ``docs`` that the rules keep, with all their columns; ``lang`` and ``source`` are needed besides ``text``.
 
-    The counts are made twice, for the fit and for the verdict: that costs less than a shuffle of all texts.
+    Null and empty texts have no words and go; null languages and sources form a group of their own; repeated rows stay
+    or go together; an empty table stays empty.  The counts are made twice, for the fit and for the verdict: that costs less than a shuffle of all texts.
     """
     full = with_statistics(docs)
     stats = written(full.select("lang", "source", "base_failed", *NAMES), "quality")
