@@ -133,7 +133,8 @@ def word_hashes(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
         for batch in slices(batches):
-            words = [vocabulary.hashes[vocabulary.ids(t)].tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids = [vocabulary.ids(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            words = [vocabulary.hashes[i].tobytes() for i in ids]  # the table grows while ids are given
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["lang", "words"])
             if len(vocabulary) > most_words:
                 vocabulary = Vocabulary()
