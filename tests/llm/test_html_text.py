@@ -127,3 +127,16 @@ def test_sample_takes_copies_of_a_page_once(spark, monkeypatch):
     with pytest.raises(Drawn) as drawn:
         html_text.train(spark.createDataFrame(rows, "page_id long, url string, html string"), most=70)
     assert drawn.value.args[0] == sorted(f"page {n}" for n in range(10))
+
+
+def test_a_slash_does_not_end_raw_text():
+    from wardspark.llm.dom import Page
+
+    def texts(source):
+        return [t for t in Page(source).text if t]
+
+    for tag in ("<script data-u=/a/>", "<script/>", '<script src="a"/>', "<script async />", "<style media=/x/>", "<textarea/>", "<title/>"):
+        name = re.match(r"<([a-z]+)", tag)[1]
+        assert texts(f"<p>one</p>{tag}var x=1;</{name}><p>two</p>") == ["one", "two"], tag
+    assert texts("<p>a<svg><title/><path d=x /></svg>b</p><p>c</p>") == ["ab", "c"]
+    assert texts("<p>a<svg><script href=/u/>x</script></svg>b</p>") == ["ab"]

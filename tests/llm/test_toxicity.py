@@ -26,6 +26,31 @@ def test_pairs_that_no_sum_of_weights_can_tell():
     assert max(score("an insult to a thing"), score("praise for a group"), score("praise for a thing")) < 0.5
 
 
+def test_a_pair_of_terms_that_tell_nothing_alone():
+    r = random.Random(5)
+    filler = [f"w{n}" for n in range(60)]
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append(" ".join(r.sample(filler, 5) + ["insult"] * a + ["group"] * b))
+        labels.append(float(a == b))
+    labels = np.array(labels)
+    terms = [toxicity.TERMS.of_text(t) for t in rows]
+    pair = {t for w in ("insult", "group") for t in toxicity.TERMS.of_word(w)}
+    assert not pair & set(toxicity.telling(terms, labels).tolist())
+    assert set(toxicity.telling_pairs(terms, labels).tolist()) == pair
+    machine = toxicity.fit(terms, labels)
+    score = lambda t: machine.score(toxicity.TERMS.of_text(t))
+    assert min(score("insult w1 group"), score("w1 w2")) > 0.5 > max(score("insult w1"), score("w2 group"))
+
+
+def test_pairs_by_chance_are_not_taken():
+    r = random.Random(6)
+    terms = [toxicity.TERMS.of_text(" ".join(r.sample([f"v{n}" for n in range(300)], 40))) for _ in range(2000)]
+    assert len(toxicity.telling_pairs(terms, np.array([float(r.random() < 0.2) for _ in terms]))) == 0
+    assert len(toxicity.telling_pairs([np.zeros(0, np.int32)] * 5, np.array([1.0, 0, 0, 0, 1]))) == 0
+
+
 def test_score_is_the_sum_over_pairs():
     r = np.random.default_rng(2)
     machine = toxicity.Machine(0.3, np.arange(toxicity.BUCKETS, dtype=np.int32) % 50, r.normal(size=50), r.normal(size=(50, 4)))
@@ -74,4 +99,4 @@ def test_held_out_accuracy(spark):
     rows = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out").join(labels, "doc_id").collect()
     hits = sum(r.predicted and r.toxic for r in rows)
     assert hits / sum(r.predicted for r in rows) >= 0.95
-    assert hits / sum(r.toxic for r in rows) >= 0.8
+    assert hits / sum(r.toxic for r in rows) >= 0.9

@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import checkpoint_folder
@@ -56,3 +57,22 @@ def slices(batches, most_bytes: int = 8 << 20):
         rows = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+#: A key with more rows than this, and than a part in so many of all rows, is not dealt to one task.
+HOT_ROWS, HOT_PARTS = 5_000, 100_000
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join with a written table of one row for each key, which says in ``count`` how many rows of ``many`` have it.
+
+    Rows of very frequent keys stay where they are and those keys are shipped: by the bound there are at most
+    ``HOT_PARTS`` of them.  All others are joined as usual.
+    """
+    total = few.agg(F.sum(count)).first()[0] or 0
+    hot = few.where(F.col(count) > max(HOT_ROWS, total // HOT_PARTS)).drop(count)
+    if hot.isEmpty():
+        return many.join(few.drop(count), keys)
+    rest = few.where(F.col(count) <= max(HOT_ROWS, total // HOT_PARTS)).drop(count)
+    others = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys)
+    return many.join(F.broadcast(hot), keys).unionByName(others)

@@ -7,15 +7,16 @@ item has), and one scan of that string finds all windows.  Word places map back
 to character offsets of the original text.
 
 The automaton is shipped to the executors, so its size is bounded: items fill
-parts of at most ``part_words`` words, and a benchmark with more than one part
-is scanned part after part in the same pass over the documents.
+parts of at most ``part_words`` words.  A benchmark with more than one part takes one
+pass over the documents for each: what a pass found is written, and its part is
+freed on driver and workers before the next one is read.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -24,10 +25,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD_WORDS, extended, slices, strings
+from .common import FOLD_WORDS, extended, slices, strings, written
 
 WINDOW = 10
-PART_WORDS = 2_000_000
+PART_WORDS = 1_000_000
 
 #: Words of a text as characters of the original, A-Z included.
 ORIGINAL_WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
@@ -41,22 +42,27 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(FOLD_WORDS).split()
 
 
-def benchmark_parts(items: DataFrame, part_words: int = PART_WORDS) -> Iterator[list[tuple[object, str]]]:
-    """Items with a word, in parts of at most ``part_words`` words (an item alone may have more).
+def benchmark_parts(items: DataFrame, part_words: int = PART_WORDS, window: int = WINDOW) -> Iterator[list[tuple[object, str]]]:
+    """Items with a word, in parts of at most ``part_words`` words (``PART_WORDS`` at most, fewer than there are characters to stand for them).
 
-    Items come one partition at a time; the driver holds one part.  A part never has more words than
-    there are characters to stand for them.
+    An item of more words comes in pieces that share ``window - 1`` words, so that they have its windows and no others.  Items come
+    one partition at a time; the driver holds one part.
     """
+    most = max(2 * window, min(part_words, PART_WORDS))
     part, size = [], 0
     for row in items.select("item_id", "text").toLocalIterator():
-        n = len(words_of(row[1] or ""))
-        if not n:
-            continue
-        if part and size + n > min(part_words, 1_000_000):
-            yield part
-            part, size = [], 0
-        part.append((row[0], row[1]))
-        size += n
+        words = words_of(row[1] or "")
+        if len(words) <= most:
+            pieces = [(len(words), row[1])] if words else []
+        else:
+            starts = range(0, len(words) - window + 1, most - window + 1)
+            pieces = [(len(words[at : at + most]), b" ".join(words[at : at + most]).decode("utf-8", "replace")) for at in starts]
+        for n, text in pieces:
+            if part and size + n > most:
+                yield part
+                part, size = [], 0
+            part.append((row[0], text))
+            size += n
     if part:
         yield part
 
@@ -108,12 +114,28 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def built(name: str, window: int, part: Broadcast) -> Automaton:
-    """The automaton of a part, made once in a worker."""
+    """The automaton of the part at hand, made once in a worker; the one before it goes."""
     return Automaton(part.value, window)
 
 
+def passes(rows: DataFrame, items: DataFrame, window: int, part_words: int, one: Callable[[DataFrame, str, Broadcast], DataFrame]) -> DataFrame:
+    """``one`` pass over ``rows`` for each part; all but the last are written and their parts freed."""
+    sc = rows.sparkSession.sparkContext
+    parts = benchmark_parts(items, part_words, window)
+    part = next(parts, None)
+    while part is not None:
+        later = next(parts, None)
+        shipped = sc.broadcast(part)
+        rows = one(rows, uuid.uuid4().hex, shipped)
+        if later is not None:
+            rows = written(rows, "contamination")
+            shipped.destroy()
+        part = later
+    return rows
+
+
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """``doc_id, n_words, word_spans, char_spans, item_ids`` for every row of ``docs``.
 
@@ -125,49 +147,57 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, part_words: in
     by row; with an empty benchmark nothing is found; other columns are not read.
     """
     span = "array<struct<start:int,end:int>>"
-    schema = extended(
-        docs, ["doc_id"], f"n_words long, word_spans {span}, char_spans {span}, item_ids array<string>"
-    )
-    sc = docs.sparkSession.sparkContext
-    shipped = [(uuid.uuid4().hex, sc.broadcast(part)) for part in benchmark_parts(items, part_words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [built(name, window, part) for name, part in shipped]
+    found = extended(docs, ["doc_id", "text"], f"word_spans {span}, item_ids array<string>")
+    rows = docs.select("doc_id", "text", F.array().cast(span).alias("word_spans"), F.array().cast("array<string>").alias("item_ids"))
+
+    def one(rows: DataFrame, name: str, shipped: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = built(name, window, shipped)
+            for batch in slices(batches):
+                word_spans, ids = [], []
+                texts = strings(batch.column(1))
+                for text, before, listed in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    spans, items_found = automaton.scan(words_of(text))
+                    more = {str(i) for i in map(automaton.items.__getitem__, items_found) if i is not None}
+                    spans = merged([(s["start"], s["end"]) for s in before] + spans)
+                    word_spans.append([{"start": s, "end": e} for s, e in spans])
+                    ids.append(sorted(more.union(listed)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(word_spans, SPANS), pa.array(ids, pa.list_(pa.string()))], names=found.names)
+
+        return rows.mapInArrow(run, found)
+
+    rows = passes(rows, items, window, part_words, one)
+    schema = extended(docs, ["doc_id"], f"n_words long, word_spans {span}, char_spans {span}, item_ids array<string>")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            counts, word_spans, char_spans, ids = [], [], [], []
-            for text in strings(batch.column(1)):
-                words = words_of(text)
-                spans, found = [], set()
-                for automaton in automata:
-                    more, items_found = automaton.scan(words)
-                    spans += more
-                    found.update(str(i) for i in map(automaton.items.__getitem__, items_found) if i is not None)
-                spans = merged(spans)
-                counts.append(len(words))
-                word_spans.append([{"start": s, "end": e} for s, e in spans])
-                char_spans.append(original(text, spans))
-                ids.append(sorted(found))
+            texts = strings(batch.column(1))
+            counts = [len(words_of(t)) for t in texts]
+            chars = [original(t, [(s["start"], s["end"]) for s in spans]) for t, spans in zip(texts, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(word_spans, SPANS),
-                 pa.array(char_spans, SPANS), pa.array(ids, pa.list_(pa.string()))],
-                names=schema.names,
-            )
+                [batch.column(0), pa.array(counts, pa.int64()), batch.column(2), pa.array(chars, SPANS), batch.column(3)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(place, schema)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no benchmark window occurs."""
-    sc, at = docs.sparkSession.sparkContext, docs.columns.index("text")
-    shipped = [(uuid.uuid4().hex, sc.broadcast(part)) for part in benchmark_parts(items, part_words)]
+    """The rows of ``docs``, with all their columns, in which no benchmark window occurs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [built(name, window, part) for name, part in shipped]
-        for batch in slices(batches):
-            texts = map(words_of, strings(batch.column(at)))
-            yield batch.filter(pa.array([not any(a.scan(words)[0] for a in automata) for words in texts], pa.bool_()))
+    Null and empty texts have no words and stay; with an empty benchmark all rows stay; an empty table stays empty.
+    """
+    at = docs.columns.index("text")
+
+    def one(rows: DataFrame, name: str, shipped: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = built(name, window, shipped)
+            for batch in slices(batches):
+                texts = map(words_of, strings(batch.column(at)))
+                yield batch.filter(pa.array([not automaton.scan(words)[0] for words in texts], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return passes(docs, items, window, part_words, one)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

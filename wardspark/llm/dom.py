@@ -29,6 +29,12 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 NAME_PART = re.compile(r"[A-Za-z]+")
 SPACE = re.compile(r"\s+")
+#: An attribute value without quotes takes a slash at its end; it then does not close the element.
+VALUE_SLASH = re.compile(r"=\s*[^\s\"'>]*/\Z")
+
+
+def closes_itself(attributes: str) -> bool:
+    return attributes.endswith("/") and not VALUE_SLASH.search(attributes)
 
 
 class Page:
@@ -66,7 +72,8 @@ class Page:
             else:
                 tag = tag.lower()
                 if tag in RAW:
-                    if not m[3].endswith("/"):
+                    # HTML ignores the slash of these; only inside an image or formula it ends them
+                    if not (self._foreign and closes_itself(m[3])):
                         end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
                         at = end.end() if end else len(source)
                     continue
@@ -84,7 +91,7 @@ class Page:
             return
         if tag in VOID and tag in INLINE:
             return
-        if attributes.endswith("/") and (tag in CHOICES or tag in ("noscript", "iframe", "object", "svg", "math", "template", "xmp")):
+        if closes_itself(attributes) and (tag in CHOICES or tag in ("noscript", "iframe", "object", "svg", "math", "template", "xmp")):
             return
         if self._foreign and tag not in INLINE:
             if tag not in HTML_BLOCKS:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, list_column, slices, strings, written
+from .common import extended, list_column, slices, spread_join, strings, written
 
 LENGTH = 400
 #: Fewer bytes than 51 words take; the lengths are multiples of 8 from 64 to 480.
@@ -361,13 +361,16 @@ def covered(docs: DataFrame, lengths: tuple[int, ...], most: int = MOST) -> Data
     each = anchored.select("digest", F.inline(F.arrays_zip("gram", "at", "low", "high", "body")))
     place = F.xxhash64("digest", "low")
     ends = [F.min(place).alias("x"), F.max(place).alias("y")]
-    shared = each.groupBy("gram").agg(*ends).where("x <> y").select("gram")
-    wanted = written(each.join(written(shared, "shared"), "gram").distinct(), "wanted")
-    bodies = wanted.groupBy("gram", "body").agg(*ends, F.min(F.struct("digest", "low", "high", "at")).alias("one"))
-    bodies = written(bodies.select("gram", "body", (F.col("x") == F.col("y")).alias("single"), "one.*"), "bodies")
-    equal = wanted.join(bodies.where("not single").select("gram", "body"), ["gram", "body"])
-    several = bodies.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > most).alias("large"))
-    stretched = written(stretches(docs, bodies.join(several, "gram"), reach), "stretches")
+    # a common line gives all its texts one gram, and a common passage one stretch: such keys are not dealt to one task
+    count = F.count("*").alias("n")
+    shared = written(each.groupBy("gram").agg(*ends, count).where("x <> y").select("gram", "n"), "shared")
+    wanted = written(spread_join(each, shared, ["gram"], "n").distinct(), "wanted")
+    bodies = wanted.groupBy("gram", "body").agg(*ends, count, F.min(F.struct("digest", "low", "high", "at")).alias("one"))
+    bodies = written(bodies.select("gram", "body", (F.col("x") == F.col("y")).alias("single"), "n", "one.*"), "bodies")
+    equal = spread_join(wanted, bodies.where("not single").select("gram", "body", "n"), ["gram", "body"], "n")
+    several = bodies.groupBy("gram").agg(count).where("n > 1")
+    several = written(several.select("gram", "n", (F.col("n") > most).alias("large")), "several")
+    stretched = written(stretches(docs, spread_join(bodies.drop("n"), several, ["gram"], "n"), reach), "stretches")
     # a stretch near the end of a text may be too short for the longer strings; the union of spans is cut to the text later
     ranges = equal.select(F.explode(F.array(*map(F.lit, lengths))).alias("length"), "digest", F.col("low").alias("start"), F.col("high").alias("last"))
     ranges = ranges.select("length", "digest", "start", (F.col("last") + F.col("length")).alias("end"))

@@ -29,6 +29,10 @@ FACTORS = 4
 TRAIN_ROWS = 12_000
 #: A term takes part if so many texts of the sample have it and it depends on the label by this likelihood ratio.
 LEAST_TEXTS, LEAST_RATIO = 4, 12.0
+#: The same for pairs of the most frequent terms; about the largest of a million ratios that depend on nothing.
+PAIR_TERMS, PAIR_TEXTS, PAIR_RATIO = 1_500, 20, 45.0
+#: A text with label 1 counts as so many at most, as many as there are others for each of them.
+MOST_WEIGHT = 6.0
 PREFIXES = (5, 6, 8)
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.08, 2e-4
 CACHE = 500_000
@@ -88,13 +92,46 @@ def telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     every = np.concatenate(rows)
     seen = np.bincount(every, minlength=BUCKETS).astype(float)
     hits = np.bincount(every, np.repeat(labels, [len(r) for r in rows]), BUCKETS)
+    return np.flatnonzero((seen >= LEAST_TEXTS) & (likelihood_ratio(seen, hits, n, n1) >= LEAST_RATIO))
+
+
+def likelihood_ratio(seen: np.ndarray, hits: np.ndarray, n: int, n1: float) -> np.ndarray:
+    """How much the label depends on presence: ``seen`` texts of ``n`` have it, ``hits`` of them among the ``n1`` with label 1."""
 
     def part(count: np.ndarray, of: np.ndarray, total: float) -> np.ndarray:
         return count * np.log(np.maximum(count, 1e-12) * n / np.maximum(of * total, 1e-12))
 
     miss, rest = seen - hits, n - seen
-    ratio = 2 * (part(hits, seen, n1) + part(miss, seen, n - n1) + part(n1 - hits, rest, n1) + part(n - n1 - miss, rest, n - n1))
-    return np.flatnonzero((seen >= LEAST_TEXTS) & (ratio >= LEAST_RATIO))
+    return 2 * (part(hits, seen, n1) + part(miss, seen, n - n1) + part(n1 - hits, rest, n1) + part(n - n1 - miss, rest, n - n1))
+
+
+def telling_pairs(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Terms of pairs that tell the label together: the ratio of a pair of frequent terms, both present or not.
+
+    The ``PAIR_TERMS`` most frequent terms that no more than four fifths of the texts have are tried, by products of the
+    matrix of texts and terms.  A pair counts if its ratio is beyond what the best of so many pairs reaches by chance and well
+    above that of either term alone.
+    """
+    n, n1 = len(rows), labels.sum()
+    seen = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+    usable = np.flatnonzero((seen >= PAIR_TEXTS) & (seen <= 0.8 * n))
+    used = np.sort(usable[np.argsort(-seen[usable], kind="stable")[:PAIR_TERMS]])
+    if len(used) < 2:
+        return used[:0]
+    place = np.full(BUCKETS, -1)
+    place[used] = np.arange(len(used))
+    has = np.zeros((n, len(used)), np.float32)
+    for i, r in enumerate(rows):
+        at = place[r]
+        has[i, at[at >= 0]] = 1
+    both = (has.T @ has).astype(float)
+    hits = (has.T @ (has * labels[:, None].astype(np.float32))).astype(float)
+    ratio = likelihood_ratio(both, hits, n, n1)
+    alone = np.diag(ratio).copy()
+    np.fill_diagonal(ratio, 0)
+    ratio[both < LEAST_TEXTS] = 0
+    strong = (ratio >= PAIR_RATIO) & (ratio >= 1.5 * np.maximum(alone[:, None], alone[None, :]))
+    return used[strong.any(1)]
 
 
 def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -110,13 +147,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     place = np.zeros(BUCKETS, np.int32)
     bias = float(np.log(share / (1 - share)))
     if n and labels.min() != labels.max():
-        used = telling(rows, labels)
+        used = np.union1d(telling(rows, labels), telling_pairs(rows, labels))
         place[used] = np.arange(1, len(used) + 1)
     size = int(place.max()) + 1
     random = np.random.default_rng(seed)
     weights, factors = np.zeros(size), random.normal(0, 0.01, (size, FACTORS))
     if size == 1:
         return Machine(bias, place, weights, np.zeros((1, FACTORS)))
+    heavy = min(MOST_WEIGHT, max(1.0, float((n - labels.sum()) / labels.sum())))
     mapped = [p[p > 0] for p in (place[r] for r in rows)]
     g_bias, g_w, g_v = 1e-8, np.full(size, 1e-8), np.full((size, FACTORS), 1e-8)
     for _ in range(EPOCHS):
@@ -129,7 +167,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
             v = factors[terms]
             total = sums(v, bounds)
             x = bias + sums(weights[terms], bounds) + 0.5 * ((total**2).sum(1) - sums((v * v).sum(1), bounds))
-            error = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - y) / len(y)
+            error = (1 / (1 + np.exp(-np.clip(x, -30, 30))) - y) * np.where(y > 0, heavy, 1.0) / len(y)
             each = np.repeat(error, np.diff(bounds))
             ids, inverse = np.unique(terms, return_inverse=True)
             d_w = np.bincount(inverse, each, len(ids)) + DECAY * weights[ids]
