@@ -56,7 +56,7 @@ def rows_of(result):
 @pytest.mark.parametrize("small", [False, True])
 def test_against_brute_force(spark, monkeypatch, small):
     if small:  # bursting, spilling, new tables and small arrays
-        for name, value in {"BURST": 3, "HELD": 20, "KNOWN": 6, "PLACES": 40, "BITS_EACH": 1, "SEGMENT_BITS": 64, "CHUNK": 16}.items():
+        for name, value in {"BURST": 3, "HELD": 20, "KNOWN": 6, "PLACES": 40, "BITS_EACH": 1, "SEGMENT_BITS": 64, "CHUNK": 16, "RUN_WINDOWS": 5, "RANGE_WINDOWS": 9}.items():
             monkeypatch.setattr(phrases, name, value)
     rows = corpus(small)
     for least, most in ((5, 2000), (2, 7)):

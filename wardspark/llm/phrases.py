@@ -12,7 +12,7 @@ so one trie of such windows counts phrases of every length.
 2. *HAT-trie.*  A task puts the window of every place, cut where it stops being frequent, into a
    trie over its own word ids: shallow nodes above hash containers, which burst into nodes
    when they grow.  Beyond ``HELD`` entries the largest subtrees are spilled whole, as sorted runs.
-3. *Merge.*  Runs are dealt by ranges of prefixes and merged in order.  A prefix is counted when the
+3. *Merge.*  Runs are cut at borders of prefix ranges, dealt by range and merged in order.  A prefix is counted when the
    order leaves it; one that begins or ends a range is passed on in parts.  A prefix
    with any share of all windows spreads over as many ranges as it fills.
 4. *Scores.*  Parts of a phrase are looked up in the counts by joins, salted because common
@@ -21,6 +21,7 @@ so one trie of such windows counts phrases of every length.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +38,13 @@ WORDS = 5
 MOST_RANKS = 2000
 NO_LANG = "und"
 #: Entries of a container before it bursts, levels of nodes that may hold containers, entries of a task's tries.
-BURST, SHALLOW, HELD = 8192, 3, 400_000
+BURST, SHALLOW, HELD = 8192, 3, 300_000
 #: Words of the tables a task keeps, and places it looks at together.
-KNOWN, PLACES = 400_000, 500_000
+KNOWN, PLACES = 300_000, 500_000
 #: Bits of the array for a frequent hash, and of the whole array at most (64 MB).
 BITS_EACH, MOST_BITS, SEGMENT_BITS = 64, 1 << 29, 1 << 20
+#: Windows of a sorted run and of a range of prefixes (about); runs whose first windows tell the borders of the ranges.
+RUN_WINDOWS, RANGE_WINDOWS, BORDER_RUNS = 20_000, 200_000, 20_000
 #: Where in a hash the places of its two bits begin.
 PROBES = (3, 34)
 #: Parts of phrases are looked up in so many copies of the counts.
@@ -324,7 +327,8 @@ class HatTrie:
         return out
 
 
-RUN = pa.schema([("lang", pa.string()), ("window", pa.binary()), ("n", pa.int64())])
+RUN = pa.schema([("lang", pa.string()), ("windows", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
+RUN_DDL = "lang string, windows array<binary>, counts array<long>"
 
 
 def windows(lang: str, ids: np.ndarray, hashes: np.ndarray, filters: list[Filter]) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +350,8 @@ def windows(lang: str, ids: np.ndarray, hashes: np.ndarray, filters: list[Filter
 
 
 def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
-    """``lang, window, n``: sorted runs of spilled subtrees; the empty window counts all words."""
+    """``lang, windows, counts``: sorted runs of spilled subtrees, one a row; a run of the empty window alone counts all words."""
+    run_windows = RUN_WINDOWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, tries, totals = Vocabulary(), {}, {}
@@ -358,15 +363,17 @@ def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
 
             def sorted_run() -> pa.RecordBatch:
                 held.sort()
-                columns = [pa.array([lang] * len(held), pa.string()), pa.array([w for w, _ in held], pa.binary()), pa.array([n for _, n in held], pa.int64())]
+                row = [{"lang": lang, "windows": [w for w, _ in held], "counts": [n for _, n in held]}]
                 held.clear()
-                return pa.RecordBatch.from_arrays(columns, schema=RUN)
+                return pa.RecordBatch.from_pylist(row, schema=RUN)
 
-            for first in trie.largest(left) if left else sorted(trie.root):
+            # in the order of words, so that a run covers a narrow range of prefixes
+            for first in sorted(trie.largest(left) if left else trie.root, key=words.__getitem__):
                 held += [(GAP.join([words[i] for i in ids]), n) for ids, n in trie.spill(first)]
-                if len(held) >= 20_000:
+                if len(held) >= run_windows:
                     yield sorted_run()
-            yield sorted_run()
+            if held:
+                yield sorted_run()
 
         def count(lang: str, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
             totals[lang] = totals.get(lang, 0) + int(np.count_nonzero(ids))
@@ -395,62 +402,89 @@ def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
             yield from count(ready, ids)
         for lang, trie in tries.items():
             yield from spilled(lang, trie, 0)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([b""] * len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())], schema=RUN)
+        yield pa.RecordBatch.from_pylist([{"lang": x, "windows": [b""], "counts": [n]} for x, n in totals.items()], schema=RUN)
 
-    return texts.mapInArrow(run, "lang string, window binary, n long")
+    return texts.mapInArrow(run, RUN_DDL)
 
 
 PHRASE = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("n", pa.int64())])
 
 
+def borders(runs: DataFrame) -> list[tuple[str, bytes]]:
+    """Where ranges of prefixes begin, from the first windows of the runs (of a bounded number of them: only balance hangs on it)."""
+    firsts = runs.select("lang", F.col("windows")[0].alias("first"), F.size("windows").alias("n"))
+    runs_, total = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    share = int(1_000_000 * min(1.0, BORDER_RUNS / max(1, runs_)))
+    found = firsts.where(F.pmod(F.xxhash64("lang", "first"), F.lit(1_000_000)) < share).collect()
+    keys = sorted((r["lang"], bytes(r["first"])) for r in found)
+    ranges = min(len(keys), -(-total // RANGE_WINDOWS))
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+
+
+def dealt_runs(runs: DataFrame) -> DataFrame:
+    """``part, lang, windows, counts``: the runs cut at the borders, all of one range of prefixes together."""
+    at = borders(runs)
+    schema = pa.schema([("part", pa.int32()), *RUN])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1 << 20):
+            rows = []
+            for lang, found, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                start, part = 0, bisect_right(at, (lang, found[0]))
+                while start < len(found):
+                    # the windows before the next border, if that lies in this language
+                    end = bisect_left(found, at[part][1]) if part < len(at) and at[part][0] == lang else len(found)
+                    if end > start:
+                        rows.append({"part": part, "lang": lang, "windows": found[start:end], "counts": counts[start:end]})
+                    start, part = end, part + 1
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    pieces = runs.select("lang", "windows", "counts").mapInArrow(run, f"part int, {RUN_DDL}")
+    return pieces.repartition(len(at) + 1, "part").sortWithinPartitions("part", "lang")
+
+
 def merged_runs(runs: DataFrame, least: int) -> DataFrame:
     """``lang, words, n`` of all phrases that occur at least ``least`` times, single words included."""
-    ranged = runs.where(F.octet_length("window") > 0).repartitionByRange("lang", "window").sortWithinPartitions("lang", "window")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def phrases(lang: str, found: list[tuple[bytes, int]]) -> Iterator[tuple[str, list[bytes], int]]:
+        """Prefixes of the sorted windows of a range that are frequent, or that another range may have more of."""
         path: list[bytes] = []  # words of the window at hand
         sums: list[int] = []  # counts of its prefixes
-        last, first_path, out = None, None, []
-
-        def close(depth: int) -> None:
-            while len(path) > depth:
-                n = sums.pop()
-                # a prefix of the first window may have begun in the range before
-                if n >= least or (first_path is not None and path == first_path[1][: len(path)] and last == first_path[0]):
-                    out.append((last, list(path), n))
+        first = found[0][0].split(GAP)
+        for window, n in [*found, (None, 0)]:
+            words = window.split(GAP) if window is not None else []
+            same = 0
+            while same < len(path) and same < len(words) and path[same] == words[same]:
+                same += 1
+            while len(path) > same:
+                total = sums.pop()
+                if total >= least or window is None or path == first[: len(path)]:
+                    yield lang, [unescaped(w) for w in path], total
                 path.pop()
+            path += words[same:]
+            sums += [0] * (len(path) - len(sums))
+            for i in range(len(path)):
+                sums[i] += n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
 
         def rows() -> pa.RecordBatch:
-            langs, words, counts = list(zip(*out, strict=True)) or [(), (), ()]
-            plain = [[unescaped(w) for w in ws] for ws in words]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(plain, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(counts, pa.int64())], schema=PHRASE)
+            held.sort()  # runs on end: sorting merges them
+            langs, words, counts = list(zip(*phrases(key[1], held), strict=True))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(counts, pa.int64())], schema=PHRASE)
 
-        for batch in batches:
-            for lang, window, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = window.split(GAP)
-                if lang != last:
-                    close(0)
-                    last = lang
-                same = 0
-                while same < len(path) and same < len(words) and path[same] == words[same]:
-                    same += 1
-                close(same)
-                if first_path is None:
-                    first_path = (lang, words)
-                for word in words[same:]:
-                    path.append(word)
-                    sums.append(0)
-                for i in range(len(words)):
-                    sums[i] += n
-            if len(out) > 10_000:
-                yield rows()
-        while path:  # these may go on in the next range
-            out.append((last, list(path), sums.pop()))
-            path.pop()
-        yield rows()
+        for batch in slices(batches, 4 << 20):
+            for part, lang, found, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (part, lang) != key:
+                    yield rows()
+                key = part, lang
+                held += zip(found, counts, strict=True)
+        if held:
+            yield rows()
 
-    parts = ranged.mapInArrow(run, "lang string, words array<string>, n long")
+    parts = dealt_runs(runs.where("windows[0] <> X''")).mapInArrow(run, "lang string, words array<string>, n long")
     return parts.groupBy("lang", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
@@ -468,7 +502,7 @@ def mine(docs: DataFrame, least: int = LEAST, most: int = MOST_RANKS) -> DataFra
         filters.append(frequent(hash_counts(hashed, list(filters)), least))
     runs = written(trie_runs(texts, filters), "runs")
     counts = written(merged_runs(runs, least), "phrases")
-    totals = runs.where(F.octet_length("window") == 0).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = runs.where("windows[0] = X''").groupBy("lang").agg(F.sum(F.col("counts")[0]).alias("n"))
     return best(counts, totals, most)
 
 
