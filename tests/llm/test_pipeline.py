@@ -60,3 +60,34 @@ def test_repeated_rows_and_null_ids_keep_one_text(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
     after = stages["suffix-array dedup"](spark, kept, str(SF))
     assert sorted(((r.doc_id, r.text) for r in after.collect()), key=str) == sorted(want, key=str)
+
+
+def test_extra_columns_with_clashing_names_and_long_texts(spark):
+    import random
+
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choices("abcdefghijklmno", k=r.randint(2, 9))) for _ in range(n))
+    passage = text(60)
+    texts = [text(150) + " " + passage, passage + " " + text(150), text(100_000), text(120), None, "", text(30)]
+    names = ["doc", "text_a", "digest", "e", "es", "n", "salt", "gram", "spans", "kept", "level", "bands"]
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(SF))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+    got = {x.doc_id: x for x in docs.collect()}
+    assert set(got) == {0, 1, 2, 3}
+    assert all(got[i][n] == f"{n}{i}" for i in got for n in names)
+    assert passage not in got[0].text and passage not in got[1].text and got[2].text == texts[2]
+    assert got[0].n_chars == len(got[0].text) < len(texts[0])
+
+
+def test_workers_that_cannot_import_are_told_of_at_the_start(spark, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    def broken(self):
+        raise PySparkException("No module named 'wardspark'")
+
+    monkeypatch.setattr(type(spark.range(1)), "collect", broken)
+    with pytest.raises(RuntimeError, match="py-files"):
+        corpus_pipeline.check_workers(spark)

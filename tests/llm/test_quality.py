@@ -96,7 +96,7 @@ def judged_rows(spark, monkeypatch=None):
 
 def test_distances_against_plain_estimates(spark, monkeypatch):
     monkeypatch.setattr(quality, "LEAST_FALL", 1e-9)
-    monkeypatch.setattr(quality, "STEPS", 30)
+    monkeypatch.setattr(quality, "STEPS", 15)
     rows, fitted = judged_rows(spark)
     good = rows[~rows.base_failed]
     names = list(quality.NAMES)

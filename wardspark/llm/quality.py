@@ -26,8 +26,9 @@ SHARE = 0.75
 STEPS, LEAST_FALL = 10, 0.001
 STARTS = ("deviations", "signs", "bent")
 LEAST_ROWS = 200
-#: Squared distance beyond which a text is rejected: far outside what 6 normal variables reach (one in 10**19).  Statistics
-#: of texts have heavier tails than that: a page of prose may well be at 40, while junk (symbols, repeats) lies at several hundred.
+#: Squared distance beyond which a text is rejected: far outside what 6 normal variables reach (one in 10**19), since statistics
+#: of texts have heavier tails.  Set on the quality labels of a small table: of texts that pass the base rules it rejects all
+#: with label 0 and 3 in 1,000 with label 1; at 40 it would be 30 in 1,000, at 200 it would keep 15 in 100 of the bad ones.
 CUTOFF = 100.0
 #: Median of the chi-squared distribution with 6 degrees of freedom; makes distances comparable.
 CHI2_MEDIAN = 5.348120627
@@ -155,10 +156,15 @@ def group_key() -> list[Column]:
     return [level, F.when(level < 2, F.col("lang")).otherwise(ANY).alias("g_lang"), F.when(level < 1, F.col("source")).otherwise(ANY).alias("g_source")]
 
 
-def matched(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows with the one row of ``table`` (a written table) of their language and source."""
+def few(groups: DataFrame) -> bool:
+    """Whether what there is for each group may be shipped."""
+    return groups.select("lang", "source").distinct().limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED
+
+
+def matched(rows: DataFrame, table: DataFrame, shipped: bool) -> DataFrame:
+    """Rows with the one row of ``table`` of their language and source."""
     keys = ["lang", "source"]
-    if table.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED:
+    if shipped:
         return rows.join(F.broadcast(table), keys)
     copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(copies, [*keys, "salt"]).drop("salt")
@@ -181,28 +187,39 @@ def distance() -> Column:
 
 
 def factored(table: DataFrame) -> DataFrame:
-    """``w`` (inverse of the Cholesky factor) and ``logdet`` from covariances ``c00, c10, c11..``, to which the floors are added."""
-    out = table
-    for i in range(P):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (FLOORS[NAMES[i]] ** 2 if i == j else 0.0)
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    for i in range(P):
-        for j in range(i, -1, -1):
-            if i == j:
-                out = out.withColumn(f"w{i}{i}", 1 / F.col(f"l{i}{i}"))
-            else:
-                total = F.lit(0.0)
-                for k in range(j, i):
-                    total = total + F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
-                out = out.withColumn(f"w{i}{j}", -total / F.col(f"l{i}{i}"))
+    """``w`` (inverse of the Cholesky factor) and ``logdet`` from covariances ``c00, c10, c11..``, to which the floors are added.
+
+    Both triangles are filled in row by row, as loops over arrays: written out, the plan of each step would take seconds.
+    """
+    rows, columns = (F.array(*[F.lit(p[k]) for p in PAIRS]) for k in (0, 1))
+    start = lambda i: (i * (i + 1) / 2).cast("int")
+    none = F.array().cast("array<double>")
+
+    def filled(entry) -> Column:
+        def add(done: Column, at: Column) -> Column:
+            return F.array_append(done, entry(done, at, F.get(rows, at), F.get(columns, at)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(PAIRS) - 1)), none, add)
+
+    def total(first: Column, last: Column, term) -> Column:
+        places = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, F.lit(0.0), lambda sum_, k: sum_ + term(k))
+
+    def factor(done: Column, at: Column, i: Column, j: Column) -> Column:
+        rest = F.get(F.col("c"), at) - total(F.lit(0), j - 1, lambda k: F.get(done, start(i) + k) * F.get(done, start(j) + k))
+        return F.when(i == j, F.sqrt(F.greatest(rest, F.lit(1e-12)))).otherwise(rest / F.get(done, start(j) + j))
+
+    def inverse(done: Column, at: Column, i: Column, j: Column) -> Column:
+        rest = total(j, i - 1, lambda k: F.get(F.col("l"), start(i) + k) * F.get(done, start(k) + j))
+        return F.when(i == j, 1 / F.get(F.col("l"), at)).otherwise(-rest / F.get(F.col("l"), start(i) + i))
+
+    covariances = F.array(*[F.col(f"c{i}{j}") + F.lit(FLOORS[NAMES[i]] ** 2 if i == j else 0.0) for i, j in PAIRS])
+    made = table.withColumn("c", covariances).drop(*[f"c{i}{j}" for i, j in PAIRS])
+    made = made.withColumn("l", filled(factor))
     logdet = F.lit(0.0)
-    for i in range(P):
-        logdet = logdet + 2 * F.log(F.col(f"l{i}{i}"))
-    made = out.withColumns({"w": F.array(*[F.col(f"w{i}{j}") for i, j in PAIRS]), "logdet": logdet})
-    return made.drop(*[f"{x}{i}{j}" for x in "clw" for i, j in PAIRS])
+    for at, (i, j) in enumerate(PAIRS):
+        logdet = logdet + 2 * F.log(F.col("l")[at]) if i == j else logdet
+    return made.withColumns({"w": filled(inverse), "logdet": logdet}).drop("c", "l")
 
 
 def products(values: list[Column], name: str) -> list[Column]:
@@ -225,11 +242,12 @@ def packed(members: DataFrame, estimates: DataFrame) -> DataFrame:
     """For each (language, source) the estimates its rows are measured by (at most three levels with three starts)."""
     values = [c for c in estimates.columns if c not in KEY]
     of = members.select("lang", "source", *group_key()).join(estimates, KEY)
-    return written(of.groupBy("lang", "source").agg(F.collect_list(F.struct("level", *values)).alias("es")), "mcd-packed")
+    return of.groupBy("lang", "source").agg(F.collect_list(F.struct("level", *values)).alias("es"))
 
 
-def measured(good: DataFrame, of: DataFrame) -> DataFrame:
-    return matched(good, of).select("lang", "source", *NAMES, F.explode("es").alias("e"))
+def measured(good: DataFrame, members: DataFrame, estimates: DataFrame, shipped: bool) -> DataFrame:
+    """Each row as often as there are estimates ``e`` it is measured by."""
+    return matched(good, packed(members, estimates), shipped).select("lang", "source", *NAMES, F.explode("es").alias("e"))
 
 
 def rolled(sums: DataFrame, *more: str) -> DataFrame:
@@ -238,7 +256,7 @@ def rolled(sums: DataFrame, *more: str) -> DataFrame:
     return sums.select(*group_key(), *more, *values).groupBy(*KEY, *more).agg(*[F.sum(v).alias(v) for v in values])
 
 
-def first_estimates(good: DataFrame, members: DataFrame) -> DataFrame:
+def first_estimates(good: DataFrame, members: DataFrame, shipped: bool) -> DataFrame:
     """Medians with three covariances: scaled deviations, and correlations of the directions and of bent values."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(n) * FINE).alias("bin")) for i, n in enumerate(NAMES)])).alias("v")
     bins = written(good.select("lang", "source", each).groupBy("lang", "source", "v.i", "v.bin").agg(F.count("*").alias("n")), "mcd-bins")
@@ -253,7 +271,7 @@ def first_estimates(good: DataFrame, members: DataFrame) -> DataFrame:
     wide = F.zip_with(F.transform("v", lambda v: v["s"]), floors, lambda s, f: F.sqrt(s * s + f * f))
     centre = written(centre.select(*KEY, F.transform("v", lambda v: v["m"]).alias("m"), wide.alias("s")), "mcd-centre")
 
-    rows = measured(good, packed(members, centre))
+    rows = measured(good, members, centre, shipped)
     z = [d / F.col("e.s")[i] for i, d in enumerate(differences())]
     length = F.lit(0.0)
     for v in z:
@@ -276,13 +294,13 @@ def first_estimates(good: DataFrame, members: DataFrame) -> DataFrame:
     return factored(starts).withColumn("logdet", F.lit(float("inf")))
 
 
-def concentrated(good: DataFrame, members: DataFrame, state: DataFrame, step: int) -> DataFrame:
+def concentrated(good: DataFrame, members: DataFrame, state: DataFrame, shipped: bool, step: int) -> DataFrame:
     """``state`` after one step, where that lowers the determinant; ``fall`` is by how much."""
     keys = [*KEY, "start"]
-    counts = measured(good, packed(members, state)).groupBy("lang", "source", F.col("e.level").alias("level"), F.col("e.start").alias("start"), log_bin(distance()).alias("bin"))
+    counts = measured(good, members, state, shipped).groupBy("lang", "source", F.col("e.level").alias("level"), F.col("e.start").alias("start"), log_bin(distance()).alias("bin"))
     limits = cut_point(rolled(counts.agg(F.count("*").alias("n")), "start", "bin"), keys, SHARE).withColumnRenamed("bin", "limit")
     limited = written(state.join(limits, keys), f"mcd-limits-{step}")
-    near = measured(good, packed(members, limited)).where(log_bin(distance()) <= F.col("e.limit"))
+    near = measured(good, members, limited, shipped).where(log_bin(distance()) <= F.col("e.limit"))
     d = differences()
     sums = near.groupBy("lang", "source", F.col("e.level").alias("level"), F.col("e.start").alias("start")).agg(
         F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(d)], *products(d, "q"))
@@ -304,15 +322,16 @@ def fit(stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """
     good = stats.where(~F.col("base_failed")).select("lang", "source", *NAMES)
     members = members_of(stats, least_rows)
-    state = written(first_estimates(good, members), "mcd-starts")
+    shipped = few(members)
+    state = written(first_estimates(good, members, shipped), "mcd-starts")
     for step in range(STEPS):
-        after = written(concentrated(good, members, state, step), f"mcd-{step}")
+        after = written(concentrated(good, members, state, shipped, step), f"mcd-{step}")
         state = after.drop("fall")
         if step and (after.agg(F.max("fall")).first()[0] or 0.0) < LEAST_FALL:
             break
     best = state.groupBy(*KEY).agg(F.min(F.struct("logdet", "start", "m", "w")).alias("b")).select(*KEY, "b.logdet", "b.start", "b.m", "b.w")
     best = written(best, "mcd-best")
-    counts = measured(good, packed(members, best)).groupBy("lang", "source", F.col("e.level").alias("level"), log_bin(distance()).alias("bin"))
+    counts = measured(good, members, best, shipped).groupBy("lang", "source", F.col("e.level").alias("level"), log_bin(distance()).alias("bin"))
     middle = cut_point(rolled(counts.agg(F.count("*").alias("n")), "bin"), KEY, 0.5)
     scale = F.greatest(F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS), F.lit(1e-9)) / CHI2_MEDIAN
     scaled = written(best.join(middle, KEY).withColumn("scale", scale).drop("bin"), "mcd-scaled")
@@ -322,7 +341,7 @@ def fit(stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
 
 def judge(stats: DataFrame, fitted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Add ``distance`` (null without any estimate) and ``kept``."""
-    out = matched(stats, fitted).withColumn("distance", distance() / F.col("e.scale"))
+    out = matched(stats, fitted, few(fitted)).withColumn("distance", distance() / F.col("e.scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return out.withColumn("kept", kept).select(*stats.columns, "distance", "kept")
 
