@@ -38,13 +38,13 @@ WORDS = 5
 MOST_RANKS = 2000
 NO_LANG = "und"
 #: Entries of a container before it bursts, levels of nodes that may hold containers, entries of a task's tries.
-BURST, SHALLOW, HELD = 8192, 3, 300_000
+BURST, SHALLOW, HELD = 8192, 3, 150_000
 #: Words of the tables a task keeps, and places it looks at together.
-KNOWN, PLACES = 300_000, 500_000
+KNOWN, PLACES = 150_000, 250_000
 #: Bits of the array for a frequent hash, and of the whole array at most (64 MB).
 BITS_EACH, MOST_BITS, SEGMENT_BITS = 64, 1 << 29, 1 << 20
 #: Windows of a sorted run and of a range of prefixes (about); runs whose first windows tell the borders of the ranges.
-RUN_WINDOWS, RANGE_WINDOWS, BORDER_RUNS = 20_000, 200_000, 20_000
+RUN_WINDOWS, RANGE_WINDOWS, BORDER_RUNS = 20_000, 100_000, 20_000
 #: Where in a hash the places of its two bits begin.
 PROBES = (3, 34)
 #: Parts of phrases are looked up in so many copies of the counts.
