@@ -23,7 +23,7 @@ from .common import written
 
 SHARE = 0.75
 #: Concentration steps at most, and the fall of a log determinant that is still worth one.
-STEPS, LEAST_FALL = 10, 0.001
+STEPS, LEAST_FALL = 10, 0.01
 STARTS = ("deviations", "signs", "bent")
 LEAST_ROWS = 200
 #: Squared distance beyond which a text is rejected: far outside what 6 normal variables reach (one in 10**19), since statistics
@@ -230,10 +230,10 @@ def members_of(stats: DataFrame, least_rows: int) -> DataFrame:
     """``lang, source, level`` and the ``uses`` of each group: which levels' fits its rows take part in, and whose it is judged by."""
     groups = written(stats.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n")), "mcd-groups")
     by_lang = groups.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.min("n").alias("least"))
-    short = by_lang.agg(F.min("of_lang").alias("least_lang"))
-    every = groups.join(by_lang, "lang").withColumn("k", F.lit(1)).join(short.withColumn("k", F.lit(1)), "k")
+    fewest = by_lang.agg(F.min("of_lang")).first()[0] or 0  # one number
+    every = groups.join(by_lang, "lang")
     levels = F.array_compact(F.array(
-        F.when(F.col("n") >= least_rows, F.lit(0)), F.when(F.col("least") < least_rows, F.lit(1)), F.when(F.col("least_lang") < least_rows, F.lit(2))))
+        F.when(F.col("n") >= least_rows, F.lit(0)), F.when(F.col("least") < least_rows, F.lit(1)), F.when(F.lit(fewest < least_rows), F.lit(2))))
     uses = F.when(F.col("n") >= least_rows, 0).when(F.col("of_lang") >= least_rows, 1).otherwise(2)
     return written(every.select("lang", "source", "n", uses.alias("uses"), F.explode(levels).alias("level")), "mcd-members")
 
