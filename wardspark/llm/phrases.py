@@ -135,7 +135,7 @@ def word_hashes(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary()
-        for batch in slices(batches):
+        for batch in slices(batches, 2 << 20):
             ids = [vocabulary.ids(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             words = [vocabulary.hashes[i].tobytes() for i in ids]  # the table grows while ids are given
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["lang", "words"])
@@ -173,7 +173,9 @@ class Filter:
 def frequent(counts: DataFrame, least: int) -> Broadcast:
     """The hashes with sums of at least ``least``, as a shipped ``Filter``.  Tasks make its segments; the size has a bound."""
     spark = counts.sparkSession
-    often = written(counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "often")
+    # tasks have added up their own rows; nearly all that is left differs, so it is dealt before it is grouped
+    often = counts.repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    often = written(often, "often")
     wanted = max(SEGMENT_BITS, min(MOST_BITS, often.count() * BITS_EACH))
     size = 1 << (wanted - 1).bit_length()
     probes = F.array(*[F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(size - 1)) for shift in PROBES])
@@ -242,10 +244,11 @@ def hash_counts(hashed: DataFrame, filters: list[Broadcast]) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
             return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
 
-        def rows() -> pa.RecordBatch:
+        def rows() -> Iterator[pa.RecordBatch]:
             keys, counts = merge()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
+            for at in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], names=["h", "n"])
 
         for lang, words in places():
             grams = gram_hashes(lang, words)
@@ -258,8 +261,8 @@ def hash_counts(hashed: DataFrame, filters: list[Broadcast]) -> DataFrame:
             if sum(len(k) for k, _ in held) > 4 * PLACES:
                 held[:] = [merge()]
                 if len(held[0][0]) > 2 * PLACES:
-                    yield rows()
-        yield rows()
+                    yield from rows()
+        yield from rows()
 
     return hashed.mapInArrow(run, "h long, n long")
 
