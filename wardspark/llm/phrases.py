@@ -414,13 +414,17 @@ PHRASE = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("n
 
 
 def borders(runs: DataFrame) -> list[tuple[str, bytes]]:
-    """Where ranges of prefixes begin, from the first windows of the runs (of a bounded number of them: only balance hangs on it)."""
-    firsts = runs.select("lang", F.col("windows")[0].alias("first"), F.size("windows").alias("n"))
+    """Where ranges of prefixes begin, from every eighth of the runs (of a bounded number of them: only balance hangs on it).
+
+    Places inside the runs count too, since one common prefix may fill many runs.
+    """
+    eighths = F.expr("transform(sequence(0, 7), i -> windows[cast(floor(i * size(windows) / 8) as int)])")
+    firsts = runs.select("lang", F.explode(F.array_distinct(eighths)).alias("first"), (F.size("windows") / 8).alias("n"))
     runs_, total = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     share = int(1_000_000 * min(1.0, BORDER_RUNS / max(1, runs_)))
     found = firsts.where(F.pmod(F.xxhash64("lang", "first"), F.lit(1_000_000)) < share).collect()
     keys = sorted((r["lang"], bytes(r["first"])) for r in found)
-    ranges = min(len(keys), -(-total // RANGE_WINDOWS))
+    ranges = min(len(keys), int(total // RANGE_WINDOWS) + 1)
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
 
 
