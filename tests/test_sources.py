@@ -139,3 +139,31 @@ def test_unusable_rules_are_left_out(spark):
     assert [r.rule_id for r in good] == ["FW-001", "XX-002"] and left_out[0][0] == "XX-001"
     files = spark.createDataFrame([("x_spec.py", "TODO1"), ("x.py", "todo1"), ("a1.js", "todo2"), ("c1.js", "todo2")], "path string, content string")
     assert sorted((r.path, r.rule_id) for r in scan(files, good).collect()) == [("a1.js", "XX-002"), ("x_spec.py", "XX-002")]
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    """A file cut into many splits is still read by one task if it has one row group."""
+    from workload.corpora import TASK_ROWS, code_files, spread
+
+    n = 5 * TASK_ROWS
+    spark.range(n).selectExpr("id AS event_id", "id % 1500 AS user_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = spark.read.parquet(str(tmp_path / "events.parquet"))
+        assert rows.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        for df in (spread(rows), code_files(spark, str(tmp_path))):
+            sizes = df.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+            assert sum(sizes) == n and max(sizes) < 1.1 * TASK_ROWS
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_small_even_and_empty_tables_are_read_as_they_are(spark):
+    from workload.corpora import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(1000, numPartitions=2 * cores)).rdd.getNumPartitions() == 2 * cores
+    assert spread(spark.range(0)).count() == 0
