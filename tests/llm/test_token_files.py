@@ -54,3 +54,28 @@ def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     manifest = written(token_files.write_sequences(docs, PATH, str(tmp_path / "none")), "test-manifest")
     assert token_files.read_documents(manifest).collect() == []
+
+
+def test_a_full_cache_keeps_the_first_words(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 40)
+    encoder, library = token_files.Encoder(PATH), Tokenizer.from_file(PATH)
+    for i in range(30):
+        texts = [f"the word{i} of\nline{i}", f" w{i}\n\nx", f"tab{i}\tand  two ", "", "end\n", "\n", " \n", f"\nfirst {i}", "a b c　d"]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.known) <= 40 + 60 and encoder.known["of"] < 20
+
+
+def test_words_are_not_looked_up_twice():
+    encoder = token_files.Encoder(PATH)
+    encoder.encode(["some words that stand here\nand there"] * 3)
+    looked = []
+
+    class Counting(type(encoder.known)):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    encoder.known = Counting(encoder.known.items())
+    encoder.encode(["some words that stand here\nand there"])
+    assert len(looked) == 7

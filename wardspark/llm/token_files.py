@@ -8,7 +8,7 @@ batch ``i // ROWS``: nothing is copied or decoded.  An index file beside it (an
 Arrow stream too) holds id, start and length of each document.
 
 Ids of a word depend on the word alone, so a worker encodes each once with the
-tokenizers library and keeps the ids (up to ``CACHE``, then it starts over).
+tokenizers library and keeps the ids (up to ``CACHE``, then of the first half).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,35 @@ from .common import slices, strings
 
 LENGTH = 2048
 ROWS = 64
-CACHE = 1_000_000
+CACHE = 1_000_000  # words, and those of a slice of texts more
 
 #: A space and the run of text behind it belong to no other word; white space is cut as the vocabulary file does.
 CHUNK = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
+SPACE = re.compile(r"\s")
 #: White space for some Unicode tables and not for others: such texts go to the library whole.
 UNSURE = re.compile("[\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]")
 
 MANIFEST = "part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 
+class Words(dict):
+    """Numbers of words, given as they come: ``w`` with the space before it, ``\\nw`` with the line end, a space and then anything alone.
+
+    What white space may belong to is not a word (-1): such a text is cut by ``CHUNK``.
+    """
+
+    def __init__(self, known=(("", -1), ("\n", -1))):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        if key[0] != " " and SPACE.search(key, key[0] == "\n"):
+            return -1
+        self.new.append(key)
+        self[key] = n = len(self) - 2
+        return n
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks fill the cores; threads of the library would only wait
@@ -53,35 +73,77 @@ class Encoder:
         self.widths = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.widths[i] = len(token)
-        self.known: dict[str, bytes] = {}
+        # word ``n`` has the ids from ``ends[n]`` up to ``ends[n + 1]``
+        self.known, self.ids, self.ends = Words(), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        """Keep the words that came first: frequent ones are among them."""
+        n = CACHE // 2
+        self.known = Words(islice(self.known.items(), n + 2))
+        self.ids, self.ends = self.ids[: self.ends[n]].copy(), self.ends[: n + 1].copy()
 
     def raw(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks.  Those that start with a space go to the library side by side as running text."""
-        running = [c for c in chunks if c[0] == " " and len(c) > 1 and not c.isspace()]
-        single = [c for c in chunks if c[0] != " " or len(c) == 1 or c.isspace()]
-        self.known.update(zip(single, self.raw(single), strict=True))
-        ids = b"".join(self.raw(["".join(running[i : i + 64]) for i in range(0, len(running), 64)]))
-        ends = np.cumsum([len(c.encode()) for c in running])
-        last = 4 * (1 + np.searchsorted(np.cumsum(self.widths[np.frombuffer(ids, "<u4")]), ends))
-        at = 0
-        for chunk, end in zip(running, last.tolist(), strict=True):
-            self.known[chunk] = ids[at:end]
-            at = end
+    def learn(self) -> None:
+        """Encode new words.  Those behind a space or line end go to the library side by side as running text."""
+        new, self.known.new = self.known.new, []
+        running = [k if k[0] == "\n" else " " + k for k in new if k[0] != " "]
+        alone = [k[1:] for k in new if k[0] == " "]
+        ids = np.frombuffer(b"".join(self.raw(["".join(running[i : i + 64]) for i in range(0, len(running), 64)])), "<u4")
+        bytes_ = np.cumsum([len(c.encode()) for c in running], dtype=np.int64)
+        last = np.searchsorted(np.cumsum(self.widths[ids]), bytes_) + 1
+        single = self.raw(alone)
+        is_alone = np.array([k[0] == " " for k in new], bool)
+        sizes = np.zeros(len(new), np.int64)
+        sizes[~is_alone] = np.diff(last, prepend=0)
+        sizes[is_alone] = [len(x) // 4 for x in single]
+        # the ids of both kinds in the order of the words
+        found = np.zeros(int(sizes.sum()), "<u4")
+        of_alone = np.repeat(is_alone, sizes)
+        found[~of_alone] = ids
+        found[of_alone] = np.frombuffer(b"".join(single), "<u4")
+        self.ends = np.concatenate([self.ends, len(self.ids) + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, found])
+
+    def numbers(self, text: str) -> np.ndarray:
+        get, keys = self.known.__getitem__, []
+        lines = text.split("\n")
+        for n, line in enumerate(lines):
+            words = line.split(" ")
+            if n:
+                words[0] = "\n" + words[0] if line or n < len(lines) - 1 else " \n"
+            elif words[0]:
+                words[0] = " " + words[0]
+            else:
+                del words[0]
+            keys += words
+        found = np.fromiter(map(get, keys), np.int64, len(keys))
+        if len(found) and found.min() < 0:
+            cut = CHUNK.findall(text)
+            keys = [c[1:] if c[0] == " " and len(c) > 1 and not c.isspace() else " " + c for c in cut]
+            found = np.fromiter(map(get, keys), np.int64, len(keys))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers."""
-        cut = [None if UNSURE.search(t) or self.special.search(t) else CHUNK.findall(t) for t in texts]
-        known = self.known
-        every = set().union(*(c for c in cut if c))
-        if len(known) + len(every) > CACHE:
-            known.clear()
-        self.learn([c for c in every if c not in known])
-        get = known.__getitem__
-        return [self.raw([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        if len(self.known) > CACHE:
+            self.forget()
+        found = [None if UNSURE.search(t) or self.special.search(t) else self.numbers(t) for t in texts]
+        self.learn()
+        words = np.concatenate([np.zeros(0, np.int64), *(f for f in found if f is not None)])
+        starts, sizes = self.ends[words], self.ends[words + 1] - self.ends[words]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        ids = self.ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        out, at = [], 0
+        for t, f in zip(texts, found, strict=True):
+            if f is None:
+                out.append(self.raw([t])[0])
+            else:
+                out.append(ids[ends[at] : ends[at + len(f)]].tobytes())
+                at += len(f)
+        return out
 
 
 @lru_cache(maxsize=2)
