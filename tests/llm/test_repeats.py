@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+from collections import Counter
 
 import pytest
 
@@ -92,3 +94,19 @@ def test_cuts_inside_characters(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.digests(repeats.remove_repeats(docs)).collect() == []
+
+
+def test_a_block_takes_little_memory():
+    r = random.Random(31)
+    gram = r.randbytes(60)  # one bucket: all places around the gram tie
+    bodies = [r.randbytes(120) + gram + r.randbytes(310) for _ in range(1500)]
+    bodies += [b"z" * 100 + x[50:] for x in bodies[:300]]
+    total = sum(map(len, bodies))
+    tracemalloc.start()
+    found = repeats.repeated(bodies, [90] * len(bodies), (240, 400))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 26 * total
+    for length, hits in zip((240, 400), found, strict=True):
+        starts = Counter(x[p : p + length] for x in bodies for p in range(90) if p + length <= len(x))
+        assert [h.tolist() for h in hits] == [[p + length <= len(x) and starts[x[p : p + length]] > 1 for p in range(90)] for x in bodies]

@@ -9,7 +9,7 @@ A byte goes if a string of ``length`` bytes over it also starts anywhere else.
    with one stretch holds no repeat.  Equal stretches (by 128-bit hash) are
    repeats in all their windows; one of them is sorted for all, marked as not single.
 2. *Blockwise construction.*  Tasks get whole buckets of different stretches and
-   suffix-sort them a few megabytes at a time: first by the leading ``PERIOD``
+   suffix-sort them about a megabyte at a time: first by the leading ``PERIOD``
    bytes, then, where these tie, by the ranks of the difference-cover sample.
    For any two places there is a shift below ``PERIOD`` that brings both into the
    sample, so one look at two ranks settles a tie of any length.  Neighbours in
@@ -47,7 +47,7 @@ PASSAGE = 240
 MOST = 20_000
 #: Neighbouring windows that stay together when larger buckets are split, step by step.
 STEPS = (64, 13, 3, 1)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 PERIOD = 32
 #: Bytes that the ranks of the cover sample tell apart.
 DEPTH = 512
@@ -187,54 +187,57 @@ def stretches(texts: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     return joined.mapInArrow(run, STRETCH)
 
 
-def eight_bytes(data: np.ndarray) -> np.ndarray:
-    """For every place the next 8 bytes as a number that sorts like them (zeros behind the end)."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    out = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        out = (out << np.uint64(8)) | padded[i : i + len(data)]
-    return out
+def eight_bytes(data: bytes) -> np.ndarray:
+    """A view: for every place the next 8 bytes as a number that sorts like them (zeros behind the end)."""
+    padded = data + bytes(DEPTH + PERIOD + 8)
+    return np.ndarray(len(padded) - 7, ">u8", padded, strides=(1,))
 
 
-def cover_ranks(words: np.ndarray) -> np.ndarray:
-    """Ranks of the sample suffixes by their first ``DEPTH`` bytes, at their places (elsewhere -1)."""
-    n = len(words)
-    places = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
-    look = np.concatenate([words, np.zeros(PERIOD, np.uint64)])
-    keys = [look[places + 8 * i] for i in range(PERIOD // 8)]
+def cover_ranks(look: np.ndarray, n: int) -> np.ndarray:
+    """Ranks of the sample suffixes of ``n`` bytes by their first ``DEPTH`` bytes, at their places (elsewhere -1)."""
+    places = (np.arange(0, n, PERIOD, dtype=np.int32)[:, None] + np.array(COVER, np.int32)).ravel()
+    places = places[: np.searchsorted(places, n)]
+    keys = [look[places + 8 * i].astype(np.uint64) for i in range(PERIOD // 8)]
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(places), bool)
     for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    ranks = np.full(n + DEPTH + PERIOD, -1, np.int64)
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    del keys, k
+    ranks = np.full(n + DEPTH + PERIOD, -1, np.int32)
     ranks[places[order]] = np.cumsum(new)
+    del order, new
     depth = PERIOD
     while depth < DEPTH:
-        both = (ranks[places] << 32) | (ranks[places + depth] + 1)
+        both = (ranks[places].astype(np.int64) << 32) | (ranks[places + depth] + 1)
         ranks[places] = np.unique(both, return_inverse=True)[1]
         depth *= 2
     return ranks
 
 
 def repeated(bodies: list[bytes], counts: list[int], lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
-    """For each (rising) length and each stretch, which of its first ``counts`` places start a string that another place starts too."""
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    words = eight_bytes(data)
-    sizes = np.array([len(x) for x in bodies])
+    """For each (rising) length and each stretch, which of its first ``counts`` places start a string that another place starts too.
+
+    But for the bytes and the ranks, only places that may start a string take memory.
+    """
+    sizes, number = np.array([len(x) for x in bodies]), np.array(counts)
     starts = np.cumsum(sizes) - sizes
-    suffixes = np.concatenate([np.arange(s, s + c) for s, c in zip(starts.tolist(), counts, strict=True)])
-    look = np.concatenate([words, np.zeros(DEPTH, np.uint64)])
-    keys = [look[suffixes + 8 * i] for i in range(PERIOD // 8)]
+    total = int(sizes.sum())
+    look = eight_bytes(b"".join(bodies))
+    suffixes = (np.arange(number.sum()) + np.repeat(starts - (np.cumsum(number) - number), number)).astype(np.int32)
+    keys = [look[suffixes + 8 * i].astype(np.uint64) for i in range(PERIOD // 8)]
     order = np.lexsort(keys[::-1])
     sorted_ = suffixes[order]
     new = np.zeros(len(sorted_) + 1, bool)
     new[0] = new[-1] = True
     for k in keys:
-        new[1:-1] |= k[order[1:]] != k[order[:-1]]
+        k = k[order]
+        new[1:-1] |= k[1:] != k[:-1]
+    del keys, k, order, suffixes
     edges = np.flatnonzero(new)
     wide = np.flatnonzero(np.diff(edges) > 2)  # of two alike the order does not matter
     if len(wide):
-        ranks, shift = cover_ranks(words).tolist(), SHIFTS
+        ranks, shift = memoryview(cover_ranks(look, total)), SHIFTS
 
         def order_of(p: int, q: int) -> int:
             d = shift[p % PERIOD][q % PERIOD]
@@ -244,9 +247,10 @@ def repeated(bodies: list[bytes], counts: list[int], lengths: tuple[int, ...]) -
         for n in wide.tolist():
             a, b = edges[n], edges[n + 1]
             sorted_[a:b] = sorted(sorted_[a:b].tolist(), key=key)
+        del ranks
     same = np.zeros(len(sorted_) + 1, bool)
     same[1:-1] = ~new[1:-1]
-    left = np.repeat(starts + sizes, sizes)[sorted_] - sorted_  # bytes up to the end of the own stretch
+    left = (starts + sizes)[np.searchsorted(starts, sorted_, "right") - 1] - sorted_  # bytes up to the end of the own stretch
     near, known, out = np.flatnonzero(same), PERIOD, []
     for length in lengths:
         for i in range(known, length, 8):
@@ -254,10 +258,10 @@ def repeated(bodies: list[bytes], counts: list[int], lengths: tuple[int, ...]) -
         known = length
         alike = np.zeros(len(sorted_), bool)
         alike[near] = True
-        group = np.cumsum(~alike)  # neighbours with a common prefix; what ends before is none of them
+        group = np.cumsum(~alike, dtype=np.int32)  # neighbours with a common prefix; what ends before is none of them
         whole = left >= length
         many = np.bincount(group[whole], minlength=len(sorted_) + 1) > 1
-        hit = np.zeros(len(data) + 1, bool)
+        hit = np.zeros(total + 1, bool)
         hit[sorted_[whole & many[group]]] = True
         out.append([hit[s : s + c] for s, c in zip(starts.tolist(), counts, strict=True)])
     return out
@@ -319,7 +323,7 @@ def split_large(stretched: DataFrame, length: int, most: int) -> DataFrame:
     for step in STEPS:
 
         def run(batches: Iterator[pa.RecordBatch], step: int = step) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 2 << 20):
+            for batch in slices(batches, 1 << 18):  # a stretch becomes up to 30 pieces of the string length
                 rows = []
                 for digest, low, a, b, at, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     base = at - low
