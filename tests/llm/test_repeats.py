@@ -1,4 +1,5 @@
 import random
+import re
 import tracemalloc
 from collections import Counter
 
@@ -110,3 +111,12 @@ def test_a_block_takes_little_memory():
     for length, hits in zip((240, 400), found, strict=True):
         starts = Counter(x[p : p + length] for x in bodies for p in range(90) if p + length <= len(x))
         assert [h.tolist() for h in hits] == [[p + length <= len(x) and starts[x[p : p + length]] > 1 for p in range(90)] for x in bodies]
+
+
+def test_text_is_shuffled_once_with_its_row(spark, capsys):
+    docs = spark.createDataFrame([(1, "a" * 500), (2, "b" * 500), (3, None)], "doc_id long, text string")
+    capsys.readouterr()
+    repeats.remove_repeats(docs).explain("formatted")
+    plan = capsys.readouterr().out
+    shuffled = [re.findall(r"(\w+)#", line) for line in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert ["doc", "digest"] in shuffled and not any("text" in names for names in shuffled)

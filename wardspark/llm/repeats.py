@@ -404,10 +404,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, shorter: int | None =
     lengths = tuple(sorted({length, shorter or length}))
     if lengths[0] < 64 or lengths[-1] > DEPTH - PERIOD or any(n % 8 for n in lengths) or lengths[-1] != length:
         raise ValueError("lengths are multiples of 8 from 64 to 480, the shorter one first")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
-    packed = with_digest(packed)
+    packed = with_digest(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text"))
     found = covered(packed.select("text", "digest"), lengths, most)
-    joined = packed.join(found.hint("shuffle_hash"), "digest", "left").select("doc", "text", "spans", "whole")
+    # the text travels in the row alone, not a second time beside it
+    joined = packed.select("doc", "digest").join(found.hint("shuffle_hash"), "digest", "left")
+    joined = joined.select("doc", F.coalesce("doc.text", F.lit("")).alias("text"), "spans", "whole")
     schema = extended(joined, ["doc"], "n_bytes long, spans array<struct<start:int,end:int>>, short_spans array<struct<start:int,end:int>>, kept binary, kept_text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
