@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,3 +45,14 @@ def test_rows(spark, library):
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert bpe.encode_decode(docs.limit(0), PATH).collect() == []
+
+
+def test_a_worker_keeps_no_words_of_a_task(spark):
+    docs = spark.range(0, 200, 1, 4).selectExpr("id AS doc_id", "concat('word', id, ' other', id) AS text")
+    bpe.encode_decode(docs, PATH).write.format("noop").mode("overwrite").save()
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.loaded(PATH).by_chunk) + len(bpe.loaded(PATH).by_piece)], pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(0, 4, 1, 4).mapInArrow(held, "n long").collect()} == {0}

@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from wardspark.llm import quality
 from wardspark.llm.common import written
+from wardspark.session import checkpoint_folder
 
 from . import brute
 
@@ -154,3 +156,20 @@ def test_kept_rows_have_their_columns(spark):
 def test_empty_table(spark):
     docs = docs_of(spark, corpus(5)).limit(0)
     assert quality.quality_rules(docs).collect() == [] and quality.keep_good(docs).collect() == []
+
+
+def test_tables_of_sums_are_few_files_whatever_the_shuffle(spark):
+    held = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    stats = written(quality.with_statistics(docs_of(spark, corpus())), "test-stats")
+    before = {k: spark.conf.get(k) for k in held}
+    there = set(Path(checkpoint_folder(spark).removeprefix("file:")).glob("mcd-*"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        fitted = quality.fit(stats, least_rows=60).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    made = set(Path(checkpoint_folder(spark).removeprefix("file:")).glob("mcd-*")) - there
+    assert fitted and len(made) > 5
+    assert max(len(list(d.glob("*.parquet"))) for d in made) <= spark.sparkContext.defaultParallelism

@@ -5,8 +5,9 @@ neighbours stand in a priority queue by merge rank and place; an entry whose
 symbols have changed since it was pushed is stale and skipped.  Decoding
 concatenates vocabulary strings.
 
-Words are the unit of work, and text repeats its words, so a worker keeps the
-ids of those it has seen (up to ``CACHE`` entries, then it starts over).
+Words are the unit of work, and text repeats its words, so a task keeps the
+ids of those it has seen (up to ``CACHE`` entries, then it starts over).  A worker
+outlives its task, so they go with the task: other steps need the memory.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from tokenizers import Tokenizer
 from .common import extended, list_column, slices, strings
 
 CACHE = 500_000
+#: Texts are encoded in pieces of so many bytes: ids and decoded texts of a piece stand in memory several times over.
+PIECE_BYTES = 1 << 20
 
 #: Fixed values of the vocabulary file's format: White_Space, and how bytes appear as printable characters.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -53,7 +56,7 @@ class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
@@ -71,6 +74,17 @@ class WordBpe:
         self.by_piece: dict[str, tuple[int, ...]] = {}
         self.by_chunk: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Few texts need it, so most workers never load it."""
+        return Tokenizer.from_file(self.path)
+
+    def forget(self) -> None:
+        """Drop the ids of words, and what Arrow holds back of freed memory."""
+        self.by_piece.clear()
+        self.by_chunk.clear()
+        pa.default_memory_pool().release_unused()
+
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merges of lowest rank first, leftmost among equals."""
         n, merges = len(symbols), self.merges
@@ -169,13 +183,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        for batch in slices(batches):
-            ids = [bpe.encode(t) for t in strings(batch.column(1))]
-            flat = np.concatenate([np.zeros(0, "<i4"), *ids])
-            decoded = pa.array([bpe.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), list_column(flat, [len(x) for x in ids]), decoded], names=schema.names
-            )
+        try:
+            for batch in slices(batches, PIECE_BYTES):
+                ids = [bpe.encode(t) for t in strings(batch.column(1))]
+                flat = np.concatenate([np.zeros(0, "<i4"), *ids])
+                decoded = pa.array([bpe.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), list_column(flat, [len(x) for x in ids]), decoded], names=schema.names
+                )
+        finally:
+            bpe.forget()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -23,12 +23,15 @@ FOLD_WORDS = bytes(
 )
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and go on from that copy.
 
-    Lost executors then cost the stages after the write only, and later reads are pruned.
+    Lost executors then cost the stages after the write only, and later reads are pruned.  A ``small`` table, which
+    comes out of a shuffle of sums, is written by as many tasks as run at once, not by one for each shuffle partition.
     """
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     path = f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

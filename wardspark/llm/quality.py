@@ -228,14 +228,14 @@ def products(values: list[Column], name: str) -> list[Column]:
 
 def members_of(stats: DataFrame, least_rows: int) -> DataFrame:
     """``lang, source, level`` and the ``uses`` of each group: which levels' fits its rows take part in, and whose it is judged by."""
-    groups = written(stats.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n")), "mcd-groups")
+    groups = written(stats.groupBy("lang", "source").agg(F.count_if(~F.col("base_failed")).alias("n")), "mcd-groups", small=True)
     by_lang = groups.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.min("n").alias("least"))
     fewest = by_lang.agg(F.min("of_lang")).first()[0] or 0  # one number
     every = groups.join(by_lang, "lang")
     levels = F.array_compact(F.array(
         F.when(F.col("n") >= least_rows, F.lit(0)), F.when(F.col("least") < least_rows, F.lit(1)), F.when(F.lit(fewest < least_rows), F.lit(2))))
     uses = F.when(F.col("n") >= least_rows, 0).when(F.col("of_lang") >= least_rows, 1).otherwise(2)
-    return written(every.select("lang", "source", "n", uses.alias("uses"), F.explode(levels).alias("level")), "mcd-members")
+    return written(every.select("lang", "source", "n", uses.alias("uses"), F.explode(levels).alias("level")), "mcd-members", small=True)
 
 
 def packed(members: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -259,9 +259,9 @@ def rolled(sums: DataFrame, *more: str) -> DataFrame:
 def first_estimates(good: DataFrame, members: DataFrame, shipped: bool) -> DataFrame:
     """Medians with three covariances: scaled deviations, and correlations of the directions and of bent values."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(n) * FINE).alias("bin")) for i, n in enumerate(NAMES)])).alias("v")
-    bins = written(good.select("lang", "source", each).groupBy("lang", "source", "v.i", "v.bin").agg(F.count("*").alias("n")), "mcd-bins")
+    bins = written(good.select("lang", "source", each).groupBy("lang", "source", "v.i", "v.bin").agg(F.count("*").alias("n")), "mcd-bins", small=True)
     of_level = rolled(bins.join(members.select("lang", "source", "level"), ["lang", "source"]), "i", "bin")
-    of_level = written(of_level, "mcd-level-bins")
+    of_level = written(of_level, "mcd-level-bins", small=True)
     middle = cut_point(of_level, [*KEY, "i"], 0.5).withColumnRenamed("bin", "mid")
     apart = of_level.join(middle, [*KEY, "i"]).groupBy(*KEY, "i", F.abs(F.col("bin") - F.col("mid")).alias("bin")).agg(F.sum("n").alias("n"))
     both = middle.join(cut_point(apart, [*KEY, "i"], 0.5), [*KEY, "i"])
@@ -269,7 +269,7 @@ def first_estimates(good: DataFrame, members: DataFrame, shipped: bool) -> DataF
         F.sort_array(F.collect_list(F.struct("i", ((F.col("mid") + 0.5) / FINE).alias("m"), (1.4826 * (F.col("bin") + 0.5) / FINE).alias("s")))).alias("v"))
     floors = F.array(*[F.lit(f) for f in FLOORS.values()])
     wide = F.zip_with(F.transform("v", lambda v: v["s"]), floors, lambda s, f: F.sqrt(s * s + f * f))
-    centre = written(centre.select(*KEY, F.transform("v", lambda v: v["m"]).alias("m"), wide.alias("s")), "mcd-centre")
+    centre = written(centre.select(*KEY, F.transform("v", lambda v: v["m"]).alias("m"), wide.alias("s")), "mcd-centre", small=True)
 
     rows = measured(good, members, centre, shipped)
     z = [d / F.col("e.s")[i] for i, d in enumerate(differences())]
@@ -278,7 +278,7 @@ def first_estimates(good: DataFrame, members: DataFrame, shipped: bool) -> DataF
         length = length + v * v
     long = F.greatest(F.sqrt(length), F.lit(1e-12))
     sums = rows.groupBy("lang", "source", F.col("e.level").alias("level")).agg(*products([v / long for v in z], "u"), *products([F.tanh(v) for v in z], "t"))
-    sums = written(rolled(sums).join(centre, KEY), "mcd-sums")
+    sums = written(rolled(sums).join(centre, KEY), "mcd-sums", small=True)
 
     def start(n: int, name: str | None) -> DataFrame:
         def correlation(i: int, j: int) -> Column:
@@ -299,7 +299,7 @@ def concentrated(good: DataFrame, members: DataFrame, state: DataFrame, shipped:
     keys = [*KEY, "start"]
     counts = measured(good, members, state, shipped).groupBy("lang", "source", F.col("e.level").alias("level"), F.col("e.start").alias("start"), log_bin(distance()).alias("bin"))
     limits = cut_point(rolled(counts.agg(F.count("*").alias("n")), "start", "bin"), keys, SHARE).withColumnRenamed("bin", "limit")
-    limited = written(state.join(limits, keys), f"mcd-limits-{step}")
+    limited = written(state.join(limits, keys), f"mcd-limits-{step}", small=True)
     near = measured(good, members, limited, shipped).where(log_bin(distance()) <= F.col("e.limit"))
     d = differences()
     sums = near.groupBy("lang", "source", F.col("e.level").alias("level"), F.col("e.start").alias("start")).agg(
@@ -323,20 +323,20 @@ def fit(stats: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     good = stats.where(~F.col("base_failed")).select("lang", "source", *NAMES)
     members = members_of(stats, least_rows)
     shipped = few(members)
-    state = written(first_estimates(good, members, shipped), "mcd-starts")
+    state = written(first_estimates(good, members, shipped), "mcd-starts", small=True)
     for step in range(STEPS):
-        after = written(concentrated(good, members, state, shipped, step), f"mcd-{step}")
+        after = written(concentrated(good, members, state, shipped, step), f"mcd-{step}", small=True)
         state = after.drop("fall")
         if step and (after.agg(F.max("fall")).first()[0] or 0.0) < LEAST_FALL:
             break
     best = state.groupBy(*KEY).agg(F.min(F.struct("logdet", "start", "m", "w")).alias("b")).select(*KEY, "b.logdet", "b.start", "b.m", "b.w")
-    best = written(best, "mcd-best")
+    best = written(best, "mcd-best", small=True)
     counts = measured(good, members, best, shipped).groupBy("lang", "source", F.col("e.level").alias("level"), log_bin(distance()).alias("bin"))
     middle = cut_point(rolled(counts.agg(F.count("*").alias("n")), "bin"), KEY, 0.5)
     scale = F.greatest(F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS), F.lit(1e-9)) / CHI2_MEDIAN
-    scaled = written(best.join(middle, KEY).withColumn("scale", scale).drop("bin"), "mcd-scaled")
+    scaled = written(best.join(middle, KEY).withColumn("scale", scale).drop("bin"), "mcd-scaled", small=True)
     used = members.select("lang", "source", F.col("uses").alias("level")).distinct().select("lang", "source", *group_key())
-    return written(used.join(scaled, KEY, "left").select("lang", "source", F.when(F.col("m").isNotNull(), F.struct("level", "logdet", "start", "m", "w", "scale")).alias("e")), "mcd-fit")
+    return written(used.join(scaled, KEY, "left").select("lang", "source", F.when(F.col("m").isNotNull(), F.struct("level", "logdet", "start", "m", "w", "scale")).alias("e")), "mcd-fit", small=True)
 
 
 def judge(stats: DataFrame, fitted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
