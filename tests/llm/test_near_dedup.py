@@ -48,6 +48,21 @@ def test_members_outside_the_main_component(spark, monkeypatch):
     assert got == brute.near_duplicates(docs)
 
 
+def test_no_pair_is_compared_in_two_rounds(spark, monkeypatch):
+    tried, confirm = [], near_dedup.confirm
+
+    def spy(pairs, docs):
+        pairs = near_dedup.written(pairs, "test-pairs")
+        tried.append({(r.a, r.b) for r in pairs.collect()})
+        return confirm(pairs, docs)
+
+    monkeypatch.setattr(near_dedup, "confirm", spy)
+    docs = corpus(7, copies=60)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(as_rows(spark, docs)).collect()}
+    assert got == brute.near_duplicates(docs)
+    assert len(tried) == 3 and all(tried[:2]) and sum(map(len, tried)) == len(set().union(*tried))
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "a b c d e f g h"
     rows = [(5, text), (5, text), (None, text), (2, text + " "), (9, None), (None, None)]

@@ -139,8 +139,7 @@ def different_bits(a: Column, b: Column) -> Column:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose full shingle sets are alike.  ``b`` may be the same in very many pairs."""
-    pairs = written(pairs, "pairs")
+    """Of a written table of pairs ``(a, b)`` those whose full shingle sets are alike.  ``b`` may be the same in very many pairs."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = written(docs.select("doc_id", "text").join(written(ids, "pair-ids"), "doc_id", "left_semi"), "pair-texts")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -235,7 +234,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = hits.where("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
     first = first.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
     first = first.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    edges = written(confirm(first.where(different_bits(F.col("sa"), F.col("sb")) <= limit).select("a", "b"), docs), "links")
+    tried = written(first.where(different_bits(F.col("sa"), F.col("sb")) <= limit).select("a", "b"), "pairs")
+    edges = written(confirm(tried, docs), "links")
     roots, fine = components(edges), None
     for nearest in (NEAREST, None):
         placed = hits.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
@@ -248,6 +248,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             fine = fine_sketches(members.select("doc_id").distinct(), docs).join(reps.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id")
             fine = written(fine, "fine-bands")
         pairs = block_pairs(outside.join(sizes, "key").join(fine, "doc_id"), members.join(fine, "doc_id"), nearest)
+        # a pair that was no link in an earlier round is none now
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(pairs)
         more = written(confirm(pairs, docs), "links")
         if not more.isEmpty():
             edges = edges.unionByName(more)
