@@ -63,6 +63,27 @@ def test_no_pair_is_compared_in_two_rounds(spark, monkeypatch):
     assert len(tried) == 3 and all(tried[:2]) and sum(map(len, tried)) == len(set().union(*tried))
 
 
+def test_a_pair_of_two_probes_is_proposed_by_one(spark):
+    r = random.Random(2)
+    words = [str(r.random()) for _ in range(60)]
+    rows = []
+    for i in range(4):  # different components, alike enough for the sketch test
+        w = [*words, str(i)]
+        grams = near_dedup.shingles(" ".join(w))
+        bands = [7, *range(100 * i + 100, 100 * i + 99 + near_dedup.BANDS)]
+        rows.append((7, i, i, near_dedup.odd_sketch(near_dedup.samples(grams, near_dedup.FINE_SAMPLES), near_dedup.FINE_WORDS).tolist(), bands, i > 0, 3, 4))
+    members = spark.createDataFrame(rows, "key long, doc_id long, comp long, sketch array<long>, bands array<long>, outside boolean, n_probe long, n_all long")
+    found = near_dedup.block_pairs(members.where("outside"), members, None)
+    assert sorted(map(tuple, found.collect())) == [(a, b) for a in range(4) for b in range(a)]
+    plain = type(members).distinct
+    try:
+        type(members).distinct = lambda self: self
+        made = near_dedup.block_pairs(members.where("outside"), members, None).collect()
+    finally:
+        type(members).distinct = plain
+    assert len(made) == 6
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "a b c d e f g h"
     rows = [(5, text), (5, text), (None, text), (2, text + " "), (9, None), (None, None)]

@@ -176,12 +176,13 @@ def block_pairs(probe: DataFrame, members: DataFrame, nearest: int | None) -> Da
     """Pairs ``(a, b)`` of a probe and a member of one bucket in different components that pass the sketch test.
 
     Both sides are dealt by hash into blocks of about ``BLOCK`` rows, and each pair of blocks is one small group.
-    With ``nearest`` a probe proposes only so many of a block.  A pair that shares several buckets is looked at
+    With ``nearest`` a probe proposes only so many of a block; without, of two members that are both probes
+    (``outside``) the larger proposes the smaller.  A pair that shares several buckets is looked at
     in the first of them, by the order of bands.
     """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
-    cols = ["key", "doc_id", "comp", "sketch", "bands"]
+    cols = ["key", "doc_id", "comp", "sketch", "bands", "outside"]
     left = probe.withColumn("i", block("n_probe")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n_all") - 1)))
     right = members.withColumn("j", block("n_all")).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("n_probe") - 1)))
     both = left.select(*cols, "i", "j", F.lit(True).alias("probing")).unionByName(
@@ -195,11 +196,12 @@ def block_pairs(probe: DataFrame, members: DataFrame, nearest: int | None) -> Da
         bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(-1, BANDS)
         others, their, names, keys = sketch[~side], comp[~side], ids[~side], bands[~side]
         each, key = np.arange(len(names)), group["key"][0].as_py()
+        both_ways = np.array(group["outside"].to_pylist(), bool)[~side] if nearest is None else np.zeros(len(names), bool)
         out_a, out_b = [], []
         for n in np.flatnonzero(side):
             bits = np.bitwise_count(others ^ sketch[n]).sum(1, dtype=np.int64)
             here = keys[each, (keys == bands[n]).argmax(1)] == key
-            near = np.flatnonzero((bits <= limit) & (their != comp[n]) & here)
+            near = np.flatnonzero((bits <= limit) & (their != comp[n]) & here & ~(both_ways & (names > ids[n])))
             if nearest is not None and len(near) > nearest:
                 near = near[np.lexsort((names[near], bits[near]))[:nearest]]
             out_a.append(np.maximum(names[near], ids[n]))
@@ -241,7 +243,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         placed = hits.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("root", "doc_id"))
         placed = written(placed.select("key", "doc_id", "center", "n_all", "comp"), "placed")
         at_center = placed.where("doc_id = center").select("key", F.col("comp").alias("main")).distinct()
-        outside = placed.join(at_center, "key").where("comp <> main")
+        placed = placed.join(at_center, "key").withColumn("outside", F.col("comp") != F.col("main")).drop("main")
+        outside = placed.where("outside")
         sizes = written(outside.groupBy("key").agg(F.count("*").alias("n_probe")), "open")
         members = placed.join(sizes, "key")
         if fine is None:
