@@ -115,3 +115,54 @@ def test_escapes_sort_words_as_wholes():
 def test_empty_table(spark):
     assert phrases.mine(frame(spark, []).limit(0)).collect() == []
     assert np.all(~phrases.Filter(np.zeros(8, np.uint8)).has(np.arange(5, dtype=np.uint64)))
+
+
+def test_rows_of_runs_are_short_and_totals_do_not_read_them(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "ROW_WINDOWS", 10)
+    text = " ".join(f"so w{n}" for n in range(300)) + "\x00 . so w1 w2"
+    every = spark.sparkContext.broadcast(phrases.Filter(np.full(8, 255, np.uint8)))
+    runs = phrases.written(phrases.trie_runs(frame(spark, [("en", text)]).select("lang", "text"), [every] * 3), "runs")
+    rows = runs.where("n > 0").collect()
+    assert max(r.n for r in rows) == 10
+    found = []
+    for r in rows:
+        windows, counts = phrases.unpacked(r.n, r.size, bytes(r.pack))
+        assert (windows[0], windows[-1], len(windows)) == (r.first, r.last, r.n)
+        assert windows == sorted(windows) and len(counts) == r.n
+        found += zip(windows, counts, strict=True)
+    want = Counter()
+    for piece in text.split("."):
+        words = [phrases.escaped(w.encode()) for w in piece.split()]
+        want.update(phrases.GAP.join(words[i : i + 5]) for i in range(len(words)))
+    assert dict(found) == want and len(found) == len(want)
+    totals = phrases.language_totals(runs)
+    assert rows_of(totals) == [("en", 603)]
+    assert "pack" not in totals._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_travel_in_packs(spark):
+    rows = [("en", " ".join(f"w{n}" for n in range(3000))), ("en", "w1 w2 w3"), ("de", "w1 w2")]
+    hashed = phrases.written(phrases.word_hashes(frame(spark, rows).coalesce(1).select("lang", "text")), "words")
+    assert phrases.bucket_count(hashed) == phrases.LEAST_BUCKETS
+    counts = phrases.hash_counts(hashed, [], 16).collect()
+    assert len(counts) == 16  # 6,002 different hashes
+    keys = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in counts])
+    sums = np.concatenate([np.frombuffer(r.counts, np.uint8) for r in counts])
+    assert len(keys) == len(set(keys.tolist())) == 6002 and sums.sum() == 6007
+    assert all((np.frombuffer(r.hashes, np.uint64) >> np.uint64(60) == r.bucket).all() for r in counts)
+    often = phrases.frequent_hashes(phrases.hash_counts(hashed, [], 16), 2).collect()
+    assert sorted(r.h for r in often) == sorted(keys[sums >= 2].view(np.int64).tolist()) and len(often) == 5
+
+
+def test_large_counts_and_batches_set_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with phrases.small_batches(spark, 7):
+        assert spark.conf.get(key) == "7"
+        with phrases.small_batches(spark, 9):
+            assert spark.conf.get(key) == "7"
+    assert spark.conf.get(key) == before
+    hashed = phrases.word_hashes(frame(spark, [("en", "a " * 70_000 + "b"), ("en", "a ! " * 300)]).coalesce(1).select("lang", "text"))
+    often = phrases.frequent_hashes(phrases.hash_counts(hashed, [], 256), 70_300)
+    assert len(often.collect()) == 1  # 70,300 of the word, 69,999 of the pair
+    assert len(phrases.frequent_hashes(phrases.hash_counts(hashed, [], 256), 69_999).collect()) == 2

@@ -7,12 +7,15 @@ so one trie of such windows counts phrases of every length.
 1. *Pruning.*  A phrase can only be frequent if all shorter phrases in it are.  Texts are written as
    hashes of their words, 8 bytes each, and three passes over these count
    hashes of words and pairs, then of triples of frequent pairs, then of four and five words with frequent
-   triples (two numbers a row).  What reaches ``least`` goes into a bit array of bounded size; a hash that
+   triples.  Hashes go to where they are added up in packs of one range of hashes, some hundreds a row.
+   What reaches ``least`` goes into a bit array of bounded size; a hash that
    two phrases share, or a full array, lets more through and changes no result.
 2. *HAT-trie.*  A task puts the window of every place, cut where it stops being frequent, into a
    trie over its own word ids: shallow nodes above hash containers, which burst into nodes
-   when they grow.  Beyond ``HELD`` entries the largest subtrees are spilled whole, as sorted runs.
-3. *Merge.*  Runs are cut at borders of prefix ranges, dealt by range and merged in order.  A prefix is counted when the
+   when they grow.  Beyond ``HELD`` entries the largest subtrees are spilled whole, as sorted runs,
+   in packed rows of at most ``ROW_WINDOWS`` windows.
+3. *Merge.*  Runs are cut at borders of prefix ranges and dealt by range.  Equal windows of a range are added up as they
+   come, and the different ones walked in order.  A prefix is counted when the
    order leaves it; one that begins or ends a range is passed on in parts.  A prefix
    with any share of all windows spreads over as many ranges as it fills.
 4. *Scores.*  Parts of a phrase are looked up in the counts by joins, salted because common
@@ -23,12 +26,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, written
@@ -43,13 +47,19 @@ BURST, SHALLOW, HELD = 8192, 3, 150_000
 KNOWN, PLACES = 150_000, 250_000
 #: Bits of the array for a frequent hash, and of the whole array at most (64 MB).
 BITS_EACH, MOST_BITS, SEGMENT_BITS = 64, 1 << 29, 1 << 20
-#: Windows of a sorted run and of a range of prefixes (about); runs whose first windows tell the borders of the ranges.
+#: Windows of a sorted run and of a range of prefixes (about); rows of runs whose first windows tell the borders of the ranges.
 RUN_WINDOWS, RANGE_WINDOWS, BORDER_RUNS = 20_000, 100_000, 20_000
+#: Windows of a row of a run at most: readers and writers of Parquet hold a hundred rows of a page and more at once.
+ROW_WINDOWS = 2_000
+#: Places whose hashes are added up together (about), and into how many ranges hashes are dealt at least.
+BUCKET_PLACES, LEAST_BUCKETS = 500_000, 256
 #: Where in a hash the places of its two bits begin.
 PROBES = (3, 34)
 #: Parts of phrases are looked up in so many copies of the counts.
 SALTS = 8
 CHUNK = 4 << 20
+#: Rows that go to a Python worker in one batch; an executor holds a batch several times outside its heap, for every task.
+BATCH_ROWS = 1_000
 
 #: Fixed values, for ``bytes.translate``: A-Z to a-z, tab to space, and what ends a piece to a byte that UTF-8 never has.
 END = b"\xff"
@@ -66,6 +76,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> SHIFT)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run meanwhile send at most so many rows to Python at once.  No result hangs on it; what was set is set again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    if 0 < before <= rows:
+        yield
+        return
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Vocabulary(dict):
     """Ids of a task's words in order of appearance; 0 ends a piece.  ``words`` are as windows are made of, ``hashes`` never 0."""
 
@@ -130,7 +155,7 @@ class Places:
 
 
 def word_hashes(texts: DataFrame) -> DataFrame:
-    """``lang, words``: the hashes of the words of every text, 0 where a piece ends, as bytes."""
+    """``lang, words, places``: the hashes of the words of every text, 0 where a piece ends, as bytes, and how many these are."""
     most_words = KNOWN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +163,12 @@ def word_hashes(texts: DataFrame) -> DataFrame:
         for batch in slices(batches, 2 << 20):
             ids = [vocabulary.ids(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             words = [vocabulary.hashes[i].tobytes() for i in ids]  # the table grows while ids are given
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["lang", "words"])
+            places = pa.array([len(i) for i in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary()), places], names=["lang", "words", "places"])
             if len(vocabulary) > most_words:
                 vocabulary = Vocabulary()
 
-    return texts.mapInArrow(run, "lang string, words binary")
+    return texts.mapInArrow(run, "lang string, words binary, places long")
 
 
 def gram_hashes(lang: str, words: np.ndarray) -> list[np.ndarray]:
@@ -170,12 +196,44 @@ class Filter:
         return out
 
 
+def added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """All different hashes in order, and the sums of their counts."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in held)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in held)])
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
+
+
+def frequent_hashes(counts: DataFrame, least: int) -> DataFrame:
+    """``h``: the hashes with sums of at least ``least``.  Packs of one range of hashes meet in one task and are added up there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def often() -> pa.RecordBatch:
+            keys, sums = added_up(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys[sums >= least].view(np.int64))], names=["h"])
+
+        for batch in slices(batches, 4 << 20):
+            for bucket, hashes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and bucket != last:
+                    yield often()
+                last = bucket
+                keys = np.frombuffer(hashes, np.uint64)
+                held.append((keys, np.frombuffer(n, f"u{len(n) // len(keys)}").astype(np.int64)))
+        if held:
+            yield often()
+
+    return counts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "h long")
+
+
 def frequent(counts: DataFrame, least: int) -> Broadcast:
     """The hashes with sums of at least ``least``, as a shipped ``Filter``.  Tasks make its segments; the size has a bound."""
     spark = counts.sparkSession
-    # tasks have added up their own rows; nearly all that is left differs, so it is dealt before it is grouped
-    often = counts.repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
-    often = written(often, "often")
+    often = written(frequent_hashes(counts, least), "often")
     wanted = max(SEGMENT_BITS, min(MOST_BITS, often.count() * BITS_EACH))
     size = 1 << (wanted - 1).bit_length()
     probes = F.array(*[F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(size - 1)) for shift in PROBES])
@@ -224,11 +282,21 @@ def may_be_frequent(grams: list[np.ndarray], filters: list[Filter]) -> list[np.n
     return out
 
 
-def hash_counts(hashed: DataFrame, filters: list[Broadcast]) -> DataFrame:
-    """``h, n``: counts of words and pairs, with one filter of triples, with two of four and five words; partial sums."""
+def bucket_count(hashed: DataFrame) -> int:
+    """Into how many ranges hashes are dealt: as many as hold about ``BUCKET_PLACES`` each, a power of two."""
+    places = hashed.agg(F.sum("places")).first()[0] or 0
+    return 1 << (max(LEAST_BUCKETS, places // BUCKET_PLACES) - 1).bit_length()
+
+
+def hash_counts(hashed: DataFrame, filters: list[Broadcast], buckets: int) -> DataFrame:
+    """``bucket, hashes, counts``: counts of words and pairs, with one filter of triples, with two of four and five words.
+
+    These are partial sums; a row has those of one of ``buckets`` equal ranges of hashes, as bytes, its counts in as few as they need.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, held = Places(PLACES), []
+        shift = np.uint64(65 - buckets.bit_length())
 
         def places() -> Iterator[tuple[str, np.ndarray]]:
             for batch in slices(batches):
@@ -236,19 +304,16 @@ def hash_counts(hashed: DataFrame, filters: list[Broadcast]) -> DataFrame:
                     yield from gathered.put(lang, np.frombuffer(words, np.uint64))
             yield from gathered.rest()
 
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in held)])
-            counts = np.concatenate([np.zeros(0, np.int64), *(c for _, c in held)])
-            order = np.argsort(keys)
-            keys = keys[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
-
         def rows() -> Iterator[pa.RecordBatch]:
-            keys, counts = merge()
+            all_keys, all_counts = added_up(held)
             held.clear()
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000].view(np.int64)), pa.array(counts[at : at + 100_000])], names=["h", "n"])
+            for at in range(0, len(all_keys), 100_000):
+                keys, counts = all_keys[at : at + 100_000], all_counts[at : at + 100_000]
+                bucket, first = np.unique(keys >> shift, return_index=True)
+                starts = pa.py_buffer((np.append(first, len(keys)) * 8).astype(np.int32))
+                hashes = pa.Array.from_buffers(pa.binary(), len(bucket), [None, starts, pa.py_buffer(keys)])
+                narrow = pa.array([c.astype(np.min_scalar_type(c.max())).tobytes() for c in np.split(counts, first[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), hashes, narrow], names=["bucket", "hashes", "counts"])
 
         for lang, words in places():
             grams = gram_hashes(lang, words)
@@ -259,12 +324,12 @@ def hash_counts(hashed: DataFrame, filters: list[Broadcast]) -> DataFrame:
                 more = grams[:2]
             held += [np.unique(m[m != 0], return_counts=True) for m in more]
             if sum(len(k) for k, _ in held) > 4 * PLACES:
-                held[:] = [merge()]
+                held[:] = [added_up(held)]
                 if len(held[0][0]) > 2 * PLACES:
                     yield from rows()
         yield from rows()
 
-    return hashed.mapInArrow(run, "h long, n long")
+    return hashed.select("lang", "words").mapInArrow(run, "bucket int, hashes binary, counts binary")
 
 
 class HatTrie:
@@ -330,8 +395,21 @@ class HatTrie:
         return out
 
 
-RUN = pa.schema([("lang", pa.string()), ("windows", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
-RUN_DDL = "lang string, windows array<binary>, counts array<long>"
+#: Numbers of windows and of bytes before packing, and the pack.
+PACK = [("n", pa.int64()), ("size", pa.int64()), ("pack", pa.binary())]
+RUN = pa.schema([("lang", pa.string()), ("total", pa.int64()), ("first", pa.binary()), ("last", pa.binary()), *PACK])
+RUN_DDL = "lang string, total long, first binary, last binary, n long, size long, pack binary"
+
+
+def packed(found: list[bytes], counts: list[int]) -> tuple[int, int, bytes]:
+    """Windows and their counts, as the columns ``PACK``."""
+    raw = np.array(counts, np.int64).tobytes() + END.join(found)
+    return len(found), len(raw), pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(n: int, size: int, pack: bytes) -> tuple[list[bytes], list[int]]:
+    raw = pa.decompress(pack, decompressed_size=size, codec="zstd", asbytes=True)
+    return raw[8 * n :].split(END), np.frombuffer(raw, np.int64, n).tolist()
 
 
 def windows(lang: str, ids: np.ndarray, hashes: np.ndarray, filters: list[Filter]) -> tuple[np.ndarray, np.ndarray]:
@@ -353,8 +431,11 @@ def windows(lang: str, ids: np.ndarray, hashes: np.ndarray, filters: list[Filter
 
 
 def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
-    """``lang, windows, counts``: sorted runs of spilled subtrees, one a row; a run of the empty window alone counts all words."""
-    run_windows = RUN_WINDOWS
+    """``lang, total, first, last, n, size, pack``: sorted runs of spilled subtrees, a stretch of one a row.
+
+    A row without windows tells in ``total`` the words of a task.  ``first`` and ``last`` windows can be read without the others.
+    """
+    run_windows, row_windows = RUN_WINDOWS, ROW_WINDOWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, tries, totals = Vocabulary(), {}, {}
@@ -366,9 +447,10 @@ def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
 
             def sorted_run() -> pa.RecordBatch:
                 held.sort()
-                row = [{"lang": lang, "windows": [w for w, _ in held], "counts": [n for _, n in held]}]
+                stretches = [list(zip(*held[at : at + row_windows], strict=True)) for at in range(0, len(held), row_windows)]
                 held.clear()
-                return pa.RecordBatch.from_pylist(row, schema=RUN)
+                rows = [(lang, 0, found[0], found[-1], *packed(found, counts)) for found, counts in stretches]
+                return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RUN, strict=True)], schema=RUN)
 
             # in the order of words, so that a run covers a narrow range of prefixes
             for first in sorted(trie.largest(left) if left else trie.root, key=words.__getitem__):
@@ -405,7 +487,7 @@ def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
             yield from count(ready, ids)
         for lang, trie in tries.items():
             yield from spilled(lang, trie, 0)
-        yield pa.RecordBatch.from_pylist([{"lang": x, "windows": [b""], "counts": [n]} for x, n in totals.items()], schema=RUN)
+        yield pa.RecordBatch.from_pylist([{"lang": x, "total": n, "n": 0} for x, n in totals.items()], schema=RUN)
 
     return texts.mapInArrow(run, RUN_DDL)
 
@@ -413,40 +495,51 @@ def trie_runs(texts: DataFrame, filters: list[Broadcast]) -> DataFrame:
 PHRASE = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("n", pa.int64())])
 
 
+def language_totals(runs: DataFrame) -> DataFrame:
+    """``lang, n``: the words of every language."""
+    return runs.where("n = 0").groupBy("lang").agg(F.sum("total").alias("n"))
+
+
 def borders(runs: DataFrame) -> list[tuple[str, bytes]]:
-    """Where ranges of prefixes begin, from every eighth of the runs (of a bounded number of them: only balance hangs on it).
+    """Where ranges of prefixes begin, from the first windows of rows (of a bounded number of them: only balance hangs on it).
 
-    Places inside the runs count too, since one common prefix may fill many runs.
+    Rows are short, so one common prefix that fills many runs has many of them.
     """
-    eighths = F.expr("transform(sequence(0, 7), i -> windows[cast(floor(i * size(windows) / 8) as int)])")
-    firsts = runs.select("lang", F.explode(F.array_distinct(eighths)).alias("first"), (F.size("windows") / 8).alias("n"))
-    runs_, total = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    share = int(1_000_000 * min(1.0, BORDER_RUNS / max(1, runs_)))
+    firsts = runs.where("n > 0").select("lang", "first", "n")
+    rows, total = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    share = int(1_000_000 * min(1.0, BORDER_RUNS / max(1, rows)))
     found = firsts.where(F.pmod(F.xxhash64("lang", "first"), F.lit(1_000_000)) < share).collect()
-    keys = sorted((r["lang"], bytes(r["first"])) for r in found)
+    keys = sorted((r["lang"], bytes(r["first"]), r["n"]) for r in found)
     ranges = min(len(keys), int(total // RANGE_WINDOWS) + 1)
-    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+    before = np.cumsum([0, *(n for _, _, n in keys)])
+    wanted = np.searchsorted(before, [before[-1] * i // ranges for i in range(1, ranges)])
+    return sorted({keys[i][:2] for i in wanted.tolist() if i < len(keys)})
 
 
 def dealt_runs(runs: DataFrame) -> DataFrame:
-    """``part, lang, windows, counts``: the runs cut at the borders, all of one range of prefixes together."""
+    """``part, lang, n, size, pack``: the runs cut at the borders, all of one range of prefixes together."""
     at = borders(runs)
-    schema = pa.schema([("part", pa.int32()), *RUN])
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), *PACK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1 << 20):
             rows = []
-            for lang, found, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                start, part = 0, bisect_right(at, (lang, found[0]))
+            for lang, first, last, *pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = bisect_right(at, (lang, first))
+                if part == bisect_right(at, (lang, last)):
+                    rows.append((part, lang, *pack))
+                    continue
+                start, (found, counts) = 0, unpacked(*pack)
                 while start < len(found):
                     # the windows before the next border, if that lies in this language
                     end = bisect_left(found, at[part][1]) if part < len(at) and at[part][0] == lang else len(found)
                     if end > start:
-                        rows.append({"part": part, "lang": lang, "windows": found[start:end], "counts": counts[start:end]})
+                        rows.append((part, lang, *packed(found[start:end], counts[start:end])))
                     start, part = end, part + 1
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    pieces = runs.select("lang", "windows", "counts").mapInArrow(run, f"part int, {RUN_DDL}")
+    pieces = runs.select("lang", "first", "last", "n", "size", "pack").mapInArrow(run, "part int, lang string, n long, size long, pack binary")
     return pieces.repartition(len(at) + 1, "part").sortWithinPartitions("part", "lang")
 
 
@@ -454,7 +547,7 @@ def merged_runs(runs: DataFrame, least: int) -> DataFrame:
     """``lang, words, n`` of all phrases that occur at least ``least`` times, single words included."""
 
     def phrases(lang: str, found: list[tuple[bytes, int]]) -> Iterator[tuple[str, list[bytes], int]]:
-        """Prefixes of the sorted windows of a range that are frequent, or that another range may have more of."""
+        """Prefixes of the sorted, different windows of a range that are frequent, or that another range may have more of."""
         path: list[bytes] = []  # words of the window at hand
         sums: list[int] = []  # counts of its prefixes
         first = found[0][0].split(GAP)
@@ -474,24 +567,24 @@ def merged_runs(runs: DataFrame, least: int) -> DataFrame:
                 sums[i] += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held = None, {}
 
         def rows() -> pa.RecordBatch:
-            held.sort()  # runs on end: sorting merges them
-            langs, words, counts = list(zip(*phrases(key[1], held), strict=True))
+            langs, words, counts = list(zip(*phrases(key[1], sorted(held.items())), strict=True))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(counts, pa.int64())], schema=PHRASE)
 
         for batch in slices(batches, 4 << 20):
-            for part, lang, found, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, lang, *pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (part, lang) != key:
                     yield rows()
                 key = part, lang
-                held += zip(found, counts, strict=True)
+                for window, n in zip(*unpacked(*pack), strict=True):  # runs have many windows in common
+                    held[window] = held.get(window, 0) + n
         if held:
             yield rows()
 
-    parts = dealt_runs(runs.where("windows[0] <> X''")).mapInArrow(run, "lang string, words array<string>, n long")
+    parts = dealt_runs(runs.where("n > 0")).mapInArrow(run, "lang string, words array<string>, n long")
     return parts.groupBy("lang", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
@@ -503,14 +596,15 @@ def mine(docs: DataFrame, least: int = LEAST, most: int = MOST_RANKS) -> DataFra
     repeated rows count as often as they stand there.  Equal scores rank by count, then by phrase.  Other columns are not read.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    hashed = written(word_hashes(texts), "words")
-    filters: list[Broadcast] = []
-    for _ in range(3):
-        filters.append(frequent(hash_counts(hashed, list(filters)), least))
-    runs = written(trie_runs(texts, filters), "runs")
-    counts = written(merged_runs(runs, least), "phrases")
-    totals = runs.where("windows[0] = X''").groupBy("lang").agg(F.sum(F.col("counts")[0]).alias("n"))
-    return best(counts, totals, most)
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        hashed = written(word_hashes(texts), "words")
+        filters: list[Broadcast] = []
+        buckets = bucket_count(hashed)
+        for _ in range(3):
+            filters.append(frequent(hash_counts(hashed, list(filters), buckets), least))
+        runs = written(trie_runs(texts, filters), "runs")
+        counts = written(merged_runs(runs, least), "phrases")
+    return best(counts, language_totals(runs), most)
 
 
 def best(counts: DataFrame, totals: DataFrame, most: int) -> DataFrame:
